@@ -370,3 +370,274 @@ def q_header(spark, sf_dir):
     led = L(spark, sf_dir)
     return S.packet_header(S.review_summary(led.scored_given), I.integrity_counts(_report(spark, sf_dir)),
                            FIXTURE_PARAMS["period_start"], FIXTURE_PARAMS["period_end"])
+
+
+# ---------------------------------------------------------------- 2.8 memo tables
+def _queue(spark, sf_dir):
+    return S.flagged_queue(L(spark, sf_dir).scored_given, order=False)
+
+
+def _ranked(spark, sf_dir, top_n: int = 20):
+    from ..operators.memos import memo_rank
+    return memo_rank(_queue(spark, sf_dir), top_n)
+
+
+MUTATIONS = ["good", "missing_key", "wrong_type", "too_few_items", "banned_phrase",
+             "wrong_disclaimer", "name_leak"]
+
+
+def memo_candidates(ranked: DataFrame) -> DataFrame:
+    """Candidate memos for the selected rows: the rule memo and six deliberate faults
+    (the validator's test set), one kind per position in turn."""
+    from ..operators.memos import full_memo
+    m = ranked.select("position", full_memo().alias("m"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in MUTATIONS]), (F.col("position") % 7) + 1)
+    fields = ["risk_summary", "assertion_consideration", "magnitude_assessment",
+              "likelihood_assessment", "control_or_coso_consideration", "recommended_follow_up",
+              "disclaimer"]
+
+    def with_(**over):
+        return F.to_json(F.struct(*[over.get(f, F.col(f"m.{f}")).alias(f) for f in fields
+                                    if over.get(f, "") is not None]))
+    js = (F.when(kind == "missing_key", with_(likelihood_assessment=None))
+           .when(kind == "wrong_type", with_(recommended_follow_up=F.array_join("m.recommended_follow_up", "; ")))
+           .when(kind == "too_few_items", with_(recommended_follow_up=F.slice("m.recommended_follow_up", 1, 2)))
+           .when(kind == "banned_phrase", with_(risk_summary=F.concat("m.risk_summary", F.lit(" This proves fraud."))))
+           .when(kind == "wrong_disclaimer", with_(disclaimer=F.lit("This analysis is indicative only.")))
+           .when(kind == "name_leak", with_(control_or_coso_consideration=F.concat(
+               "m.control_or_coso_consideration", F.lit(" The manager should explain the entry."))))
+           .otherwise(with_()))
+    return m.select("position", kind.alias("mutation"), js.alias("memo_json"))
+
+
+@query("memo_rank")
+def q_memo_rank(spark, sf_dir):
+    r = _ranked(spark, sf_dir)
+    return r.select("position", "journal_ref", "final_tier", "is_qualitative_override", "fraud_risk_flag",
+                    r6("anomaly_score").alias("anomaly_score"), r6("amount").alias("amount"))
+
+
+@query("memo_keys")
+def q_memo_keys(spark, sf_dir):
+    from ..operators.memos import memo_keys
+    k = memo_keys(_ranked(spark, sf_dir))
+    return k.select("position", "date", "account_name", "vendor", r6("amount").alias("amount"))
+
+
+@query("flags_clause")
+def q_flags_clause(spark, sf_dir):
+    from ..operators.memos import amount_text, flags_clause
+    return _ranked(spark, sf_dir).select("position", "active_flags", flags_clause().alias("flags_clause"),
+                                         amount_text().alias("amount_text"))
+
+
+@query("assertions")
+def q_assertions(spark, sf_dir):
+    from ..operators.memos import assertions
+    return _ranked(spark, sf_dir).select("position", "active_flags",
+                                         F.array_join(assertions(), "|").alias("assertions"))
+
+
+@query("coso_components")
+def q_coso(spark, sf_dir):
+    from ..operators.memos import coso_components
+    return _ranked(spark, sf_dir).select("position", "active_flags",
+                                         F.array_join(coso_components(), "|").alias("coso_components"))
+
+
+@query("follow_ups")
+def q_follow_ups(spark, sf_dir):
+    from ..operators.memos import follow_ups
+    return _ranked(spark, sf_dir).select("position", "active_flags", "is_qualitative_override",
+                                         F.array_join(follow_ups(), "; ").alias("recommended_follow_up"))
+
+
+@query("risk_summary")
+def q_risk_summary(spark, sf_dir):
+    from ..operators.memos import risk_summary
+    return _ranked(spark, sf_dir).select("position", risk_summary().alias("risk_summary"))
+
+
+MEMO_TEXT = ["risk_summary", "assertion_consideration", "magnitude_assessment",
+             "likelihood_assessment", "control_or_coso_consideration"]
+
+
+@query("full_memo")
+def q_full_memo(spark, sf_dir):
+    from ..operators.memos import full_memo
+    m = _ranked(spark, sf_dir).select("position", full_memo().alias("m"))
+    return m.select("position", *[F.col(f"m.{f}").alias(f) for f in MEMO_TEXT],
+                    F.array_join("m.recommended_follow_up", "; ").alias("recommended_follow_up"),
+                    F.col("m.disclaimer").alias("disclaimer"))
+
+
+@query("memo_prompts")
+def q_prompts(spark, sf_dir):
+    from ..operators.memos import memo_prompts
+    p = FIXTURE_PARAMS
+    return memo_prompts(_ranked(spark, sf_dir), p["entity_type"], p["period_start"], p["period_end"])
+
+
+@query("phrase_scan")
+def q_phrase_scan(spark, sf_dir):
+    from ..operators.memos import phrase_scan
+    c = memo_candidates(_ranked(spark, sf_dir))
+    banned, leak = phrase_scan(F.col("memo_json"))
+    return c.select("position", "mutation", banned.alias("banned_phrase"), leak.alias("name_pattern"))
+
+
+@query("validate_memos")
+def q_validate(spark, sf_dir):
+    from ..operators.memos import validate_memos
+    v = validate_memos(memo_candidates(_ranked(spark, sf_dir)))
+    return v.select("position", "mutation", "is_valid", "reason")
+
+
+@query("accept_or_fallback")
+def q_accept(spark, sf_dir):
+    from ..operators.memos import memo_table
+    t = memo_table(_queue(spark, sf_dir), 20, memo_candidates(_ranked(spark, sf_dir)))
+    return t.select("position", "journal_ref", "narrative_status", "risk_summary", "disclaimer")
+
+
+@query("memo_tallies")
+def q_tallies(spark, sf_dir):
+    from ..operators.memos import memo_table, memo_tallies
+    return memo_tallies(memo_table(_queue(spark, sf_dir), 20, memo_candidates(_ranked(spark, sf_dir))))
+
+
+@query("attach_memos")
+def q_attach(spark, sf_dir):
+    from ..operators.memos import attach_memos, memo_table
+    q = _queue(spark, sf_dir)
+    a = attach_memos(q, memo_table(q, 20))
+    return a.select("journal_ref", "narrative_status", "risk_summary")
+
+
+@query("attach_memos_by_keys")
+def q_attach_keys(spark, sf_dir):
+    from ..operators.memos import attach_memos, memo_table
+    q = _queue(spark, sf_dir)
+    a = attach_memos(q, memo_table(q, 20), by="keys")
+    return a.select("journal_ref", "narrative_status", "risk_summary")
+
+
+# ---------------------------------------------------------------- 2.1 sources and sinks
+@query("read_gl_csv")
+def q_read_csv(spark, sf_dir):
+    """Round trip: the fixture ledger written as CSV (dates as text), read back by the
+    CSV source and cleaned."""
+    from ..operators.clean import clean_gl
+    from ..session import scratch_path
+    from ..sources.csv_gl import read_gl_csv
+    gl = L(spark, sf_dir).gl.drop("row_id")
+    path = scratch_path(spark, "gl-csv")
+    (gl.select(*[F.col(c).cast("string").alias(c) for c in gl.columns])
+       .write.option("header", True).option("escape", '"').csv(path))
+    c = clean_gl(read_gl_csv(spark, path))
+    return c.select("journal_ref", F.col("date").cast("date").alias("date"), r6("amount").alias("amount"),
+                    "account_code", "account_name", "vendor", "description",
+                    r6("debit_amount").alias("debit_amount"), r6("credit_amount").alias("credit_amount"),
+                    "dr_cr_pattern")
+
+
+@query("export_csv")
+def q_export(spark, sf_dir):
+    """The exported queue (16 columns + 8 memo columns) written as CSV and read back."""
+    from ..operators.memos import attach_memos, memo_table
+    from ..session import scratch_path
+    from ..sources.sinks import export_csv
+    q = _queue(spark, sf_dir)
+    path = export_csv(attach_memos(q, memo_table(q, 20)), scratch_path(spark, "export"))
+    back = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+            .csv(path))
+    return back.select("date", "account_name", "vendor", "final_tier", "active_flags",
+                       "narrative_status", "recommended_follow_up")
+
+
+@query("write_packet")
+def q_write_packet(spark, sf_dir):
+    """Three packet tables written as parquet and read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_packet
+    led = L(spark, sf_dir)
+    parts = write_packet({"review_summary": S.review_summary(led.scored_given),
+                          "tier_distribution": S.tier_distribution(led.scored_given),
+                          "integrity_counts": I.integrity_counts(_report(spark, sf_dir))},
+                         scratch_path(spark, "packet"))
+    return spark.read.parquet(parts["tier_distribution"])
+
+
+# ---------------------------------------------------------------- 2.4 model layer
+def _review(spark, sf_dir):
+    key = ("review", spark.sparkContext.applicationId, sf_dir)
+    from .ledger import _CACHE
+    if key not in _CACHE:
+        from .review import review_fixture
+        _CACHE[key] = review_fixture(spark, sf_dir)
+    return _CACHE[key]
+
+
+@query("standard_scale")
+def q_scale(spark, sf_dir):
+    from ..operators.scale import standard_scale
+    f = L(spark, sf_dir).feat
+    cols = ["amount_zscore_by_account", "is_round_number", "is_weekend_posting", "missing_description",
+            "is_new_vendor", "is_near_approval_threshold"]
+    s = standard_scale(f, cols)
+    return s.select("journal_ref", *[r6(c).alias(c) for c in cols])
+
+
+@query("iforest_fit")
+def q_if_fit(spark, sf_dir):
+    """Node table of the fitted isolation forest (bounded: trees x (2 psi - 1))."""
+    import pandas as pd
+    fr = _review(spark, sf_dir).forest
+    n = fr.nodes
+    pdf = pd.DataFrame({"node": range(len(n["feature"])), "feature": n["feature"],
+                        "threshold": n["threshold"], "value": n["value"]})
+    return spark.createDataFrame(pdf)
+
+
+@query("iforest_score")
+def q_if_score(spark, sf_dir):
+    pk = _review(spark, sf_dir)
+    return pk.scored.select("journal_ref", "anomaly_score", "anomaly_label", "raw_tier")
+
+
+@query("order_by_anomaly")
+def q_order(spark, sf_dir):
+    return _review(spark, sf_dir).scored.orderBy("anomaly_score", "row_id").select(
+        "journal_ref", "anomaly_score")
+
+
+@query("weak_label_train")
+def q_wl_train(spark, sf_dir):
+    info = _review(spark, sf_dir).similarity.info
+    return spark.createDataFrame([(info.get("status"), info.get("n_positive"), info.get("n_negative"),
+                                   ",".join(info.get("feature_cols", [])))],
+                                 "status string, n_positive long, n_negative long, feature_cols string")
+
+
+@query("feature_importance")
+def q_importance(spark, sf_dir):
+    from ..operators.similarity import feature_importance
+    return feature_importance(_review(spark, sf_dir).similarity, spark)
+
+
+@query("similarity_score")
+def q_similarity(spark, sf_dir):
+    return _review(spark, sf_dir).scored.select("journal_ref", "fraud_probability")
+
+
+@query("hybrid_pipeline")
+def q_hybrid(spark, sf_dir):
+    return _review(spark, sf_dir).scored.select(
+        "journal_ref", "anomaly_score", "anomaly_label", "raw_tier", "fraud_probability",
+        "final_tier", "flagged_status")
+
+
+@query("review_queue")
+def q_review_queue(spark, sf_dir):
+    """The flagship: the flagged queue of the full review (real model scores)."""
+    return _review(spark, sf_dir).flagged.drop("row_id")

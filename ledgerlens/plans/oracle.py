@@ -489,3 +489,229 @@ ORACLE["packet_header"] = with_(GL_DEBIT, CLEAN_DEBIT, feature_ctes(), SCORE_CTE
     + _plural("(SELECT n FROM icounts WHERE status = 'Pass')", "check") + " || ' passed · ' || "
     + _plural("(SELECT n FROM icounts WHERE status = 'Warning')", "warning") + " || ' · ' || "
     + _plural("(SELECT n FROM icounts WHERE status = 'Fail')", "failure") + " AS quality_text FROM summ s")
+
+# ---------------------------------------------------------------- memo tables
+RANK_CTES = """q AS (SELECT * FROM scored WHERE flagged_status = 'Flagged'),
+qk AS (
+  SELECT *,
+    CASE final_tier WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 WHEN 'Monitor' THEN 3 ELSE 99 END AS k0,
+    CASE WHEN coalesce(is_qualitative_override, 0) = 1 THEN 0 ELSE 1 END AS k1,
+    CASE WHEN coalesce(fraud_risk_flag, 0) = 1 THEN 0 ELSE 1 END AS k2,
+    coalesce(anomaly_score, 0.0) AS k3, -coalesce(amount, 0.0) AS k4
+  FROM q
+),
+ranked AS (
+  SELECT * EXCLUDE (rn), CAST(rn - 1 AS INTEGER) AS position FROM (
+    SELECT *, row_number() OVER (ORDER BY k0, k1, k2, k3, k4, journal_ref NULLS FIRST, date NULLS FIRST,
+                                 account_name NULLS FIRST, vendor NULLS FIRST, amount NULLS FIRST) AS rn
+    FROM qk)
+  WHERE rn <= 20
+)"""
+
+
+def _lst(items):
+    return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]::VARCHAR[]"
+
+
+def _cat(lists):
+    out = lists[0]
+    for x in lists[1:]:
+        out = f"list_concat({out}, {x})"
+    return out
+
+
+def _first_two(pairs, default):
+    picked = _cat([f"CASE WHEN contains(fl, '{p}') THEN {_lst(v)} ELSE []::VARCHAR[] END" for p, v in pairs])
+    return (f"(CASE WHEN len({picked}) = 0 THEN {_lst(default)} ELSE "
+            f"list_filter({picked}, lambda x, i: list_position({picked}, x) = i)[1:2] END)")
+
+
+def _memo_ctes():
+    from ..constants import ASSERTION_DEFAULT, ASSERTION_MAP, COSO_DEFAULT, COSO_MAP
+    from ..operators.memos import (FOLLOW_UP_BASE, FOLLOW_UP_CONDITIONAL, FOLLOW_UP_OVERRIDE)
+    conds = []
+    for pats, item in FOLLOW_UP_CONDITIONAL:
+        c = " OR ".join(f"contains(fl, '{p}')" for p in pats)
+        conds.append(f"CASE WHEN {c} THEN {_lst([item])} ELSE []::VARCHAR[] END")
+    conds.append(f"CASE WHEN coalesce(is_qualitative_override, 0) = 1 THEN {_lst([FOLLOW_UP_OVERRIDE])} "
+                 "ELSE []::VARCHAR[] END")
+    fu = _cat([_lst(FOLLOW_UP_BASE)] + conds)
+    return f"""mt AS (
+  SELECT *,
+    list_filter(list_transform(string_split(coalesce(active_flags, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS parts0,
+    lower(coalesce(active_flags, '')) AS fl,
+    CASE WHEN amount IS NULL THEN 'the transaction amount' ELSE '$' || format('{{:,.2f}}', amount) END AS amt,
+    CASE WHEN lower(trim(coalesce(materiality_annotation, ''))) LIKE '%exceeds%' THEN 'exceeds'
+         WHEN lower(trim(coalesce(materiality_annotation, ''))) LIKE '%below%' THEN 'below' ELSE 'other' END AS mkind,
+    coalesce(is_qualitative_override, 0) = 1 AS ovr
+  FROM ranked
+),
+mt2 AS (
+  SELECT *, list_transform(CASE WHEN len(parts0) = 0 THEN ['the indicators flagged on this posting']
+                                ELSE parts0 END, lambda x: lower(x)) AS lp,
+         CASE WHEN len(parts0) = 0 THEN 1 ELSE len(parts0) END AS nflags,
+         {_first_two(ASSERTION_MAP, ASSERTION_DEFAULT)} AS asr,
+         {_first_two(COSO_MAP, COSO_DEFAULT)} AS coso,
+         list_filter({fu}, lambda x, i: list_position({fu}, x) = i)[1:5] AS fu
+  FROM mt
+),
+mt3 AS (
+  SELECT *,
+    CASE WHEN len(lp) = 1 THEN lp[1] WHEN len(lp) = 2 THEN lp[1] || ' and ' || lp[2]
+         ELSE array_to_string(lp[1:len(lp) - 1], ', ') || ', and ' || lp[len(lp)] END AS flags_clause
+  FROM mt2
+),
+memo AS (
+  SELECT *,
+    'The ' || amt || ' posting shows ' || flags_clause || ', so its authorization, supporting documents and surrounding controls warrant follow-up.' AS m_risk,
+    'The pattern bears on the ' || CASE WHEN len(asr) > 1 THEN asr[1] || ' and ' || asr[2] ELSE asr[1] END
+      || ' assertion' || CASE WHEN len(asr) > 1 THEN 's' ELSE '' END
+      || '; further procedures should confirm that the transaction is valid and properly recorded.' AS m_assert,
+    CASE mkind WHEN 'exceeds' THEN 'At ' || amt || ', the amount is above the applicable materiality threshold and should not be set aside as quantitatively insignificant.'
+               WHEN 'below' THEN 'At ' || amt || ', the amount is below the relevant materiality threshold; qualitative factors may still justify follow-up.'
+               ELSE 'At ' || amt || ', the amount should be weighed against the engagement''s materiality thresholds and the qualitative factors present.' END AS m_mag,
+    CASE WHEN ovr OR nflags >= 3 THEN 'Several risk indicators occur together, which raises the need for follow-up; the analysis does not determine intent or conclude fraud.'
+         ELSE 'With ' || CAST(nflags AS VARCHAR) || ' risk indicator' || CASE WHEN nflags <> 1 THEN 's' ELSE '' END
+              || ' present, a moderate level of additional review is indicated; the analysis does not determine intent or conclude fraud.' END AS m_like,
+    'The pattern mainly concerns ' || CASE WHEN len(coso) > 1 THEN coso[1] || ' and ' || coso[2] ELSE coso[1] END
+      || '; the design and operating effectiveness of the related controls should be reviewed.' AS m_ctrl,
+    'This analysis identifies risk indicators only. It does not determine intent, fraud, or an audit conclusion.' AS m_disc,
+    CASE WHEN ovr THEN 'several indicators co-occur, which is why the concern is raised'
+         WHEN coalesce(fraud_risk_flag, 0) = 1 THEN 'more than one fraud-risk indicator is present' END AS s_co
+  FROM mt3
+)"""
+
+
+def memo_sql(select: str, extra: tuple = ()) -> str:
+    return with_(GL_DEBIT, CLEAN_DEBIT, feature_ctes(), SCORE_CTES, RANK_CTES, _memo_ctes(), *extra) + select
+
+
+ORACLE["memo_rank"] = memo_sql(
+    "SELECT position, journal_ref, final_tier, is_qualitative_override, fraud_risk_flag, "
+    "(round(anomaly_score, 6) + 0.0) AS anomaly_score, (round(amount, 6) + 0.0) AS amount FROM memo")
+ORACLE["memo_keys"] = memo_sql(
+    "SELECT position, date, account_name, vendor, (round(amount, 6) + 0.0) AS amount FROM memo")
+ORACLE["flags_clause"] = memo_sql("SELECT position, active_flags, flags_clause, amt AS amount_text FROM memo")
+ORACLE["assertions"] = memo_sql("SELECT position, active_flags, array_to_string(asr, '|') AS assertions FROM memo")
+ORACLE["coso_components"] = memo_sql(
+    "SELECT position, active_flags, array_to_string(coso, '|') AS coso_components FROM memo")
+ORACLE["follow_ups"] = memo_sql(
+    "SELECT position, active_flags, is_qualitative_override, array_to_string(fu, '; ') AS recommended_follow_up FROM memo")
+ORACLE["risk_summary"] = memo_sql(
+    "SELECT position, 'The ' || amt || ' posting shows ' || flags_clause || ', so its authorization, supporting "
+    "documents and surrounding controls warrant follow-up. ' || CASE "
+    "WHEN s_co IS NULL AND mkind = 'other' THEN 'The analysis points to risk indicators only; it does not establish intent or fraud.' "
+    "ELSE 'Note: ' || concat_ws(', ', s_co, CASE mkind "
+    "WHEN 'exceeds' THEN CASE WHEN s_co IS NOT NULL THEN 'and ' ELSE '' END || 'the amount is not quantitatively immaterial' "
+    "WHEN 'below' THEN CASE WHEN s_co IS NOT NULL THEN 'but ' ELSE '' END || 'the amount sits below the relevant materiality threshold' END) "
+    "|| '. The analysis points to risk indicators only; it does not establish intent or fraud.' END AS risk_summary FROM memo")
+ORACLE["full_memo"] = memo_sql(
+    "SELECT position, m_risk AS risk_summary, m_assert AS assertion_consideration, m_mag AS magnitude_assessment, "
+    "m_like AS likelihood_assessment, m_ctrl AS control_or_coso_consideration, "
+    "array_to_string(fu, '; ') AS recommended_follow_up, m_disc AS disclaimer FROM memo")
+
+_NL = "chr(10)"
+
+
+def _fact(label, value):
+    return f"'  - {label}: ' || coalesce(CAST({value} AS VARCHAR), 'n/a') || {_NL}"
+
+
+_BODY = (f"'Engagement' || {_NL} || '  - Entity type: Private for-profit' || {_NL} || "
+         f"'  - Period: 1996-01-01 to 2001-10-31' || {_NL} || 'Facts of the posting' || {_NL} || "
+         + _fact("Amount", "CASE WHEN amount IS NULL THEN '(amount unknown)' ELSE '$' || format('{:,.2f}', amount) END")
+         + " || " + _fact("Account", "account_name") + " || " + _fact("Vendor", "vendor")
+         + " || " + _fact("Active flags", "coalesce(active_flags, '(none)')")
+         + " || " + _fact("Review label", "pcaob_label") + " || " + _fact("Final tier", "final_tier")
+         + " || " + _fact("Materiality", "materiality_annotation")
+         + " || " + _fact("Control gap score (0-2)", "coalesce(control_gap_score, 0)")
+         + " || " + _fact("Co-occurrence indicator", "CASE WHEN coalesce(fraud_risk_flag, 0) = 1 THEN 'yes' ELSE 'no' END")
+         + " || " + _fact("Co-occurrence override", "CASE WHEN coalesce(is_qualitative_override, 0) = 1 THEN 'yes' ELSE 'no' END")
+         + " || " + _fact("Similarity score", "CASE WHEN fraud_probability IS NULL THEN 'n/a' ELSE format('{:.2f}', fraud_probability) END"
+                          " || ' (resemblance to rule-flagged rows, not a probability of fraud)'"))
+ORACLE["memo_prompts"] = memo_sql(
+    f"SELECT position, 'summary' AS kind, {_BODY} || 'Write a cautious one- or two-sentence risk summary of this posting.' AS prompt FROM memo "
+    f"UNION ALL SELECT position, 'memo' AS kind, {_BODY} || 'Return the seven-field JSON memo for this posting and nothing else.' AS prompt FROM memo")
+
+_MUT = ["good", "missing_key", "wrong_type", "too_few_items", "banned_phrase", "wrong_disclaimer", "name_leak"]
+CAND_CTE = """cand0 AS (SELECT *, """ + "[" + ", ".join(f"'{m}'" for m in _MUT) + """][position % 7 + 1] AS mutation FROM memo),
+cand AS (
+  SELECT position, mutation,
+    CASE WHEN mutation = 'banned_phrase' THEN m_risk || ' This proves fraud.' ELSE m_risk END AS f_risk,
+    m_assert AS f_assert, m_mag AS f_mag,
+    CASE WHEN mutation = 'missing_key' THEN NULL ELSE m_like END AS f_like,
+    CASE WHEN mutation = 'name_leak' THEN m_ctrl || ' The manager should explain the entry.' ELSE m_ctrl END AS f_ctrl,
+    CASE WHEN mutation = 'too_few_items' THEN fu[1:2] ELSE fu END AS f_fu,
+    CASE WHEN mutation = 'wrong_disclaimer' THEN 'This analysis is indicative only.' ELSE m_disc END AS f_disc
+  FROM cand0
+)"""
+CHECK_CTE = """chk AS (
+  SELECT position, mutation, CASE
+    WHEN f_like IS NULL THEN 'missing keys: [''likelihood_assessment'']'
+    WHEN mutation = 'wrong_type' THEN 'recommended_follow_up must be a list, got str'
+    WHEN len(f_fu) NOT BETWEEN 3 AND 5 THEN 'recommended_follow_up has ' || CAST(len(f_fu) AS VARCHAR) || ' items, expected 3-5'
+    WHEN f_disc <> 'This analysis identifies risk indicators only. It does not determine intent, fraud, or an audit conclusion.'
+      THEN 'disclaimer does not match the required verbatim string'
+    WHEN list_filter(BANNED, lambda p: contains(lower(concat_ws(chr(10), f_risk, f_assert, f_mag, f_like, f_ctrl, array_to_string(f_fu, chr(10)), f_disc)), p))[1] IS NOT NULL
+      THEN 'banned phrase detected: ''' || list_filter(BANNED, lambda p: contains(lower(concat_ws(chr(10), f_risk, f_assert, f_mag, f_like, f_ctrl, array_to_string(f_fu, chr(10)), f_disc)), p))[1] || ''''
+    WHEN list_filter(LEAKS, lambda p: contains(lower(concat_ws(chr(10), f_risk, f_assert, f_mag, f_like, f_ctrl, array_to_string(f_fu, chr(10)), f_disc)), p))[1] IS NOT NULL
+      THEN 'name-leakage pattern detected: ''' || list_filter(LEAKS, lambda p: contains(lower(concat_ws(chr(10), f_risk, f_assert, f_mag, f_like, f_ctrl, array_to_string(f_fu, chr(10)), f_disc)), p))[1] || ''''
+    END AS reason
+  FROM cand
+)"""
+
+
+def _check_cte():
+    from ..constants import BANNED_PHRASES, NAME_LEAK_PATTERNS
+    return CHECK_CTE.replace("BANNED", _lst(BANNED_PHRASES)).replace("LEAKS", _lst(NAME_LEAK_PATTERNS))
+
+
+def _scan_cte():
+    from ..constants import BANNED_PHRASES, NAME_LEAK_PATTERNS
+    txt = ("lower(concat_ws(chr(10), f_risk, f_assert, f_mag, f_like, f_ctrl, "
+           "CASE WHEN mutation = 'wrong_type' THEN array_to_string(f_fu, '; ') ELSE array_to_string(f_fu, chr(10)) END, f_disc))")
+    return (f"scan AS (SELECT position, mutation, list_filter({_lst(BANNED_PHRASES)}, lambda p: contains({txt}, p))[1] AS banned_phrase, "
+            f"list_filter({_lst(NAME_LEAK_PATTERNS)}, lambda p: contains({txt}, p))[1] AS name_pattern FROM cand)")
+
+
+ORACLE["validate_memos"] = memo_sql(
+    "SELECT position, mutation, reason IS NULL AS is_valid, coalesce(reason, '') AS reason FROM chk",
+    (CAND_CTE, _check_cte()))
+ORACLE["phrase_scan"] = memo_sql("SELECT position, mutation, banned_phrase, name_pattern FROM scan",
+                                 (CAND_CTE, _scan_cte()))
+ORACLE["accept_or_fallback"] = memo_sql(
+    "SELECT c.position, m.journal_ref, CASE WHEN c.reason IS NULL THEN 'GPT' ELSE 'Fallback' END AS narrative_status, "
+    "m.m_risk AS risk_summary, m.m_disc AS disclaimer FROM chk c JOIN memo m ON c.position = m.position",
+    (CAND_CTE, _check_cte()))
+ORACLE["memo_tallies"] = memo_sql(
+    "SELECT count(*) AS top_n_used, count(*) FILTER (WHERE reason IS NULL) AS n_gpt, "
+    "count(*) FILTER (WHERE reason IS NOT NULL) AS n_fallback FROM chk", (CAND_CTE, _check_cte()))
+ORACLE["attach_memos"] = memo_sql(
+    "SELECT q.journal_ref, CASE WHEN m.position IS NULL THEN 'Not generated' ELSE 'Fallback' END AS narrative_status, "
+    "m.m_risk AS risk_summary FROM q LEFT JOIN memo m ON q.journal_ref = m.journal_ref")
+ORACLE["attach_memos_by_keys"] = memo_sql(
+    "SELECT q.journal_ref, CASE WHEN mk.position IS NULL THEN 'Not generated' ELSE 'Fallback' END AS narrative_status, "
+    "mk.m_risk AS risk_summary FROM q LEFT JOIN (SELECT date, account_name, vendor, amount, "
+    "arg_max(m_risk, position) AS m_risk, max(position) AS position FROM memo GROUP BY ALL) mk "
+    "ON q.date IS NOT DISTINCT FROM mk.date AND q.account_name IS NOT DISTINCT FROM mk.account_name "
+    "AND q.vendor IS NOT DISTINCT FROM mk.vendor AND q.amount IS NOT DISTINCT FROM mk.amount")
+
+# ---------------------------------------------------------------- sources, sinks, scaling
+ORACLE["read_gl_csv"] = feat_sql(
+    "SELECT journal_ref, date, (round(amount, 6) + 0.0) AS amount, account_code, account_name, vendor, "
+    "CASE WHEN description = '' THEN NULL ELSE description END AS description, "
+    "(round(debit_amount, 6) + 0.0) AS debit_amount, (round(credit_amount, 6) + 0.0) AS credit_amount, "
+    "dr_cr_pattern FROM clean")
+ORACLE["export_csv"] = memo_sql(
+    "SELECT CAST(q.date AS VARCHAR) AS date, q.account_name, q.vendor, q.final_tier, q.active_flags, "
+    "CASE WHEN m.position IS NULL THEN 'Not generated' ELSE 'Fallback' END AS narrative_status, "
+    "CASE WHEN m.position IS NULL THEN NULL ELSE array_to_string(m.fu, '; ') END AS recommended_follow_up "
+    "FROM q LEFT JOIN memo m ON q.journal_ref = m.journal_ref")
+ORACLE["write_packet"] = ORACLE["tier_distribution"]
+_SC = ["amount_zscore_by_account", "is_round_number", "is_weekend_posting", "missing_description",
+       "is_new_vendor", "is_near_approval_threshold"]
+ORACLE["standard_scale"] = feat_sql(
+    "SELECT journal_ref, " + ", ".join(
+        f"(round(CASE WHEN min(coalesce({c}, 0.0)) OVER () = max(coalesce({c}, 0.0)) OVER () THEN 0.0 "
+        f"ELSE (coalesce({c}, 0.0) - avg(coalesce({c}, 0.0)) OVER ()) / stddev_pop(coalesce({c}, 0.0)) OVER () END, 6) + 0.0) AS {c}"
+        for c in _SC) + " FROM feat")

@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "12g",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

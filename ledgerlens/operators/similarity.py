@@ -33,11 +33,17 @@ def _finite(c: str) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
 
+# Above this many rows the forest trains on a class-stratified hash sample (every row is
+# still scored). Below it the forest sees every row, as the source tool's forest does.
+TRAIN_ROW_LIMIT = 10_000_000
+
+
 def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
                      feature_cols: list[str] | None = None, seed: int = 42,
                      num_trees: int = FOREST_TREES, max_depth: int = FOREST_MAX_DEPTH,
                      min_leaf: int = FOREST_MIN_LEAF, max_bins: int = 64,
-                     counts: tuple[int, int] | None = None) -> SimilarityModel:
+                     counts: tuple[int, int] | None = None,
+                     train_row_limit: int | None = TRAIN_ROW_LIMIT) -> SimilarityModel:
     feature_cols = list(feature_cols or SUPERVISED_FEATURES)
     info: dict = {"status": "trained", "feature_cols": feature_cols, "label_col": label_col}
     if label_col not in feat.columns:
@@ -65,8 +71,18 @@ def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
 
     n = n_pos + n_neg
     w_pos, w_neg = n / (2.0 * n_pos), n / (2.0 * n_neg)
-    train = feat.select(*[_finite(c).alias(c) for c in available], y.cast("double").alias("_label"),
-                        F.when(y == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)).alias("_w"))
+    src = feat
+    if train_row_limit is not None and n > train_row_limit and "row_id" in feat.columns:
+        # Bernoulli per class by a seeded hash of row identity (deterministic, no shuffle);
+        # weights are rescaled so each class keeps its balanced share of total weight.
+        half = train_row_limit / 2.0
+        p_pos, p_neg = min(1.0, half / n_pos), min(1.0, half / n_neg)
+        u = (F.abs(F.xxhash64(F.col("row_id"), F.lit(seed), F.lit("similarity"))) % 1_000_000) / 1_000_000.0
+        src = feat.filter(F.when(y == 1, u < p_pos).otherwise(u < p_neg))
+        w_pos, w_neg = w_pos / p_pos, w_neg / p_neg
+        info["train_sample"] = {"p_positive": p_pos, "p_negative": p_neg}
+    train = src.select(*[_finite(c).alias(c) for c in available], y.cast("double").alias("_label"),
+                       F.when(y == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)).alias("_w"))
     vec = VectorAssembler(inputCols=available, outputCol="_features").transform(train)
     rf = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_w", numTrees=num_trees,

@@ -25,12 +25,12 @@ def main() -> None:
     from ledgerlens.operators import summary as S
     from ledgerlens.operators.clean import clean_gl
     from ledgerlens.operators.features import engineer_features
-    from ledgerlens.operators.iforest import fit_isolation_forest, fit_offset, raw_score_column
+    from ledgerlens.operators.iforest import fit_isolation_forest, fit_offset
     from ledgerlens.operators.memos import memo_table
     from ledgerlens.operators.scoring import materiality
     from ledgerlens.operators.similarity import train_similarity
     from ledgerlens.operators.stats import compute_stats
-    from ledgerlens.plans.review import finish_scoring
+    from ledgerlens.plans.review import finish_scoring, with_raw_scores
     from ledgerlens.session import get_session, materialize
     from ledgerlens.sources.fixture import FIXTURE_PARAMS, gl_fixture
 
@@ -53,8 +53,8 @@ def main() -> None:
         engineer_features(clean, stats, period_end=p["period_end"]), "features"))
     forest = timed("iforest_fit", lambda: fit_isolation_forest(
         feat, TIER1_FEATURES, n_rows=n_rows, contamination=SENSITIVITY[p["detection_sensitivity"]]))
-    raw = raw_score_column(forest, spark)
-    timed("iforest_offset", lambda: fit_offset(feat.select(raw.alias("_if_raw")), forest, n_rows))
+    feat = timed("iforest_score_pass", lambda: with_raw_scores(feat, forest))
+    timed("iforest_offset", lambda: fit_offset(feat, forest, n_rows))
     sim = timed("similarity_fit", lambda: train_similarity(feat))
     scored = timed("scoring_pass", lambda: finish_scoring(feat, forest, sim, m))
     report = I.integrity_report(stats)

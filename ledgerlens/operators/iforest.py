@@ -12,7 +12,7 @@ fit
     feature uniformly among those not constant in the node and a threshold uniformly in
     ``[min, max)``; depth is capped at ``ceil(log2 psi)``.
   * The node table (at most ``n_trees x (2 psi - 1)`` rows, independent of data size)
-    is the model; it is shipped to executors as a broadcast.
+    is the model; it is re-laid as complete binary trees and shipped as a broadcast.
 
 score
   * An Arrow ``pandas_udf`` walks all trees for a batch of rows at once with NumPy
@@ -143,6 +143,34 @@ def training_sample(feat: DataFrame, feature_cols: list[str], n_rows: int, n_tre
             .select(F.col("tree_id").cast("int"), "_key", *feature_cols))
 
 
+def _full_layout(nodes: pd.DataFrame, n_trees: int, depth: int) -> dict:
+    """Re-lay every tree as a complete binary tree of ``depth`` levels (children of slot i
+    at 2i+1 / 2i+2). A leaf above the bottom becomes a pass-through (threshold +inf, always
+    left) down to the bottom level, which holds the path length. Scoring is then
+    ``depth`` steps of pure index arithmetic, no child-pointer lookups."""
+    inner = (1 << depth) - 1
+    feat = np.zeros((n_trees, max(inner, 1)), np.int32)
+    thr = np.full((n_trees, max(inner, 1)), np.inf)
+    bottom = np.zeros((n_trees, 1 << depth))
+    for t, tree in nodes.groupby("tree_id"):
+        tree = tree.sort_values("node_id")
+        f_, t_ = tree["feature"].to_numpy(), tree["threshold"].to_numpy()
+        l_, r_, v_ = tree["left"].to_numpy(), tree["right"].to_numpy(), tree["value"].to_numpy()
+        stack = [(0, 0, 0)]
+        while stack:
+            node, slot, d = stack.pop()
+            if f_[node] < 0:                            # leaf
+                if d == depth:
+                    bottom[t, slot - inner] = v_[node]
+                else:
+                    stack.append((node, 2 * slot + 1, d + 1))
+            else:
+                feat[t, slot], thr[t, slot] = int(f_[node]), float(t_[node])
+                stack.append((int(l_[node]), 2 * slot + 1, d + 1))
+                stack.append((int(r_[node]), 2 * slot + 2, d + 1))
+    return {"feature": feat, "threshold": thr, "bottom": bottom, "depth": depth}
+
+
 def fit_isolation_forest(feat: DataFrame, feature_cols: list[str], n_rows: int | None = None,
                          n_trees: int = 200, max_samples: int = 256, contamination: float = 0.05,
                          seed: int = 42) -> IsolationForestModel:
@@ -155,34 +183,39 @@ def fit_isolation_forest(feat: DataFrame, feature_cols: list[str], n_rows: int |
              .applyInPandas(_tree_builder(feature_cols, seed, max_depth), NODE_SCHEMA)
              .toPandas())                     # bounded: n_trees * (2 psi - 1) rows
     nodes = nodes.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
-    starts = nodes.groupby("tree_id").size().cumsum().shift(fill_value=0).to_numpy()
-    base = np.repeat(starts, nodes.groupby("tree_id").size().to_numpy())
-    flat = {
-        "feature": nodes["feature"].to_numpy(np.int32),
-        "threshold": nodes["threshold"].to_numpy(float),
-        "left": np.where(nodes["left"] >= 0, nodes["left"] + base, -1).astype(np.int64),
-        "right": np.where(nodes["right"] >= 0, nodes["right"] + base, -1).astype(np.int64),
-        "value": nodes["value"].to_numpy(float),
-    }
-    return IsolationForestModel(feature_cols, int(nodes["tree_id"].nunique()), psi, max_depth,
-                                flat, starts.astype(np.int64), contamination)
-
-
-def _path_lengths(model_arrays: dict, roots: np.ndarray, max_depth: int, X: np.ndarray) -> np.ndarray:
-    feat, thr = model_arrays["feature"], model_arrays["threshold"]
-    left, right, value = model_arrays["left"], model_arrays["right"], model_arrays["value"]
-    m = X.shape[0]
-    idx = np.broadcast_to(roots, (m, roots.size)).copy()
-    rows = np.arange(m)[:, None]
-    for _ in range(max_depth):
-        f = feat[idx]
-        inner = f >= 0
-        if not inner.any():
-            break
-        xv = X[rows, np.maximum(f, 0)]
-        nxt = np.where(xv <= thr[idx], left[idx], right[idx])
-        idx = np.where(inner, nxt, idx)
-    return value[idx].mean(axis=1)
+    # renumber tree ids densely (a tree id never drawn would leave a hole)
+    nodes["tree_id"] = nodes["tree_id"].rank(method="dense").astype(int) - 1
+    n_built = int(nodes["tree_id"].nunique())
+    flat = _full_layout(nodes, n_built, max_depth)
+    return IsolationForestModel(feature_cols, n_built, psi, max_depth, flat,
+                                np.arange(n_built, dtype=np.int64), contamination)
+
+
+def _path_lengths(model_arrays: dict, roots: np.ndarray, max_depth: int, X: np.ndarray,
+                  chunk: int = 512) -> np.ndarray:
+    """Mean path length over the trees for each row of X (complete-tree layout).
+
+    Rows go through in cache-sized chunks (chunk x trees index matrix) with flat gathers;
+    this is memory-bound work, and small chunks keep it in cache."""
+    feat, thr, bottom = model_arrays["feature"], model_arrays["threshold"], model_arrays["bottom"]
+    n_trees, width = feat.shape
+    inner = (1 << max_depth) - 1
+    ff, tt, bb = feat.ravel(), thr.ravel(), bottom.ravel()
+    base = (np.arange(n_trees, dtype=np.int64) * width)[None, :]
+    leaf_base = (np.arange(n_trees, dtype=np.int64) * bottom.shape[1] - inner)[None, :]
+    m, d = X.shape
+    out = np.empty(m)
+    for s in range(0, m, chunk):
+        xc = np.ascontiguousarray(X[s:s + chunk])
+        k = xc.shape[0]
+        xf = xc.ravel()
+        row_off = (np.arange(k, dtype=np.int64) * d)[:, None]
+        idx = np.zeros((k, n_trees), np.int64)
+        for _ in range(max_depth):
+            g = base + idx
+            idx = 2 * idx + 1 + (xf[row_off + ff[g]] > tt[g])
+        out[s:s + k] = bb[idx + leaf_base].mean(axis=1)
+    return out
 
 
 def raw_score_column(model: IsolationForestModel, spark) -> Column:

@@ -35,7 +35,7 @@ def _finite(c: str) -> Column:
 
 # Above this many rows the forest trains on a class-stratified hash sample (every row is
 # still scored). Below it the forest sees every row, as the source tool's forest does.
-TRAIN_ROW_LIMIT = 10_000_000
+TRAIN_ROW_LIMIT = 1_000_000
 
 
 def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",

@@ -60,15 +60,24 @@ def hybrid_scores(feat: DataFrame, n_rows: int, contamination: float, seed: int
     spark = feat.sparkSession
     forest = fit_isolation_forest(feat, TIER1_FEATURES, n_rows=n_rows, n_trees=n_trees,
                                   max_samples=max_samples, contamination=contamination, seed=seed)
-    fit_offset(feat.select(raw_score_column(forest, spark).alias("_if_raw")), forest, n_rows)
+    feat = with_raw_scores(feat, forest)
+    fit_offset(feat, forest, n_rows)
     sim = train_similarity(feat, seed=seed, num_trees=forest_trees, max_depth=forest_depth,
                            counts=counts)
     return model_scores(feat, forest, sim), forest, sim
 
 
+def with_raw_scores(feat: DataFrame, forest: IsolationForestModel) -> DataFrame:
+    """Features plus the forest's raw score ``_if_raw``, written once: the offset pass and
+    the final scoring pass read it instead of walking the trees twice."""
+    return materialize(feat.withColumn("_if_raw", raw_score_column(forest, feat.sparkSession)),
+                       "iforest-raw")
+
+
 def model_scores(feat: DataFrame, forest: IsolationForestModel, sim: SimilarityModel) -> DataFrame:
-    """anomaly_score (decision function), anomaly_label, raw_tier, fraud_probability."""
-    raw = raw_score_column(forest, feat.sparkSession)
+    """anomaly_score (decision function), anomaly_label, raw_tier, fraud_probability.
+    Uses the written raw score when present, else walks the trees."""
+    raw = F.col("_if_raw") if "_if_raw" in feat.columns else raw_score_column(forest, feat.sparkSession)
     scored = feat.withColumn("anomaly_score", decision_column(raw, forest))
     scored = scored.select("*", F.when(F.col("anomaly_score") < 0, F.lit(-1)).otherwise(F.lit(1))
                            .alias("anomaly_label"), raw_tier(F.col("anomaly_score")).alias("raw_tier"))
@@ -79,7 +88,7 @@ def finish_scoring(feat: DataFrame, forest: IsolationForestModel, sim: Similarit
                    mat: dict) -> DataFrame:
     """Model scores + audit rules over every row, written once (the scored table)."""
     scored = apply_scoring(model_scores(feat, forest, sim), mat["performance"], mat["transaction"])
-    return materialize(scored, "scored")
+    return materialize(scored.drop("_if_raw"), "scored")
 
 
 def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_sensitivity: str,
@@ -98,8 +107,8 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
     contamination = SENSITIVITY[detection_sensitivity]
     forest = fit_isolation_forest(feat, TIER1_FEATURES, n_rows=n_rows, n_trees=n_trees,
                                   contamination=contamination, seed=seed)             # pass 3
-    fit_offset(feat.select(raw_score_column(forest, feat.sparkSession).alias("_if_raw")),
-               forest, n_rows)                                                         # pass 4
+    feat = with_raw_scores(feat, forest)                                              # pass 4
+    fit_offset(feat, forest, n_rows)
     sim = train_similarity(feat, seed=seed, num_trees=forest_trees, max_depth=forest_depth)  # 5
     scored = finish_scoring(feat, forest, sim, m)                                      # pass 6
 

@@ -68,3 +68,18 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread an under-partitioned input over the cluster.
+
+    A ledger that arrives as a few large unsplittable units (one parquet row group, one
+    gzip CSV) would otherwise run every later pass on a handful of tasks. When the scan
+    has fewer partitions than the session's default parallelism, rows are dealt
+    round-robin (a one-off shuffle of the input); a normal large input, which already
+    has many more splits than cores, is left untouched.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

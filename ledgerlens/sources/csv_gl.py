@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import NA_WORDS, REQUIRED_COLUMNS
+from ..session import ensure_parallelism
 
 
 class MissingColumnsError(ValueError):
@@ -45,4 +46,4 @@ def read_gl_csv(spark: SparkSession, path: str, multi_line: bool = False,
         # recomputed partition re-reads the same split and gets the same ids.
         cols.append(F.xxhash64(F.col("_metadata.file_path"),
                                F.monotonically_increasing_id()).alias("row_id"))
-    return raw.select(*cols)
+    return ensure_parallelism(raw.select(*cols))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_parallelism
+
 # Analysis parameters that go with this ledger.
 FIXTURE_PARAMS = {
     "entity_type": "Private for-profit",
@@ -38,6 +40,7 @@ def gl_fixture(spark: SparkSession, sf_dir: str, with_debit: bool = True,
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
         F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("row_id"))
+    li = ensure_parallelism(li)
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     sup = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     j = (li.join(part, li.l_partkey == part.p_partkey)

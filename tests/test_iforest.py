@@ -51,14 +51,17 @@ def test_same_seed_same_scores_after_repartition(spark):
 
 
 def test_literal_forest_scoring():
-    # 1 tree: root splits x0 <= 0.5; left leaf depth 1 size 2, right leaf depth 1 size 1
-    nodes = {"feature": np.array([0, -1, -1], np.int32), "threshold": np.array([0.5, 0, 0]),
-             "left": np.array([1, -1, -1]), "right": np.array([2, -1, -1]),
-             "value": np.array([0.0, 1 + 1.0, 1 + 0.0])}
-    X = np.array([[0.0], [1.0]])
-    eh = _path_lengths(nodes, np.array([0]), 1, X)
-    assert list(eh) == [2.0, 1.0]
-    m = IsolationForestModel(["x0"], 1, 3, 2, nodes, np.array([0]), 0.1)
+    import pandas as pd
+    from ledgerlens.operators.iforest import _full_layout
+    # 1 tree: root splits x0 <= 0.5; left leaf (2 points), right leaf (1 point), depth cap 2
+    nodes = pd.DataFrame({"tree_id": [0, 0, 0], "node_id": [0, 1, 2], "feature": [0, -1, -1],
+                          "threshold": [0.5, 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1],
+                          "n_node": [3, 2, 1], "value": [0.0, 1 + 1.0, 1 + 0.0]})
+    lay = _full_layout(nodes, 1, 2)
+    X = np.array([[0.0], [1.0], [0.5]])
+    eh = _path_lengths(lay, np.array([0]), 2, X)
+    assert list(eh) == [2.0, 1.0, 2.0]
+    m = IsolationForestModel(["x0"], 1, 3, 2, lay, np.array([0]), 0.1)
     s = -np.power(2.0, -eh / m.c_psi)
     assert s[1] < s[0]                             # the isolated point is more anomalous
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 EULER_GAMMA = 0.5772156649015329
-EXACT_PERCENTILE_MAX_ROWS = 5_000_000
+EXACT_PERCENTILE_MAX_ROWS = 1_000_000
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, left int, right int, "
                "n_node int, value double")
 
@@ -109,6 +109,7 @@ class IsolationForestModel:
     roots: np.ndarray      # global index of each tree's root
     contamination: float
     offset: float | None = None
+    node_table: pd.DataFrame | None = None   # the grown trees, for reporting
 
     @property
     def c_psi(self) -> float:
@@ -188,7 +189,8 @@ def fit_isolation_forest(feat: DataFrame, feature_cols: list[str], n_rows: int |
     n_built = int(nodes["tree_id"].nunique())
     flat = _full_layout(nodes, n_built, max_depth)
     return IsolationForestModel(feature_cols, n_built, psi, max_depth, flat,
-                                np.arange(n_built, dtype=np.int64), contamination)
+                                np.arange(n_built, dtype=np.int64), contamination,
+                                node_table=nodes)
 
 
 def _path_lengths(model_arrays: dict, roots: np.ndarray, max_depth: int, X: np.ndarray,

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..operators import integrity as I
 from ..operators import summary as S
 from ..operators.scoring import materiality
-from ..operators.stats import BROADCAST_ROW_LIMIT
 from ..sources.fixture import FIXTURE_PARAMS
 from ..sources.sinks import nonfinite_to_null
 from .ledger import FixtureLedger, r6
@@ -590,13 +589,9 @@ def q_scale(spark, sf_dir):
 
 @query("iforest_fit")
 def q_if_fit(spark, sf_dir):
-    """Node table of the fitted isolation forest (bounded: trees x (2 psi - 1))."""
-    import pandas as pd
+    """Node table of the fitted isolation forest (bounded: trees x (2 psi - 1) rows)."""
     fr = _review(spark, sf_dir).forest
-    n = fr.nodes
-    pdf = pd.DataFrame({"node": range(len(n["feature"])), "feature": n["feature"],
-                        "threshold": n["threshold"], "value": n["value"]})
-    return spark.createDataFrame(pdf)
+    return spark.createDataFrame(fr.node_table)
 
 
 @query("iforest_score")
@@ -641,3 +636,44 @@ def q_hybrid(spark, sf_dir):
 def q_review_queue(spark, sf_dir):
     """The flagship: the flagged queue of the full review (real model scores)."""
     return _review(spark, sf_dir).flagged.drop("row_id")
+
+
+# A fixed three-tree forest over the tier-1 features, used to check the scoring
+# mechanics (complete-tree layout, Arrow UDF, path-length average) against SQL.
+LITERAL_FOREST = [
+    # (tree_id, node_id, feature, threshold, left, right, n_node, value)
+    (0, 0, 0, 1.0, 1, 2, 256, 0.0), (0, 1, 1, 0.5, 3, 4, 250, 0.0), (0, 2, -1, 0.0, -1, -1, 6, 0.0),
+    (0, 3, -1, 0.0, -1, -1, 240, 0.0), (0, 4, -1, 0.0, -1, -1, 10, 0.0),
+    (1, 0, 2, 0.5, 1, 2, 256, 0.0), (1, 1, 5, 0.5, 3, 4, 180, 0.0), (1, 2, -1, 0.0, -1, -1, 76, 0.0),
+    (1, 3, -1, 0.0, -1, -1, 178, 0.0), (1, 4, -1, 0.0, -1, -1, 2, 0.0),
+    (2, 0, 4, 0.5, 1, 2, 256, 0.0), (2, 1, 0, -0.5, 3, 4, 255, 0.0), (2, 2, -1, 0.0, -1, -1, 1, 0.0),
+    (2, 3, -1, 0.0, -1, -1, 100, 0.0), (2, 4, -1, 0.0, -1, -1, 155, 0.0),
+]
+
+
+def literal_forest():
+    import numpy as np
+    import pandas as pd
+
+    from ..constants import TIER1_FEATURES
+    from ..operators.iforest import IsolationForestModel, _full_layout, c_factor
+    cols = ["tree_id", "node_id", "feature", "threshold", "left", "right", "n_node", "value"]
+    nodes = pd.DataFrame(LITERAL_FOREST, columns=cols)
+    depth_of = {}
+    for t, n, f, th, lft, rgt, *_ in LITERAL_FOREST:
+        depth_of.setdefault((t, 0), 0)
+        if f >= 0:
+            depth_of[(t, lft)] = depth_of[(t, n)] + 1
+            depth_of[(t, rgt)] = depth_of[(t, n)] + 1
+    nodes["value"] = [depth_of[(t, n)] + float(c_factor([k])[0]) if f < 0 else 0.0
+                      for t, n, f, k in zip(nodes.tree_id, nodes.node_id, nodes.feature, nodes.n_node)]
+    lay = _full_layout(nodes, 3, 2)
+    return IsolationForestModel(list(TIER1_FEATURES), 3, 256, 2, lay, np.arange(3), 0.05)
+
+
+@query("iforest_score_literal")
+def q_if_literal(spark, sf_dir):
+    from ..operators.iforest import raw_score_column
+    f = L(spark, sf_dir).feat
+    m = literal_forest()
+    return f.select("journal_ref", r6(raw_score_column(m, spark)).alias("raw_score"))

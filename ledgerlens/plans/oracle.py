@@ -715,3 +715,34 @@ ORACLE["standard_scale"] = feat_sql(
         f"(round(CASE WHEN min(coalesce({c}, 0.0)) OVER () = max(coalesce({c}, 0.0)) OVER () THEN 0.0 "
         f"ELSE (coalesce({c}, 0.0) - avg(coalesce({c}, 0.0)) OVER ()) / stddev_pop(coalesce({c}, 0.0)) OVER () END, 6) + 0.0) AS {c}"
         for c in _SC) + " FROM feat")
+
+
+def _literal_forest_sql() -> str:
+    """Path lengths of the fixed three-tree forest as CASE expressions."""
+    import math
+    from ..constants import TIER1_FEATURES
+    from .catalog import LITERAL_FOREST
+
+    def c(n):
+        if n <= 1:
+            return 0.0
+        if n == 2:
+            return 1.0
+        return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+    feats = [f"coalesce(CAST({x} AS DOUBLE), 0.0)" for x in TIER1_FEATURES]
+    trees = {}
+    for t, n, f, th, lft, rgt, k, _ in LITERAL_FOREST:
+        trees.setdefault(t, {})[n] = (f, th, lft, rgt, k)
+
+    def expr(t, n, d):
+        f, th, lft, rgt, k = trees[t][n]
+        if f < 0:
+            return repr(d + c(k))
+        return f"(CASE WHEN {feats[f]} <= {th!r} THEN {expr(t, lft, d + 1)} ELSE {expr(t, rgt, d + 1)} END)"
+    mean = " + ".join(expr(t, 0, 0) for t in sorted(trees))
+    return f"-power(2.0, -(({mean}) / {len(trees)}.0) / {c(256)!r})"
+
+
+ORACLE["iforest_score_literal"] = feat_sql(
+    f"SELECT journal_ref, (round({_literal_forest_sql()}, 6) + 0.0) AS raw_score FROM feat")

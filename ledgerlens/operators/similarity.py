@@ -88,7 +88,7 @@ def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
         featuresCol="_features", labelCol="_label", weightCol="_w", numTrees=num_trees,
         maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed,
         featureSubsetStrategy=str(max(1, int(len(available) ** 0.5))), bootstrap=True,
-        subsamplingRate=1.0, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
+        subsamplingRate=1.0, maxMemoryInMB=256, cacheNodeIds=True, checkpointInterval=10)
     model = rf.fit(vec)
     info["feature_importance"] = {f: float(v) for f, v in zip(available, model.featureImportances.toArray())}
     return SimilarityModel(model, available, info)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DISBURSEMENT_CODE_PATTERN, UNKNOWN_VENDOR
+from ..session import ensure_checkpoint_dir
 from .clean import money
 
 # Dimensions with at most this many rows are broadcast; larger ones are shuffled.
@@ -121,6 +122,7 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None,
         oob.alias("n_out_of_period"),
     )
     if materialize:
+        ensure_checkpoint_dir(clean.sparkSession)
         agg = agg.checkpoint(eager=True)
 
     def part(name: str) -> DataFrame:

@@ -677,3 +677,18 @@ def q_if_literal(spark, sf_dir):
     f = L(spark, sf_dir).feat
     m = literal_forest()
     return f.select("journal_ref", r6(raw_score_column(m, spark)).alias("raw_score"))
+
+
+@query("read_gl_parquet")
+def q_read_parquet(spark, sf_dir):
+    """Round trip: the fixture ledger written as parquet, read back by the parquet source
+    (row identity from the file position) and cleaned."""
+    from ..operators.clean import clean_gl
+    from ..session import scratch_path
+    from ..sources.csv_gl import read_gl_parquet
+    path = scratch_path(spark, "gl-parquet")
+    L(spark, sf_dir).gl.drop("row_id").write.parquet(path)
+    c = clean_gl(read_gl_parquet(spark, path))
+    return c.select("journal_ref", "date", r6("amount").alias("amount"), "account_code", "account_name",
+                    "vendor", "description", r6("debit_amount").alias("debit_amount"),
+                    r6("credit_amount").alias("credit_amount"), "dr_cr_pattern")

@@ -746,3 +746,8 @@ def _literal_forest_sql() -> str:
 
 ORACLE["iforest_score_literal"] = feat_sql(
     f"SELECT journal_ref, (round({_literal_forest_sql()}, 6) + 0.0) AS raw_score FROM feat")
+
+ORACLE["read_gl_parquet"] = feat_sql(
+    "SELECT journal_ref, date, (round(amount, 6) + 0.0) AS amount, account_code, account_name, vendor, "
+    "description, (round(debit_amount, 6) + 0.0) AS debit_amount, (round(credit_amount, 6) + 0.0) AS credit_amount, "
+    "dr_cr_pattern FROM clean")

@@ -47,3 +47,17 @@ def read_gl_csv(spark: SparkSession, path: str, multi_line: bool = False,
         cols.append(F.xxhash64(F.col("_metadata.file_path"),
                                F.monotonically_increasing_id()).alias("row_id"))
     return ensure_parallelism(raw.select(*cols))
+
+
+def read_gl_parquet(spark: SparkSession, path: str, with_row_id: bool = True) -> DataFrame:
+    """Read a typed parquet ledger; same contract check, row identity from the file
+    position (``_metadata.file_path``, ``_metadata.row_index``), stable under any
+    repartitioning."""
+    raw = spark.read.parquet(path)
+    ok, missing = validate_required_columns(raw)
+    if not ok:
+        raise MissingColumnsError(missing)
+    cols = [F.col(f"`{c}`") for c in raw.columns]
+    if with_row_id:
+        cols.append(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("row_id"))
+    return ensure_parallelism(raw.select(*cols))

@@ -89,6 +89,28 @@ OVERRIDE_NOTE = ("Escalated to {escalated}: {count} fraud indicators co-occur "
 ESCALATION_NOTE = ("Escalated to {escalated}: risk-pattern similarity={score} >= {threshold}. "
                    "Pattern resembles rule-flagged transactions in continuous features.")
 
+# Integrity finding summaries.
+HASH_TOTAL_SUMMARY = "Σ|amount| = {sum_abs}; Σ(debit+credit) = {sum_dc}; diff = {diff}."
+CROSS_FOOTING_SUMMARY = "ΣDebit = {sum_d}; ΣCredit = {sum_c}; diff = {diff} ({pct}%)."
+DATE_PERIOD_SUMMARY = "{n_oob} of {n_total} rows fall outside [{start} .. {end}]"
+DATE_PERIOD_NULLS = "; {n_null} rows have an unparseable date"
+MAPPING_CODES = "{n} account_code(s) map to multiple names (e.g. {examples})"
+MAPPING_NAMES = "{n} account_name(s) map to multiple codes (e.g. {examples})"
+MAPPING_OK = "Account code ↔ name mapping is consistent."
+SKIP_HASH = "Hash-total check skipped (no debit_amount / credit_amount columns)."
+SKIP_CROSS = "Cross-footing check skipped (no debit_amount / credit_amount columns)."
+SKIP_PERIOD = "Period bounds not provided — check skipped."
+SKIP_MAPPING = "Account mapping check skipped (columns missing)."
+
+# Review-packet texts.
+ACTION_BOTH = "Review the {high} first, then the {medium}."
+ACTION_ONE = "Review the {items}."
+ACTION_NONE = "No High or Medium priority items — the review queue is clear."
+HIGH_ITEMS, MEDIUM_ITEMS = "High-priority item", "Medium-priority item"
+POPULATION_TEXT = "{n} GL transactions"
+QUEUE_TEXT = "{n} flagged for follow-up"
+QUALITY_TEXT = "{passed} passed · {warnings} · {failures}"
+
 # Summary rating cut-offs on the flagged percentage.
 RATING_ELEVATED_ABOVE = 5
 RATING_MODERATE_ABOVE = 2

@@ -12,17 +12,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CHECK_NAMES, INTEGRITY_TOLERANCE, STATUSES
+from ..constants import (CHECK_NAMES, CROSS_FOOTING_SUMMARY, DATE_PERIOD_NULLS,
+                         DATE_PERIOD_SUMMARY, HASH_TOTAL_SUMMARY, INTEGRITY_TOLERANCE,
+                         MAPPING_CODES, MAPPING_NAMES, MAPPING_OK, SKIP_CROSS, SKIP_HASH,
+                         SKIP_PERIOD, STATUSES)
+from ..functions.text import fill
 from ..functions.tiers import money_text, two_decimals
 from .stats import LedgerStats
 
-# FIXED VALUES: finding texts.
-SKIP_HASH = "Hash-total check skipped (no debit_amount / credit_amount columns)."
-SKIP_CROSS = "Cross-footing check skipped (no debit_amount / credit_amount columns)."
-SKIP_PERIOD = "Period bounds not provided — check skipped."
-SKIP_MAPPING = "Account mapping check skipped (columns missing)."
-MAPPING_OK = "Account code ↔ name mapping is consistent."
-
 def _d(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast("decimal(38,4)"))
 
@@ -46,8 +43,8 @@ def hash_total(stats: LedgerStats, tol: float = INTEGRITY_TOLERANCE) -> DataFram
         return _finding(g, 1, F.lit("Pass"), F.lit(SKIP_HASH), _empty_detail())
     sum_abs, sum_dc = _d("sum_abs"), _d("sum_debit") + _d("sum_credit")
     diff = F.abs(sum_abs - sum_dc)
-    summary = F.concat(F.lit("Σ|amount| = "), money_text(sum_abs), F.lit("; Σ(debit+credit) = "),
-                       money_text(sum_dc), F.lit("; diff = "), money_text(diff), F.lit("."))
+    summary = fill(HASH_TOTAL_SUMMARY, sum_abs=money_text(sum_abs), sum_dc=money_text(sum_dc),
+                   diff=money_text(diff))
     detail = F.create_map(F.lit("sum_abs"), _as_double(sum_abs).cast("string"),
                           F.lit("sum_dc"), _as_double(sum_dc).cast("string"),
                           F.lit("diff"), _as_double(diff).cast("string"))
@@ -61,9 +58,8 @@ def cross_footing(stats: LedgerStats, tol: float = INTEGRITY_TOLERANCE) -> DataF
     sd, sc = _d("sum_debit"), _d("sum_credit")
     diff = F.abs(sd - sc)
     pct = diff.cast("double") / F.greatest(sd.cast("double"), F.lit(1.0)) * 100.0
-    summary = F.concat(F.lit("ΣDebit = "), money_text(sd), F.lit("; ΣCredit = "), money_text(sc),
-                       F.lit("; diff = "), money_text(diff), F.lit(" ("), two_decimals(pct),
-                       F.lit("%)."))
+    summary = fill(CROSS_FOOTING_SUMMARY, sum_d=money_text(sd), sum_c=money_text(sc),
+                   diff=money_text(diff), pct=two_decimals(pct))
     detail = F.create_map(F.lit("sum_d"), _as_double(sd).cast("string"),
                           F.lit("sum_c"), _as_double(sc).cast("string"),
                           F.lit("diff"), _as_double(diff).cast("string"),
@@ -79,11 +75,10 @@ def date_in_period(stats: LedgerStats) -> DataFrame:
     ps, pe = dt.date.fromisoformat(ps).isoformat(), dt.date.fromisoformat(pe).isoformat()
     n_total, n_oob = F.col("n_dates"), F.coalesce(F.col("n_out_of_period"), F.lit(0))
     n_null = F.col("n_rows") - F.col("n_dates")
-    summary = F.concat(n_oob.cast("string"), F.lit(" of "), n_total.cast("string"),
-                       F.lit(f" rows fall outside [{ps} .. {pe}]"),
-                       F.when(n_null > 0, F.concat(F.lit("; "), n_null.cast("string"),
-                                                   F.lit(" rows have an unparseable date")))
-                        .otherwise(F.lit("")), F.lit("."))
+    summary = F.concat(fill(DATE_PERIOD_SUMMARY, n_oob=n_oob, n_total=n_total, start=F.lit(ps),
+                            end=F.lit(pe)),
+                       F.when(n_null > 0, fill(DATE_PERIOD_NULLS, n_null=n_null)).otherwise(F.lit("")),
+                       F.lit("."))
     status = F.when((n_oob == 0) & (n_null == 0), "Pass").otherwise("Warning")
     detail = F.create_map(F.lit("n_total"), n_total.cast("string"),
                           F.lit("n_out_of_bounds"), n_oob.cast("string"),
@@ -127,13 +122,9 @@ def account_mapping(stats: LedgerStats) -> DataFrame:
     row = rows.agg(n_of("code"), n_of("name"), keys_of("code"), keys_of("name"))
     parts = F.array_compact(F.array(
         F.when(F.col("n_bad_codes") > 0,
-               F.concat(F.col("n_bad_codes").cast("string"),
-                        F.lit(" account_code(s) map to multiple names (e.g. "),
-                        _py_list(F.col("codes3")), F.lit(")"))),
+               fill(MAPPING_CODES, n=F.col("n_bad_codes"), examples=_py_list(F.col("codes3")))),
         F.when(F.col("n_bad_names") > 0,
-               F.concat(F.col("n_bad_names").cast("string"),
-                        F.lit(" account_name(s) map to multiple codes (e.g. "),
-                        _py_list(F.col("names3")), F.lit(")")))))
+               fill(MAPPING_NAMES, n=F.col("n_bad_names"), examples=_py_list(F.col("names3"))))))
     ok = (F.col("n_bad_codes") == 0) & (F.col("n_bad_names") == 0)
     summary = F.when(ok, F.lit(MAPPING_OK)).otherwise(F.concat(F.array_join(parts, "; "), F.lit(".")))
     detail = F.create_map(F.lit("n_bad_codes"), F.col("n_bad_codes").cast("string"),

@@ -10,7 +10,9 @@ from ..constants import (ANNOTATION_BELOW_PERF, ANNOTATION_BELOW_TXN, ANNOTATION
                          ENTITY_TYPES, FLAG_SEPARATOR, FLAG_TEXTS, FLAGGED_TIERS, FS_PCT_OTHER,
                          FS_PCT_PUBLIC, NO_FLAGS_TEXT, PERFORMANCE_SHARE, SIMILARITY_THRESHOLD,
                          TRANSACTION_SHARE, UNUSUAL_AMOUNT_TEXT, UNUSUAL_Z)
-from ..constants import LABEL_MONITOR, REVIEW_LABELS, TIER_ORDER
+from ..constants import (ESCALATION_NOTE, LABEL_MONITOR, OVERRIDE_NOTE, REVIEW_LABELS,
+                         TIER_ORDER)
+from ..functions.text import fill
 from ..functions.tiers import (downgrade_tier, review_label, tier_at, tier_rank, two_decimals)
 
 
@@ -57,16 +59,12 @@ def flagged_status(tier: Column) -> Column:
 
 
 def _override_note(escalated: Column, count: Column, raw: Column, current: Column) -> Column:
-    return F.concat(F.lit("Escalated to "), escalated, F.lit(": "), count.cast("string"),
-                    F.lit(" fraud indicators co-occur (qualitative materiality, PCAOB AS 2401). "
-                          "Raw ML tier "), raw, F.lit("; materiality alone would assign "),
-                    current, F.lit("."))
+    return fill(OVERRIDE_NOTE, escalated=escalated, count=count, raw=raw, current=current)
 
 
 def _escalation_note(escalated: Column, score: Column, threshold: float) -> Column:
-    return F.concat(F.lit("Escalated to "), escalated, F.lit(": risk-pattern similarity="),
-                    two_decimals(score), F.lit(f" >= {threshold:.2f}. Pattern resembles "
-                                               "rule-flagged transactions in continuous features."))
+    return fill(ESCALATION_NOTE, escalated=escalated, score=two_decimals(score),
+                threshold=F.lit(f"{threshold:.2f}"))
 
 
 def apply_scoring(df: DataFrame, performance_materiality: float, transaction_materiality: float,

@@ -11,8 +11,11 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (FLAG_TEXTS, LABEL_ORDER, NO_FLAGS_TEXT, RATING_ELEVATED_ABOVE,
-                         RATING_MODERATE_ABOVE, TOP_ACCOUNTS_N, TOP_DRIVERS_N, UNUSUAL_AMOUNT_TEXT)
+from ..constants import (ACTION_BOTH, ACTION_NONE, ACTION_ONE, FLAG_TEXTS, HIGH_ITEMS, LABEL_ORDER,
+                         MEDIUM_ITEMS, NO_FLAGS_TEXT, POPULATION_TEXT, QUALITY_TEXT, QUEUE_TEXT,
+                         RATING_ELEVATED_ABOVE, RATING_MODERATE_ABOVE, TOP_ACCOUNTS_N,
+                         TOP_DRIVERS_N, UNUSUAL_AMOUNT_TEXT)
+from ..functions.text import fill
 from .clean import money
 
 QUEUE_COLUMNS = ["row_id", "journal_ref", "date", "account_name", "vendor", "amount",
@@ -140,12 +143,11 @@ def suggested_action(queue: DataFrame) -> DataFrame:
     a = queue.agg(F.count_if(F.col("final_tier") == "High").alias("n_high"),
                   F.count_if(F.col("final_tier") == "Medium").alias("n_medium"))
     h, m = F.col("n_high"), F.col("n_medium")
-    hi = _plural(h, "High-priority item")
-    me = _plural(m, "Medium-priority item")
-    text = (F.when((h > 0) & (m > 0), F.concat(F.lit("Review the "), hi, F.lit(" first, then the "), me, F.lit(".")))
-             .when(h > 0, F.concat(F.lit("Review the "), hi, F.lit(".")))
-             .when(m > 0, F.concat(F.lit("Review the "), me, F.lit(".")))
-             .otherwise(F.lit("No High or Medium priority items — the review queue is clear.")))
+    hi, me = _plural(h, HIGH_ITEMS), _plural(m, MEDIUM_ITEMS)
+    text = (F.when((h > 0) & (m > 0), fill(ACTION_BOTH, high=hi, medium=me))
+             .when(h > 0, fill(ACTION_ONE, items=hi))
+             .when(m > 0, fill(ACTION_ONE, items=me))
+             .otherwise(F.lit(ACTION_NONE)))
     return a.select("n_high", "n_medium", text.alias("suggested_action"))
 
 
@@ -171,7 +173,7 @@ def packet_header(summary: DataFrame, counts: DataFrame, period_start: str, peri
         F.lit(period_start).alias("period_start"), F.lit(period_end).alias("period_end"),
         F.lit(f"{_us_date(period_start)} – {_us_date(period_end)}").alias("review_period"),
         "population", "queue_size", p, w, f,
-        F.concat(F.format_number(F.col("population"), 0), F.lit(" GL transactions")).alias("population_text"),
-        F.concat(F.format_number(F.col("queue_size"), 0), F.lit(" flagged for follow-up")).alias("queue_text"),
-        F.concat(_plural(p, "check"), F.lit(" passed · "), _plural(w, "warning"), F.lit(" · "),
-                 _plural(f, "failure")).alias("quality_text"))
+        fill(POPULATION_TEXT, n=F.format_number(F.col("population"), 0)).alias("population_text"),
+        fill(QUEUE_TEXT, n=F.format_number(F.col("queue_size"), 0)).alias("queue_text"),
+        fill(QUALITY_TEXT, passed=_plural(p, "check"), warnings=_plural(w, "warning"),
+             failures=_plural(f, "failure")).alias("quality_text"))

@@ -6,7 +6,12 @@ Spark code, so the two implementations check each other.
 """
 from __future__ import annotations
 
-from ..constants import (LABEL_HIGH, LABEL_MEDIUM, LABEL_MONITOR, NO_FLAGS_TEXT)
+from ..constants import (ACTION_BOTH, ACTION_NONE, ACTION_ONE, CROSS_FOOTING_SUMMARY,
+                         DATE_PERIOD_NULLS, DATE_PERIOD_SUMMARY, ESCALATION_NOTE,
+                         HASH_TOTAL_SUMMARY, HIGH_ITEMS, LABEL_HIGH, LABEL_MEDIUM, LABEL_MONITOR,
+                         MAPPING_CODES, MAPPING_NAMES, MAPPING_OK, MEDIUM_ITEMS, NO_FLAGS_TEXT,
+                         OVERRIDE_NOTE, POPULATION_TEXT, QUALITY_TEXT, QUEUE_TEXT, SKIP_HASH)
+from ..functions.text import fill_sql
 
 TIERS = ["Monitor", "Low", "Medium", "High"]
 
@@ -182,9 +187,8 @@ sc4 AS (
   SELECT *,
     CASE WHEN ov THEN up_raw ELSE t_mat END AS t_ov,
     CASE WHEN ov THEN 1 ELSE 0 END AS is_qualitative_override,
-    CASE WHEN ov THEN 'Escalated to ' || up_raw || ': ' || CAST(fraud_flag_count AS VARCHAR)
-         || ' fraud indicators co-occur (qualitative materiality, PCAOB AS 2401). Raw ML tier '
-         || raw_tier || '; materiality alone would assign ' || t_mat || '.' ELSE '' END
+    CASE WHEN ov THEN {fill_sql(OVERRIDE_NOTE, escalated="up_raw", count="fraud_flag_count",
+                                 raw="raw_tier", current="t_mat")} ELSE '' END
       AS qualitative_override_note
   FROM sc3
 ),
@@ -198,9 +202,8 @@ scored AS (
   SELECT *,
     CASE WHEN es THEN up_cur ELSE t_ov END AS final_tier,
     CASE WHEN es THEN 1 ELSE 0 END AS is_supervised_escalation,
-    CASE WHEN es THEN 'Escalated to ' || up_cur || ': risk-pattern similarity='
-         || format('{{:.2f}}', coalesce(fraud_probability, 0.0))
-         || ' >= 0.50. Pattern resembles rule-flagged transactions in continuous features.'
+    CASE WHEN es THEN {fill_sql(ESCALATION_NOTE, escalated="up_cur", threshold="'0.50'",
+                                 score="format('{:.2f}', coalesce(fraud_probability, 0.0))")}
          ELSE '' END AS supervised_escalation_note,
     CASE WHEN (CASE WHEN es THEN up_cur ELSE t_ov END) = 'High' THEN '{LABEL_HIGH}'
          WHEN (CASE WHEN es THEN up_cur ELSE t_ov END) = 'Medium' THEN '{LABEL_MEDIUM}'
@@ -361,21 +364,20 @@ GLOBAL_CTE = """g AS (
 
 HASH_SQL = ("SELECT 1 AS check_order, 'Hash total' AS name, "
             "CASE WHEN abs(sum_abs - (sum_d + sum_c)) <= 0.01 THEN 'Pass' ELSE 'Warning' END AS status, "
-            "'Σ|amount| = ' || " + money_fmt("sum_abs") + " || '; Σ(debit+credit) = ' || " +
-            money_fmt("sum_d + sum_c") + " || '; diff = ' || " + money_fmt("abs(sum_abs - (sum_d + sum_c))") +
-            " || '.' AS summary FROM g")
+            + fill_sql(HASH_TOTAL_SUMMARY, sum_abs=money_fmt("sum_abs"), sum_dc=money_fmt("sum_d + sum_c"),
+                       diff=money_fmt("abs(sum_abs - (sum_d + sum_c))")) + " AS summary FROM g")
 CROSS_SQL = ("SELECT 2 AS check_order, 'Cross-footing' AS name, "
              "CASE WHEN abs(sum_d - sum_c) <= 0.01 THEN 'Pass' ELSE 'Warning' END AS status, "
-             "'ΣDebit = ' || " + money_fmt("sum_d") + " || '; ΣCredit = ' || " + money_fmt("sum_c") +
-             " || '; diff = ' || " + money_fmt("abs(sum_d - sum_c)") +
-             " || ' (' || format('{:.2f}', CAST(abs(sum_d - sum_c) AS DOUBLE) / greatest(CAST(sum_d AS DOUBLE), 1.0) * 100.0)"
-             " || '%).' AS summary FROM g")
+             + fill_sql(CROSS_FOOTING_SUMMARY, sum_d=money_fmt("sum_d"), sum_c=money_fmt("sum_c"),
+                        diff=money_fmt("abs(sum_d - sum_c)"),
+                        pct="format('{:.2f}', CAST(abs(sum_d - sum_c) AS DOUBLE) / "
+                            "greatest(CAST(sum_d AS DOUBLE), 1.0) * 100.0)") + " AS summary FROM g")
 PERIOD_SQL = ("SELECT 3 AS check_order, 'Date in period' AS name, "
               "CASE WHEN n_oob = 0 AND n_rows - n_dates = 0 THEN 'Pass' ELSE 'Warning' END AS status, "
-              "CAST(n_oob AS VARCHAR) || ' of ' || CAST(n_dates AS VARCHAR) || "
-              "' rows fall outside [1996-01-01 .. 2001-10-31]' || "
-              "CASE WHEN n_rows - n_dates > 0 THEN '; ' || CAST(n_rows - n_dates AS VARCHAR) || "
-              "' rows have an unparseable date' ELSE '' END || '.' AS summary FROM g")
+              + fill_sql(DATE_PERIOD_SUMMARY, n_oob="n_oob", n_total="n_dates", start="'1996-01-01'",
+                         end="'2001-10-31'")
+              + " || CASE WHEN n_rows - n_dates > 0 THEN "
+              + fill_sql(DATE_PERIOD_NULLS, n_null="n_rows - n_dates") + " ELSE '' END || '.' AS summary FROM g")
 MAP_CTES = """pairs AS (
   SELECT DISTINCT account_code, account_name FROM clean
   WHERE account_code IS NOT NULL AND account_name IS NOT NULL
@@ -389,12 +391,14 @@ mapping AS (
          (SELECT string_agg(account_name, ''', ''' ORDER BY account_name)
             FROM (SELECT account_name FROM bad_names ORDER BY account_name LIMIT 3)) AS n3
 )"""
+_EX_C = "'[''' || c3 || ''']'"
+_EX_N = "'[''' || n3 || ''']'"
 MAP_SQL = ("SELECT 4 AS check_order, 'Account mapping' AS name, "
            "CASE WHEN nc = 0 AND nn = 0 THEN 'Pass' ELSE 'Warning' END AS status, "
-           "CASE WHEN nc = 0 AND nn = 0 THEN 'Account code ↔ name mapping is consistent.' ELSE "
-           "concat_ws('; ', CASE WHEN nc > 0 THEN CAST(nc AS VARCHAR) || ' account_code(s) map to multiple names (e.g. [''' || c3 || '''])' END, "
-           "CASE WHEN nn > 0 THEN CAST(nn AS VARCHAR) || ' account_name(s) map to multiple codes (e.g. [''' || n3 || '''])' END) || '.' END AS summary "
-           "FROM mapping")
+           f"CASE WHEN nc = 0 AND nn = 0 THEN '{MAPPING_OK}' ELSE "
+           "concat_ws('; ', CASE WHEN nc > 0 THEN " + fill_sql(MAPPING_CODES, n="nc", examples=_EX_C) + " END, "
+           "CASE WHEN nn > 0 THEN " + fill_sql(MAPPING_NAMES, n="nn", examples=_EX_N)
+           + " END) || '.' END AS summary FROM mapping")
 REPORT_CTE = ("report AS (\n" + HASH_SQL + "\nUNION ALL " + CROSS_SQL + "\nUNION ALL " + PERIOD_SQL +
               "\nUNION ALL " + MAP_SQL + "\n)")
 
@@ -406,7 +410,7 @@ def integrity_sql(select: str) -> str:
 ORACLE["hash_total"] = with_(GL_DEBIT, CLEAN_DEBIT, GLOBAL_CTE) + HASH_SQL
 ORACLE["hash_total_skipped"] = with_(GL_DEBIT, CLEAN_CODE) + (
     "SELECT 1 AS check_order, 'Hash total' AS name, 'Pass' AS status, "
-    "'Hash-total check skipped (no debit_amount / credit_amount columns).' AS summary "
+    f"'{SKIP_HASH}' AS summary "
     "FROM (SELECT count(*) FROM clean)")
 ORACLE["cross_footing"] = with_(GL_DEBIT, CLEAN_DEBIT, GLOBAL_CTE) + CROSS_SQL
 ORACLE["date_in_period"] = with_(GL_DEBIT, CLEAN_DEBIT, GLOBAL_CTE) + PERIOD_SQL
@@ -469,12 +473,13 @@ def _plural(n: str, word: str) -> str:
     return f"(CAST({n} AS VARCHAR) || ' {word}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END)"
 
 
+_HI, _ME = _plural('n_high', HIGH_ITEMS), _plural('n_medium', MEDIUM_ITEMS)
 ORACLE["suggested_action"] = scored_sql(
     "SELECT n_high, n_medium, CASE "
-    f"WHEN n_high > 0 AND n_medium > 0 THEN 'Review the ' || {_plural('n_high', 'High-priority item')} || ' first, then the ' || {_plural('n_medium', 'Medium-priority item')} || '.' "
-    f"WHEN n_high > 0 THEN 'Review the ' || {_plural('n_high', 'High-priority item')} || '.' "
-    f"WHEN n_medium > 0 THEN 'Review the ' || {_plural('n_medium', 'Medium-priority item')} || '.' "
-    "ELSE 'No High or Medium priority items — the review queue is clear.' END AS suggested_action "
+    f"WHEN n_high > 0 AND n_medium > 0 THEN {fill_sql(ACTION_BOTH, high=_HI, medium=_ME)} "
+    f"WHEN n_high > 0 THEN {fill_sql(ACTION_ONE, items=_HI)} "
+    f"WHEN n_medium > 0 THEN {fill_sql(ACTION_ONE, items=_ME)} "
+    f"ELSE '{ACTION_NONE}' END AS suggested_action "
     "FROM (SELECT count(*) FILTER (WHERE final_tier = 'High') AS n_high, "
     "count(*) FILTER (WHERE final_tier = 'Medium') AS n_medium FROM scored WHERE flagged_status = 'Flagged')")
 ORACLE["packet_header"] = with_(GL_DEBIT, CLEAN_DEBIT, feature_ctes(), SCORE_CTES, SUMMARY_CTE,
@@ -484,11 +489,12 @@ ORACLE["packet_header"] = with_(GL_DEBIT, CLEAN_DEBIT, feature_ctes(), SCORE_CTE
     "(SELECT n FROM icounts WHERE status = 'Pass') AS n_pass, "
     "(SELECT n FROM icounts WHERE status = 'Warning') AS n_warning, "
     "(SELECT n FROM icounts WHERE status = 'Fail') AS n_fail, "
-    "format('{:,}', s.total) || ' GL transactions' AS population_text, "
-    "format('{:,}', s.flagged) || ' flagged for follow-up' AS queue_text, "
-    + _plural("(SELECT n FROM icounts WHERE status = 'Pass')", "check") + " || ' passed · ' || "
-    + _plural("(SELECT n FROM icounts WHERE status = 'Warning')", "warning") + " || ' · ' || "
-    + _plural("(SELECT n FROM icounts WHERE status = 'Fail')", "failure") + " AS quality_text FROM summ s")
+    + fill_sql(POPULATION_TEXT, n="format('{:,}', s.total)") + " AS population_text, "
+    + fill_sql(QUEUE_TEXT, n="format('{:,}', s.flagged)") + " AS queue_text, "
+    + fill_sql(QUALITY_TEXT, passed=_plural("(SELECT n FROM icounts WHERE status = 'Pass')", "check"),
+               warnings=_plural("(SELECT n FROM icounts WHERE status = 'Warning')", "warning"),
+               failures=_plural("(SELECT n FROM icounts WHERE status = 'Fail')", "failure"))
+    + " AS quality_text FROM summ s")
 
 # ---------------------------------------------------------------- memo tables
 RANK_CTES = """q AS (SELECT * FROM scored WHERE flagged_status = 'Flagged'),

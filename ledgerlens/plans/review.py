@@ -16,6 +16,8 @@ or the bounded forest sample.
 """
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,7 @@ class ReviewPacket:
     similarity: SimilarityModel
     scored: DataFrame
     tables: dict = field(default_factory=dict)
+    timings: dict = field(default_factory=dict)
 
     @property
     def flagged(self) -> DataFrame:
@@ -100,17 +103,34 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
     if period_end < period_start:
         raise ValueError("period_end must be on or after period_start.")
     m = materiality(entity_type, benchmark_figure)
+    timings: dict = {}
+
+    def timed(name, fn):
+        t0 = time.time()
+        out = fn()
+        timings[name] = round(time.time() - t0, 3)
+        return out
+
     clean = clean_gl(gl, date_format=date_format)
-    stats = compute_stats(clean, period_start, period_end)                       # pass 1
+    stats = timed("stats_pass", lambda: compute_stats(clean, period_start, period_end))      # 1
     n_rows = int(stats.globals["n_rows"])
-    feat = materialize(engineer_features(clean, stats, period_end=period_end), "features")  # pass 2
+    feat = timed("features_pass", lambda: materialize(
+        engineer_features(clean, stats, period_end=period_end), "features"))               # 2
     contamination = SENSITIVITY[detection_sensitivity]
-    forest = fit_isolation_forest(feat, TIER1_FEATURES, n_rows=n_rows, n_trees=n_trees,
-                                  contamination=contamination, seed=seed)             # pass 3
-    feat = with_raw_scores(feat, forest)                                              # pass 4
-    fit_offset(feat, forest, n_rows)
-    sim = train_similarity(feat, seed=seed, num_trees=forest_trees, max_depth=forest_depth)  # 5
-    scored = finish_scoring(feat, forest, sim, m)                                      # pass 6
+    # The weak-label forest does not depend on the isolation forest: train it from a
+    # second thread so its many small level-wise jobs share the cluster with passes 3-4.
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        t_sim = time.time()
+        sim_future = pool.submit(train_similarity, feat, seed=seed, num_trees=forest_trees,
+                                 max_depth=forest_depth)                                    # 5
+        forest = timed("iforest_fit", lambda: fit_isolation_forest(
+            feat, TIER1_FEATURES, n_rows=n_rows, n_trees=n_trees, contamination=contamination,
+            seed=seed))                                                                     # 3
+        feat = timed("iforest_score_pass", lambda: with_raw_scores(feat, forest))          # 4
+        timed("iforest_offset", lambda: fit_offset(feat, forest, n_rows))
+        sim = sim_future.result()
+        timings["similarity_fit_concurrent"] = round(time.time() - t_sim, 3)
+    scored = timed("scoring_pass", lambda: finish_scoring(feat, forest, sim, m))           # 6
 
     report = I.integrity_report(stats)
     counts_df = I.integrity_counts(report)
@@ -134,7 +154,7 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
     request = {"entity_type": entity_type, "benchmark_figure": benchmark_figure,
                "detection_sensitivity": detection_sensitivity, "period_start": str(period_start),
                "period_end": str(period_end), "row_count": n_rows}
-    return ReviewPacket(request, m, stats, feat, forest, sim, scored, tables)
+    return ReviewPacket(request, m, stats, feat, forest, sim, scored, tables, timings)
 
 
 def review_fixture(spark: SparkSession, sf_dir: str, **kw) -> ReviewPacket:

@@ -243,7 +243,7 @@ def fit_offset(scored: DataFrame, model: IsolationForestModel, n_rows: int,
     if n_rows <= EXACT_PERCENTILE_MAX_ROWS:
         agg = F.percentile(F.col(col), F.lit(p))
     else:
-        agg = F.percentile_approx(F.col(col), F.lit(p), F.lit(1_000_000))
+        agg = F.percentile_approx(F.col(col), F.lit(p), F.lit(100_000))
     model.offset = float(scored.agg(agg.alias("o")).collect()[0]["o"])
     return model.offset
 

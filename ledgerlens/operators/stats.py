@@ -25,8 +25,10 @@ from ..constants import DISBURSEMENT_CODE_PATTERN, UNKNOWN_VENDOR
 from ..session import ensure_checkpoint_dir
 from .clean import money
 
-# Dimensions with at most this many rows are broadcast; larger ones are shuffled.
-BROADCAST_ROW_LIMIT = 2_000_000
+# A dimension is broadcast only when its measured row count times its estimated row
+# width stays under this many bytes; larger ones are joined with a shuffle (and AQE's
+# skew-join splitting) instead.
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 _KEYS = ["k_account", "k_vendor", "k_vendor_null", "k_month", "k_code"]
 _SETS = {
@@ -64,6 +66,13 @@ def period_bounds(period_start, period_end) -> tuple[Column, Column]:
     return _as_date_lit(ps), _as_date_lit(pe)
 
 
+def _width(dtype) -> int:
+    """Estimated bytes per value in a broadcast hash relation."""
+    name = dtype.typeName()
+    return {"string": 32, "double": 8, "long": 8, "integer": 4, "date": 4, "boolean": 1,
+            "decimal": 16, "timestamp": 8, "timestamp_ntz": 8}.get(name, 16)
+
+
 @dataclass
 class LedgerStats:
     account: DataFrame          # account_name, acc_mean, acc_sd, acc_min, acc_max, acc_n
@@ -77,9 +86,13 @@ class LedgerStats:
     has_debit_credit: bool = False
     period: tuple | None = None
 
-    def dim(self, name: str, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    def dim(self, name: str, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
         df = getattr(self, name)
-        return F.broadcast(df) if self.sizes.get(name, limit + 1) <= limit else df
+        rows = self.sizes.get(name)
+        if rows is None:
+            return df                       # size unknown: let the planner decide
+        width = sum(_width(f.dataType) for f in df.schema.fields) + 16
+        return F.broadcast(df) if rows * width <= max_bytes else df
 
 
 def compute_stats(clean: DataFrame, period_start=None, period_end=None,

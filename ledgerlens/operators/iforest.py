@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import ship_package
+
 EULER_GAMMA = 0.5772156649015329
 EXACT_PERCENTILE_MAX_ROWS = 1_000_000
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, left int, right int, "
@@ -175,6 +177,7 @@ def _full_layout(nodes: pd.DataFrame, n_trees: int, depth: int) -> dict:
 def fit_isolation_forest(feat: DataFrame, feature_cols: list[str], n_rows: int | None = None,
                          n_trees: int = 200, max_samples: int = 256, contamination: float = 0.05,
                          seed: int = 42) -> IsolationForestModel:
+    ship_package(feat.sparkSession)
     if n_rows is None:
         n_rows = feat.count()
     psi = max(1, min(max_samples, n_rows))
@@ -222,6 +225,7 @@ def _path_lengths(model_arrays: dict, roots: np.ndarray, max_depth: int, X: np.n
 
 def raw_score_column(model: IsolationForestModel, spark) -> Column:
     """-s per row (sklearn's ``score_samples``; lower = more anomalous)."""
+    ship_package(spark)
     bc = spark.sparkContext.broadcast({"nodes": model.nodes, "roots": model.roots,
                                        "depth": model.max_depth, "c": model.c_psi})
 

@@ -32,11 +32,18 @@ FIRING_T2 = ["control_gap_ge_1", "fraud_risk_flag", "is_year_end_concentration",
              "is_non_standard_pattern"]
 
 
-def flagged_queue(scored: DataFrame, order: bool = True) -> DataFrame:
-    """Flagged rows, queue columns, most anomalous first (row_id breaks ties)."""
+def flagged_queue(scored: DataFrame, order: bool = True, positions: bool = False) -> DataFrame:
+    """Flagged rows with the queue columns, most anomalous first.
+
+    ``positions=True`` adds ``queue_position`` (0 = most anomalous; ties by journal_ref,
+    then row_id) computed by a distributed sort + per-partition offsets."""
     cols = [c for c in QUEUE_COLUMNS if c in scored.columns]
     q = scored.filter(F.col("flagged_status") == "Flagged").select(*cols)
-    return q.orderBy("anomaly_score", "row_id") if order else q
+    keys = [c for c in ("anomaly_score", "journal_ref", "row_id") if c in cols]
+    if positions:
+        from ..functions.position import with_position
+        return with_position(q, keys, "queue_position")
+    return q.orderBy(*keys) if order else q
 
 
 def feature_firing(feat: DataFrame) -> DataFrame:

@@ -268,7 +268,7 @@ def q_apply(spark, sf_dir):
 
 @query("flagged_queue")
 def q_queue(spark, sf_dir):
-    q = S.flagged_queue(L(spark, sf_dir).scored_given, order=False).drop("row_id")
+    q = S.flagged_queue(L(spark, sf_dir).scored_given, positions=True).drop("row_id")
     return q.select(*[r6(c).alias(c) if q.schema[c].dataType.simpleString() == "double" else F.col(c)
                       for c in q.columns])
 
@@ -602,8 +602,12 @@ def q_if_score(spark, sf_dir):
 
 @query("order_by_anomaly")
 def q_order(spark, sf_dir):
-    return _review(spark, sf_dir).scored.orderBy("anomaly_score", "row_id").select(
-        "journal_ref", "anomaly_score")
+    """Ledger ordered by anomaly score (most anomalous first) with its queue position."""
+    from ..functions.position import with_position
+    s = L(spark, sf_dir).scored_given
+    p = with_position(s.select("journal_ref", "anomaly_score", "row_id"),
+                      ["anomaly_score", "journal_ref", "row_id"], "queue_position")
+    return p.select("queue_position", "journal_ref", r6("anomaly_score").alias("anomaly_score"))
 
 
 @query("weak_label_train")

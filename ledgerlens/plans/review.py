@@ -111,6 +111,10 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
         timings[name] = round(time.time() - t0, 3)
         return out
 
+    if "row_id" not in gl.columns:
+        # the sources attach a position-based id; any other frame gets one here
+        gl = gl.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in gl.columns],
+                                                F.monotonically_increasing_id()))
     clean = clean_gl(gl, date_format=date_format)
     stats = timed("stats_pass", lambda: compute_stats(clean, period_start, period_end))      # 1
     n_rows = int(stats.globals["n_rows"])
@@ -134,7 +138,7 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
 
     report = I.integrity_report(stats)
     counts_df = I.integrity_counts(report)
-    queue = S.flagged_queue(scored)
+    queue = S.flagged_queue(scored, positions=True)
     summary = S.review_summary(scored)
     firing = S.feature_firing(feat)
     tables = {

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (ANNOTATION_BELOW_PERF, ANNOTATION_BELOW_TXN, ANNOTATION_EXCEEDS,
-                         ENTITY_TYPES, FLAG_SEPARATOR, FLAG_TEXTS, FLAGGED_TIERS, FS_PCT_OTHER,
+                         FLAG_SEPARATOR, FLAG_TEXTS, FLAGGED_TIERS, FS_PCT_OTHER,
                          FS_PCT_PUBLIC, NO_FLAGS_TEXT, PERFORMANCE_SHARE, SIMILARITY_THRESHOLD,
                          TRANSACTION_SHARE, UNUSUAL_AMOUNT_TEXT, UNUSUAL_Z)
 from ..constants import (ESCALATION_NOTE, LABEL_MONITOR, OVERRIDE_NOTE, REVIEW_LABELS,
@@ -21,9 +21,8 @@ def fs_pct_for_entity(entity_type: str) -> float:
 
 
 def materiality(entity_type: str, benchmark_figure: float) -> dict:
-    """FS, performance and transaction materiality for an engagement."""
-    if entity_type not in ENTITY_TYPES:
-        raise ValueError(f"unknown entity_type {entity_type!r}; expected one of {ENTITY_TYPES}")
+    """FS, performance and transaction materiality for an engagement (any entity type is
+    accepted; only "Public company" uses 5 %, every other type 4 %)."""
     fs_pct = fs_pct_for_entity(entity_type)
     fs = benchmark_figure * fs_pct
     return {"fs_pct": fs_pct, "fs": fs, "performance": fs * PERFORMANCE_SHARE,

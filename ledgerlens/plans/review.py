@@ -16,6 +16,7 @@ or the bounded forest sample.
 """
 from __future__ import annotations
 
+import datetime as dt
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -100,8 +101,15 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
     if detection_sensitivity not in SENSITIVITY:
         raise ValueError(f"Unknown detection_sensitivity {detection_sensitivity!r}. "
                          f"Expected one of {list(SENSITIVITY)}.")
-    if period_end < period_start:
+    bounds = []
+    for label, value in (("period_start", period_start), ("period_end", period_end)):
+        try:
+            bounds.append(value if isinstance(value, dt.date) else dt.date.fromisoformat(str(value)))
+        except ValueError:
+            raise ValueError(f"Invalid {label}: expected YYYY-MM-DD, got {value!r}") from None
+    if bounds[1] < bounds[0]:
         raise ValueError("period_end must be on or after period_start.")
+    period_start, period_end = bounds[0].isoformat(), bounds[1].isoformat()
     m = materiality(entity_type, benchmark_figure)
     timings: dict = {}
 

@@ -67,3 +67,24 @@ def test_train_guards(spark):
     assert sim.info["status"] == "trained" and sim.model is not None
     assert train_similarity(df(40), num_trees=5).info["status"] == "skipped_single_class"
     assert train_similarity(df(5).drop("fraud_risk_flag")).info["status"] == "skipped_no_label_column"
+
+
+def test_materiality_any_entity_type():
+    from ledgerlens.operators.scoring import materiality
+    assert materiality("Public company", 100000.0)["fs"] == 5000.0
+    m = materiality("Something else", 150000.0)
+    assert (m["fs"], m["performance"], m["transaction"]) == (6000.0, 3000.0, 4800.0)
+
+
+def test_review_rejects_bad_parameters(spark):
+    import pytest
+    from ledgerlens.plans.review import review
+    df = spark.createDataFrame([("2024-01-01", "1", "5000", "A", "V", "d", "j")],
+                               "date string, amount string, account_code string, account_name string, "
+                               "vendor string, description string, journal_ref string")
+    with pytest.raises(ValueError, match="Unknown detection_sensitivity"):
+        review(df, "Fund", 1.0, "Extreme", "2024-01-01", "2024-12-31")
+    with pytest.raises(ValueError, match="Invalid period_end"):
+        review(df, "Fund", 1.0, "Balanced (0.05)", "2024-01-01", "2024/12/31")
+    with pytest.raises(ValueError, match="on or after"):
+        review(df, "Fund", 1.0, "Balanced (0.05)", "2024-12-31", "2024-01-01")

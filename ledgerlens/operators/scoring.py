@@ -13,7 +13,7 @@ from ..constants import (ANNOTATION_BELOW_PERF, ANNOTATION_BELOW_TXN, ANNOTATION
 from ..constants import (ESCALATION_NOTE, LABEL_MONITOR, OVERRIDE_NOTE, REVIEW_LABELS,
                          TIER_ORDER)
 from ..functions.text import fill
-from ..functions.tiers import (downgrade_tier, review_label, tier_at, tier_rank, two_decimals)
+from ..functions.tiers import downgrade_tier, raw_tier, tier_at, tier_rank, two_decimals
 
 
 def fs_pct_for_entity(entity_type: str) -> float:
@@ -132,7 +132,6 @@ def given_scores(feat: DataFrame) -> DataFrame:
     used alike by a query and its SQL oracle to check the rules. Never the product's score."""
     z = F.abs(F.coalesce(F.col("amount_zscore_by_account"), F.lit(0.0)))
     ffc = F.col("fraud_flag_count").cast("double")
-    from ..functions.tiers import raw_tier
     score = F.round(F.lit(0.05) - F.lit(0.08) * ffc - F.lit(0.03) * z, 6)
     return feat.select("*", score.alias("anomaly_score"),
                        F.round(F.least(F.lit(1.0), F.lit(0.2) * ffc + F.lit(0.15) * z), 6)

@@ -175,9 +175,6 @@ def q_firing_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 2.5 scoring rules
-SCORE_COLS = ["anomaly_score", "fraud_probability", "raw_tier"]
-
-
 def _scored_cols(spark, sf_dir, *cols):
     s = L(spark, sf_dir).scored_given
     out = [F.col("journal_ref")]

@@ -61,11 +61,27 @@ def export_csv(queue: DataFrame, path: str, with_memos: bool | None = None) -> s
     return path
 
 
-def write_packet(packet: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write every part of a review packet as its own table under ``path``."""
-    out = {}
-    for name, df in packet.items():
+def write_packet(packet: dict[str, DataFrame], path: str, fmt: str = "parquet",
+                 parallelism: int = 4) -> dict[str, str]:
+    """Write every part of a review packet as its own table under ``path``.
+
+    The parts are independent jobs over the same small scored/statistics tables, so they
+    are submitted from a few threads at once and overlap their per-job overhead."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(item):
+        name, df = item
         target = f"{path.rstrip('/')}/{name}"
         nonfinite_to_null(df).write.mode("overwrite").format(fmt).save(target)
-        out[name] = target
-    return out
+        return name, target
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return dict(pool.map(write, packet.items()))
+
+
+def collect_tables(tables: dict[str, DataFrame], parallelism: int = 4) -> dict[str, list]:
+    """Collect small review tables concurrently (each is a bounded result)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        futures = {name: pool.submit(df.collect) for name, df in tables.items()}
+        return {name: f.result() for name, f in futures.items()}

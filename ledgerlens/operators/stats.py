@@ -9,9 +9,9 @@ One ``GROUPING SETS`` aggregate over the cleaned ledger yields
 
 The aggregate is partial (map-side) per set, so a hot account or vendor holding a
 third of the rows costs one hash-map entry per task, not one overloaded task. The
-result is small (keys, not rows); it is checkpointed to the shared checkpoint folder
-(lineage cut, survives executor loss) and each dimension's row count is checked before
-it is broadcast. Dimensions over the limit are joined with a shuffle instead.
+result is small (keys, not rows); it is written once under the shared checkpoint folder
+(lineage cut, survives executor loss) and each dimension's size is checked before it is
+broadcast. Dimensions over the limit are joined with a shuffle instead.
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DISBURSEMENT_CODE_PATTERN, UNKNOWN_VENDOR
-from ..session import ensure_checkpoint_dir
+from ..session import materialize as write_table
 from .clean import money
 
 # A dimension is broadcast only when its measured row count times its estimated row
@@ -135,8 +135,9 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None,
         oob.alias("n_out_of_period"),
     )
     if materialize:
-        ensure_checkpoint_dir(clean.sparkSession)
-        agg = agg.checkpoint(eager=True)
+        # written once as a small parquet table under the checkpoint folder: computed in a
+        # single job (an RDD checkpoint of an unpersisted plan would compute it twice)
+        agg = write_table(agg, "stats")
 
     def part(name: str) -> DataFrame:
         return agg.filter(F.col("gid") == _gid(_SETS[name]))

@@ -135,6 +135,8 @@ MEMO_TOP_N_DEFAULT = 10
 MEMO_TOP_N_MAX = 20
 DISCLAIMER = ("This analysis identifies risk indicators only. "
               "It does not determine intent, fraud, or an audit conclusion.")
+# Memo status values: a valid externally generated memo, the rule-built memo, none.
+STATUS_CANDIDATE, STATUS_FALLBACK, STATUS_NONE = "GPT", "Fallback", "Not generated"
 TIER_MEMO_RANK = {"High": 0, "Medium": 1, "Low": 2, "Monitor": 3}
 TIER_MEMO_RANK_UNKNOWN = 99
 

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..constants import (ASSERTION_DEFAULT, ASSERTION_MAP, BANNED_PHRASES,
                          COSO_DEFAULT, COSO_MAP, DISCLAIMER, FOLLOW_UP_ITEM_LENGTH, FOLLOW_UP_ITEMS,
                          MEMO_FIELDS, MEMO_LENGTH_BOUNDS, MEMO_TOP_N_DEFAULT, MEMO_TOP_N_MAX,
-                         NAME_LEAK_PATTERNS, TIER_MEMO_RANK, TIER_MEMO_RANK_UNKNOWN)
+                         NAME_LEAK_PATTERNS, STATUS_CANDIDATE, STATUS_FALLBACK, STATUS_NONE,
+                         TIER_MEMO_RANK, TIER_MEMO_RANK_UNKNOWN)
 from ..functions.tiers import money_text, two_decimals
 
 FLAGS_PLACEHOLDER = "the indicators flagged on this posting"
@@ -353,10 +354,11 @@ MEMO_SCHEMA = ("struct<risk_summary:string,assertion_consideration:string,magnit
 
 
 def accept_or_fallback(ranked: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """One memo per selected position: a valid candidate ("GPT") else the rule memo ("Fallback")."""
+    """One memo per selected position: a valid candidate (``STATUS_CANDIDATE``) else the rule
+    memo (``STATUS_FALLBACK``)."""
     base = ranked.select("*", full_memo().alias("_rule"))
     if candidates is None:
-        out = base.select("*", F.col("_rule").alias("memo"), F.lit("Fallback").alias("narrative_status"))
+        out = base.select("*", F.col("_rule").alias("memo"), F.lit(STATUS_FALLBACK).alias("narrative_status"))
     else:
         # validity folded into the value (no filter): keeps the optimizer from deriving
         # constraints out of the validator's long expression across the join
@@ -364,7 +366,8 @@ def accept_or_fallback(ranked: DataFrame, candidates: DataFrame | None = None) -
             "position", F.when(F.col("is_valid"), F.from_json(F.col("memo_json"), MEMO_SCHEMA)).alias("_cand"))
         out = base.join(checked, "position", "left").select(
             "*", F.coalesce(F.col("_cand"), F.col("_rule")).alias("memo"),
-            F.when(F.col("_cand").isNotNull(), "GPT").otherwise("Fallback").alias("narrative_status"))
+            F.when(F.col("_cand").isNotNull(), STATUS_CANDIDATE).otherwise(STATUS_FALLBACK)
+             .alias("narrative_status"))
         out = out.drop("_cand")
     return out.drop("_rule")
 
@@ -380,8 +383,8 @@ def memo_table(queue: DataFrame, top_n: int | None = MEMO_TOP_N_DEFAULT,
 
 def memo_tallies(memos: DataFrame) -> DataFrame:
     return memos.agg(F.count(F.lit(1)).alias("top_n_used"),
-                     F.count_if(F.col("narrative_status") == "GPT").alias("n_gpt"),
-                     F.count_if(F.col("narrative_status") == "Fallback").alias("n_fallback"))
+                     F.count_if(F.col("narrative_status") == STATUS_CANDIDATE).alias("n_gpt"),
+                     F.count_if(F.col("narrative_status") == STATUS_FALLBACK).alias("n_fallback"))
 
 
 def attach_memos(queue: DataFrame, memos: DataFrame, by: str = "row_id") -> DataFrame:
@@ -403,4 +406,4 @@ def attach_memos(queue: DataFrame, memos: DataFrame, by: str = "row_id") -> Data
             c = F.col(k).eqNullSafe(F.col(f"_mk_{k}"))
             cond = c if cond is None else cond & c
         out = queue.join(F.broadcast(m), cond, "left").drop(*[f"_mk_{k}" for k in keys])
-    return out.withColumn("narrative_status", F.coalesce(F.col("narrative_status"), F.lit("Not generated")))
+    return out.withColumn("narrative_status", F.coalesce(F.col("narrative_status"), F.lit(STATUS_NONE)))

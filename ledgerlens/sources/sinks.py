@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import MEMO_FIELDS
+from ..constants import MEMO_FIELDS, STATUS_NONE
 
 EXPORT_BASE_COLUMNS = ["date", "account_name", "vendor", "amount", "anomaly_score", "raw_tier",
                        "final_tier", "pcaob_label", "materiality_annotation", "active_flags",
@@ -47,7 +47,7 @@ def export_frame(queue: DataFrame, with_memos: bool | None = None) -> DataFrame:
             if c == "recommended_follow_up":
                 cols.append(F.coalesce(F.array_join(F.col(c), "; "), F.lit("")).alias(c))
             elif c == "narrative_status":
-                cols.append(F.coalesce(F.col(c), F.lit("Not generated")).alias(c))
+                cols.append(F.coalesce(F.col(c), F.lit(STATUS_NONE)).alias(c))
             else:
                 cols.append(F.coalesce(F.col(c), F.lit("")).alias(c))
     return nonfinite_to_null(queue.select(*cols))

@@ -41,7 +41,7 @@ TRAIN_ROW_LIMIT = 1_000_000
 def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
                      feature_cols: list[str] | None = None, seed: int = 42,
                      num_trees: int = FOREST_TREES, max_depth: int = FOREST_MAX_DEPTH,
-                     min_leaf: int = FOREST_MIN_LEAF, max_bins: int = 64,
+                     min_leaf: int = FOREST_MIN_LEAF, max_bins: int = 32,
                      counts: tuple[int, int] | None = None,
                      train_row_limit: int | None = TRAIN_ROW_LIMIT) -> SimilarityModel:
     feature_cols = list(feature_cols or SUPERVISED_FEATURES)

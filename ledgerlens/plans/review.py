@@ -1,7 +1,7 @@
 """review(): the whole ledger review as a small, fixed sequence of Spark passes.
 
   pass 1  scan -> clean -> GROUPING SETS statistics (partial aggregation; small result,
-          checkpointed, sizes checked before broadcast)
+          written once under the checkpoint folder, sizes checked before broadcast)
   pass 2  scan -> clean -> broadcast joins of the statistics -> features, written once
           as parquet under the checkpoint folder (lineage cut; later passes prune columns)
   pass 3  hash-chosen bounded sample -> isolation trees per tree_id (applyInPandas)

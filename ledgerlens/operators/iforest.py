@@ -186,6 +186,10 @@ def fit_isolation_forest(feat: DataFrame, feature_cols: list[str], n_rows: int |
     nodes = (sample.groupBy("tree_id")
              .applyInPandas(_tree_builder(feature_cols, seed, max_depth), NODE_SCHEMA)
              .toPandas())                     # bounded: n_trees * (2 psi - 1) rows
+    if nodes.empty:
+        return IsolationForestModel(feature_cols, 0, psi, max_depth,
+                                    _full_layout(nodes, 0, max_depth), np.zeros(0, np.int64),
+                                    contamination, node_table=nodes)
     nodes = nodes.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
     # renumber tree ids densely (a tree id never drawn would leave a hole)
     nodes["tree_id"] = nodes["tree_id"].rank(method="dense").astype(int) - 1
@@ -225,6 +229,8 @@ def _path_lengths(model_arrays: dict, roots: np.ndarray, max_depth: int, X: np.n
 
 def raw_score_column(model: IsolationForestModel, spark) -> Column:
     """-s per row (sklearn's ``score_samples``; lower = more anomalous)."""
+    if model.n_trees == 0:                  # empty ledger: nothing was grown
+        return F.lit(None).cast("double")
     ship_package(spark)
     bc = spark.sparkContext.broadcast({"nodes": model.nodes, "roots": model.roots,
                                        "depth": model.max_depth, "c": model.c_psi})
@@ -248,7 +254,8 @@ def fit_offset(scored: DataFrame, model: IsolationForestModel, n_rows: int,
         agg = F.percentile(F.col(col), F.lit(p))
     else:
         agg = F.percentile_approx(F.col(col), F.lit(p), F.lit(100_000))
-    model.offset = float(scored.agg(agg.alias("o")).collect()[0]["o"])
+    value = scored.agg(agg.alias("o")).collect()[0]["o"]
+    model.offset = float(value) if value is not None else 0.0     # empty ledger
     return model.offset
 
 

@@ -169,8 +169,14 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None,
 
     global_row = part("global").select("n_rows", "sum_abs", "sum_basis", "sum_debit", "sum_credit",
                                        "n_dates", "max_date", "n_out_of_period")
-    g = part("global").select("n_rows", "sum_abs", "sum_basis", "sum_debit", "sum_credit",
-                              "n_dates", "max_date", "n_out_of_period").collect()[0].asDict()
+    found = global_row.collect()          # one row (a scalar summary), or none if empty
+    if found:
+        g = found[0].asDict()
+    else:                                 # an empty ledger still gets a global row
+        g = {f: None for f in global_row.columns}
+        g.update(n_rows=0, n_dates=0, n_out_of_period=0 if period_start and period_end else None)
+        global_row = clean.sparkSession.createDataFrame(
+            [tuple(g[c] for c in global_row.columns)], global_row.schema)
     sizes = {}
     if materialize:
         counts = {r["gid"]: r["n"] for r in agg.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).collect()}

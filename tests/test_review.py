@@ -53,3 +53,17 @@ def test_memo_table_on_real_queue(packet):
         "risk_summary", "assertion_consideration", "magnitude_assessment", "likelihood_assessment",
         "control_or_coso_consideration", "recommended_follow_up", "disclaimer")).alias("memo_json"))
     assert validate_memos(js).filter(~F.col("is_valid")).count() == 0
+
+
+def test_empty_ledger_reviews_to_empty_queue(spark, tmp_path):
+    from ledgerlens.plans.review import review
+    from ledgerlens.sources.csv_gl import read_gl_csv
+    p = tmp_path / "empty.csv"
+    p.write_text("date,amount,account_code,account_name,vendor,description,journal_ref\n")
+    pk = review(read_gl_csv(spark, str(p)), "Private for-profit", 150000.0, "Balanced (0.05)",
+                "2024-01-01", "2024-12-31", forest_trees=5)
+    s = pk.tables["review_summary"].first()
+    assert (s["total"], s["flagged"], s["flagged_pct"], s["risk_rating"]) == (0, 0, 0.0, "Low")
+    assert pk.flagged.count() == 0
+    assert pk.similarity.info["status"] == "skipped_insufficient_positives"
+    assert pk.tables["integrity_report"].count() == 4

@@ -21,6 +21,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +36,14 @@ from ..operators.iforest import (IsolationForestModel, decision_column, fit_isol
 from ..operators.scoring import apply_scoring, materiality
 from ..operators.similarity import SimilarityModel, similarity_score, train_similarity
 from ..operators.stats import LedgerStats, compute_stats
-from ..session import materialize
+from ..session import input_bytes, materialize
 from ..sources.fixture import FIXTURE_PARAMS, gl_fixture
 
 
+# Inputs up to this many bytes on disk are persisted between passes 1 and 2.
+CACHE_INPUT_MAX_BYTES = 2 * 1024 ** 3
+
+
 @dataclass
 class ReviewPacket:
     request: dict
@@ -124,10 +129,17 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
         gl = gl.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in gl.columns],
                                                 F.monotonically_increasing_id()))
     clean = clean_gl(gl, date_format=date_format)
+    # A small input is kept in memory (spilling to disk) between the statistics and the
+    # features pass; a large one is simply scanned twice - never cached whole.
+    small = (input_bytes(clean) or CACHE_INPUT_MAX_BYTES + 1) <= CACHE_INPUT_MAX_BYTES
+    if small:
+        clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     stats = timed("stats_pass", lambda: compute_stats(clean, period_start, period_end))      # 1
     n_rows = int(stats.globals["n_rows"])
     feat = timed("features_pass", lambda: materialize(
         engineer_features(clean, stats, period_end=period_end), "features"))               # 2
+    if small:
+        clean.unpersist()
     contamination = SENSITIVITY[detection_sensitivity]
     # The weak-label forest does not depend on the isolation forest: train it from a
     # second thread so its many small level-wise jobs share the cluster with passes 3-4.

@@ -113,3 +113,16 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(key)
+
+
+def input_bytes(df) -> int | None:
+    """Sum of the leaf relations' sizes in the optimized plan (the bytes the job reads),
+    or None when a leaf has no size estimate."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        return total
+    except Exception:  # noqa: BLE001 - planner internals differ across versions
+        return None

@@ -1,18 +1,23 @@
 """review(): the whole ledger review as a small, fixed sequence of Spark passes.
 
   pass 1  scan -> clean -> GROUPING SETS statistics (partial aggregation; small result,
-          written once under the checkpoint folder, sizes checked before broadcast)
-  pass 2  scan -> clean -> broadcast joins of the statistics -> features, written once
-          as parquet under the checkpoint folder (lineage cut; later passes prune columns)
+          written once under the checkpoint folder, sizes checked before broadcast).
+          A small input (<= 2 GB of scanned files) stays persisted for pass 2.
+  pass 2  clean ledger -> broadcast joins of the statistics -> features, written once
+          (lineage cut; later passes prune columns)
   pass 3  hash-chosen bounded sample -> isolation trees per tree_id (applyInPandas)
-  pass 4  features -> Arrow UDF raw scores -> contamination percentile (offset)
-  pass 5  weak-label forest training (Spark ML, level-wise on executors)
-  pass 6  features -> scores, similarity, audit rules -> scored table written once
-  then    every review table is an aggregate or filter over the scored table.
+  pass 4  features -> Arrow UDF raw scores, written once -> contamination percentile
+  pass 5  weak-label forest (Spark ML, level-wise on executors), trained from a second
+          thread while passes 3-4 run
+  pass 6  scores + audit rules -> scored table written once; the flagged queue gets its
+          positions from a distributed sort (per-partition offsets)
+  then    every review table is an aggregate, filter or distributed top-k over the
+          scored table; writing them (sinks.write_packet) runs a few jobs at a time.
 
 No pass shuffles ledger rows by a business key, so a hot account, vendor or a block of
-copied rows never concentrates on one task; the only shuffles carry partial aggregates
-or the bounded forest sample.
+copied rows never concentrates on one task; the only shuffles carry partial aggregates,
+the bounded forest sample, the one-off spread of an under-partitioned input, or the
+range-partitioned sort of flagged rows.
 """
 from __future__ import annotations
 

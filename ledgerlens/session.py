@@ -103,6 +103,8 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
+    # Driver-side staging of the package's .py files only (no data): addPyFile copies the
+    # zip into the application's file server, from which every executor fetches it.
     fd, path = tempfile.mkstemp(prefix="ledgerlens-", suffix=".zip")
     os.close(fd)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

@@ -121,12 +121,18 @@ def coso_components() -> Column:
     return _pick_two(COSO_MAP, COSO_DEFAULT)
 
 
+def _mentions_any(text: Column, patterns) -> Column:
+    cond = F.lit(False)
+    for p in patterns:
+        cond = cond | text.contains(p)
+    return cond
+
+
 def follow_ups() -> Column:
+    """Three base procedures, then one per matching condition in fixed order; distinct,
+    at most five."""
     text = _flags_lower()
-    cond = [F.when(F.lit(False) if not pats else
-                   (text.contains(pats[0]) if len(pats) == 1 else
-                    text.contains(pats[0]) | text.contains(pats[1])), F.lit(item))
-            for pats, item in FOLLOW_UP_CONDITIONAL]
+    cond = [F.when(_mentions_any(text, pats), F.lit(item)) for pats, item in FOLLOW_UP_CONDITIONAL]
     cond.append(F.when(F.coalesce(F.col("is_qualitative_override"), F.lit(0)) == 1,
                        F.lit(FOLLOW_UP_OVERRIDE)))
     items = F.concat(F.array(*[F.lit(x) for x in FOLLOW_UP_BASE]), F.array_compact(F.array(*cond)))

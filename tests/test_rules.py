@@ -88,3 +88,27 @@ def test_review_rejects_bad_parameters(spark):
         review(df, "Fund", 1.0, "Balanced (0.05)", "2024-01-01", "2024/12/31")
     with pytest.raises(ValueError, match="on or after"):
         review(df, "Fund", 1.0, "Balanced (0.05)", "2024-12-31", "2024-01-01")
+
+
+def test_integrity_skips_and_mapping_break(spark):
+    from ledgerlens.constants import MAPPING_OK, SKIP_CROSS, SKIP_HASH, SKIP_PERIOD
+    from ledgerlens.operators.clean import clean_gl
+    from ledgerlens.operators.integrity import integrity_counts, integrity_report
+    from ledgerlens.operators.stats import compute_stats
+    rows = [("2024-01-02", "10", "5000", "Rent", "V", "d", "j1"),
+            ("2024-01-03", "20", "5000", "Rent", "V", "d", "j2"),
+            ("2024-01-04", "30", "6000", "Rent", "V", "d", "j3"),     # name with two codes
+            ("2024-01-05", "40", None, "Travel", "V", "d", "j4")]     # NULL code ignored
+    df = spark.createDataFrame(rows, "date string, amount string, account_code string, account_name string, "
+                               "vendor string, description string, journal_ref string")
+    rep = {r["name"]: r for r in integrity_report(compute_stats(clean_gl(df))).collect()}
+    assert (rep["Hash total"]["status"], rep["Hash total"]["summary"]) == ("Pass", SKIP_HASH)
+    assert rep["Cross-footing"]["summary"] == SKIP_CROSS
+    assert rep["Date in period"]["summary"] == SKIP_PERIOD
+    assert rep["Account mapping"]["status"] == "Warning"
+    assert rep["Account mapping"]["summary"] == "1 account_name(s) map to multiple codes (e.g. ['Rent'])."
+    ok = spark.createDataFrame(rows[:2], df.schema)
+    rep_ok = {r["name"]: r for r in integrity_report(compute_stats(clean_gl(ok))).collect()}
+    assert rep_ok["Account mapping"]["summary"] == MAPPING_OK
+    counts = {r["status"]: r["n"] for r in integrity_counts(integrity_report(compute_stats(clean_gl(df)))).collect()}
+    assert counts == {"Pass": 3, "Warning": 1, "Fail": 0}

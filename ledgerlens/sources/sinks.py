@@ -50,7 +50,16 @@ def export_frame(queue: DataFrame, with_memos: bool | None = None) -> DataFrame:
                 cols.append(F.coalesce(F.col(c), F.lit(STATUS_NONE)).alias(c))
             else:
                 cols.append(F.coalesce(F.col(c), F.lit("")).alias(c))
-    return nonfinite_to_null(queue.select(*cols))
+    out = nonfinite_to_null(queue.select(*cols))
+    # plain decimal text for numbers (no scientific notation), trailing zeros trimmed
+    plain = []
+    for f in out.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.coalesce(F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", ""),
+                           c.cast("string"))
+        plain.append(c.alias(f.name))
+    return out.select(*plain)
 
 
 def export_csv(queue: DataFrame, path: str, with_memos: bool | None = None) -> str:

@@ -88,17 +88,15 @@ def non_standard_pattern(df: DataFrame) -> Column:
 
 
 def attach_stats(clean: DataFrame, stats: LedgerStats) -> DataFrame:
-    """Broadcast-join (when size-checked small) the four dimensions onto the ledger."""
+    """Join (broadcast when size-checked small) the three dimensions onto the ledger."""
     df = clean.withColumn("_vendor_key", F.coalesce(F.col("vendor"), F.lit(UNKNOWN_VENDOR))) \
               .withColumn("_month", F.trunc(F.col("date"), "month"))
     df = df.join(stats.dim("account"), "account_name", "left")
-    vc = stats.dim("vendor_count").withColumnRenamed("vendor_key", "_vendor_key")
-    df = df.join(vc, "_vendor_key", "left")
+    vd = stats.dim("vendor").withColumnRenamed("vendor_key", "_vendor_key")
+    df = df.join(vd, "_vendor_key", "left")
     m = stats.dim("month").select(F.col("account_name").alias("_m_account"),
                                   F.col("month").alias("_month_key"), "period_over_period_pct")
     df = df.join(m, (df["account_name"] == m["_m_account"]) & (df["_month"] == m["_month_key"]), "left")
-    vd = stats.dim("vendor_disb").withColumnRenamed("vendor", "_d_vendor")
-    df = df.join(vd, df["vendor"] == vd["_d_vendor"], "left")
     return df
 
 
@@ -117,7 +115,9 @@ def engineer_features(clean: DataFrame, stats: LedgerStats | None = None,
     if total <= 0:
         vconc = F.lit(0.0)
     else:
-        vconc = F.coalesce(F.col("vendor_disb").cast("double") / F.lit(total) * 100.0, F.lit(0.0))
+        # a NULL vendor holds no share (its key UNKNOWN carries only real "UNKNOWN" rows)
+        vconc = F.when(F.col("vendor").isNull(), F.lit(0.0)).otherwise(
+            F.coalesce(F.col("vendor_disb").cast("double") / F.lit(total) * 100.0, F.lit(0.0)))
 
     a = F.col("abs_amount")
     t1 = {

@@ -76,8 +76,7 @@ def _width(dtype) -> int:
 @dataclass
 class LedgerStats:
     account: DataFrame          # account_name, acc_mean, acc_sd, acc_min, acc_max, acc_n
-    vendor_count: DataFrame     # vendor_key, vendor_txn_count
-    vendor_disb: DataFrame      # vendor, vendor_disb
+    vendor: DataFrame           # vendor_key, vendor_txn_count, vendor_disb
     month: DataFrame            # account_name, month, month_sum, period_over_period_pct
     pair: DataFrame             # account_code, account_name
     global_row: DataFrame | None = None   # the one-row global aggregate, lazily
@@ -145,12 +144,12 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None,
     account = part("account").filter(F.col("k_account").isNotNull()).select(
         F.col("k_account").alias("account_name"), "acc_mean", "acc_sd", "acc_min",
         "acc_max", "acc_n")
-    vend = part("vendor")
-    vendor_count = vend.groupBy(F.col("k_vendor").alias("vendor_key")).agg(
-        F.sum("n_rows").alias("vendor_txn_count"))
-    vendor_disb = vend.filter(~F.col("k_vendor_null")).select(
-        F.col("k_vendor").alias("vendor"), F.coalesce(F.col("sum_basis"),
-                                                     F.lit(0).cast("decimal(38,4)")).alias("vendor_disb"))
+    # One vendor dimension keyed like the posting count (NULL vendor shares UNKNOWN): the
+    # count covers both, the disbursement sum only rows whose vendor is really the key.
+    vendor = part("vendor").groupBy(F.col("k_vendor").alias("vendor_key")).agg(
+        F.sum("n_rows").alias("vendor_txn_count"),
+        F.coalesce(F.sum(F.when(~F.col("k_vendor_null"), F.col("sum_basis"))),
+                   F.lit(0).cast("decimal(38,4)")).alias("vendor_disb"))
     # Previous PRESENT month of the same account; the table is accounts x months, small.
     w = Window.partitionBy("account_name").orderBy("month")
     month = (part("month").filter(F.col("k_account").isNotNull() & F.col("k_month").isNotNull())
@@ -181,8 +180,8 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None,
     if materialize:
         counts = {r["gid"]: r["n"] for r in agg.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).collect()}
         sizes = {name: counts.get(_gid(members), 0) for name, members in _SETS.items()}
-        sizes["vendor_count"] = sizes["vendor_disb"] = sizes.pop("vendor")
-    return LedgerStats(account=account, vendor_count=vendor_count, vendor_disb=vendor_disb,
+
+    return LedgerStats(account=account, vendor=vendor,
                        month=month, pair=pair, global_row=global_row, globals=g, sizes=sizes,
                        has_debit_credit=has_dc,
                        period=(period_start, period_end) if period_start and period_end else None)

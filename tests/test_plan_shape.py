@@ -25,7 +25,7 @@ def test_features_pass_never_shuffles_the_ledger(spark):
     plan = _plan(feat)
     for bad in ("SortMergeJoin", "CartesianProduct", "BroadcastNestedLoopJoin", "ShuffledHashJoin"):
         assert bad not in plan, bad
-    assert plan.count("BroadcastHashJoin") == 4
+    assert plan.count("BroadcastHashJoin") == 3
     assert feat.count() == 6000
 
 

@@ -1,8 +1,8 @@
 """Session and scratch-space helpers.
 
 The engine never picks its own scratch folder on a cluster: intermediate tables go
-under the shared folder named by ``spark.checkpoint.dir``. Only when that setting is
-absent (unit tests, a laptop) is a private temporary folder chosen.
+under the shared folder named by ``spark.checkpoint.dir``, which a cluster must set. Only
+in local mode (unit tests, a laptop) is a private folder chosen where it is absent.
 """
 from __future__ import annotations
 
@@ -39,13 +39,19 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a private one only if none is set."""
+    """Return the shared checkpoint folder.
+
+    Where none is set, a private folder is chosen only if driver and executors are one local
+    process (tests, a laptop); on a cluster that is an error, because executors would write
+    to disks that no other machine can read."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(configured)

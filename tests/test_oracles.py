@@ -6,7 +6,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from ledgerlens.plans.catalog import QUERIES
+from ledgerlens.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 SKIP_HEAVY = {"iforest_fit", "iforest_score", "order_by_anomaly", "weak_label_train",
@@ -33,15 +34,15 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test tables absent")
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SKIP_HEAVY))
+@pytest.mark.parametrize("name", sorted(set(ORACLE) - SKIP_HEAVY))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
-    res = con.execute(E.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _bag(df.columns, [tuple(r) for r in df.collect()]) == _bag(dcols, res.fetchall())
 
 
 def test_every_query_registered_has_oracle_or_is_model():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(QUERIES) - set(ORACLE)
     assert missing <= SKIP_HEAVY, missing

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import quality_rules
+from ledgerlens.llm import classifier, quality_rules, simhash
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.session import ship_package
 
@@ -13,11 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.apply_rules(docs).drop("text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = classifier.score(docs, model)
+    return scored.select("doc_id", classifier.held_out(scored["doc_id"]).alias("held_out"),
+                         "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_quality_rules, op5_classifier)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -1,9 +1,11 @@
 """The registered operator queries: each applies one operator to its whole table."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import classifier, quality_rules, simhash
+from ledgerlens.llm import classifier, pieces, quality_rules, simhash
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.session import ship_package
 
@@ -30,6 +32,15 @@ def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_quality_rules, op5_classifier)}
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.decode(pieces.encode(docs, model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_quality_rules, op5_classifier, op6_pieces)}
 
 __all__ = ["ORACLE", "QUERIES"]

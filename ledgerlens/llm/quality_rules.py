@@ -1,13 +1,14 @@
 """Quality rules: distribution divergence from language references (native).
 
-Each document gets two histograms: character classes, and the common words of its
-language plus one bin for all other words. The references are the same histograms summed
-over all documents of a language that have at least ``min_words`` words; a language's
-common words are its ``n_common`` most frequent words of at most ``max_common_chars``
-letters (the length of function words). A document is rejected by a Jensen-Shannon
-divergence (base 2, so 0 to 1) above ``max_class_js`` or ``max_word_js``. Guards: texts
-under ``min_words`` words or ``min_chars`` characters, and languages whose reference holds
-under ``min_reference_words`` words, are not judged by divergence.
+Each document gets two histograms: character classes, and the common words of its language
+plus two bins: short words without a letter, and all other words. The references are the
+same histograms summed over all documents of a language with at least ``min_chars``
+non-space characters or ``min_words`` words; a language's common words are its ``n_common``
+most frequent words of at most ``max_common_chars`` letters (the length of function words),
+taken as they stand in the text. A document is rejected by a Jensen-Shannon divergence
+(base 2, so 0 to 1) above ``max_class_js`` or ``max_word_js``. Guards: texts under
+``min_words`` words or ``min_chars`` characters, and languages whose reference holds under
+``min_reference_words`` words, are not judged by divergence.
 
 Only DataFrame functions are used. The corpus is scanned for the references (partial
 aggregates are shuffled, never texts) and once more to score; the joined reference has one
@@ -25,15 +26,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.textstats import only, with_base, with_words
+from ledgerlens.llm.textstats import PLAIN, only, with_base, with_words, words_of
+from ledgerlens.session import materialize
 
 #: Characters of each class, as the runs that are NOT of the class.
 CLASS_RUNS = {"upper": r"[^A-Z]+", "digit": r"[^0-9]+", "punct": r"""[^.,;:!?'"()\-]+""",
               "symbol": r"[^#*$%&|<>=+@/\\^_~{}\[\]`]+", "wide": r"[\x00-\x7F]+"}
 CLASSES = ["lower", *CLASS_RUNS]
+LETTER = r"\p{L}"
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
          "class_js", "word_js", "base_failed", "kept"]
-SEPARATORS = r"[\x20\x09-\x0D.,;:!?]+"
 
 
 @dataclass(frozen=True)
@@ -46,54 +48,53 @@ class Rules:
     max_common_chars: int = 4
     min_reference_words: int = 1000
     max_class_js: float = 0.10
-    max_word_js: float = 0.25
+    max_word_js: float = 0.15
 
 
 def with_classes(df: DataFrame) -> DataFrame:
-    """Add ``_c``: the non-space characters of ``_t`` by class, in the order of CLASSES."""
-    for name, runs in CLASS_RUNS.items():
-        df = df.withColumn(f"_c_{name}", only(F.col("_t"), runs).cast("long"))
-    rest = F.col("word_chars")
-    for name in CLASS_RUNS:
-        rest = rest - F.col(f"_c_{name}")
-    return (df.withColumn("_c", F.array(rest, *[F.col(f"_c_{n}") for n in CLASS_RUNS]))
-            .drop(*[f"_c_{n}" for n in CLASS_RUNS]))
+    """Add ``_c``: the non-space characters of the text by class, in the order of CLASSES, from
+    ``word_chars`` and ``_r`` (the text without lower-case letters and white space)."""
+    rare = [only(F.col("_r"), runs).cast("long") for runs in CLASS_RUNS.values()]
+    df = df.withColumn("_rare", F.array(*rare))
+    listed = F.aggregate("_rare", F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.withColumn("_c", F.concat(F.array(F.col("word_chars") - listed), "_rare")).drop("_rare")
 
 
-def with_common(df: DataFrame, rules: Rules) -> DataFrame:
-    """Add ``_all`` (lower-cased words without sentence marks) as its size, and ``_short``."""
-    cut = F.array_remove(F.split(F.lower(F.col("_t")), SEPARATORS), "")
-    return (df.withColumn("_cut", cut).withColumn("_n_all", F.size("_cut"))
-            .withColumn("_short", F.filter(
-                "_cut", lambda w: F.length(w) <= rules.max_common_chars)).drop("_cut"))
+def with_other(shares: str) -> Column:
+    """The shares and, last, what is left to one."""
+    return F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)))
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per language: ``ref_c`` (class shares), ``ref_words``, ``ref_p`` (shares of the
-    common words, then of all others), ``ref_n`` (words behind it)."""
-    base = with_words(docs.select("lang", "text"))
-    base = base.where(F.size("_w") >= rules.min_words).withColumn(
-        "word_chars", F.length(F.array_join("_w", "")).cast("long"))
-    classes = (with_classes(base).groupBy("lang")
-               .agg(*[F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(len(CLASSES))]))
-    total = sum((F.col(f"c{i}") for i in range(len(CLASSES))), F.lit(0))
-    classes = classes.select("lang", F.array(
-        *[F.col(f"c{i}") / total for i in range(len(CLASSES))]).alias("ref_c"))
-    cut = with_common(base, rules)
-    totals = cut.groupBy("lang").agg(F.sum("_n_all").alias("ref_n"))
-    counts = (cut.select("lang", F.explode("_short").alias("word"))
-              .groupBy("lang", "word").agg(F.count("*").alias("n"))
-              .where(F.col("word").rlike(r"^\p{L}+$")))
+    common words, of words without a letter and of all others), ``ref_n`` (words behind it). Classes are summed over
+    texts of ``min_chars`` non-space characters or more, words over texts of ``min_words``."""
+    n = len(CLASSES)
+    text = docs.select("lang", F.coalesce("text", F.lit("")).alias("_t"))
+    chars = text.select("lang", F.regexp_replace("_t", PLAIN, "").alias("_r"), (
+        F.length("_t") - only(F.col("_t"), r"[^\x20\x09-\x0D]+")).cast("long").alias("word_chars"))
+    classes = (with_classes(chars.where(F.col("word_chars") >= rules.min_chars)).groupBy("lang")
+               .agg(*[F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(n)]))
+    total = sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
+    classes = classes.select("lang", F.array(*[F.col(f"c{i}") / total for i in range(n)]).alias("ref_c"))
+    words = text.select("lang", words_of(F.col("_t")).alias("_w")).where(F.size("_w") >= rules.min_words)
+    # Longer words are counted together (word null), so few keys are shuffled.
+    counts = (words.select("lang", F.explode("_w").alias("w"))
+              .groupBy("lang", F.when(F.length("w") <= rules.max_common_chars, F.col("w")).alias("word"))
+              .agg(F.count("*").alias("n")))
+    counts = materialize(counts, "word-counts")
+    marks = F.when(~F.col("word").rlike(LETTER), F.col("n")).otherwise(0)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("ref_n"), F.sum(marks).alias("ref_marks"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = (counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rules.n_common)
-           .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top")))
-    share = F.transform("top", lambda x: x["n"] / F.col("ref_n"))
-    same = [F.col(f"a.lang").eqNullSafe(F.col(f"b.lang"))]
-    both = totals.alias("a").join(top.alias("b"), same).select("a.lang", "ref_n", "top")
+    top = (counts.where(F.col("word").rlike(r"^\p{L}+$")).withColumn("k", F.row_number().over(order))
+           .where(F.col("k") <= rules.n_common).groupBy("lang")
+           .agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top")))
+    same = F.col("a.lang").eqNullSafe(F.col("b.lang"))
+    both = totals.alias("a").join(top.alias("b"), same).select("a.lang", "ref_n", "ref_marks", "top")
     both = both.select("lang", "ref_n", F.transform("top", lambda x: x["word"]).alias("ref_words"),
-                       share.alias("_p"))
-    other = F.lit(1.0) - F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
-    both = both.select("lang", "ref_n", "ref_words", F.concat("_p", F.array(other)).alias("ref_p"))
+                       F.concat(F.transform("top", lambda x: x["n"] / F.col("ref_n")),
+                                F.array(F.col("ref_marks") / F.col("ref_n"))).alias("_p"))
+    both = both.select("lang", "ref_n", "ref_words", with_other("_p").alias("ref_p"))
     return (both.alias("a").join(classes.alias("b"), same)
             .select("a.lang", "ref_n", "ref_words", "ref_p", "ref_c")
             .where(F.col("ref_n") >= rules.min_reference_words))
@@ -116,17 +117,18 @@ def judge(docs: DataFrame, refs: DataFrame, rules: Rules = Rules()) -> DataFrame
     docs = docs.drop(*ADDED)
     df = docs.select(F.struct("*").alias("_row"), "text", "lang")
     df = with_base(with_words(df))
-    df = with_common(with_classes(df), rules)
+    df = with_classes(df).withColumn("_short", F.filter(
+        "_w", lambda w: F.length(w) <= rules.max_common_chars))
     refs = refs.withColumnRenamed("lang", "_ref_lang")
     df = df.join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("_ref_lang")), "left")
     judged = ((F.col("n_words") >= rules.min_words) & (F.col("word_chars") >= rules.min_chars)
-              & F.col("ref_n").isNotNull() & (F.col("_n_all") > 0))
+              & F.col("ref_n").isNotNull())
     df = df.withColumn("_pc", F.when(judged, F.transform("_c", lambda x: x / F.col("word_chars"))))
     hits = F.transform("ref_words", lambda k: (
-        F.size("_short") - F.size(F.array_remove("_short", k))) / F.col("_n_all"))
-    df = df.withColumn("_hits", F.when(judged, hits))
-    df = df.withColumn("_pw", F.concat("_hits", F.array(
-        F.lit(1.0) - F.aggregate("_hits", F.lit(0.0), lambda a, x: a + x))))
+        F.size("_short") - F.size(F.array_remove("_short", k))) / F.col("n_words"))
+    marks = F.size(F.filter("_short", lambda w: ~w.rlike(LETTER))) / F.col("n_words")
+    df = df.withColumn("_hits", F.when(judged, F.concat(hits, F.array(marks))))
+    df = df.withColumn("_pw", with_other("_hits"))
     df = (df.withColumn("class_js", F.round(jensen_shannon("_pc", "ref_c"), 9))
           .withColumn("word_js", F.round(jensen_shannon("_pw", "ref_p"), 9)))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_n_words) | (

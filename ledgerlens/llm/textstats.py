@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
+#: What is left of a text without these runs holds every character of the rarer classes.
+PLAIN = r"[a-z\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
 
@@ -23,14 +25,16 @@ def words_of(text: Column) -> Column:
 
 
 def with_words(df: DataFrame, text: str = "text", out: str = "_w") -> DataFrame:
-    """Add the word array and the text with null as empty (``_t``)."""
+    """Add the word array, the text with null as empty (``_t``) and what is left of it without
+    lower-case letters and white space (``_r``), on which rarer characters are counted."""
     return (df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-            .withColumn(out, words_of(F.col("_t"))))
+            .withColumn(out, words_of(F.col("_t")))
+            .withColumn("_r", F.regexp_replace("_t", PLAIN, "")))
 
 
 def with_base(df: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to a frame that
-    has ``_t`` and ``_w``; the helper columns it makes are dropped again.
+    has ``_t``, ``_w`` and ``_r``; the helper columns it makes are dropped again.
 
     The windows of five words are hashed row by row inside the array of one document, so
     nothing is shuffled. Texts whose windows are all distinct (nearly all) stop there; for
@@ -39,13 +43,13 @@ def with_base(df: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = (df.withColumn("n_words", F.size("_w").cast("long"))
           .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
-          .withColumn("n_symbols", only(F.col("_t"), SYMBOLS).cast("long"))
+          .withColumn("n_symbols", only(F.col("_r"), SYMBOLS).cast("long"))
           .withColumn("_lines", lines)
           .withColumn("n_dup_lines",
                       (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-          .withColumn("_win", F.when(F.size("_w") > WINDOW, F.transform(
-              F.sequence(F.lit(0), F.size("_w") - WINDOW),
-              lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)]))))
+          .withColumn("_win", F.when(F.size("_w") > WINDOW, F.slice(F.transform(
+              "_w", lambda w, i: F.xxhash64(w, *[F.get("_w", i + k) for k in range(1, WINDOW)])),
+              1, F.size("_w") - WINDOW + 1)))
           .withColumn("_sorted", F.when(
               F.size(F.array_distinct("_win")) < F.size("_win"),
               F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))

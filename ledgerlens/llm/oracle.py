@@ -1,7 +1,9 @@
 """DuckDB SQL of the operator queries that SQL can express."""
 from __future__ import annotations
 
+from ledgerlens.llm.mixing import Mix
 from ledgerlens.llm.quality_rules import CLASS_RUNS, Rules
+from ledgerlens.llm.sharding import LIMIT
 
 
 def _kept_chars(runs: str) -> str:
@@ -56,4 +58,49 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND NOT coalesce(class_js > {r.max_class_js} OR word_js > {r.max_word_js}, FALSE) AS kept FROM b"""
 
 
-ORACLE = {"op4_quality_rules": quality_rules()}
+def mixing(source: str = "documents", m: Mix = Mix(), sweeps: int = 25) -> str:
+    """All of op1: topics, cells, tempered targets, ``sweeps`` raking sweeps, draws."""
+    keys = ["source", "lang", "topic"]
+    steps, was = [], "c0"
+    steps.append("c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS tokens, "
+                 "CAST(sum(n) AS DOUBLE) AS w FROM t WHERE n > 0 GROUP BY ALL)")
+    for k in keys:
+        steps.append(f"g_{k} AS MATERIALIZED (SELECT {k} AS l, s / sum(s) OVER () AS share FROM "
+                     f"(SELECT {k}, pow(sum(tokens), {m.temper}) AS s FROM c0 GROUP BY {k}))")
+    for i in range(sweeps):
+        for k in keys:
+            now = f"c{i}_{k}"
+            steps.append(f"{now} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * share / "
+                         f"sum(w) OVER (PARTITION BY {k}) AS w FROM {was} JOIN g_{k} ON {k} IS NOT DISTINCT FROM l)")
+            was = now
+    same = " AND ".join(f"t.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)
+    return f"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM {source}),
+n AS (SELECT *, len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n,
+  length(t) - length(replace(t, chr(10), '')) + 1 AS lines,
+  length(regexp_replace(t, '[^#*$%&|<>=+@/\\\\^_~{{}}\\[\\]`]+', '', 'g')) AS marks FROM d),
+t AS (SELECT doc_id, source, lang, n, CASE WHEN marks * 20 > n THEN 'markup' WHEN n < 6 * lines THEN 'list'
+  WHEN n < 200 THEN 'note' ELSE 'prose' END AS topic FROM n),
+{", ".join(steps)},
+r AS (SELECT source, lang, topic, w / tokens AS r FROM {was}),
+p AS (SELECT source, lang, topic, r / (SELECT max(r) FROM r) * {m.rate} AS p FROM r)
+SELECT doc_id, t.source, t.lang, t.topic, CAST(n AS BIGINT) AS n_tokens, round(coalesce(p, 0), 6) AS probability,
+  CAST('0x' || substr(md5('{m.seed}:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < coalesce(p, 0) AS sampled
+FROM t LEFT JOIN p ON {same}"""
+
+
+def sharding(source: str = "documents", limit: int = LIMIT, deepest: int = 24) -> str:
+    """op9 where no id repeats and no bucket is deeper than ``deepest``: the shortest prefix whose
+    rows fit the limit, or the row alone."""
+    return f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 11) AS BIGINT) AS h FROM {source}),
+e AS (SELECT *, h >> (44 - depth) AS bucket FROM d, (SELECT unnest(range(0, {deepest + 1})) AS depth)),
+f AS (SELECT depth, bucket, sum(bytes) AS total FROM e GROUP BY ALL HAVING total <= {limit}),
+g AS (SELECT doc_id, min(e.depth) AS depth FROM e JOIN f USING (depth, bucket) GROUP BY doc_id)
+SELECT doc_id, CASE depth WHEN 0 THEN '' ELSE lpad(bin(h >> (44 - depth)), CAST(depth AS INTEGER), '0') END AS shard,
+  CAST(depth AS INTEGER) AS depth, CAST(bytes AS BIGINT) AS bytes, FALSE AS oversized FROM d JOIN g USING (doc_id)"""
+
+
+ORACLE = {"op1_mixing": mixing(), "op9_sharding": sharding(),
+          "op4_quality_rules": quality_rules()}

@@ -5,9 +5,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import classifier, pieces, quality_rules, simhash
+from ledgerlens.llm import classifier, mixing, pieces, quality_rules, sharding, simhash, tokenfile
 from ledgerlens.llm.oracle import ORACLE
-from ledgerlens.session import ship_package
+from ledgerlens.session import scratch_path, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.sample(docs).drop("text").withColumn("probability", F.round("probability", 6))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,6 +46,18 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_quality_rules, op5_classifier, op6_pieces)}
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "tokens")
+    tokenfile.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read(spark, path)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_simhash, op4_quality_rules, op5_classifier, op6_pieces, op7_tokenfile,
+                                 op9_sharding)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -85,8 +85,8 @@ def rake(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame], mix:
 def shares(cells: DataFrame, key: str, power: float) -> DataFrame:
     """Observed token shares of a margin to a power, summing to one."""
     sums = cells.groupBy(F.col(key).alias("level")).agg(F.pow(F.sum("tokens"), power).alias("s"))
-    total = sums.agg(F.sum("s").alias("t"))
-    return sums.crossJoin(F.broadcast(total)).select("level", (F.col("s") / F.col("t")).alias("share"))
+    total = sums.agg(F.sum("s")).first()[0]
+    return sums.select("level", (F.col("s") / F.lit(total)).alias("share"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None,

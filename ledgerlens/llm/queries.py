@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import classifier, mixing, pieces, quality_rules, sharding, simhash, tokenfile
+from ledgerlens.llm import classifier, mixing, pieces, quality_rules, separators, sharding, simhash, tokenfile, warc
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.session import scratch_path, ship_package
 
@@ -53,11 +53,25 @@ def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
+def op8_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, end_id = scratch_path(spark, "flat"), 50256
+    separators.write_flat(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN, end_id)
+    return separators.counts(spark.read.parquet(path), end_id)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, path = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    warc.write_arc(table(spark, sf_dir, "pages"), arc)
+    warc.convert(spark.read.parquet(arc), path)
+    return warc.read_warc(spark.read.parquet(path)).drop("url")
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op3_simhash, op4_quality_rules, op5_classifier, op6_pieces, op7_tokenfile,
-                                 op9_sharding)}
+                                 op8_separators, op9_sharding, op10_warc)}
 
 __all__ = ["ORACLE", "QUERIES"]

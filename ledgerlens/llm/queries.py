@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import classifier, mixing, pieces, quality_rules, separators, sharding, simhash, tokenfile, warc
+from ledgerlens.llm import (classifier, mixing, neighbours, pieces, quality_rules, separators, sharding, simhash,
+                            tokenfile, warc)
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.session import scratch_path, ship_package
 
@@ -20,6 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(docs).drop("text").withColumn("probability", F.round("probability", 6))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark.read.parquet(path)).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_simhash, op4_quality_rules, op5_classifier, op6_pieces, op7_tokenfile,
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_simhash, op4_quality_rules, op5_classifier, op6_pieces, op7_tokenfile,
                                  op8_separators, op9_sharding, op10_warc)}
 
 __all__ = ["ORACLE", "QUERIES"]

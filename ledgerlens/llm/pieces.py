@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ledgerlens.llm.chunks import Memory, gathered, slices, words_of
+
 SPACE = "▁".encode()
 
 
@@ -98,14 +100,7 @@ class Normaliser:
         space = SPACE if self.escape else b" "
         if not text:
             return b"", np.zeros(1, "i8")
-        if not self.char_map.units and not self.strip:
-            raw = np.frombuffer(text, "u1")
-            width = np.where(raw == 0x20, len(space), 1)
-            at = np.repeat(np.arange(len(raw)), width)
-            lead = len(space) if self.prefix else 0
-            return ((space if self.prefix else b"") + text.replace(b" ", space),
-                    np.concatenate([np.zeros(lead, "i8"), at, [len(raw)]]))
-        out, at, k = [], [], 0
+        out, k = [], 0
         while k < len(text):
             found = self.char_map.longest(text, k)
             if found:
@@ -137,25 +132,82 @@ class Normaliser:
             at += [start] * len(new)
         return b"".join(norm), np.array([*at, chars[-1][2]], "i8")
 
+    def aligned(self, texts: list[bytes]) -> tuple[list[int], np.ndarray]:
+        """For a model without character map and white-space removal: the normalised length of every
+        text, and for each normalised byte of all texts the original one, in sequence."""
+        lead = len(SPACE if self.escape else b" ") if self.prefix else 0
+        raw = np.frombuffer(b"".join(texts), "u1")
+        width = np.ones(len(raw), "i8")
+        if self.escape:
+            width[raw == 0x20] = len(SPACE)
+        full = np.array([len(x) for x in texts], "i8")
+        width[(np.cumsum(full) - full)[full > 0]] += lead
+        lengths = np.concatenate([[0], np.cumsum(width)])[np.cumsum(full)]
+        return np.diff(lengths, prepend=0).tolist(), np.repeat(np.arange(len(raw)), width)
+
 
 class Encoder:
+    """Encodes batches of texts. Where no piece of the model holds a blank behind another character,
+    merges never cross from word to word; then the words of a text whose blanks are single encode
+    as they do alone, and each distinct word is asked for once. Other texts are encoded whole."""
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
         self.model = SentencePieceProcessor(model_file=path)
-        proto = self.model.serialized_model_proto()
-        self.normaliser = Normaliser.of_model(proto)
+        self.normaliser = Normaliser.of_model(self.model.serialized_model_proto())
         n = self.model.get_piece_size()
-        self.width = np.array([1 if self.model.is_byte(i) else len(self.model.id_to_piece(i).encode())
-                               for i in range(n)], "i4")
-
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First byte and end of every piece in the UTF-8 bytes of ``text``."""
-        norm, at = self.normaliser.normalise(text.encode())
-        end = np.cumsum(self.width[ids], dtype="i8")
-        if len(ids) and end[-1] != len(norm):
+        names = [self.model.id_to_piece(i) for i in range(n)]
+        self.width = np.array([1 if self.model.is_byte(i) else len(x.encode()) for i, x in enumerate(names)], "i4")
+        rules = self.normaliser
+        self.plain = not rules.char_map.units and not rules.strip
+        self.by_word = self.plain and rules.prefix and rules.escape and not any(
+            "\u2581" in x.lstrip("\u2581") or x.startswith("\u2581\u2581") and x.strip("\u2581") for x in names)
+        self.words = Memory(lambda chunks: self.model.encode(chunks, num_threads=1))
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Piece ids of every text."""
+        if not self.by_word:
+            return [np.array(x, "<u4") for x in self.model.encode([x or "" for x in texts.to_pylist()], num_threads=1)]
+        self.words.trim()
+        at, distinct, edge = words_of(texts)
+        known = self.words.known
+        self.words.learn([x for x in distinct if x and x not in known and "\u2581" not in x])
+        ids = [known.get(x) for x in distinct]
+        good = np.array([x is not None for x in ids], bool)
+        plain = np.logical_and.reduceat(good[at], edge[:-1]) if len(at) else np.zeros(0, bool)
+        flat, ends = gathered(ids, at)
+        ends = np.concatenate([[0], ends])
+        whole = np.flatnonzero(~plain)
+        other = dict(zip(whole, self.model.encode([texts[int(k)].as_py() or "" for k in whole], num_threads=1), strict=True))
+        return [flat[ends[a]:ends[b]] if ok else np.array(other[k], "<u4")
+                for k, (a, b, ok) in enumerate(zip(edge[:-1], edge[1:], plain, strict=True))]
+
+    def spans(self, texts: pa.Array, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of every piece, all texts in sequence, in the UTF-8 bytes of its text."""
+        raw = [(x.as_py() or "").encode() for x in texts]
+        if self.plain:      # one alignment for all texts
+            joined, at = self.normaliser.aligned(raw)
+            before = np.cumsum([0, *map(len, raw)])[:-1]
+        else:
+            found = [self.normaliser.normalise(x) for x in raw]
+            joined = [len(x) for x, _ in found]
+            before = np.cumsum([0, *map(len, raw)])[:-1]
+            at = np.concatenate([np.zeros(0, "i8"), *[a[:-1] + b for (_, a), b in zip(found, before, strict=True)]])
+            stop = [int(a[-1]) for _, a in found]
+        counts = np.array([len(x) for x in ids], "i8")
+        flat = np.concatenate([np.zeros(0, "<u4"), *ids])
+        end = np.cumsum(self.width[flat], dtype="i8")
+        last = np.cumsum(counts) - 1
+        covered = np.concatenate([[0], end])[last + 1]
+        if (covered != np.cumsum(joined)).any():
             raise ValueError("the pieces do not cover the normalised text")
-        edge = at[np.concatenate([[0], end])] if len(ids) else np.zeros(1, "i8")
-        return edge[:-1].astype("i4"), edge[1:].astype("i4")
+        shift = np.repeat(before, counts)
+        begins = at[end - self.width[flat]] - shift
+        ends = np.empty(len(flat), "i8")
+        ends[:-1] = begins[1:]
+        full = counts > 0
+        ends[last[full]] = np.array([len(x) for x in raw] if self.plain else stop, "i8")[full]
+        return begins.astype("i4"), ends.astype("i4")
 
 
 @functools.cache
@@ -163,25 +215,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Add ``ids``, ``begins`` and ``ends`` (arrays: piece ids and their byte spans in the UTF-8
-    original) to every row. ``text`` itself is left out; join it back by id if wanted."""
-    kept = [c for c in docs.columns if c not in (text, "ids", "begins", "ends")]
+    original) to every row, and on demand ``decoded``, as ``decode`` would. ``text`` itself is left
+    out; join it back by id if wanted."""
+    kept = [c for c in docs.columns if c not in (text, "ids", "begins", "ends", "decoded")]
+    names = [*kept, "ids", "begins", "ends", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part in parts(batch):
-                texts = [x or "" for x in part.column(len(kept)).to_pylist()]
-                ids = [np.array(x, "i4") for x in own.model.encode(texts, num_threads=1)]
-                spans = [own.spans(t, x) for t, x in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], lists(ids), lists([a for a, _ in spans]), lists([b for _, b in spans])],
-                    [*kept, "ids", "begins", "ends"])
+            for part in slices(batch, len(kept), 2_000_000):
+                texts = part.column(len(kept))
+                ids = own.ids(texts)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4"))
+                columns = [np.concatenate([np.zeros(0, "<u4"), *ids]).astype("i4"), *own.spans(texts, ids)]
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+                if decoded:
+                    columns.append(pa.array([own.model.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names)
 
     schema = docs.select(*kept).schema
     for name in ("ids", "begins", "ends"):
         schema = schema.add(name, ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", "string")
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
@@ -193,18 +251,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            texts = [own.model.decode(x or []) for x in batch.column(at).to_pylist()]
+            texts = [own.model.decode(x.as_py() or []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(run, encoded.select(*kept).schema.add("decoded", "string"))
-
-
-def parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
-def lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype("i4")
-    values = np.concatenate(arrays) if arrays else np.zeros(0, "i4")
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype("i4"), pa.int32()))

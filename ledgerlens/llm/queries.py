@@ -42,13 +42,17 @@ def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "score", "predicted")
 
 
+def digests(encoded: DataFrame) -> DataFrame:
+    """n_tokens and the SHA-256 digests of ids and decoded text beside the columns of ``encoded``."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return (encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(ids, 256))
+            .withColumn("decoded_sha256", F.sha2("decoded", 256)))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pieces.decode(pieces.encode(docs, model), model)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:

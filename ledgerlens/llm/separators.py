@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ledgerlens.llm.tokenfile import in_order, slices
+from ledgerlens.llm.chunks import slices
+from ledgerlens.llm.tokenfile import in_order
 from ledgerlens.session import materialize
 
 BLOCK = 1 << 20

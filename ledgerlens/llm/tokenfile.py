@@ -27,15 +27,15 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.chunks import Memory, gathered, slices, words_of
+
 MAGIC = 0x31424650
 BLOCK = 1024
 PERCENTILE = 0.9
@@ -106,66 +106,39 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 
 class ChunkEncoder:
-    """Ids of texts. The words of a batch are made distinct first; the ids of distinct chunks are
-    kept, up to ``most`` characters, for later batches."""
+    """Ids of texts from those of their distinct chunks."""
 
-    def __init__(self, path: str, most: int = 6_000_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}       # chunks as they stand
-        self.tails: dict[str, bytes] = {}       # chunks without their leading blank
-        self.most, self.size = most, 0
-
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        found = self.tokenizer.encode_batch_fast([lead + x for x in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate(map(len, ids)))
-        known.update((x, flat[4 * a:4 * b]) for x, a, b in zip(new, [0, *ends], ends, strict=False))
-        self.size += sum(map(len, new))
+        tokenizer = Tokenizer.from_file(path)
+
+        def ask(lead):
+            return lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(
+                [lead + x for x in chunks], add_special_tokens=False)]
+        self.heads = Memory(ask(""))        # chunks as they stand
+        self.tails = Memory(ask(" "))       # chunks without their leading blank
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of every text as little-endian 32-bit bytes."""
-        if self.size > self.most:
-            self.heads, self.tails, self.size = {}, {}, 0
-        words = pc.split_pattern(pc.fill_null(texts, ""), " ")
-        edge = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
-        coded = words.flatten().dictionary_encode()
-        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        self._learn(self.tails, [x for x in distinct if x not in self.tails and PLAIN.fullmatch(x)], " ")
-        ids = [self.tails.get(x) for x in distinct]
-        good = np.array([x is not None for x in ids], bool)
-        size = np.array([len(x or b"") // 4 for x in ids], "i4")
-        flat = np.frombuffer(b"".join(x for x in ids if x), "<u4")
+        self.heads.trim()
+        self.tails.trim()
+        at, distinct, edge = words_of(texts)
+        known = self.tails.known
+        self.tails.learn([x for x in distinct if x not in known and PLAIN.fullmatch(x)])
+        ids = [known.get(x) for x in distinct]
         # A text whose blanks do not all stand between printable characters is cut by the pattern.
+        good = np.array([x is not None for x in ids], bool)
         plain = np.logical_and.reduceat(good[at], edge[:-1]) if len(at) else np.zeros(0, bool)
         heads = [[distinct[at[a]]] if ok else BREAK.split(x.as_py() or "")
                  for a, ok, x in zip(edge[:-1], plain, texts, strict=True)]
-        self._learn(self.heads, list({x for h in heads for x in h} - self.heads.keys()), "")
-        n = size[at]
-        n[edge[:-1]] = 0                            # first words stand in heads
-        ends = np.cumsum(n, dtype="i8")
-        begin = np.cumsum(size, dtype="i8") - size
-        rest = flat[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        ends = 4 * np.concatenate([[0], ends])
-        head = self.heads.__getitem__
+        self.heads.learn(list({x for h in heads for x in h} - self.heads.known.keys()))
+        rest, ends = gathered(ids, at, edge[:-1])       # first words stand in heads
+        rest, ends = rest.tobytes(), 4 * np.concatenate([[0], ends])
+        head = self.heads.known.__getitem__
         return [b"".join(map(head, h)) + (rest[ends[a]:ends[b]] if ok else b"")
                 for h, a, b, ok in zip(heads, edge[:-1], edge[1:], plain, strict=True)]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of up to ``most`` bytes of the column, or one row."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    first = held = 0
-    for k, n in enumerate(size):
-        if k > first and held + n > most:
-            yield batch.slice(first, k - first)
-            first, held = k, 0
-        held += n
-    if batch.num_rows:
-        yield batch.slice(first)
-
-
 @functools.cache
 def chunk_encoder(path: str) -> ChunkEncoder:
     import os

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.quality_rules import CLASSES, with_classes
-from ledgerlens.llm.textstats import with_base, with_words
+from ledgerlens.llm.textstats import pinned, with_base, with_words
 from ledgerlens.session import materialize
 
 STATISTICS = ["length", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits",
@@ -138,5 +138,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     columns of those names are replaced, all others kept whatever their names."""
     docs = docs.drop("score", "predicted")
     df = with_statistics(docs.select(F.struct("*").alias("_row"), "text"))
-    df = df.withColumn("score", score_column(model).cast("double"))
+    df = df.withColumn("score", pinned(score_column(model).cast("double")))
     return df.select("_row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

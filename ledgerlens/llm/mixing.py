@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.textstats import only, words_of
+from ledgerlens.llm.textstats import only, pinned, words_of
 from ledgerlens.session import materialize
 
 ADDED = ["topic", "n_tokens", "probability", "sampled"]
@@ -96,7 +96,7 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic:
     docs = docs.drop(*ADDED)
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), "source", "lang",
                        F.coalesce("text", F.lit("")).alias("_t"))
-    rows = rows.withColumn("n_tokens", F.size(words_of(F.col("_t"))).cast("long"))
+    rows = rows.withColumn("n_tokens", pinned(F.size(words_of(F.col("_t"))).cast("long")))
     rows = rows.withColumn("topic", topic if topic is not None else text_form(F.col("_t"), F.col("n_tokens")))
     keys = ["source", "lang", "topic"]
     cells = materialize(rows.where("n_tokens > 0").groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "cells")
@@ -114,5 +114,5 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic:
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     # The ratios are a written table of known size: Spark broadcasts it only below its threshold.
     rows = rows.join(ratio, same[0] & same[1] & same[2], "left").withColumn(
-        "probability", F.coalesce("_p", F.lit(0.0))).withColumn("sampled", draw < F.col("probability"))
+        "probability", F.coalesce("_p", F.lit(0.0))).withColumn("sampled", pinned(draw < F.col("probability")))
     return rows.select("_row.*", *ADDED)

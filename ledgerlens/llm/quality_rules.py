@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.textstats import PLAIN, only, with_base, with_words, words_of
+from ledgerlens.llm.textstats import PLAIN, only, pinned, with_base, with_words, words_of
 from ledgerlens.session import materialize
 
 #: Characters of each class, as the runs that are NOT of the class.
@@ -71,13 +71,13 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     texts of ``min_chars`` non-space characters or more, words over texts of ``min_words``."""
     n = len(CLASSES)
     text = docs.select("lang", F.coalesce("text", F.lit("")).alias("_t"))
-    chars = text.select("lang", F.regexp_replace("_t", PLAIN, "").alias("_r"), (
-        F.length("_t") - only(F.col("_t"), r"[^\x20\x09-\x0D]+")).cast("long").alias("word_chars"))
+    chars = text.select("lang", F.regexp_replace("_t", PLAIN, "").alias("_r"),
+        pinned(F.length("_t") - only(F.col("_t"), r"[^\x20\x09-\x0D]+")).cast("long").alias("word_chars"))
     classes = (with_classes(chars.where(F.col("word_chars") >= rules.min_chars)).groupBy("lang")
                .agg(*[F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(n)]))
     total = sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
     classes = classes.select("lang", F.array(*[F.col(f"c{i}") / total for i in range(n)]).alias("ref_c"))
-    words = text.select("lang", words_of(F.col("_t")).alias("_w")).where(F.size("_w") >= rules.min_words)
+    words = text.select("lang", pinned(words_of(F.col("_t"))).alias("_w")).where(F.size("_w") >= rules.min_words)
     # Longer words are counted together (word null), so few keys are shuffled.
     counts = (words.select("lang", F.explode("_w").alias("w"))
               .groupBy("lang", F.when(F.length("w") <= rules.max_common_chars, F.col("w")).alias("word"))
@@ -134,7 +134,7 @@ def judge(docs: DataFrame, refs: DataFrame, rules: Rules = Rules()) -> DataFrame
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_n_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")))
     diverges = ((F.col("class_js") > rules.max_class_js) | (F.col("word_js") > rules.max_word_js))
-    df = df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(diverges, F.lit(False)))
+    df = df.withColumn("kept", pinned(~F.col("base_failed") & ~F.coalesce(diverges, F.lit(False))))
     return df.select("_row.*", *ADDED)
 
 

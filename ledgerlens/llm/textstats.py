@@ -20,6 +20,12 @@ def only(text: Column, dropped: str) -> Column:
     return F.length(F.regexp_replace(text, dropped, ""))
 
 
+def pinned(value: Column) -> Column:
+    """The value, computed where it stands: because it names the partition, the optimiser does not
+    copy the expression into filters below, where arrays would be built anew for each use."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE), "")
 

@@ -15,7 +15,7 @@ import argparse
 import json
 import sys
 
-from .constants import MEMO_TOP_N_DEFAULT, SENSITIVITY
+from .constants import MEMO_TOP_N_DEFAULT, MEMO_TOP_N_MAX, SENSITIVITY
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -33,6 +33,7 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     r.add_argument("--format", default="parquet", choices=["parquet", "json"])
     r.add_argument("--memos", type=int, default=None, nargs="?", const=MEMO_TOP_N_DEFAULT,
+                   choices=range(1, MEMO_TOP_N_MAX + 1), metavar="N",
                    help="also build memos for the top N queue rows (1..20)")
     r.add_argument("--memo-candidates", help="parquet table (position, memo_json) to validate")
     r.add_argument("--date-format", default=None)

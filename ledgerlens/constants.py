@@ -102,7 +102,7 @@ SKIP_CROSS = "Cross-footing check skipped (no debit_amount / credit_amount colum
 SKIP_PERIOD = "Period bounds not provided — check skipped."
 SKIP_MAPPING = "Account mapping check skipped (columns missing)."
 
-# Review-packet texts.
+# --- FIXED VALUES: review-packet texts ------------------------------------------
 ACTION_BOTH = "Review the {high} first, then the {medium}."
 ACTION_ONE = "Review the {items}."
 ACTION_NONE = "No High or Medium priority items — the review queue is clear."
@@ -172,3 +172,39 @@ COSO_MAP = [("missing description", ["Information and Communication"]),
             ("non-standard", ["Risk Assessment"]),
             ("management override", ["Control Environment"])]
 COSO_DEFAULT = ["Control Activities"]
+
+# Texts of the rule memos: this library's own sentences, one plan per field. They are filled by
+# functions.text.fill (Spark) and fill_sql (oracle).
+FLAGS_PLACEHOLDER = "a check that left no name"
+AMOUNT_PLACEHOLDER = "an amount not on file"
+MEMO_SUMMARY = ("Checks on this entry of {amount} raised: {flags}. Trace it to its support before relying "
+                "on the account.")
+SUMMARY_OVERRIDE = " Some of these checks strengthen each other, so the entry moved up in the queue."
+SUMMARY_COMBINED = " Two or more of the combined-risk checks fired."
+SUMMARY_LARGE = " Its size alone matters to the statements."
+SUMMARY_SMALL = " Its size alone would not matter to the statements."
+SUMMARY_CLOSE = " These are screening results; they do not explain why the entry was made."
+MEMO_ASSERTIONS = "If the entry is wrong, {assertions} would be affected first, so aim the tests there."
+MAGNITUDE_LARGE = "{amount} is over the materiality figure of this engagement: size by itself calls for a test."
+MAGNITUDE_SMALL = "{amount} is under the materiality figure of this engagement: test it for its kind, not its size."
+MAGNITUDE_OPEN = "No comparison with a materiality figure is on file for {amount}; weigh size and kind together."
+LIKELIHOOD_MANY = ("Separate checks point at the same entry, so chance is a weaker explanation for it than for "
+                   "most; take it early.")
+LIKELIHOOD_FEW = "Number of checks behind this entry: {n}. The usual review steps should be enough to settle it."
+MEMO_CONTROLS = "Ask how {components} should have prevented or shown an entry like this one, and test that it did."
+FOLLOW_UP_BASE = ["Match the entry to its source document and to the payment or receipt behind it",
+                  "Ask for an explanation of the entry and keep the answer together with its evidence",
+                  "Find out who entered and who approved it, and whether the duties were kept apart"]
+FOLLOW_UP_CONDITIONAL = [
+    (("new vendor",), "Search the vendor master for when, how and by whom this vendor was added"),
+    (("missing description", "weak documentation"), "Have the reason for the entry written down and test it against other records"),
+    (("near approval",), "Add up this vendor's entries of the same weeks and hold the sum against the approval limit"),
+    (("weekend posting",), "Look up the log-in times of that day and who was scheduled to work"),
+    (("unusual amount",), "Chart the account's entries of the year and explain where this one lies"),
+]
+FOLLOW_UP_OVERRIDE = "Test the entry and its neighbours as one group, since several checks met on it"
+
+# Request text for an externally written memo: the facts of the row under this library's labels.
+PROMPT_HEAD = "Company kind: {entity}\nBooks: {start} to {end}\nOne ledger entry\n"
+PROMPT_SUMMARY = "Say in one or two careful sentences what a reviewer should look at."
+PROMPT_MEMO = "Answer with one JSON object that has the seven memo fields."

@@ -3,56 +3,38 @@
 The review tool asks a hosted model for a 7-field memo per selected row and falls back
 to a rule-built memo when the answer is missing or fails validation. Here the hosted
 call is out of scope: candidates, if any, arrive as a table ``(position, memo_json)``
-produced elsewhere; this module ranks and selects rows, builds the prompts, builds the
-rule memos, validates candidates (first failure is the reason), keeps valid candidates
-and attaches memos to the queue. Everything is column expressions over the (at most
-20) selected rows, except the validator, which runs over whatever candidate table is
-given — row-local, so it scales with the candidate table.
-
-Wording of the rule memos is this engine's own; the choice logic (which sentence,
-which assertions / components, which follow-ups) follows the source tool.
+produced elsewhere; this module ranks rows, builds the prompts, builds the rule memos,
+validates candidates (first failure is the reason), keeps one valid candidate per position
+(the greatest text where several are valid) and attaches one memo to each row of the queue.
+Everything is column expressions and joins over the rows asked for, by default the whole
+queue. The wording of the rule memos is this library's own (constants).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (ASSERTION_DEFAULT, ASSERTION_MAP, BANNED_PHRASES,
-                         COSO_DEFAULT, COSO_MAP, DISCLAIMER, FOLLOW_UP_ITEM_LENGTH, FOLLOW_UP_ITEMS,
-                         MEMO_FIELDS, MEMO_LENGTH_BOUNDS, MEMO_TOP_N_DEFAULT, MEMO_TOP_N_MAX,
-                         NAME_LEAK_PATTERNS, STATUS_CANDIDATE, STATUS_FALLBACK, STATUS_NONE,
-                         TIER_MEMO_RANK, TIER_MEMO_RANK_UNKNOWN)
+from ..constants import (AMOUNT_PLACEHOLDER, ASSERTION_DEFAULT, ASSERTION_MAP, BANNED_PHRASES, COSO_DEFAULT,
+                         COSO_MAP, DISCLAIMER, FLAGS_PLACEHOLDER, FOLLOW_UP_BASE, FOLLOW_UP_CONDITIONAL,
+                         FOLLOW_UP_ITEM_LENGTH, FOLLOW_UP_ITEMS, FOLLOW_UP_OVERRIDE, LIKELIHOOD_FEW,
+                         LIKELIHOOD_MANY, MAGNITUDE_LARGE, MAGNITUDE_OPEN, MAGNITUDE_SMALL, MEMO_ASSERTIONS,
+                         MEMO_CONTROLS, MEMO_FIELDS, MEMO_LENGTH_BOUNDS, MEMO_SUMMARY, NAME_LEAK_PATTERNS,
+                         PROMPT_HEAD, PROMPT_MEMO, PROMPT_SUMMARY, STATUS_CANDIDATE, STATUS_FALLBACK,
+                         STATUS_NONE, SUMMARY_CLOSE, SUMMARY_COMBINED, SUMMARY_LARGE, SUMMARY_OVERRIDE,
+                         SUMMARY_SMALL, TIER_MEMO_RANK, TIER_MEMO_RANK_UNKNOWN)
+from ..functions.position import with_position
+from ..functions.text import fill
 from ..functions.tiers import money_text, two_decimals
 
-FLAGS_PLACEHOLDER = "the indicators flagged on this posting"
-AMOUNT_PLACEHOLDER = "the transaction amount"
-
-# Follow-up procedures: three always, then one per matching condition, in this order.
-FOLLOW_UP_BASE = ["Inspect the invoice and the supporting documentation",
-                  "Obtain evidence that the goods or services were received",
-                  "Discuss the transaction with management and corroborate the explanation"]
-FOLLOW_UP_CONDITIONAL = [
-    (("new vendor",), "Review the vendor's set-up history and due-diligence file"),
-    (("missing description", "weak documentation"),
-     "Obtain a written statement of the business purpose of this transaction"),
-    (("near approval",), "Check for similar transactions just below approval thresholds"),
-    (("weekend posting",), "Confirm why the entry was posted outside normal business days"),
-    (("unusual amount",), "Compare the amount with prior-period activity in the same account"),
-]
-FOLLOW_UP_OVERRIDE = "Record the co-occurring risk indicators in the audit workpaper"
-
-
-def clamp_top_n(top_n: int | None) -> int:
-    return max(1, min(int(top_n if top_n is not None else MEMO_TOP_N_DEFAULT), MEMO_TOP_N_MAX))
-
-
-def memo_rank(queue: DataFrame, top_n: int | None = MEMO_TOP_N_DEFAULT) -> DataFrame:
-    """Top-N rows in review order, numbered from 0 as ``position``.
+def memo_rank(queue: DataFrame, top_n: int | None = None) -> DataFrame:
+    """The queue in review order, numbered from 0 as ``position``; its first ``top_n`` rows, or all.
 
     Keys: tier (High, Medium, Low, Monitor, other), override first, co-occurrence first,
     anomaly score ascending, signed amount descending (NULL as 0); then the queue's own
-    columns so that the choice is deterministic. Distributed top-k, no global sort."""
-    n = clamp_top_n(top_n)
+    columns so that the choice is deterministic. Numbers come from a range-partitioned sort and
+    the row counts of its partitions, so no task holds the queue."""
+    if top_n is not None and top_n < 1:
+        raise ValueError("top_n must be at least 1, or None for the whole queue")
     keys = [_tier_key(),
             F.when(F.coalesce(F.col("is_qualitative_override"), F.lit(0)) == 1, 0).otherwise(1),
             F.when(F.coalesce(F.col("fraud_risk_flag"), F.lit(0)) == 1, 0).otherwise(1),
@@ -60,13 +42,14 @@ def memo_rank(queue: DataFrame, top_n: int | None = MEMO_TOP_N_DEFAULT) -> DataF
             -F.coalesce(F.col("amount"), F.lit(0.0))]
     ties = [c for c in ("journal_ref", "date", "account_name", "vendor", "amount", "row_id")
             if c in queue.columns]
+    queue = queue.drop("position")
     ordered = queue.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     order = [F.col(f"_k{i}").asc_nulls_first() for i in range(len(keys))] + \
         [F.col(c).asc_nulls_first() for c in ties]
-    top = ordered.orderBy(*order).limit(n)
-    w = Window.orderBy(*order)        # over at most 20 rows
-    return top.withColumn("position", (F.row_number().over(w) - 1).cast("int")) \
-              .drop(*[f"_k{i}" for i in range(len(keys))])
+    if top_n is not None:
+        ordered = ordered.orderBy(*order).limit(top_n)
+    return with_position(ordered, order).withColumn("position", F.col("position").cast("int")) \
+        .drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def _tier_key() -> Column:
@@ -149,66 +132,30 @@ def _materiality_kind() -> Column:
             .when((m != "") & m.contains("below"), F.lit("below")).otherwise(F.lit("other"))
 
 
+def _two(items: Column) -> Column:
+    return F.array_join(items, " and ")
+
+
 def risk_summary() -> Column:
-    """Short form (1-2 sentences) used when only a summary is requested."""
-    first = F.concat(F.lit("The "), amount_text(), F.lit(" posting shows "), flags_clause(),
-                     F.lit(", so its authorization, supporting documents and surrounding controls "
-                           "warrant follow-up."))
-    co = F.when(_override(), F.lit("several indicators co-occur, which is why the concern is raised")) \
-          .when(F.coalesce(F.col("fraud_risk_flag"), F.lit(0)) == 1,
-                F.lit("more than one fraud-risk indicator is present"))
+    """Short form, used when only a summary is requested: what was raised, why it moved up, how its
+    size compares, and what the result is not."""
+    why = F.when(_override(), F.lit(SUMMARY_OVERRIDE)) \
+        .when(F.coalesce(F.col("fraud_risk_flag"), F.lit(0)) == 1, F.lit(SUMMARY_COMBINED)).otherwise("")
     kind = _materiality_kind()
-    mat = F.when(kind == "exceeds",
-                 F.concat(F.when(co.isNotNull(), F.lit("and ")).otherwise(F.lit("")),
-                          F.lit("the amount is not quantitatively immaterial"))) \
-           .when(kind == "below",
-                 F.concat(F.when(co.isNotNull(), F.lit("but ")).otherwise(F.lit("")),
-                          F.lit("the amount sits below the relevant materiality threshold")))
-    parts = F.array_compact(F.array(co, mat))
-    second = F.when(F.size(parts) > 0,
-                    F.concat(F.lit("Note: "), F.array_join(parts, ", "),
-                             F.lit(". The analysis points to risk indicators only; it does not "
-                                   "establish intent or fraud."))) \
-              .otherwise(F.lit("The analysis points to risk indicators only; it does not establish "
-                               "intent or fraud."))
-    return F.concat(first, F.lit(" "), second)
+    size = F.when(kind == "exceeds", SUMMARY_LARGE).when(kind == "below", SUMMARY_SMALL).otherwise("")
+    return F.concat(fill(MEMO_SUMMARY, amount=amount_text(), flags=flags_clause()), why, size, F.lit(SUMMARY_CLOSE))
 
 
 def full_memo() -> Column:
     """The seven memo fields as a struct (always passes :func:`validate_memos`)."""
-    amt = amount_text()
-    summary = F.concat(F.lit("The "), amt, F.lit(" posting shows "), flags_clause(),
-                       F.lit(", so its authorization, supporting documents and surrounding controls "
-                             "warrant follow-up."))
-    a = assertions()
-    a_text = F.when(F.size(a) > 1, F.concat(F.get(a, 0), F.lit(" and "), F.get(a, 1))).otherwise(F.get(a, 0))
-    assertion = F.concat(F.lit("The pattern bears on the "), a_text, F.lit(" assertion"),
-                         F.when(F.size(a) > 1, F.lit("s")).otherwise(F.lit("")),
-                         F.lit("; further procedures should confirm that the transaction is valid "
-                               "and properly recorded."))
-    kind = _materiality_kind()
-    magnitude = (F.when(kind == "exceeds", F.concat(
-        F.lit("At "), amt, F.lit(", the amount is above the applicable materiality threshold and "
-                                 "should not be set aside as quantitatively insignificant.")))
-        .when(kind == "below", F.concat(
-            F.lit("At "), amt, F.lit(", the amount is below the relevant materiality threshold; "
-                                     "qualitative factors may still justify follow-up.")))
-        .otherwise(F.concat(F.lit("At "), amt, F.lit(", the amount should be weighed against the "
-                                                      "engagement's materiality thresholds and the "
-                                                      "qualitative factors present."))))
-    n_flags = F.size(flag_parts())
-    likelihood = F.when(_override() | (n_flags >= 3), F.lit(
-        "Several risk indicators occur together, which raises the need for follow-up; the analysis "
-        "does not determine intent or conclude fraud.")).otherwise(F.concat(
-            F.lit("With "), n_flags.cast("string"), F.lit(" risk indicator"),
-            F.when(n_flags != 1, F.lit("s")).otherwise(F.lit("")),
-            F.lit(" present, a moderate level of additional review is indicated; the analysis does "
-                  "not determine intent or conclude fraud.")))
-    c = coso_components()
-    c_text = F.when(F.size(c) > 1, F.concat(F.get(c, 0), F.lit(" and "), F.get(c, 1))).otherwise(F.get(c, 0))
-    control = F.concat(F.lit("The pattern mainly concerns "), c_text,
-                       F.lit("; the design and operating effectiveness of the related controls "
-                             "should be reviewed."))
+    amount, kind, n_flags = amount_text(), _materiality_kind(), F.size(flag_parts())
+    summary = fill(MEMO_SUMMARY, amount=amount, flags=flags_clause())
+    assertion = fill(MEMO_ASSERTIONS, assertions=_two(assertions()))
+    magnitude = (F.when(kind == "exceeds", fill(MAGNITUDE_LARGE, amount=amount))
+                 .when(kind == "below", fill(MAGNITUDE_SMALL, amount=amount))
+                 .otherwise(fill(MAGNITUDE_OPEN, amount=amount)))
+    likelihood = F.when(_override() | (n_flags >= 3), F.lit(LIKELIHOOD_MANY)).otherwise(fill(LIKELIHOOD_FEW, n=n_flags))
+    control = fill(MEMO_CONTROLS, components=_two(coso_components()))
     return F.struct(summary.alias("risk_summary"), assertion.alias("assertion_consideration"),
                     magnitude.alias("magnitude_assessment"), likelihood.alias("likelihood_assessment"),
                     control.alias("control_or_coso_consideration"),
@@ -219,31 +166,19 @@ def full_memo() -> Column:
 def memo_prompts(ranked: DataFrame, entity_type: str, period_start: str, period_end: str) -> DataFrame:
     """The request text per selected row: entity context plus 11 observable facts; one
     row per (position, kind) with kind ``summary`` or ``memo`` (two closings)."""
-    fp = F.when(F.col("fraud_probability").isNull(), F.lit("n/a")).otherwise(two_decimals(F.col("fraud_probability")))
-
-    def fact(label, value):
-        return F.concat(F.lit(f"  - {label}: "), F.coalesce(value.cast("string"), F.lit("n/a")), F.lit("\n"))
-
+    likeness = F.when(F.col("fraud_probability").isNotNull(), two_decimals(F.col("fraud_probability")))
+    money = F.when(F.col("amount").isNotNull(), money_text(F.col("amount")))
     yes_no = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 1, "yes").otherwise("no")
-    body = F.concat(
-        F.lit(f"Engagement\n  - Entity type: {entity_type}\n  - Period: {period_start} to {period_end}\n"
-              "Facts of the posting\n"),
-        fact("Amount", F.when(F.col("amount").isNull(), F.lit("(amount unknown)"))
-             .otherwise(money_text(F.col("amount")))),
-        fact("Account", F.col("account_name")), fact("Vendor", F.col("vendor")),
-        fact("Active flags", F.coalesce(F.col("active_flags"), F.lit("(none)"))),
-        fact("Review label", F.col("pcaob_label")), fact("Final tier", F.col("final_tier")),
-        fact("Materiality", F.col("materiality_annotation")),
-        fact("Control gap score (0-2)", F.coalesce(F.col("control_gap_score"), F.lit(0))),
-        fact("Co-occurrence indicator", yes_no("fraud_risk_flag")),
-        fact("Co-occurrence override", yes_no("is_qualitative_override")),
-        fact("Similarity score", F.concat(fp, F.lit(" (resemblance to rule-flagged rows, not a "
-                                                    "probability of fraud)"))))
-    closings = F.array(
-        F.struct(F.lit("summary").alias("kind"),
-                 F.lit("Write a cautious one- or two-sentence risk summary of this posting.").alias("closing")),
-        F.struct(F.lit("memo").alias("kind"),
-                 F.lit("Return the seven-field JSON memo for this posting and nothing else.").alias("closing")))
+    facts = {"sum": money, "ledger account": F.col("account_name"), "counterparty": F.col("vendor"),
+             "checks": F.col("active_flags"), "queue label": F.col("pcaob_label"), "tier": F.col("final_tier"),
+             "size note": F.col("materiality_annotation"), "control gaps of 2": F.coalesce("control_gap_score", F.lit(0)),
+             "checks combine": yes_no("fraud_risk_flag"), "raised by combination": yes_no("is_qualitative_override"),
+             "likeness to rule-flagged entries, 0 to 1": likeness}
+    body = F.concat(fill(PROMPT_HEAD, entity=F.lit(entity_type), start=F.lit(period_start), end=F.lit(period_end)),
+                    *[F.concat(F.lit(f"{k} = "), F.coalesce(v.cast("string"), F.lit("unknown")), F.lit("\n"))
+                      for k, v in facts.items()])
+    closings = F.array(F.struct(F.lit("summary").alias("kind"), F.lit(PROMPT_SUMMARY).alias("closing")),
+                       F.struct(F.lit("memo").alias("kind"), F.lit(PROMPT_MEMO).alias("closing")))
     return ranked.select("position", body.alias("_body"), F.explode(closings).alias("_c")).select(
         "position", F.col("_c.kind").alias("kind"),
         F.concat(F.col("_body"), F.col("_c.closing")).alias("prompt"))
@@ -343,10 +278,6 @@ def validate_memos(candidates: DataFrame, json_col: str = "memo_json") -> DataFr
                              F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def memo_json(memo: Column) -> Column:
-    return F.to_json(memo)
-
-
 def phrase_scan(text: Column) -> tuple[Column, Column]:
     """(first banned phrase, first name pattern) found in ``text``, case-blind, or NULL."""
     low = F.lower(text)
@@ -369,7 +300,9 @@ def accept_or_fallback(ranked: DataFrame, candidates: DataFrame | None = None) -
         # validity folded into the value (no filter): keeps the optimizer from deriving
         # constraints out of the validator's long expression across the join
         checked = validate_memos(candidates).select(
-            "position", F.when(F.col("is_valid"), F.from_json(F.col("memo_json"), MEMO_SCHEMA)).alias("_cand"))
+            "position", F.when(F.col("is_valid"), F.col("memo_json")).alias("_json"))
+        checked = checked.groupBy("position").agg(F.max("_json").alias("_json")).select(
+            "position", F.from_json("_json", MEMO_SCHEMA).alias("_cand"))
         out = base.join(checked, "position", "left").select(
             "*", F.coalesce(F.col("_cand"), F.col("_rule")).alias("memo"),
             F.when(F.col("_cand").isNotNull(), STATUS_CANDIDATE).otherwise(STATUS_FALLBACK)
@@ -378,9 +311,9 @@ def accept_or_fallback(ranked: DataFrame, candidates: DataFrame | None = None) -
     return out.drop("_rule")
 
 
-def memo_table(queue: DataFrame, top_n: int | None = MEMO_TOP_N_DEFAULT,
+def memo_table(queue: DataFrame, top_n: int | None = None,
                candidates: DataFrame | None = None) -> DataFrame:
-    """position, keys, narrative_status and the seven memo fields for the top-N rows."""
+    """position, keys, narrative_status and the seven memo fields for the first ``top_n`` rows, or all."""
     m = accept_or_fallback(memo_rank(queue, top_n), candidates)
     return m.select("position", *[c for c in ("row_id", "journal_ref") if c in queue.columns],
                     "date", "account_name", "vendor", "amount", "narrative_status",
@@ -394,14 +327,16 @@ def memo_tallies(memos: DataFrame) -> DataFrame:
 
 
 def attach_memos(queue: DataFrame, memos: DataFrame, by: str = "row_id") -> DataFrame:
-    """Queue rows with their memo (``Not generated`` when none).
+    """Queue rows with their memo (``Not generated`` when none); never more rows than the queue.
 
     ``by="row_id"`` joins on row identity. ``by="keys"`` joins on (date, account, vendor,
-    amount) as the source's table does; duplicate keys keep the memo of the last position."""
+    amount) as the source's table does. Of several memos for a row the one of the last position
+    stays. Spark broadcasts the memos only below its own size threshold."""
     fields = ["narrative_status"] + MEMO_FIELDS
     if by == "row_id":
-        m = memos.select("row_id", *fields)
-        out = queue.join(F.broadcast(m), "row_id", "left")
+        m = memos.groupBy("row_id").agg(F.max_by(F.struct(*fields), F.col("position")).alias("_m"))
+        m = m.select("row_id", *[F.col(f"_m.{f}").alias(f) for f in fields])
+        out = queue.join(m, "row_id", "left")
     else:
         keys = ["date", "account_name", "vendor", "amount"]
         m = memos.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.col("position")).alias("_m"))
@@ -411,5 +346,5 @@ def attach_memos(queue: DataFrame, memos: DataFrame, by: str = "row_id") -> Data
         for k in keys:
             c = F.col(k).eqNullSafe(F.col(f"_mk_{k}"))
             cond = c if cond is None else cond & c
-        out = queue.join(F.broadcast(m), cond, "left").drop(*[f"_mk_{k}" for k in keys])
+        out = queue.join(m, cond, "left").drop(*[f"_mk_{k}" for k in keys])
     return out.withColumn("narrative_status", F.coalesce(F.col("narrative_status"), F.lit(STATUS_NONE)))

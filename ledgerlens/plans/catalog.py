@@ -373,28 +373,25 @@ def _queue(spark, sf_dir):
     return S.flagged_queue(L(spark, sf_dir).scored_given, order=False)
 
 
-def _ranked(spark, sf_dir, top_n: int = 20):
+def _ranked(spark, sf_dir, top_n: int | None = None):
     from ..operators.memos import memo_rank
     return memo_rank(_queue(spark, sf_dir), top_n)
 
 
 MUTATIONS = ["good", "missing_key", "wrong_type", "too_few_items", "banned_phrase",
-             "wrong_disclaimer", "name_leak"]
+             "wrong_disclaimer", "name_leak", "not_json", "extra_key", "short_text", "empty_item"]
 
 
 def memo_candidates(ranked: DataFrame) -> DataFrame:
-    """Candidate memos for the selected rows: the rule memo and six deliberate faults
-    (the validator's test set), one kind per position in turn."""
+    """Candidate memos for the queue: a valid one (with a second valid one for the same position)
+    and ten deliberate faults (the validator's test set), one kind per position in turn."""
+    from ..constants import MEMO_FIELDS as fields
     from ..operators.memos import full_memo
     m = ranked.select("position", full_memo().alias("m"))
-    kind = F.element_at(F.array(*[F.lit(k) for k in MUTATIONS]), (F.col("position") % 7) + 1)
-    fields = ["risk_summary", "assertion_consideration", "magnitude_assessment",
-              "likelihood_assessment", "control_or_coso_consideration", "recommended_follow_up",
-              "disclaimer"]
-
+    kind = F.element_at(F.array(*[F.lit(k) for k in MUTATIONS]), (F.col("position") % len(MUTATIONS)) + 1)
     def with_(**over):
-        return F.to_json(F.struct(*[over.get(f, F.col(f"m.{f}")).alias(f) for f in fields
-                                    if over.get(f, "") is not None]))
+        columns = [over.get(f, F.col(f"m.{f}")).alias(f) for f in fields if over.get(f, "") is not None]
+        return F.to_json(F.struct(*columns, *[v.alias(k) for k, v in over.items() if k not in fields]))
     js = (F.when(kind == "missing_key", with_(likelihood_assessment=None))
            .when(kind == "wrong_type", with_(recommended_follow_up=F.array_join("m.recommended_follow_up", "; ")))
            .when(kind == "too_few_items", with_(recommended_follow_up=F.slice("m.recommended_follow_up", 1, 2)))
@@ -402,13 +399,20 @@ def memo_candidates(ranked: DataFrame) -> DataFrame:
            .when(kind == "wrong_disclaimer", with_(disclaimer=F.lit("This analysis is indicative only.")))
            .when(kind == "name_leak", with_(control_or_coso_consideration=F.concat(
                "m.control_or_coso_consideration", F.lit(" The manager should explain the entry."))))
-           .otherwise(with_()))
-    return m.select("position", kind.alias("mutation"), js.alias("memo_json"))
+           .when(kind == "not_json", F.lit("not json"))
+           .when(kind == "extra_key", with_(note=F.lit("x")))
+           .when(kind == "short_text", with_(risk_summary=F.lit("Too short.")))
+           .when(kind == "empty_item", with_(recommended_follow_up=F.concat(
+               F.array(F.lit(" ")), F.slice("m.recommended_follow_up", 2, 9))))
+           .otherwise(with_(risk_summary=F.concat(F.lit("Second reading: "), F.col("m.risk_summary")))))
+    twins = m.where(F.col("position") % len(MUTATIONS) == 0).select(
+        "position", F.lit("twin").alias("mutation"), with_().alias("memo_json"))
+    return m.select("position", kind.alias("mutation"), js.alias("memo_json")).unionAll(twins)
 
 
 @query("memo_rank")
 def q_memo_rank(spark, sf_dir):
-    r = _ranked(spark, sf_dir)
+    r = _ranked(spark, sf_dir, 20)
     return r.select("position", "journal_ref", "final_tier", "is_qualitative_override", "fraud_risk_flag",
                     r6("anomaly_score").alias("anomaly_score"), r6("amount").alias("amount"))
 
@@ -492,21 +496,21 @@ def q_validate(spark, sf_dir):
 @query("accept_or_fallback")
 def q_accept(spark, sf_dir):
     from ..operators.memos import memo_table
-    t = memo_table(_queue(spark, sf_dir), 20, memo_candidates(_ranked(spark, sf_dir)))
+    t = memo_table(_queue(spark, sf_dir), None, memo_candidates(_ranked(spark, sf_dir)))
     return t.select("position", "journal_ref", "narrative_status", "risk_summary", "disclaimer")
 
 
 @query("memo_tallies")
 def q_tallies(spark, sf_dir):
     from ..operators.memos import memo_table, memo_tallies
-    return memo_tallies(memo_table(_queue(spark, sf_dir), 20, memo_candidates(_ranked(spark, sf_dir))))
+    return memo_tallies(memo_table(_queue(spark, sf_dir), None, memo_candidates(_ranked(spark, sf_dir))))
 
 
 @query("attach_memos")
 def q_attach(spark, sf_dir):
     from ..operators.memos import attach_memos, memo_table
     q = _queue(spark, sf_dir)
-    a = attach_memos(q, memo_table(q, 20))
+    a = attach_memos(q, memo_table(q))
     return a.select("journal_ref", "narrative_status", "risk_summary")
 
 
@@ -514,7 +518,7 @@ def q_attach(spark, sf_dir):
 def q_attach_keys(spark, sf_dir):
     from ..operators.memos import attach_memos, memo_table
     q = _queue(spark, sf_dir)
-    a = attach_memos(q, memo_table(q, 20), by="keys")
+    a = attach_memos(q, memo_table(q), by="keys")
     return a.select("journal_ref", "narrative_status", "risk_summary")
 
 
@@ -544,7 +548,7 @@ def q_export(spark, sf_dir):
     from ..session import scratch_path
     from ..sources.sinks import export_csv
     q = _queue(spark, sf_dir)
-    path = export_csv(attach_memos(q, memo_table(q, 20)), scratch_path(spark, "export"))
+    path = export_csv(attach_memos(q, memo_table(q)), scratch_path(spark, "export"))
     back = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
             .csv(path))
     return back.select("date", "account_name", "vendor", "final_tier", "active_flags",

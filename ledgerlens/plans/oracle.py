@@ -6,6 +6,7 @@ Spark code, so the two implementations check each other.
 """
 from __future__ import annotations
 
+from .. import constants as K
 from ..constants import (ACTION_BOTH, ACTION_NONE, ACTION_ONE, CROSS_FOOTING_SUMMARY,
                          DATE_PERIOD_NULLS, DATE_PERIOD_SUMMARY, ESCALATION_NOTE,
                          HASH_TOTAL_SUMMARY, HIGH_ITEMS, LABEL_HIGH, LABEL_MEDIUM, LABEL_MONITOR,
@@ -513,7 +514,6 @@ ranked AS (
     SELECT *, row_number() OVER (ORDER BY k0, k1, k2, k3, k4, journal_ref NULLS FIRST, date NULLS FIRST,
                                  account_name NULLS FIRST, vendor NULLS FIRST, amount NULLS FIRST) AS rn
     FROM qk)
-  WHERE rn <= 20
 )"""
 
 
@@ -536,7 +536,10 @@ def _first_two(pairs, default):
 
 def _memo_ctes():
     from ..constants import ASSERTION_DEFAULT, ASSERTION_MAP, COSO_DEFAULT, COSO_MAP
-    from ..operators.memos import (FOLLOW_UP_BASE, FOLLOW_UP_CONDITIONAL, FOLLOW_UP_OVERRIDE)
+    from ..constants import (AMOUNT_PLACEHOLDER, DISCLAIMER, FLAGS_PLACEHOLDER, FOLLOW_UP_BASE,
+                             FOLLOW_UP_CONDITIONAL, FOLLOW_UP_OVERRIDE, LIKELIHOOD_FEW, LIKELIHOOD_MANY,
+                             MAGNITUDE_LARGE, MAGNITUDE_OPEN, MAGNITUDE_SMALL, MEMO_ASSERTIONS, MEMO_CONTROLS,
+                             MEMO_SUMMARY)
     conds = []
     for pats, item in FOLLOW_UP_CONDITIONAL:
         c = " OR ".join(f"contains(fl, '{p}')" for p in pats)
@@ -548,14 +551,14 @@ def _memo_ctes():
   SELECT *,
     list_filter(list_transform(string_split(coalesce(active_flags, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS parts0,
     lower(coalesce(active_flags, '')) AS fl,
-    CASE WHEN amount IS NULL THEN 'the transaction amount' ELSE '$' || format('{{:,.2f}}', amount) END AS amt,
+    CASE WHEN amount IS NULL THEN '{AMOUNT_PLACEHOLDER}' ELSE '$' || format('{{:,.2f}}', amount) END AS amt,
     CASE WHEN lower(trim(coalesce(materiality_annotation, ''))) LIKE '%exceeds%' THEN 'exceeds'
          WHEN lower(trim(coalesce(materiality_annotation, ''))) LIKE '%below%' THEN 'below' ELSE 'other' END AS mkind,
     coalesce(is_qualitative_override, 0) = 1 AS ovr
   FROM ranked
 ),
 mt2 AS (
-  SELECT *, list_transform(CASE WHEN len(parts0) = 0 THEN ['the indicators flagged on this posting']
+  SELECT *, list_transform(CASE WHEN len(parts0) = 0 THEN ['{FLAGS_PLACEHOLDER}']
                                 ELSE parts0 END, lambda x: lower(x)) AS lp,
          CASE WHEN len(parts0) = 0 THEN 1 ELSE len(parts0) END AS nflags,
          {_first_two(ASSERTION_MAP, ASSERTION_DEFAULT)} AS asr,
@@ -571,21 +574,14 @@ mt3 AS (
 ),
 memo AS (
   SELECT *,
-    'The ' || amt || ' posting shows ' || flags_clause || ', so its authorization, supporting documents and surrounding controls warrant follow-up.' AS m_risk,
-    'The pattern bears on the ' || CASE WHEN len(asr) > 1 THEN asr[1] || ' and ' || asr[2] ELSE asr[1] END
-      || ' assertion' || CASE WHEN len(asr) > 1 THEN 's' ELSE '' END
-      || '; further procedures should confirm that the transaction is valid and properly recorded.' AS m_assert,
-    CASE mkind WHEN 'exceeds' THEN 'At ' || amt || ', the amount is above the applicable materiality threshold and should not be set aside as quantitatively insignificant.'
-               WHEN 'below' THEN 'At ' || amt || ', the amount is below the relevant materiality threshold; qualitative factors may still justify follow-up.'
-               ELSE 'At ' || amt || ', the amount should be weighed against the engagement''s materiality thresholds and the qualitative factors present.' END AS m_mag,
-    CASE WHEN ovr OR nflags >= 3 THEN 'Several risk indicators occur together, which raises the need for follow-up; the analysis does not determine intent or conclude fraud.'
-         ELSE 'With ' || CAST(nflags AS VARCHAR) || ' risk indicator' || CASE WHEN nflags <> 1 THEN 's' ELSE '' END
-              || ' present, a moderate level of additional review is indicated; the analysis does not determine intent or conclude fraud.' END AS m_like,
-    'The pattern mainly concerns ' || CASE WHEN len(coso) > 1 THEN coso[1] || ' and ' || coso[2] ELSE coso[1] END
-      || '; the design and operating effectiveness of the related controls should be reviewed.' AS m_ctrl,
-    'This analysis identifies risk indicators only. It does not determine intent, fraud, or an audit conclusion.' AS m_disc,
-    CASE WHEN ovr THEN 'several indicators co-occur, which is why the concern is raised'
-         WHEN coalesce(fraud_risk_flag, 0) = 1 THEN 'more than one fraud-risk indicator is present' END AS s_co
+    {fill_sql(MEMO_SUMMARY, amount="amt", flags="flags_clause")} AS m_risk,
+    {fill_sql(MEMO_ASSERTIONS, assertions="array_to_string(asr, ' and ')")} AS m_assert,
+    CASE mkind WHEN 'exceeds' THEN {fill_sql(MAGNITUDE_LARGE, amount="amt")}
+               WHEN 'below' THEN {fill_sql(MAGNITUDE_SMALL, amount="amt")}
+               ELSE {fill_sql(MAGNITUDE_OPEN, amount="amt")} END AS m_mag,
+    CASE WHEN ovr OR nflags >= 3 THEN {fill_sql(LIKELIHOOD_MANY)} ELSE {fill_sql(LIKELIHOOD_FEW, n="nflags")} END AS m_like,
+    {fill_sql(MEMO_CONTROLS, components="array_to_string(coso, ' and ')")} AS m_ctrl,
+    {fill_sql(DISCLAIMER)} AS m_disc
   FROM mt3
 )"""
 
@@ -596,7 +592,8 @@ def memo_sql(select: str, extra: tuple = ()) -> str:
 
 ORACLE["memo_rank"] = memo_sql(
     "SELECT position, journal_ref, final_tier, is_qualitative_override, fraud_risk_flag, "
-    "(round(anomaly_score, 6) + 0.0) AS anomaly_score, (round(amount, 6) + 0.0) AS amount FROM memo")
+    "(round(anomaly_score, 6) + 0.0) AS anomaly_score, (round(amount, 6) + 0.0) AS amount FROM memo "
+    "WHERE position < 20")
 ORACLE["memo_keys"] = memo_sql(
     "SELECT position, date, account_name, vendor, (round(amount, 6) + 0.0) AS amount FROM memo")
 ORACLE["flags_clause"] = memo_sql("SELECT position, active_flags, flags_clause, amt AS amount_text FROM memo")
@@ -606,13 +603,10 @@ ORACLE["coso_components"] = memo_sql(
 ORACLE["follow_ups"] = memo_sql(
     "SELECT position, active_flags, is_qualitative_override, array_to_string(fu, '; ') AS recommended_follow_up FROM memo")
 ORACLE["risk_summary"] = memo_sql(
-    "SELECT position, 'The ' || amt || ' posting shows ' || flags_clause || ', so its authorization, supporting "
-    "documents and surrounding controls warrant follow-up. ' || CASE "
-    "WHEN s_co IS NULL AND mkind = 'other' THEN 'The analysis points to risk indicators only; it does not establish intent or fraud.' "
-    "ELSE 'Note: ' || concat_ws(', ', s_co, CASE mkind "
-    "WHEN 'exceeds' THEN CASE WHEN s_co IS NOT NULL THEN 'and ' ELSE '' END || 'the amount is not quantitatively immaterial' "
-    "WHEN 'below' THEN CASE WHEN s_co IS NOT NULL THEN 'but ' ELSE '' END || 'the amount sits below the relevant materiality threshold' END) "
-    "|| '. The analysis points to risk indicators only; it does not establish intent or fraud.' END AS risk_summary FROM memo")
+    "SELECT position, m_risk || CASE WHEN ovr THEN " + fill_sql(K.SUMMARY_OVERRIDE)
+    + " WHEN coalesce(fraud_risk_flag, 0) = 1 THEN " + fill_sql(K.SUMMARY_COMBINED)
+    + " ELSE '' END || CASE mkind WHEN 'exceeds' THEN " + fill_sql(K.SUMMARY_LARGE) + " WHEN 'below' THEN "
+    + fill_sql(K.SUMMARY_SMALL) + " ELSE '' END || " + fill_sql(K.SUMMARY_CLOSE) + " AS risk_summary FROM memo")
 ORACLE["full_memo"] = memo_sql(
     "SELECT position, m_risk AS risk_summary, m_assert AS assertion_consideration, m_mag AS magnitude_assessment, "
     "m_like AS likelihood_assessment, m_ctrl AS control_or_coso_consideration, "
@@ -622,39 +616,45 @@ _NL = "chr(10)"
 
 
 def _fact(label, value):
-    return f"'  - {label}: ' || coalesce(CAST({value} AS VARCHAR), 'n/a') || {_NL}"
-
-
-_BODY = (f"'Engagement' || {_NL} || '  - Entity type: Private for-profit' || {_NL} || "
-         f"'  - Period: 1996-01-01 to 2001-10-31' || {_NL} || 'Facts of the posting' || {_NL} || "
-         + _fact("Amount", "CASE WHEN amount IS NULL THEN '(amount unknown)' ELSE '$' || format('{:,.2f}', amount) END")
-         + " || " + _fact("Account", "account_name") + " || " + _fact("Vendor", "vendor")
-         + " || " + _fact("Active flags", "coalesce(active_flags, '(none)')")
-         + " || " + _fact("Review label", "pcaob_label") + " || " + _fact("Final tier", "final_tier")
-         + " || " + _fact("Materiality", "materiality_annotation")
-         + " || " + _fact("Control gap score (0-2)", "coalesce(control_gap_score, 0)")
-         + " || " + _fact("Co-occurrence indicator", "CASE WHEN coalesce(fraud_risk_flag, 0) = 1 THEN 'yes' ELSE 'no' END")
-         + " || " + _fact("Co-occurrence override", "CASE WHEN coalesce(is_qualitative_override, 0) = 1 THEN 'yes' ELSE 'no' END")
-         + " || " + _fact("Similarity score", "CASE WHEN fraud_probability IS NULL THEN 'n/a' ELSE format('{:.2f}', fraud_probability) END"
-                          " || ' (resemblance to rule-flagged rows, not a probability of fraud)'"))
+    return f"'{label} = ' || coalesce(CAST({value} AS VARCHAR), 'unknown') || {_NL}"
+
+
+def _yes(column):
+    return f"CASE WHEN coalesce({column}, 0) = 1 THEN 'yes' ELSE 'no' END"
+
+
+_FACTS = {"sum": "'$' || format('{:,.2f}', amount)", "ledger account": "account_name", "counterparty": "vendor",
+          "checks": "active_flags", "queue label": "pcaob_label", "tier": "final_tier",
+          "size note": "materiality_annotation", "control gaps of 2": "coalesce(control_gap_score, 0)",
+          "checks combine": _yes("fraud_risk_flag"), "raised by combination": _yes("is_qualitative_override"),
+          "likeness to rule-flagged entries, 0 to 1": "format('{:.2f}', fraud_probability)"}
+_BODY = (fill_sql(K.PROMPT_HEAD, entity="'Private for-profit'", start="'1996-01-01'", end="'2001-10-31'") + " || "
+         + " || ".join(_fact(k, v) for k, v in _FACTS.items()))
 ORACLE["memo_prompts"] = memo_sql(
-    f"SELECT position, 'summary' AS kind, {_BODY} || 'Write a cautious one- or two-sentence risk summary of this posting.' AS prompt FROM memo "
-    f"UNION ALL SELECT position, 'memo' AS kind, {_BODY} || 'Return the seven-field JSON memo for this posting and nothing else.' AS prompt FROM memo")
+    f"SELECT position, 'summary' AS kind, {_BODY} || {fill_sql(K.PROMPT_SUMMARY)} AS prompt FROM memo "
+    f"UNION ALL SELECT position, 'memo' AS kind, {_BODY} || {fill_sql(K.PROMPT_MEMO)} AS prompt FROM memo")
 
-_MUT = ["good", "missing_key", "wrong_type", "too_few_items", "banned_phrase", "wrong_disclaimer", "name_leak"]
-CAND_CTE = """cand0 AS (SELECT *, """ + "[" + ", ".join(f"'{m}'" for m in _MUT) + """][position % 7 + 1] AS mutation FROM memo),
+_MUT = ["good", "missing_key", "wrong_type", "too_few_items", "banned_phrase", "wrong_disclaimer", "name_leak",
+        "not_json", "extra_key", "short_text", "empty_item"]
+CAND_CTE = """cand0 AS (SELECT *, """ + "[" + ", ".join(f"'{m}'" for m in _MUT) + """][position % 11 + 1] AS mutation FROM memo
+  UNION ALL SELECT *, 'twin' AS mutation FROM memo WHERE position % 11 = 0),
 cand AS (
   SELECT position, mutation,
-    CASE WHEN mutation = 'banned_phrase' THEN m_risk || ' This proves fraud.' ELSE m_risk END AS f_risk,
+    CASE mutation WHEN 'banned_phrase' THEN m_risk || ' This proves fraud.' WHEN 'good' THEN 'Second reading: ' || m_risk
+      WHEN 'short_text' THEN 'Too short.' ELSE m_risk END AS f_risk,
     m_assert AS f_assert, m_mag AS f_mag,
     CASE WHEN mutation = 'missing_key' THEN NULL ELSE m_like END AS f_like,
     CASE WHEN mutation = 'name_leak' THEN m_ctrl || ' The manager should explain the entry.' ELSE m_ctrl END AS f_ctrl,
-    CASE WHEN mutation = 'too_few_items' THEN fu[1:2] ELSE fu END AS f_fu,
+    CASE mutation WHEN 'too_few_items' THEN fu[1:2] WHEN 'empty_item' THEN list_concat([' '], fu[2:]) ELSE fu END AS f_fu,
     CASE WHEN mutation = 'wrong_disclaimer' THEN 'This analysis is indicative only.' ELSE m_disc END AS f_disc
   FROM cand0
 )"""
 CHECK_CTE = """chk AS (
   SELECT position, mutation, CASE
+    WHEN mutation = 'not_json' THEN 'not valid JSON'
+    WHEN mutation = 'extra_key' THEN 'extra keys: [''note'']'
+    WHEN mutation = 'short_text' THEN 'risk_summary length 10 out of bounds [40, 600]'
+    WHEN mutation = 'empty_item' THEN 'recommended_follow_up[0] is empty'
     WHEN f_like IS NULL THEN 'missing keys: [''likelihood_assessment'']'
     WHEN mutation = 'wrong_type' THEN 'recommended_follow_up must be a list, got str'
     WHEN len(f_fu) NOT BETWEEN 3 AND 5 THEN 'recommended_follow_up has ' || CAST(len(f_fu) AS VARCHAR) || ' items, expected 3-5'
@@ -687,13 +687,14 @@ ORACLE["validate_memos"] = memo_sql(
     (CAND_CTE, _check_cte()))
 ORACLE["phrase_scan"] = memo_sql("SELECT position, mutation, banned_phrase, name_pattern FROM scan",
                                  (CAND_CTE, _scan_cte()))
+_BEST = "best AS (SELECT position, bool_or(reason IS NULL) AS ok FROM chk GROUP BY position)"
 ORACLE["accept_or_fallback"] = memo_sql(
-    "SELECT c.position, m.journal_ref, CASE WHEN c.reason IS NULL THEN 'GPT' ELSE 'Fallback' END AS narrative_status, "
-    "m.m_risk AS risk_summary, m.m_disc AS disclaimer FROM chk c JOIN memo m ON c.position = m.position",
-    (CAND_CTE, _check_cte()))
+    "SELECT c.position, m.journal_ref, CASE WHEN c.ok THEN 'GPT' ELSE 'Fallback' END AS narrative_status, "
+    "CASE WHEN c.ok THEN 'Second reading: ' ELSE '' END || m.m_risk AS risk_summary, m.m_disc AS disclaimer "
+    "FROM best c JOIN memo m ON c.position = m.position", (CAND_CTE, _check_cte(), _BEST))
 ORACLE["memo_tallies"] = memo_sql(
-    "SELECT count(*) AS top_n_used, count(*) FILTER (WHERE reason IS NULL) AS n_gpt, "
-    "count(*) FILTER (WHERE reason IS NOT NULL) AS n_fallback FROM chk", (CAND_CTE, _check_cte()))
+    "SELECT count(*) AS top_n_used, count(*) FILTER (WHERE ok) AS n_gpt, "
+    "count(*) FILTER (WHERE NOT ok) AS n_fallback FROM best", (CAND_CTE, _check_cte(), _BEST))
 ORACLE["attach_memos"] = memo_sql(
     "SELECT q.journal_ref, CASE WHEN m.position IS NULL THEN 'Not generated' ELSE 'Fallback' END AS narrative_status, "
     "m.m_risk AS risk_summary FROM q LEFT JOIN memo m ON q.journal_ref = m.journal_ref")

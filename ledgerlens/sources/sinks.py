@@ -86,11 +86,3 @@ def write_packet(packet: dict[str, DataFrame], path: str, fmt: str = "parquet",
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         return dict(pool.map(write, packet.items()))
-
-
-def collect_tables(tables: dict[str, DataFrame], parallelism: int = 4) -> dict[str, list]:
-    """Collect small review tables concurrently (each is a bounded result)."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = {name: pool.submit(df.collect) for name, df in tables.items()}
-        return {name: f.result() for name, f in futures.items()}

@@ -26,13 +26,28 @@ def test_rank_keys_in_order(spark):
     assert got == ["c", "b", "d", "a", "f", "e", "h", "g"]
 
 
-def test_top_n_is_clamped(spark):
+def test_any_top_n_or_the_whole_queue(spark):
     from ledgerlens.operators.memos import memo_rank
     rows = [(i, f"j{i:03d}", "Medium", 0, 0, -i / 100.0, 1.0, None, None, None) for i in range(30)]
     q = _queue(spark, rows)
-    assert memo_rank(q, 0).count() == 1
-    assert memo_rank(q, 99).count() == 20
+    assert memo_rank(q).count() == memo_rank(q, 99).count() == 30 and memo_rank(q, 25).count() == 25
     assert [r["position"] for r in memo_rank(q, 5).orderBy("position").collect()] == list(range(5))
+    with pytest.raises(ValueError):
+        memo_rank(q, 0)
+
+
+def test_one_memo_per_position_and_row(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.memos import attach_memos, full_memo, memo_rank, memo_table
+    rows = [(i, f"j{i}", "High", 0, 0, -0.1, 1.0, None, None, None) for i in range(3)]
+    q = _queue(spark, rows).selectExpr("*", "'Weekend posting' AS active_flags", "'x' AS materiality_annotation")
+    c = memo_rank(q).select("position", F.to_json(full_memo()).alias("memo_json"))
+    bad = c.select("position", F.lit("not json").alias("memo_json"))
+    m = memo_table(q, None, c.unionAll(c).unionAll(bad))
+    assert m.count() == 3 and {r.narrative_status for r in m.collect()} == {"GPT"}
+    assert attach_memos(q, m.unionAll(m)).count() == 3
+    assert attach_memos(q, m.unionAll(m), by="keys").count() == 3
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test tables absent")

@@ -45,7 +45,7 @@ def test_packet_invariants(packet):
 
 def test_memo_table_on_real_queue(packet):
     from ledgerlens.operators.memos import memo_table, validate_memos
-    m = memo_table(packet.flagged, top_n=25)            # clamped to 20
+    m = memo_table(packet.flagged, top_n=20)
     rows = m.collect()
     assert len(rows) == min(20, packet.flagged.count())
     assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)

@@ -5,14 +5,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(28,4)"  # exact sums; sum() widens it to decimal(38,4)
+MONEY = "decimal(28,10)"  # exact sums; sum() widens it to decimal(38,10)
 
 
 def _to_double(col: Column, dtype: T.DataType) -> Column:
     c = col if isinstance(dtype, (T.DoubleType, T.FloatType)) else col.try_cast("double")
     c = c.cast("double")
-    # NaN passes every >= test in Spark; the source treats it as missing.
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    # NaN passes every >= test in Spark and one infinity makes a whole account's deviation NaN;
+    # both are taken as missing.
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast("double")).otherwise(c)
 
 
 def _to_datetime(col: Column, dtype: T.DataType, date_format: str | None) -> Column:
@@ -30,7 +31,7 @@ def clean_gl(df: DataFrame, date_format: str | None = None) -> DataFrame:
 
     Dates: DATE and naive timestamps pass through, text is parsed as ISO (or with
     ``date_format``); unparseable values become NULL. Amounts: text is parsed,
-    unparseable values and NaN become NULL. Extra columns pass through unchanged.
+    unparseable values, NaN and infinities become NULL. Extra columns pass through unchanged.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
@@ -52,6 +53,7 @@ def clean_gl(df: DataFrame, date_format: str | None = None) -> DataFrame:
 
 
 def money(col: str | Column) -> Column:
-    """A money value as an exact decimal for summing."""
+    """A money value as an exact decimal for summing: ten decimals, 18 digits before them (larger
+    values raise, none is cut)."""
     c = F.col(col) if isinstance(col, str) else col
     return c.cast(MONEY)

@@ -37,7 +37,8 @@ from pyspark.sql.functions import pandas_udf
 from ..session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
-EXACT_PERCENTILE_MAX_ROWS = 1_000_000
+RINGS = 16
+PERCENTILE_BUCKETS = 4096
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, left int, right int, "
                "n_node int, value double")
 
@@ -89,7 +90,7 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
 def _tree_builder(feature_cols: list[str], seed: int, max_depth: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree_id"].iloc[0])
-        pdf = pdf.sort_values("_key", kind="stable")          # order-independent input
+        pdf = pdf.sort_values(["_key", *feature_cols], kind="stable")     # order-independent input
         X = pdf[feature_cols].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree_id])
         f, t, left, right, n, v = _grow(X, rng, max_depth)
@@ -118,32 +119,45 @@ class IsolationForestModel:
         return float(c_factor([self.psi])[0])
 
 
+#: Ledger columns that identify a posting whatever file or partition it comes from.
+CONTENT = ["journal_ref", "date", "amount", "account_code", "account_name", "vendor", "description"]
+
+
+def content_key(feat: DataFrame) -> Column:
+    """Hash of a posting's content; of the row id where a frame has none of the columns."""
+    own = [c for c in CONTENT if c in feat.columns] or ["row_id"]
+    return F.xxhash64(*[F.col(c) for c in own])
+
+
 def training_sample(feat: DataFrame, feature_cols: list[str], n_rows: int, n_trees: int,
                     psi: int, seed: int) -> DataFrame:
-    """(tree_id, _key, features...) with psi rows per tree, chosen by seeded hashes."""
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feature_cols]
+    """(tree_id, _key, features...) with psi rows per tree, by one rule at every size.
+
+    Trees stand evenly spaced on ``RINGS`` rings. A seeded hash of its content places each row on
+    every ring, and a tree takes the ``psi`` rows that follow it. Only rows within a window that
+    holds 1.5 psi + 64 rows on average (the whole ring, when there are fewer) are candidates: the
+    trees of a row follow from its place by arithmetic, so nothing but the candidates is shuffled,
+    and each tree's group is bounded."""
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols]
     x = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c).alias(n)
          for c, n in zip(x, feature_cols)]
-    need = n_trees * psi
-    if n_rows >= need:
-        # hash-threshold prefilter (~1.5x + margin), then distributed top-k: no global sort
-        frac = min(1.0, 1.5 * need / n_rows + 2000.0 / n_rows)
-        cut = int(-(2 ** 63) + frac * (2 ** 64))
-        h = F.xxhash64(F.col("row_id"), F.lit(seed))
-        pool = feat.select(h.alias("_key"), *x)
-        if frac < 1.0:
-            pool = pool.filter(F.col("_key") < F.lit(cut))
-        pool = pool.orderBy("_key").limit(need)
-        w = Window.orderBy("_key")     # over the bounded pool (n_trees * psi rows) only
-        return pool.select(((F.row_number().over(w) - 1) % n_trees).cast("int").alias("tree_id"),
-                           "_key", *feature_cols)
-    # small ledger (< n_trees * psi rows): each tree draws psi rows with its own hash
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")
-    per_tree = feat.select(trees, F.col("row_id"), *x).withColumn(
-        "_key", F.xxhash64(F.col("row_id"), F.col("tree_id"), F.lit(seed)))
-    w = Window.partitionBy("tree_id").orderBy("_key")
-    return (per_tree.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi)
-            .select(F.col("tree_id").cast("int"), "_key", *feature_cols))
+    width = min(1.0, (1.5 * psi + 64) / max(n_rows, 1))
+    rows = feat.select(content_key(feat).alias("_content"), *x)
+    rings = min(RINGS, n_trees)
+
+    def trees_near(r: int) -> Column:
+        m = len(range(r, n_trees, rings))       # trees on this ring
+        u = F.xxhash64(F.col("_content"), F.lit(r), F.lit(seed)).cast("double") / 2.0 ** 64 + 0.5
+        low, high = F.floor((u - width) * m) + 1, F.floor(u * m)
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda k: F.struct(
+            (r + rings * F.pmod(k, F.lit(m))).cast("int").alias("tree_id"), (u - k / m).alias("_key"))))
+    found = [trees_near(r) for r in range(rings)]
+    near = F.flatten(F.array_compact(F.array(*found)))
+    rows = rows.select("_content", *feature_cols, F.explode(near).alias("_t")).select(
+        "_t.tree_id", "_t._key", "_content", *feature_cols)
+    w = Window.partitionBy("tree_id").orderBy("_key", "_content", *feature_cols)
+    return (rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi)
+            .select("tree_id", "_key", *feature_cols))
 
 
 def _full_layout(nodes: pd.DataFrame, n_trees: int, depth: int) -> dict:
@@ -246,15 +260,44 @@ def raw_score_column(model: IsolationForestModel, spark) -> Column:
     return score(*[F.col(c) for c in model.feature_cols])
 
 
-def fit_offset(scored: DataFrame, model: IsolationForestModel, n_rows: int,
+def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
+    """The linearly interpolated quantile, exact at every size: counts of buckets over the range
+    narrow it to the bucket that holds the two order statistics, again and again, until each is a
+    bucket's least or greatest value. Only bucket counts and bounds reach the driver."""
+    values = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
+    low, high, n = values.agg(F.min("_v"), F.max("_v"), F.count("_v")).first()
+    if not n:
+        return None
+    rank = int(p * (n - 1))
+    share, below = p * (n - 1) - rank, 0
+
+    def statistic(k: int, low: float, high: float, below: int) -> float:
+        while low < high:
+            step = (high - low) / PERCENTILE_BUCKETS
+            if not step or low + step == low:
+                step = high - low
+            place = F.least(F.floor((F.col("_v") - low) / step), F.lit(PERCENTILE_BUCKETS - 1))
+            found = (values.filter((F.col("_v") >= low) & (F.col("_v") <= high)).groupBy(place.alias("b"))
+                     .agg(F.count("*").alias("n"), F.min("_v").alias("a"), F.max("_v").alias("z")).orderBy("b").collect())
+            for r in found:
+                if below + r["n"] > k:
+                    if k == below or r["a"] == r["z"]:
+                        return r["a"]
+                    if k == below + r["n"] - 1:
+                        return r["z"]
+                    low, high = r["a"], r["z"]
+                    break
+                below += r["n"]
+        return low
+
+    first = statistic(rank, low, high, below)
+    return first if not share else first + share * (statistic(rank + 1, low, high, below) - first)
+
+
+def fit_offset(scored: DataFrame, model: IsolationForestModel, n_rows: int | None = None,
                col: str = "_if_raw") -> float:
     """Contamination percentile of the raw scores (linear interpolation)."""
-    p = float(model.contamination)
-    if n_rows <= EXACT_PERCENTILE_MAX_ROWS:
-        agg = F.percentile(F.col(col), F.lit(p))
-    else:
-        agg = F.percentile_approx(F.col(col), F.lit(p), F.lit(100_000))
-    value = scored.agg(agg.alias("o")).collect()[0]["o"]
+    value = exact_quantile(scored, col, float(model.contamination))
     model.offset = float(value) if value is not None else 0.0     # empty ledger
     return model.offset
 

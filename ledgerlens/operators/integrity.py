@@ -21,7 +21,7 @@ from ..functions.tiers import money_text, two_decimals
 from .stats import LedgerStats
 
 def _d(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0).cast("decimal(38,4)"))
+    return F.coalesce(F.col(c), F.lit(0).cast("decimal(38,10)"))
 
 
 def _finding(df: DataFrame, order: int, status: Column, summary: Column, detail: Column) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (FOREST_MAX_DEPTH, FOREST_MIN_LEAF, FOREST_TREES, MIN_POSITIVE_EXAMPLES,
                          SUPERVISED_FEATURES)
+from .iforest import content_key
 
 
 @dataclass
@@ -36,6 +37,7 @@ def _finite(c: str) -> Column:
 # Above this many rows the forest trains on a class-stratified hash sample (every row is
 # still scored). Below it the forest sees every row, as the source tool's forest does.
 TRAIN_ROW_LIMIT = 1_000_000
+TRAIN_PARTITIONS = 32
 
 
 def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
@@ -72,17 +74,25 @@ def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
     n = n_pos + n_neg
     w_pos, w_neg = n / (2.0 * n_pos), n / (2.0 * n_neg)
     src = feat
-    if train_row_limit is not None and n > train_row_limit and "row_id" in feat.columns:
+    if train_row_limit is not None and n > train_row_limit:
         # Bernoulli per class by a seeded hash of row identity (deterministic, no shuffle);
         # weights are rescaled so each class keeps its balanced share of total weight.
         half = train_row_limit / 2.0
         p_pos, p_neg = min(1.0, half / n_pos), min(1.0, half / n_neg)
-        u = (F.abs(F.xxhash64(F.col("row_id"), F.lit(seed), F.lit("similarity"))) % 1_000_000) / 1_000_000.0
-        src = feat.filter(F.when(y == 1, u < p_pos).otherwise(u < p_neg))
+        h = F.xxhash64(content_key(feat), F.lit(seed), F.lit("similarity"))
+
+        def cut(share: float) -> int:       # the whole 64-bit hash, so the share holds at any size
+            return min(int(share * 2.0 ** 64) - 2 ** 63, 2 ** 63 - 1)
+        src = feat.filter(F.when(y == 1, h <= F.lit(cut(p_pos))).otherwise(h <= F.lit(cut(p_neg))))
         w_pos, w_neg = w_pos / p_pos, w_neg / p_neg
         info["train_sample"] = {"p_positive": p_pos, "p_negative": p_neg}
-    train = src.select(*[_finite(c).alias(c) for c in available], y.cast("double").alias("_label"),
+    # Spark ML draws its bootstrap per partition: the same rows in the same partitions and order,
+    # whatever the input's layout, give the same forest.
+    train = src.select(content_key(src).alias("_content"), *[_finite(c).alias(c) for c in available],
+                       y.cast("double").alias("_label"),
                        F.when(y == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)).alias("_w"))
+    order = ["_content", "_label", *available]
+    train = train.repartition(TRAIN_PARTITIONS, *order).sortWithinPartitions(*order).drop("_content")
     vec = VectorAssembler(inputCols=available, outputCol="_features").transform(train)
     rf = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_w", numTrees=num_trees,

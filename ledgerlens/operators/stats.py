@@ -107,8 +107,8 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None,
         F.col("abs_amount"),
         money("abs_amount").alias("abs_m"),
         money(basis).alias("basis_m"),
-        (money("debit_amount") if has_dc else F.lit(None).cast("decimal(28,4)")).alias("debit_m"),
-        (money("credit_amount") if has_dc else F.lit(None).cast("decimal(28,4)")).alias("credit_m"),
+        (money("debit_amount") if has_dc else F.lit(None).cast("decimal(28,10)")).alias("debit_m"),
+        (money("credit_amount") if has_dc else F.lit(None).cast("decimal(28,10)")).alias("credit_m"),
         F.col("date"),
     )
     if period_start is not None and period_end is not None:
@@ -149,12 +149,12 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None,
     vendor = part("vendor").groupBy(F.col("k_vendor").alias("vendor_key")).agg(
         F.sum("n_rows").alias("vendor_txn_count"),
         F.coalesce(F.sum(F.when(~F.col("k_vendor_null"), F.col("sum_basis"))),
-                   F.lit(0).cast("decimal(38,4)")).alias("vendor_disb"))
+                   F.lit(0).cast("decimal(38,10)")).alias("vendor_disb"))
     # Previous PRESENT month of the same account; the table is accounts x months, small.
     w = Window.partitionBy("account_name").orderBy("month")
     month = (part("month").filter(F.col("k_account").isNotNull() & F.col("k_month").isNotNull())
              .select(F.col("k_account").alias("account_name"), F.col("k_month").alias("month"),
-                     F.coalesce(F.col("sum_abs"), F.lit(0).cast("decimal(38,4)")).alias("month_sum"))
+                     F.coalesce(F.col("sum_abs"), F.lit(0).cast("decimal(38,10)")).alias("month_sum"))
              .withColumn("prev_sum", F.lag("month_sum").over(w)))
     cur, prev = F.col("month_sum").cast("double"), F.col("prev_sum").cast("double")
     month = month.select(

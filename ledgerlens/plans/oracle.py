@@ -89,7 +89,7 @@ def feature_ctes(basis: str = BASIS_DEBIT, period_end: str | None = "DATE '2001-
 f_vcnt AS (SELECT coalesce(vendor, 'UNKNOWN') AS vk, count(*) AS c FROM clean GROUP BY 1),
 f_mon AS (
   SELECT account_name, date_trunc('month', date) AS mth,
-         coalesce(sum(CAST(abs_amount AS DECIMAL(28,4))), 0) AS s
+         coalesce(sum(CAST(abs_amount AS DECIMAL(28,10))), 0) AS s
   FROM clean WHERE account_name IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2
 ),
 f_mon2 AS (SELECT account_name, mth, s, lag(s) OVER (PARTITION BY account_name ORDER BY mth) AS ps FROM f_mon),
@@ -102,8 +102,8 @@ f_pop AS (
   FROM f_mon2
 ),
 f_basis AS (SELECT vendor, {basis} AS b FROM clean),
-f_vtot AS (SELECT coalesce(sum(CAST(b AS DECIMAL(28,4))), 0) AS t FROM f_basis),
-f_vdis AS (SELECT vendor, sum(CAST(b AS DECIMAL(28,4))) AS d FROM f_basis WHERE vendor IS NOT NULL GROUP BY vendor),
+f_vtot AS (SELECT coalesce(sum(CAST(b AS DECIMAL(28,10))), 0) AS t FROM f_basis),
+f_vdis AS (SELECT vendor, sum(CAST(b AS DECIMAL(28,10))) AS d FROM f_basis WHERE vendor IS NOT NULL GROUP BY vendor),
 f_bounds AS (SELECT {end} AS pe, {end} - INTERVAL 9 DAY AS pcut),
 feat1 AS (
   SELECT c.*,
@@ -357,9 +357,9 @@ ORACLE["flagged_queue"] = scored_sql(
 # ---------------------------------------------------------------- integrity
 GLOBAL_CTE = """g AS (
   SELECT count(*) AS n_rows,
-         coalesce(sum(CAST(abs_amount AS DECIMAL(28,4))), 0) AS sum_abs,
-         coalesce(sum(CAST(debit_amount AS DECIMAL(28,4))), 0) AS sum_d,
-         coalesce(sum(CAST(credit_amount AS DECIMAL(28,4))), 0) AS sum_c,
+         coalesce(sum(CAST(abs_amount AS DECIMAL(28,10))), 0) AS sum_abs,
+         coalesce(sum(CAST(debit_amount AS DECIMAL(28,10))), 0) AS sum_d,
+         coalesce(sum(CAST(credit_amount AS DECIMAL(28,10))), 0) AS sum_c,
          count(date) AS n_dates,
          count(*) FILTER (WHERE date < DATE '1996-01-01' OR date > DATE '2001-10-31') AS n_oob
   FROM clean
@@ -447,9 +447,9 @@ ORACLE["tier_distribution"] = scored_sql(
     f"FROM (VALUES (0, '{LABEL_HIGH}'), (1, '{LABEL_MEDIUM}'), (2, '{LABEL_MONITOR}')) AS l(label_order, label) "
     f"LEFT JOIN scored s ON s.pcaob_label = l.label GROUP BY l.label_order, l.label")
 ORACLE["top_accounts"] = scored_sql(
-    "SELECT account_name, round(CAST(sum(CAST(abs_amount AS DECIMAL(28,4))) AS DOUBLE), 4) AS flagged_amount "
+    "SELECT account_name, round(CAST(sum(CAST(abs_amount AS DECIMAL(28,10))) AS DOUBLE), 4) AS flagged_amount "
     "FROM scored WHERE flagged_status = 'Flagged' AND account_name IS NOT NULL "
-    "GROUP BY account_name ORDER BY sum(CAST(abs_amount AS DECIMAL(28,4))) DESC, account_name LIMIT 10")
+    "GROUP BY account_name ORDER BY sum(CAST(abs_amount AS DECIMAL(28,10))) DESC, account_name LIMIT 10")
 ORACLE["escalation_counts"] = scored_sql(
     "SELECT CAST(sum(is_qualitative_override) AS BIGINT) AS n_qualitative_override, "
     "CAST(sum(is_supervised_escalation) AS BIGINT) AS n_supervised_escalation, "

@@ -30,12 +30,15 @@ def read_gl_csv(spark: SparkSession, path: str, multi_line: bool = False,
                 with_row_id: bool = True) -> DataFrame:
     """Read ledger CSV file(s) as all-string columns with missing words as NULL.
 
+    A row that does not fit the header fails the read instead of being taken in part, and so
+    does a file whose header differs from that of the others (names or their order).
+
     ``multi_line=True`` allows line breaks inside quoted fields; such files are read
     whole by one task each, so keep it off for large single files that do not need it.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("escape", '"').option("multiLine", multi_line)
-           .option("mode", "PERMISSIVE").csv(path))
+    reader = (spark.read.option("header", True).option("inferSchema", False)
+              .option("escape", '"').option("multiLine", multi_line))
+    raw = reader.option("mode", "FAILFAST").option("enforceSchema", False).schema(reader.csv(path).schema).csv(path)
     ok, missing = validate_required_columns(raw)
     if not ok:
         raise MissingColumnsError(missing)

@@ -51,13 +51,17 @@ def export_frame(queue: DataFrame, with_memos: bool | None = None) -> DataFrame:
             else:
                 cols.append(F.coalesce(F.col(c), F.lit("")).alias(c))
     out = nonfinite_to_null(queue.select(*cols))
-    # plain decimal text for numbers (no scientific notation), trailing zeros trimmed
+    # plain decimal text with every digit of the number; only magnitudes under 0.001 or over 1e27
+    # keep an exponent
     plain = []
     for f in out.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.coalesce(F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", ""),
-                           c.cast("string"))
+            text = c.cast("string")
+            large = text.contains("E") & ~text.contains("E-")
+            text = F.when(large, F.coalesce(text.try_cast("decimal(38,10)").cast("string"), text)).otherwise(text)
+            c = F.when(text.contains("E"), text).otherwise(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"))
+            c = F.regexp_replace(c, r"\.$", "")
         plain.append(c.alias(f.name))
     return out.select(*plain)
 

@@ -52,3 +52,22 @@ def test_csv_round_trip_same_review(spark):
     # empty descriptions become NULL through the CSV (a missing word); both count as missing
     assert a_rows.keys() == b_rows.keys()
     assert a_rows == b_rows
+
+
+def test_files_with_other_headers_and_broken_rows_fail(spark, tmp_path):
+    import pytest
+
+    from ledgerlens.sources.csv_gl import read_gl_csv
+    head = "date,amount,account_code,account_name,vendor,description,journal_ref\n"
+    one, two = tmp_path / "two_orders", tmp_path / "line_break"
+    one.mkdir()
+    two.mkdir()
+    (one / "a.csv").write_text(head + "2024-01-01,5,1,Cash,V,x,j1\n")
+    (one / "b.csv").write_text("amount,date,account_code,account_name,vendor,description,journal_ref\n5,2024-01-01,1,Cash,V,x,j2\n")
+    with pytest.raises(Exception):
+        read_gl_csv(spark, str(one)).collect()
+    (two / "a.csv").write_text(head + '2024-01-01,5,1,Cash,V,"two\nlines",j1\n2024-01-02,6,1,Cash,V,y,j2\n')
+    with pytest.raises(Exception):
+        read_gl_csv(spark, str(two)).collect()
+    rows = read_gl_csv(spark, str(two), multi_line=True).collect()
+    assert sorted((r.amount, r.description) for r in rows) == [("5", "two\nlines"), ("6", "y")]

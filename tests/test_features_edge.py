@@ -111,3 +111,13 @@ def test_weekend_and_missing_description(ledger):
     f = feats(ledger(rows))
     assert by_ref(f, "is_weekend_posting") == {"sat": 1, "sun": 1, "mon": 0}
     assert by_ref(f, "missing_description") == {"sat": 1, "sun": 1, "mon": 0}
+
+
+def test_infinite_and_tiny_amounts(spark):
+    from ledgerlens.operators.clean import clean_gl, money
+    df = spark.createDataFrame([("A", v) for v in (101.0, 102.0, 103.0, float("inf"), -float("inf"))],
+                               "account_name string, amount double")
+    assert [r.amount for r in clean_gl(df).collect()] == [101.0, 102.0, 103.0, None, None]
+    from pyspark.sql import functions as F
+    tiny = spark.createDataFrame([(0.00004,)] * 10, "amount double")
+    assert float(tiny.agg(F.sum(money("amount"))).first()[0]) == 0.0004

@@ -70,3 +70,25 @@ def test_small_ledger_draws_per_tree(spark):
     df = _data(spark, n=300, n_out=5)
     m, s = _fit(df, 300)
     assert m.psi == 256 and s.count() == 300
+
+
+def test_offset_is_exact_at_every_size(spark):
+    from ledgerlens.operators.iforest import exact_quantile
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 37, 5000):
+        for values in (-rng.random(n), np.round(-rng.random(n), 2), np.full(n, -0.5)):
+            df = spark.createDataFrame([(float(v),) for v in values], "v double")
+            for p in (0.0, 0.01, 0.05, 0.5, 1.0):
+                assert abs(exact_quantile(df, "v", p) - np.quantile(values, p)) < 1e-15
+    assert exact_quantile(spark.createDataFrame([], "v double"), "v", 0.05) is None
+
+
+def test_every_tree_gets_psi_rows_by_one_rule(spark):
+    from ledgerlens.operators.iforest import training_sample
+    for n in (40, 700, 20_000):
+        df = spark.range(n).selectExpr("id AS row_id", "CAST(id AS double) AS x0")
+        psi = min(256, n)
+        got = training_sample(df, ["x0"], n, 50, psi, 1)
+        sizes = {r["tree_id"]: r["count"] for r in got.groupBy("tree_id").count().collect()}
+        assert sizes == {t: psi for t in range(50)}
+        assert got.dropDuplicates(["tree_id", "x0"]).count() == 50 * psi

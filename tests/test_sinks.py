@@ -26,3 +26,11 @@ def test_export_columns_with_and_without_memos(spark):
     row = export_frame(q).first()
     assert row["narrative_status"] == "Not generated" and row["recommended_follow_up"] == "x; y; z"
     assert row["risk_summary"] == "" and row["date"] == "2024-01-02"
+
+
+def test_export_keeps_every_digit(spark):
+    values = [1e-11, 0.12345678901234567, 1e30, 12345678.9, 100.0, -0.05, 0.0, 123456789012.5, 1e7]
+    q = spark.createDataFrame([(v,) for v in values], "amount double")
+    texts = [r["amount"] for r in export_frame(q).collect()]
+    assert [float(t) for t in texts] == values
+    assert texts[3:] == ["12345678.9", "100", "-0.05", "0", "123456789012.5", "10000000"]

@@ -48,11 +48,17 @@ def member(data: bytes) -> bytes:
     return deflate.compress(data) + deflate.flush()
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        inflate = zlib.decompressobj(31)
-        yield inflate.decompress(data) + inflate.flush()
-        data = inflate.unused_data
+def members(data: bytes, step: int = 8192) -> Iterator[bytes]:
+    at = 0
+    while at < len(data):
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(data):
+                raise ValueError("an archive ends inside a member")
+            parts.append(inflate.decompress(data[at:at + step]))
+            at = min(at + step, len(data))
+        at -= len(inflate.unused_data)
+        yield b"".join(parts)
 
 
 def base32_sha1(data: bytes) -> str:

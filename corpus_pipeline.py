@@ -14,8 +14,8 @@ from ledgerlens.llm import classifier, mixing, pieces, quality_rules, simhash
 from ledgerlens.llm.queries import digests
 from ledgerlens.session import scratch_path, ship_package
 
-#: Mild tempering: the rarest levels are kept whole and most of the others too.
-MIX = mixing.Mix(temper=0.9)
+#: Mild tempering: the rarest levels are kept whole, the others by more than half.
+MIX = mixing.Mix(temper=0.97)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

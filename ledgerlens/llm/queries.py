@@ -66,7 +66,7 @@ def op8_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, end_id = scratch_path(spark, "flat"), 50256
     separators.write_flat(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN, end_id)
-    return separators.counts(spark.read.parquet(path), end_id)
+    return separators.counts(spark.read.parquet(path), end_id).select("doc_id", "n_tokens", "closed")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

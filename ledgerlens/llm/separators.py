@@ -16,8 +16,8 @@ and span blocks anywhere.
 Defined cases: a document of no tokens counts its separator only; tokens after the last
 separator of all files are one open document (``closed`` false); blocks without separator
 only carry on; an empty block or table gives nothing. Where the writer is used: null and
-empty texts are documents of a separator, a null id sorts first, rows that share an id follow
-by their text's hash, other columns are not written.
+empty texts are documents of a separator, rows that share an id (or have none) are documents
+of their own, other columns are not written.
 """
 from __future__ import annotations
 
@@ -48,9 +48,10 @@ def tiktoken_encoder(path: str, pattern: str):
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
-def write_flat(docs: DataFrame, path: str, ranks: str, pattern: str, end_id: int, block: int = BLOCK) -> None:
-    """Write the documents in id order as flat files of 16-bit ids, cut into blocks of ``block``
-    tokens wherever they fall: a table of (file, block, payload, doc_ids). ``doc_ids`` names the
+def write_flat(docs: DataFrame, path: str, ranks: str, pattern: str, end_id: int, block: int = BLOCK,
+               ordered: bool = False) -> None:
+    """Write the documents, as they are read (no shuffle) or ``ordered`` by id, as flat files of
+    16-bit ids, cut into blocks of ``block`` tokens wherever they fall: a table of (file, block, payload, doc_ids). ``doc_ids`` names the
     documents that end in the block, in order, and tells nothing of their lengths."""
     kind = docs.schema["doc_id"].dataType
 
@@ -90,7 +91,8 @@ def write_flat(docs: DataFrame, path: str, ranks: str, pattern: str, end_id: int
     schema = (StructType().add("file", IntegerType()).add("block", IntegerType())
               .add("payload", BinaryType()).add("doc_ids", ArrayType(kind)))
     names = to_arrow_schema(schema)
-    in_order(docs).mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    docs = in_order(docs) if ordered else docs.select("doc_id", "text")
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str, block: int = BLOCK, width: int = 2) -> DataFrame:

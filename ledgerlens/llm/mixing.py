@@ -4,7 +4,8 @@ The documents are summed once to cells (one row for every combination of margin
 occurs: source, language, topic) with their tokens. Raking then works on factors, one per
 margin level: each step sets the factors of one margin so that the weighted tokens of every
 level meet its target share, given the factors of the other margins; sweeps over the margins
-repeat until no factor moves by more than ``tolerance``. A step is a partial aggregate over
+repeat until no factor moves by more than ``tolerance``, ``max_sweeps`` times at most (sparse cells
+can make targets unreachable). A step is a partial aggregate over
 the cells, so a level that holds most tokens costs one row a task, and its factor table is
 written to the checkpoint folder; one number per step reaches the driver. The product of a
 cell's factors, scaled so that the largest is one, is the probability with which each of its
@@ -37,7 +38,7 @@ ADDED = ["topic", "n_tokens", "probability", "sampled"]
 class Mix:
     temper: float = 0.8
     tolerance: float = 1e-10
-    max_sweeps: int = 100
+    max_sweeps: int = 25
     rate: float = 1.0
     seed: int = 7
 

@@ -58,7 +58,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND NOT coalesce(class_js > {r.max_class_js} OR word_js > {r.max_word_js}, FALSE) AS kept FROM b"""
 
 
-def mixing(source: str = "documents", m: Mix = Mix(), sweeps: int = 25) -> str:
+def mixing(source: str = "documents", m: Mix = Mix(), sweeps: int = Mix.max_sweeps) -> str:
     """All of op1: topics, cells, tempered targets, ``sweeps`` raking sweeps, draws."""
     keys = ["source", "lang", "topic"]
     steps, was = [], "c0"

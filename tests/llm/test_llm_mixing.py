@@ -35,15 +35,19 @@ def test_expected_tokens_meet_every_target(spark):
     assert abs(kept - sum(r.probability for r in rows)) < 4 * len(rows) ** 0.5
 
 
+#: The odd table has far too few cells to meet every target.
+FEW = M.Mix(max_sweeps=3)
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark, "probability sampled")
-    found = M.sample(docs)
+    found = M.sample(docs, mix=FEW)
     rows = found.collect()
     assert len(rows) == docs.count() and rows[0]["_p"] == "mine" and rows[0]["kept"] == "mine"
     assert all((r.probability == 0) for r in rows if r.n_tokens == 0 and (r.source, r.lang) == ("b", None))
     assert {r.sampled for r in rows if r.doc_id == 5} in ({True}, {False})
     assert found.where("sampled").count() == sum(r.sampled for r in rows)
-    again = {(r.doc_id, r.sampled) for r in M.sample(docs.repartition(5)).collect()}
+    again = {(r.doc_id, r.sampled) for r in M.sample(docs.repartition(5), mix=FEW).collect()}
     assert again == {(r.doc_id, r.sampled) for r in rows}
-    assert M.sample(docs.limit(0)).count() == 0
-    assert M.sample(docs.withColumn("text", F.lit(None).cast("string"))).where("sampled").count() == 0
+    assert M.sample(docs.limit(0), mix=FEW).count() == 0
+    assert M.sample(docs.withColumn("text", F.lit(None).cast("string")), mix=FEW).where("sampled").count() == 0

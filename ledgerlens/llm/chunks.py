@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,42 +22,81 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterato
         yield batch.slice(first)
 
 
+def flat_ids(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Id lists in sequence, and their lengths."""
+    return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids))
+
+
 class Memory:
-    """Ids of chunks, asked of ``encode`` once and kept up to ``most`` characters in all."""
+    """Ids of chunks, learnt once and kept up to ``most`` characters in all."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 6_000_000):
-        self.encode, self.most, self.size = encode, most, 0
+    def __init__(self, most: int = 6_000_000):
+        self.most, self.size = most, 0
         self.known: dict[str, bytes] = {}
 
     def trim(self) -> None:
         if self.size > self.most:
             self.known, self.size = {}, 0
 
-    def learn(self, new: list[str]) -> None:
-        ids = self.encode(new)
-        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate(map(len, ids)))
-        self.known.update((x, flat[4 * a:4 * b]) for x, a, b in zip(new, [0, *ends], ends, strict=False))
-        self.size += sum(map(len, new))
+    def learn(self, chunks: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        if chunks:
+            flat, sizes = encode(chunks)
+            flat, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+            self.known.update(zip(chunks, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            self.size += len("".join(chunks))
+
 
+    def ids(self, distinct: list[str], usable: list[bool], learn: Callable[[list[str]], None]) -> list[bytes]:
+        """Ids of each chunk; ``learn`` is given the usable ones not yet known, others get none."""
+        get = self.known.get
+        ids = [get(x, b"") for x in distinct]
+        places = [k for k, (x, ok) in enumerate(zip(ids, usable, strict=True)) if ok and not x]
+        learn([distinct[k] for k in places])
+        for k in places:
+            ids[k] = get(distinct[k], b"")
+        return ids
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The texts cut at blanks: number of the distinct word at each place, the distinct words, and
     the place of each text's first word (and the end)."""
     words = pc.split_pattern(pc.fill_null(texts, ""), " ")
     edge = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
     coded = words.flatten().dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), edge
-
-
-def gathered(ids: list[bytes | None], at: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the distinct words ``at`` in sequence, and the end of each place in it; places in
-    ``skip`` are left out."""
-    size = np.array([len(x or b"") // 4 for x in ids], "i4")
-    flat = np.frombuffer(b"".join(x for x in ids if x), "<u4")
-    n = size[at]
-    if skip is not None:
-        n[skip] = 0
-    ends = np.cumsum(n, dtype="i8")
-    begin = np.cumsum(size, dtype="i8") - size
-    return flat[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+    return coded.indices.to_numpy(), coded.dictionary, edge
+
+
+def known_texts(ids: list[bytes], at: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Which texts have only words with ids."""
+    good = np.fromiter(map(len, ids), "i8", len(ids)) > 0
+    return np.logical_and.reduceat(good[at], edge[:-1]) if len(at) else np.zeros(0, bool)
+
+
+class Gather:
+    """Ids of distinct words, laid end to end once."""
+
+    def __init__(self, ids: list[bytes]):
+        self.size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(ids), "<u4")
+
+    def __call__(self, at: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words ``at`` in sequence, and the end of each place in it; places in
+        ``skip`` are left out."""
+        n = self.size[at]
+        if skip is not None:
+            n[skip] = 0
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = "i4" if max(total, len(self.flat)) < 1 << 31 else "i8"
+        shift = (self.begin[at] - ends + n).astype(kind)
+        return self.flat[np.repeat(shift, n) + np.arange(total, dtype=kind)], ends
+
+
+def ranges(edge: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of up to ``most`` words together, or one text."""
+    first = 0
+    while first < len(edge) - 1:
+        last = max(first + 1, int(np.searchsorted(edge, edge[first] + most, "right")) - 1)
+        yield first, last
+        first = last

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ledgerlens.llm.chunks import Memory, gathered, slices, words_of
+from ledgerlens.llm.chunks import Gather, Memory, flat_ids, known_texts, slices, words_of
 
 SPACE = "▁".encode()
 
@@ -162,20 +162,20 @@ class Encoder:
         self.plain = not rules.char_map.units and not rules.strip
         self.by_word = self.plain and rules.prefix and rules.escape and not any(
             "\u2581" in x.lstrip("\u2581") or x.startswith("\u2581\u2581") and x.strip("\u2581") for x in names)
-        self.words = Memory(lambda chunks: self.model.encode(chunks, num_threads=1))
+        self.words = Memory()
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Piece ids of every text."""
         if not self.by_word:
             return [np.array(x, "<u4") for x in self.model.encode([x or "" for x in texts.to_pylist()], num_threads=1)]
         self.words.trim()
-        at, distinct, edge = words_of(texts)
-        known = self.words.known
-        self.words.learn([x for x in distinct if x and x not in known and "\u2581" not in x])
-        ids = [known.get(x) for x in distinct]
-        good = np.array([x is not None for x in ids], bool)
-        plain = np.logical_and.reduceat(good[at], edge[:-1]) if len(at) else np.zeros(0, bool)
-        flat, ends = gathered(ids, at)
+        at, words, edge = words_of(texts)
+        distinct = words.to_pylist()
+        usable = [bool(x) and "\u2581" not in x for x in distinct]
+        ids = self.words.ids(distinct, usable, lambda new: self.words.learn(
+            new, lambda chunks: flat_ids(self.model.encode(chunks, num_threads=1))))
+        plain = known_texts(ids, at, edge)
+        flat, ends = Gather(ids)(at)
         ends = np.concatenate([[0], ends])
         whole = np.flatnonzero(~plain)
         other = dict(zip(whole, self.model.encode([texts[int(k)].as_py() or "" for k in whole], num_threads=1), strict=True))

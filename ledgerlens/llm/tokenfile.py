@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.chunks import Memory, gathered, slices, words_of
+from ledgerlens.llm.chunks import Gather, Memory, flat_ids, known_texts, ranges, words_of
 
 MAGIC = 0x31424650
 BLOCK = 1024
@@ -42,7 +43,7 @@ PERCENTILE = 0.9
 SEGMENT = 1 << 18
 PRINTED = "!-~¡-ɏ"
 BREAK = re.compile(f"(?<=[{PRINTED}])(?= [{PRINTED}])")
-PLAIN = re.compile(f"[{PRINTED}](?s:.*[{PRINTED}])?")
+PLAIN = f"(?s)\\A[{PRINTED}](.*[{PRINTED}])?\\z"       # in the syntax of Arrow
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -61,10 +62,15 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     packed: list = [b""] * blocks
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        bits = np.unpackbits(diff[own].astype(">u4").view("u1").reshape(len(own), block, 4), axis=2)[:, :, 32 - w:]
-        for k, data in zip(own, np.packbits(bits.reshape(len(own), -1), axis=1), strict=True):
+        if w == 16:
+            rows = diff[own].astype(">u2").view("u1")
+        else:
+            full = 16 if w < 16 else 32
+            bits = np.unpackbits(diff[own].astype(f">u{full // 8}").view("u1").reshape(len(own), block, -1), axis=2)
+            rows = np.packbits(bits[:, :, full - w:].reshape(len(own), -1), axis=1)
+        for k, data in zip(own, rows, strict=True):
             packed[k] = data.tobytes()
-    over = diff.astype("u8") >> width[:, None].astype("u8") > 0
+    over = diff > ((np.uint64(1) << width.astype("u8")) - np.uint64(1)).astype("u4")[:, None]
     out, starts, size = [], [], 16 + 4 * blocks
     for k in range(blocks):
         where = np.flatnonzero(over[k])
@@ -95,6 +101,9 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
         data = raw[starts[own][:, None] + 7 + np.arange(block * w // 8)]
+        if w == 16:
+            out[own] = data.view(">u2")
+            continue
         bits = np.zeros((len(own), block, 32), "u1")
         bits[:, :, 32 - w:] = np.unpackbits(data, axis=1).reshape(len(own), block, w)
         out[own] = np.packbits(bits.reshape(len(own), -1), axis=1).view(">u4")
@@ -110,33 +119,52 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-
-        def ask(lead):
-            return lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(
-                [lead + x for x in chunks], add_special_tokens=False)]
-        self.heads = Memory(ask(""))        # chunks as they stand
-        self.tails = Memory(ask(" "))       # chunks without their leading blank
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of every text as little-endian 32-bit bytes."""
+        self.tokenizer = Tokenizer.from_file(path)
+        line = self.whole(["\n"])[0]
+        self.line = int(line[0]) if len(line) == 1 else None
+        self.heads = Memory()               # chunks as they stand
+        self.tails = Memory(12_000_000)     # chunks without their leading blank
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat_ids([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def joined(self, chunks: list[str], together: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of printable edges, each with a blank before it, many in one text. A line
+        feed between two of them is a token of its own and occurs in none, so it parts them."""
+        flat, _ = self.whole([" " + "\n ".join(chunks[a:a + together]) + "\n" for a in range(0, len(chunks), together)])
+        parts = flat == self.line
+        ends = np.flatnonzero(parts)
+        if len(ends) != len(chunks):
+            raise ValueError("a line feed did not part two chunks")
+        return flat[~parts], np.diff(ends, prepend=-1) - 1
+
+    def _learn_tails(self, new: list[str]) -> None:
+        lines = [x for x in new if self.line is None or "\n" in x]
+        self.tails.learn(lines, lambda chunks: self.whole([" " + x for x in chunks]))
+        if self.line is not None:
+            self.tails.learn([x for x in new if "\n" not in x], self.joined)
+
+    def encode(self, texts: pa.Array, together: int = 1 << 20) -> Iterator[bytes]:
+        """Ids of every text as little-endian 32-bit bytes; up to ``together`` words are put together
+        at a time."""
         self.heads.trim()
         self.tails.trim()
-        at, distinct, edge = words_of(texts)
-        known = self.tails.known
-        self.tails.learn([x for x in distinct if x not in known and PLAIN.fullmatch(x)])
-        ids = [known.get(x) for x in distinct]
+        at, words, edge = words_of(texts)
+        distinct = words.to_pylist()
+        ids = self.tails.ids(distinct, pc.match_substring_regex(words, PLAIN).to_pylist(), self._learn_tails)
         # A text whose blanks do not all stand between printable characters is cut by the pattern.
-        good = np.array([x is not None for x in ids], bool)
-        plain = np.logical_and.reduceat(good[at], edge[:-1]) if len(at) else np.zeros(0, bool)
+        plain = known_texts(ids, at, edge)
         heads = [[distinct[at[a]]] if ok else BREAK.split(x.as_py() or "")
                  for a, ok, x in zip(edge[:-1], plain, texts, strict=True)]
-        self.heads.learn(list({x for h in heads for x in h} - self.heads.known.keys()))
-        rest, ends = gathered(ids, at, edge[:-1])       # first words stand in heads
-        rest, ends = rest.tobytes(), 4 * np.concatenate([[0], ends])
-        head = self.heads.known.__getitem__
-        return [b"".join(map(head, h)) + (rest[ends[a]:ends[b]] if ok else b"")
-                for h, a, b, ok in zip(heads, edge[:-1], edge[1:], plain, strict=True)]
+        del distinct, words
+        self.heads.learn(list({x for h in heads for x in h} - self.heads.known.keys()), self.whole)
+        head, gather = self.heads.known.__getitem__, Gather(ids)
+        for i, j in ranges(edge, together):
+            own = edge[i:j + 1] - edge[i]
+            rest, ends = gather(at[edge[i]:edge[j]], own[:-1])      # first words stand in heads
+            rest, ends = rest.tobytes(), (4 * np.concatenate([[0], ends]))[own]
+            for h, a, b, ok in zip(heads[i:j], ends[:-1], ends[1:], plain[i:j], strict=True):
+                yield b"".join(map(head, h)) + (rest[a:b] if ok else b"")
 
 
 @functools.cache
@@ -169,14 +197,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment: int
                 "doc_ids": pa.array([ids]), "sizes": [sizes], "payload": [pack(tokens)]}, names)
 
         for batch in batches:
-            for piece in slices(batch, 1):
-                for i, x in zip(piece.column(0).to_pylist(), encode(piece.column(1)), strict=True):
-                    ids.append(i)
-                    data.append(x + end)
-                    held += len(x) // 4 + 1
-                    if held >= segment:
-                        yield cut()
-                        seg, first, ids, data, held = seg + 1, first + held, [], [], 0
+            for i, x in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids.append(i)
+                data.append(x + end)
+                held += len(x) // 4 + 1
+                if held >= segment:
+                    yield cut()
+                    seg, first, ids, data, held = seg + 1, first + held, [], [], 0
         if ids:
             yield cut()
 

@@ -124,9 +124,10 @@ CONTENT = ["journal_ref", "date", "amount", "account_code", "account_name", "ven
 
 
 def content_key(feat: DataFrame) -> Column:
-    """Hash of a posting's content; of the row id where a frame has none of the columns."""
-    own = [c for c in CONTENT if c in feat.columns] or ["row_id"]
-    return F.xxhash64(*[F.col(c) for c in own])
+    """Hash of a posting's content; where a frame has none of these columns, of its row id or else
+    of all columns."""
+    own = [c for c in CONTENT if c in feat.columns] or [c for c in ["row_id"] if c in feat.columns]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in own or feat.columns])
 
 
 def training_sample(feat: DataFrame, feature_cols: list[str], n_rows: int, n_trees: int,

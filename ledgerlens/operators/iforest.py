@@ -2,11 +2,9 @@
 
 fit
   * Training input is bounded by ``n_trees x max_samples`` rows whatever the ledger size.
-    Rows are chosen by a seeded hash of ``row_id`` (content of the choice does not depend
-    on partitioning): a hash-threshold filter keeps ~1.5x the needed rows, a distributed
-    top-k trims the pool. With ``n >= n_trees * psi`` each tree gets its own disjoint
-    block of ``psi`` rows; below that every tree draws ``psi`` rows from the (then small)
-    ledger with its own hash.
+    Rows are chosen by a seeded hash of their content and their number among its exact copies
+    (the choice does not depend on partitioning, and a block of copies is drawn from like other
+    rows); see ``training_sample``.
   * Trees are grown in parallel: ``groupBy(tree_id).applyInPandas`` — one group of
     ``psi`` rows per tree, random state from ``(seed, tree_id)``. Each split picks a
     feature uniformly among those not constant in the node and a threshold uniformly in
@@ -130,33 +128,55 @@ def content_key(feat: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in own or feat.columns])
 
 
+#: Copies of one row that are numbered in one go.
+COPY_CHUNK = 4096
+
+
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_copy``, a number from 0 among the exact copies of a row, the same in every
+    layout. Copies meet as partial counts; the numbers of a row with many are made in chunks that
+    are spread over the cluster."""
+    cols = [F.col(f"`{c}`") for c in rows.columns]
+    counted = rows.groupBy(*cols).agg(F.count("*").alias("_n"))
+    few = counted.where(F.col("_n") <= COPY_CHUNK).select(
+        *cols, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy"))
+    last = F.floor((F.col("_n") - 1) / COPY_CHUNK)
+    chunks = counted.where(F.col("_n") > COPY_CHUNK).select(
+        *cols, "_n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"))
+    chunks = chunks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols, "_chunk")
+    first = F.col("_chunk") * COPY_CHUNK
+    many = chunks.select(*cols, F.explode(F.sequence(first, F.least(first + COPY_CHUNK, F.col("_n")) - 1)).alias("_copy"))
+    return few.unionByName(many)
+
+
 def training_sample(feat: DataFrame, feature_cols: list[str], n_rows: int, n_trees: int,
                     psi: int, seed: int) -> DataFrame:
     """(tree_id, _key, features...) with psi rows per tree, by one rule at every size.
 
-    Trees stand evenly spaced on ``RINGS`` rings. A seeded hash of its content places each row on
-    every ring, and a tree takes the ``psi`` rows that follow it. Only rows within a window that
-    holds 1.5 psi + 64 rows on average (the whole ring, when there are fewer) are candidates: the
-    trees of a row follow from its place by arithmetic, so nothing but the candidates is shuffled,
-    and each tree's group is bounded."""
+    Trees stand evenly spaced on ``RINGS`` rings. A seeded hash of its content and its number among
+    exact copies places each row on every ring, and a tree takes the ``psi`` rows that follow it. Only
+    rows within a window that holds 1.5 psi + 64 rows on average (the whole ring, when there are fewer)
+    are candidates: the trees of a row follow from its place by arithmetic, so beside the counts of
+    copies (content hash and features) nothing but the candidates is shuffled, and each tree's group
+    is bounded."""
     x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols]
     x = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c).alias(n)
          for c, n in zip(x, feature_cols)]
     width = min(1.0, (1.5 * psi + 64) / max(n_rows, 1))
-    rows = feat.select(content_key(feat).alias("_content"), *x)
+    rows = numbered_copies(feat.select(content_key(feat).alias("_content"), *x))
     rings = min(RINGS, n_trees)
 
     def trees_near(r: int) -> Column:
         m = len(range(r, n_trees, rings))       # trees on this ring
-        u = F.xxhash64(F.col("_content"), F.lit(r), F.lit(seed)).cast("double") / 2.0 ** 64 + 0.5
+        u = F.xxhash64(F.col("_content"), F.col("_copy"), F.lit(r), F.lit(seed)).cast("double") / 2.0 ** 64 + 0.5
         low, high = F.floor((u - width) * m) + 1, F.floor(u * m)
         return F.when(low <= high, F.transform(F.sequence(low, high), lambda k: F.struct(
             (r + rings * F.pmod(k, F.lit(m))).cast("int").alias("tree_id"), (u - k / m).alias("_key"))))
     found = [trees_near(r) for r in range(rings)]
     near = F.flatten(F.array_compact(F.array(*found)))
-    rows = rows.select("_content", *feature_cols, F.explode(near).alias("_t")).select(
-        "_t.tree_id", "_t._key", "_content", *feature_cols)
-    w = Window.partitionBy("tree_id").orderBy("_key", "_content", *feature_cols)
+    rows = rows.select("_content", "_copy", *feature_cols, F.explode(near).alias("_t")).select(
+        "_t.tree_id", "_t._key", "_content", "_copy", *feature_cols)
+    w = Window.partitionBy("tree_id").orderBy("_key", "_content", "_copy", *feature_cols)
     return (rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi)
             .select("tree_id", "_key", *feature_cols))
 

@@ -92,3 +92,20 @@ def test_every_tree_gets_psi_rows_by_one_rule(spark):
         sizes = {r["tree_id"]: r["count"] for r in got.groupBy("tree_id").count().collect()}
         assert sizes == {t: psi for t in range(50)}
         assert got.dropDuplicates(["tree_id", "x0"]).count() == 50 * psi
+
+
+def test_exact_copies_are_drawn_like_other_rows(spark):
+    from ledgerlens.operators.iforest import training_sample
+    n, psi = 30_000, 256
+    df = spark.range(n).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'copy' ELSE concat('j', id) END AS journal_ref",
+        "CASE WHEN id % 3 = 0 THEN -1D ELSE CAST(id AS double) END AS x0")
+    found = []
+    for layout in (df, df.repartition(5, "x0")):
+        rows = training_sample(layout, ["x0"], n, 50, psi, 1).groupBy("tree_id").agg(
+            F.count("*").alias("n"), F.count_if(F.col("x0") < 0).alias("copies"), F.sum("_key").alias("keys")).collect()
+        assert {r.tree_id: r.n for r in rows} == {t: psi for t in range(50)}
+        assert all(40 < r.copies < 130 for r in rows)
+        assert abs(sum(r.copies for r in rows) / (50 * psi) - 1 / 3) < 0.03
+        found.append({r.tree_id: (r.copies, round(r["keys"], 9)) for r in rows})
+    assert found[0] == found[1]

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..constants import (FOREST_MAX_DEPTH, FOREST_MIN_LEAF, FOREST_TREES, MIN_POSITIVE_EXAMPLES,
                          SUPERVISED_FEATURES)
-from .iforest import content_key
+from ..session import materialize
+from .iforest import content_key, numbered_copies
 
 
 @dataclass
@@ -40,6 +41,29 @@ TRAIN_ROW_LIMIT = 1_000_000
 TRAIN_PARTITIONS = 32
 
 
+def training_rows(feat: DataFrame, available: list[str], y: Column, shares: tuple[float, float] | None,
+                  seed: int) -> DataFrame:
+    """``_content``, ``_copy``, ``_label`` and the features of the rows to train on: every row, or by
+    class the given shares (positive, negative). A row is drawn by a seeded hash of its content and
+    its number among exact copies, so copies are drawn like other rows, whatever the layout."""
+    rows = numbered_copies(feat.select(content_key(feat).alias("_content"), y.alias("_label"),
+                                       *[_finite(c).alias(c) for c in available]))
+    if shares is None:
+        return rows
+    h = F.xxhash64(F.col("_content"), F.col("_copy"), F.lit(seed), F.lit("similarity"))
+
+    def cut(share: float) -> int:       # the whole 64-bit hash, so the share holds at any size
+        return min(int(share * 2.0 ** 64) - 2 ** 63, 2 ** 63 - 1)
+    return rows.filter(F.when(F.col("_label") == 1, h <= F.lit(cut(shares[0]))).otherwise(h <= F.lit(cut(shares[1]))))
+
+
+def laid_out(rows: DataFrame, available: list[str]) -> DataFrame:
+    """Spark ML draws its bootstrap per partition: the same rows in the same partitions and order,
+    whatever the input's layout, give the same forest. Copies of a row are spread over the partitions."""
+    order = ["_content", "_copy", "_label", *available]
+    return rows.repartition(TRAIN_PARTITIONS, *order).sortWithinPartitions(*order)
+
+
 def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
                      feature_cols: list[str] | None = None, seed: int = 42,
                      num_trees: int = FOREST_TREES, max_depth: int = FOREST_MAX_DEPTH,
@@ -72,27 +96,22 @@ def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
         return SimilarityModel(None, available, info)
 
     n = n_pos + n_neg
-    w_pos, w_neg = n / (2.0 * n_pos), n / (2.0 * n_neg)
-    src = feat
+    shares, drawn = None, counts
     if train_row_limit is not None and n > train_row_limit:
-        # Bernoulli per class by a seeded hash of row identity (deterministic, no shuffle);
-        # weights are rescaled so each class keeps its balanced share of total weight.
+        # Bernoulli per class; the weights follow from the rows drawn, so each class keeps its
+        # balanced share of total weight.
         half = train_row_limit / 2.0
-        p_pos, p_neg = min(1.0, half / n_pos), min(1.0, half / n_neg)
-        h = F.xxhash64(content_key(feat), F.lit(seed), F.lit("similarity"))
-
-        def cut(share: float) -> int:       # the whole 64-bit hash, so the share holds at any size
-            return min(int(share * 2.0 ** 64) - 2 ** 63, 2 ** 63 - 1)
-        src = feat.filter(F.when(y == 1, h <= F.lit(cut(p_pos))).otherwise(h <= F.lit(cut(p_neg))))
-        w_pos, w_neg = w_pos / p_pos, w_neg / p_neg
-        info["train_sample"] = {"p_positive": p_pos, "p_negative": p_neg}
-    # Spark ML draws its bootstrap per partition: the same rows in the same partitions and order,
-    # whatever the input's layout, give the same forest.
-    train = src.select(content_key(src).alias("_content"), *[_finite(c).alias(c) for c in available],
-                       y.cast("double").alias("_label"),
-                       F.when(y == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)).alias("_w"))
-    order = ["_content", "_label", *available]
-    train = train.repartition(TRAIN_PARTITIONS, *order).sortWithinPartitions(*order).drop("_content")
+        shares = min(1.0, half / n_pos), min(1.0, half / n_neg)
+    rows = training_rows(feat, available, y, shares, seed)
+    if shares is not None:
+        rows = materialize(rows, "similarity-rows")
+        drawn = rows.agg(F.count_if(F.col("_label") == 1), F.count_if(F.col("_label") != 1)).first()
+        info["train_sample"] = {"p_positive": shares[0], "p_negative": shares[1],
+                                "n_positive": drawn[0], "n_negative": drawn[1]}
+    w_pos, w_neg = (n / (2.0 * max(k, 1)) for k in drawn)
+    train = laid_out(rows, available).select(
+        *available, F.col("_label").cast("double").alias("_label"),
+        F.when(F.col("_label") == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)).alias("_w"))
     vec = VectorAssembler(inputCols=available, outputCol="_features").transform(train)
     rf = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_w", numTrees=num_trees,

@@ -68,3 +68,54 @@ def test_header_lines_and_record_fields(version):
     cut = W.member(W.arc_head("x.arc", version, "1999")) + W.member(W.arc_record(version, "x", "u", "1999", block, 0)[:-3])
     with pytest.raises(ValueError):
         list(W.arc_records("x.arc", cut))
+
+
+HTML = b"<p>caf\xe9</p>\n\nmore"
+DNS = b"20010203040506\nwww.h.org. 300 IN A 1.2.3.4\n"
+#: url, content type, block, type of the WARC record, payload
+FOREIGN = [
+    ("dns:www.h.org", "text/dns", DNS, "resource", DNS),
+    ("dns:www.i.org", "text/dns", DNS + b"x", "resource", DNS + b"x"),
+    ("http://h/bare", "text/html", b"HTTP/1.0 200 OK\nServer: caf\xe9\nContent-Type: text/html\n\n" + HTML, "response", HTML),
+    ("http://h/crlf", "text/html", b"HTTP/1.1 200 OK\r\nX-Page-Id: n/a\r\n\r\n\n\n" + HTML, "response", b"\n\n" + HTML),
+    ("http://h/again", "text/html", b"HTTP/1.1 200 OK\r\n\r\n" + HTML, "response", HTML),
+    ("http://h/none", "text/html", HTML, "resource", HTML),
+    ("ftp://h/f.bin", "image/gif", b"\xff\xfe\r\n\r\n\x00", "resource", b"\xff\xfe\r\n\r\n\x00"),
+    ("dns:www.h.org", "text/dns", DNS, "resource", DNS),
+]
+
+
+def foreign(version, gz):
+    """An ARC file as a crawler writes it: no carriage returns, a filedesc with metadata."""
+    info = f"{version} 0 InternetArchive\n{W.FIELDS[version]}\n<arcmetadata>x</arcmetadata>\n".encode()
+    rest = "" if version == 1 else "200 - - 0 old.arc "
+    parts = [f"filedesc://old.arc 0.0.0.0 20010203040506 text/plain {rest}{len(info)}\n".encode() + info + b"\n"]
+    for url, content, block, _, _ in FOREIGN:
+        more = "" if version == 1 else f"200 {digest(block)} - 0 old.arc "
+        parts.append(f"{url} 1.2.3.4 200102 {content} {more}{len(block)}\n".encode() + block + b"\n")
+    return b"".join(map(W.member, parts)) if gz else W.member(b"".join(parts))
+
+
+@pytest.mark.parametrize("version,gz", [(1, True), (1, False), (2, True)])
+def test_archives_of_other_writers(spark, version, gz):
+    path = scratch_path(spark, "foreign")
+    W.convert(spark.createDataFrame([("old.arc.gz", bytearray(foreign(version, gz)))], W.ARCHIVE), path)
+    out = spark.read.parquet(path)
+    (name, data), = out.collect()
+    (info, block), *records = W.warc_records(name, bytes(data))
+    assert info["warc-type"] == "warcinfo" and info["content-type"] == "application/warc-fields"
+    assert b"arc-filedesc: filedesc://old.arc" in block and b"<arcmetadata>x</arcmetadata>" in block
+    types = [f["warc-type"] for f, _ in records]
+    want = [x[3] for x in FOREIGN]
+    want[0] = want[2] = "revisit"
+    assert types == want
+    for (fields, block), (url, content, was, kind, payload) in zip(records, FOREIGN, strict=True):
+        assert fields["warc-target-uri"] == url and fields["warc-date"] == "2001-02-01T00:00:00Z"
+        assert fields["warc-payload-digest"] == "sha1:" + digest(payload) and fields["warc-ip-address"] == "1.2.3.4"
+        assert fields["content-type"] == ("application/http;msgtype=response" if kind == "response" else content)
+        assert block == (was if fields["warc-type"] != "revisit" else was.removesuffix(payload))
+    ids = [f["warc-record-id"] for f, _ in records]
+    assert records[0][0]["warc-refers-to"] == ids[7] and records[2][0]["warc-refers-to"] == ids[4]
+    assert len({*ids, info["warc-record-id"]}) == 9
+    rows = W.read_warc(out).collect()
+    assert [(r.payload_bytes, r.record_type) for r in rows] == [(len(x[4]), t) for x, t in zip(FOREIGN, want, strict=True)]

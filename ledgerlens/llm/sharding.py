@@ -12,10 +12,12 @@ prefix up in the directory (a join on evenly spread hash bits). What still excee
 goes to the next level; with shards of 1 MiB the second level starts at about 60 GB.
 
 The hash is 44 bits of the MD5 of the id and then 16 bits of the row's number in the written
-table of sizes, so copies of one id, however many, split like any other rows after 44 bits.
+table of sizes, so copies of one id split like any other rows after 44 bits. Buckets that are still
+over the limit after these 60 bits split on, by the same levels, on 60 bits of a second hash of the
+row's number, so their shards are up to 120 bits deep.
 
 Defined cases: null ids hash as one id; null and empty texts weigh 0 bytes; a single row over
-the limit is a shard of its own, and so are rows that share all 60 bits (``oversized`` is true
+the limit is a shard of its own, and so are rows that share all bits there are (``oversized`` is true
 for these two, the only shards over the limit);
 an empty table gives an empty result; repeated rows may go to different shards; extra columns
 pass through, columns named like a result are replaced.
@@ -41,56 +43,73 @@ def row_hash(doc_id: Column, row: Column) -> Column:
         bits(row.cast("string"), ROW_BITS))
 
 
-def directory(sizes: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """For rows (``h``, ``bytes``) whose buckets of depth ``low`` are undecided: the directory
+def deeper_hash(row: Column) -> Column:
+    """60 more bits of the row number."""
+    return F.shiftrightunsigned(F.xxhash64(row), 64 - BITS)
+
+
+def directory(sizes: DataFrame, low: int, high: int, limit: int, h: str = "h", stem: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """For rows (hash ``h``, ``bytes``), apart by ``stem``, whose buckets of depth ``low`` are undecided: the directory
     (``prefix`` of ``high`` bits, ``depth``, ``bucket``, ``total``) of what fits at a depth up to
     ``high``, and the prefixes of ``high`` bits that do not."""
-    leaf = materialize(sizes.groupBy(F.shiftright("h", BITS - high).alias("prefix"))
+    leaf = materialize(sizes.groupBy(*stem, F.shiftright(h, BITS - high).alias("prefix"))
                        .agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "prefix-bytes")
-    at = leaf.select("bytes", "n", "prefix", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-    totals = materialize(at.groupBy("depth", F.expr(f"shiftright(prefix, {high} - depth)").alias("bucket"))
+    at = leaf.select(*stem, "bytes", "n", "prefix", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    totals = materialize(at.groupBy(*stem, "depth", F.expr(f"shiftright(prefix, {high} - depth)").alias("bucket"))
                          .agg(F.sum("bytes").alias("total"), F.sum("n").alias("n")), "bucket-bytes")
     fits = (F.col("total") <= limit) | (F.col("n") == 1)     # one row cannot be split
     fit, over = totals.where(fits).drop("n"), totals.where(~fits)
-    parents = over.select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("parent"))
+    parents = over.select(*stem, (F.col("depth") + 1).alias("depth"), F.col("bucket").alias("parent"))
     first = fit.withColumn("parent", F.shiftright("bucket", 1))
-    first = (first.where(F.col("depth") > low).join(parents, ["depth", "parent"])
-             .unionByName(first.where(F.col("depth") == low).select("depth", "parent", "bucket", "total")))
-    entries = first.select("depth", "bucket", "total", F.explode(F.expr(
+    first = (first.where(F.col("depth") > low).join(parents, [*stem, "depth", "parent"])
+             .select(*stem, "depth", "parent", "bucket", "total")
+             .unionByName(first.where(F.col("depth") == low).select(*stem, "depth", "parent", "bucket", "total")))
+    entries = first.select(*stem, "depth", "bucket", "total", F.explode(F.expr(
         f"sequence(shiftleft(bucket, {high} - depth), shiftleft(bucket + 1, {high} - depth) - 1)")).alias("prefix"))
-    return entries, over.where(F.col("depth") == high).select(F.col("bucket").alias("prefix"))
+    return entries, over.where(F.col("depth") == high).select(*stem, F.col("bucket").alias("prefix"))
 
 
-def assign(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Add ``shard`` (its hash prefix in binary; empty: one shard for all), ``depth`` and
-    ``oversized`` to rows of (``h``, ``bytes``)."""
-    done, todo, low = [], sizes, 0
+def levels(sizes: DataFrame, limit: int, h: str = "h", stem: tuple[str, ...] = ()) -> list[DataFrame]:
+    """Rows with ``shard``, ``depth`` and ``total``, in parts, by the bits of ``h`` below those of ``stem``."""
+    done, todo, low, keys = [], sizes, 0, [*stem, "prefix"]
+    above = [F.expr(f"lpad(bin({x}), {BITS}, '0')") for x in stem]
+    name = F.concat(*above, F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(bucket), depth, '0')")))
     while True:
         high = min(low + STEP, BITS)
-        entries, over = directory(todo, low, high, limit)
+        entries, over = directory(todo, low, high, limit, h, stem)
         over = materialize(over, "oversized")
-        if high == BITS and not over.isEmpty():
-            last = over.select("prefix", F.lit(BITS).alias("depth"), F.col("prefix").alias("bucket"),
+        more = not over.isEmpty()
+        deeper = more and high == BITS and h == "h" and "h2" in sizes.columns
+        if high == BITS and more and not deeper:
+            last = over.select(*keys, F.lit(BITS).alias("depth"), F.col("prefix").alias("bucket"),
                                F.lit(limit + 1).cast("long").alias("total"))
             entries = entries.unionByName(last)
-        keyed = todo.withColumn("prefix", F.shiftright("h", BITS - high))
-        done.append(keyed.join(materialize(entries, "directory"), "prefix").drop("prefix"))
-        if high == BITS or over.isEmpty():
-            break
-        todo = materialize(keyed.join(over, "prefix", "left_semi").drop("prefix"), "undecided")
+        keyed = todo.withColumn("prefix", F.shiftright(h, BITS - high))
+        found = keyed.join(materialize(entries, "directory"), keys).drop("prefix").withColumn("shard", name)
+        done.append(found.withColumn("depth", F.col("depth") + BITS * len(stem)).drop("bucket"))
+        if not more or high == BITS and not deeper:
+            return done
+        todo = materialize(keyed.join(over, keys, "left_semi").drop("prefix"), "undecided")
+        if deeper:
+            return done + levels(todo, limit, "h2", ("h",))
         low = high
-    rows = done[0]
-    for other in done[1:]:
+
+
+def assign(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Add ``shard`` (its hash prefix in binary; empty: one shard for all), ``depth`` and
+    ``oversized`` to rows of (``h``, ``bytes``), which may have the bits of a second hash in ``h2``."""
+    rows, *others = levels(sizes, limit)
+    for other in others:
         rows = rows.unionByName(other)
-    name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(bucket), depth, '0')"))
-    return rows.withColumn("shard", name).withColumn("oversized", F.col("total") > limit).drop("bucket", "total")
+    return rows.withColumn("oversized", F.col("total") > limit).drop("total")
 
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, shard, depth, bytes and oversized of every row of ``docs`` (``doc_id``, ``text``)."""
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
                         F.monotonically_increasing_id().alias("_n"))
-    sizes = materialize(sizes.select("doc_id", "bytes", row_hash(F.col("doc_id"), F.col("_n")).alias("h")), "sizes")
+    sizes = materialize(sizes.select("doc_id", "bytes", row_hash(F.col("doc_id"), F.col("_n")).alias("h"),
+                                     deeper_hash(F.col("_n")).alias("h2")), "sizes")
     return assign(sizes, limit).select("doc_id", *ADDED)
 
 
@@ -100,7 +119,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     docs = docs.drop(*ADDED).withColumn("_n", F.monotonically_increasing_id())
     rows = materialize(docs.select(F.struct(*[c for c in docs.columns if c != "_n"]).alias("_row"), "_n", F.coalesce(
         F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-        row_hash(F.col("doc_id"), F.col("_n")).alias("h")), "shard-rows")
-    found = assign(rows.select("_n", "bytes", "h"), limit)
+        row_hash(F.col("doc_id"), F.col("_n")).alias("h"), deeper_hash(F.col("_n")).alias("h2")), "shard-rows")
+    found = assign(rows.select("_n", "bytes", "h", "h2"), limit)
     both = rows.select("_row", "_n").join(found, "_n").select("_row.*", "shard")
     both.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -51,3 +51,13 @@ def test_odd_rows(spark, tmp_path):
     assert S.shards(docs.limit(0)).count() == 0
     S.write_shards(docs, str(tmp_path / "out"), 500)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_rows_of_one_id_split_beyond_the_first_hash(spark):
+    """20,000 rows of one id and limits of one row: 16 bits of the row number do not tell all apart."""
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    rows = S.shards(docs, 1).collect()
+    assert len(rows) == len({r.shard for r in rows}) == 20_000 and not any(r.oversized for r in rows)
+    assert all(r.depth == len(r.shard) for r in rows) and max(r.depth for r in rows) > S.BITS
+    names = sorted(r.shard for r in rows)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))

@@ -102,5 +102,21 @@ SELECT doc_id, CASE depth WHEN 0 THEN '' ELSE lpad(bin(h >> (44 - depth)), CAST(
   CAST(depth AS INTEGER) AS depth, CAST(bytes AS BIGINT) AS bytes, FALSE AS oversized FROM d JOIN g USING (doc_id)"""
 
 
-ORACLE = {"op1_mixing": mixing(), "op9_sharding": sharding(),
+def hard_negatives(source: str = "embeddings") -> str:
+    """op11 where all vectors are of one length."""
+    return f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM {source}
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+ORACLE = {"op1_mixing": mixing(), "op9_sharding": sharding(), "op11_hard_negatives": hard_negatives(),
           "op4_quality_rules": quality_rules()}

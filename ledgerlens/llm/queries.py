@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (classifier, mixing, neighbours, pieces, quality_rules, separators, sharding, simhash,
-                            tokenfile, warc)
+from ledgerlens.llm import (classifier, hard_negatives, mixing, neighbours, pieces, quality_rules, separators, sharding,
+                            simhash, tokenfile, warc)
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.session import scratch_path, ship_package
 
@@ -80,7 +80,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark.read.parquet(path)).drop("url")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda c: F.when(
+        ~F.isnan(c) & (F.abs(c) < float("inf")), F.floor(256 * c)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), whole.alias("v"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=10, low=30, high=90)
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_simhash, op4_quality_rules, op5_classifier, op6_pieces, op7_tokenfile,
-                                 op8_separators, op9_sharding, op10_warc)}
+                                 op8_separators, op9_sharding, op10_warc, op11_hard_negatives)}
 
 __all__ = ["ORACLE", "QUERIES"]

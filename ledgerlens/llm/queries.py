@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (classifier, hard_negatives, mixing, neighbours, pieces, quality_rules, separators, sharding,
-                            simhash, tokenfile, warc)
+                            simhash, tokenfile, variants, warc)
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.session import scratch_path, ship_package
 
@@ -89,7 +89,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=10, low=30, high=90)
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return variants.group(docs, min_length=6, min_count=5, ratio=5, slips_every=199)
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_simhash, op4_quality_rules, op5_classifier, op6_pieces, op7_tokenfile,
-                                 op8_separators, op9_sharding, op10_warc, op11_hard_negatives)}
+                                 op8_separators, op9_sharding, op10_warc, op11_hard_negatives, op12_variants)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -70,7 +70,7 @@ def test_query_equals_sql(spark):
 def test_query_leaves_out_rows_that_are_not_finite(spark, tmp_path):
     import __spark_entry__ as E
     nan, inf = float("nan"), float("inf")
-    rows = [(0, 1, [0.5, 0.25]), (1, 1, [0.5, 0.5]), (2, 2, [0.1, 0.1]), (3, 2, [nan, 1.0]), (4, 2, [inf, 1.0]), (5, 2, [-inf, 0.1]),
+    rows = [(0, 1, [0.5, 0.25]), (1, 1, [0.5, 0.5]), (2, 2, [1.5, 1.5]), (3, 2, [nan, 1.0]), (4, 2, [inf, 1.0]), (5, 2, [-inf, 0.1]),
             (6, 2, [None, 0.1]), (7, 0, [0.5, 0.2]), (8, 2, [0.3, 0.3])]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = sorted(map(tuple, E.queries()["op11_hard_negatives"](spark, str(tmp_path)).collect()))

@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (classifier, hard_negatives, mixing, neighbours, pieces, quality_rules, separators, sharding,
-                            simhash, tokenfile, variants, warc)
+from ledgerlens.llm import (classifier, hard_negatives, mixing, neighbours, packing, pieces, quality_rules, separators,
+                            sharding, simhash, tokenfile, variants, warc)
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.session import scratch_path, ship_package
 
@@ -94,7 +94,16 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(docs, min_length=6, min_count=5, ratio=5, slips_every=199)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "pieces")
+    packing.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+    stored = spark.read.parquet(path).withColumn("ids_crc32", F.crc32("payload"))
+    return packing.assign(stored.drop("payload")).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_simhash, op4_quality_rules, op5_classifier, op6_pieces, op7_tokenfile,
-                                 op8_separators, op9_sharding, op10_warc, op11_hard_negatives, op12_variants)}
+                                 op8_separators, op9_sharding, op10_warc, op11_hard_negatives, op12_variants,
+                                 op13_packing)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,6 +45,9 @@ from ledgerlens.llm.chunks import Gather, Memory, flat_ids, ranges, slices, word
 RUN = "length int, first long, n long, each long, sequence long, begin int"
 # Fixed value: the split pattern of the public word-level tokenizer; no alternative matches white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARK = ".,;:!?"
+MARKS = list(MARK)
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class Remaining:
@@ -127,38 +131,44 @@ def cuts_at_blanks(path: str) -> bool:
             and cut[0]["pattern"] == {"Regex": WORD_PATTERN}
             and all(x["type"] in ("NFC", "Lowercase", "Replace") for x in normal)
             and all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in blanks)
+            and model["model"]["end_of_word_suffix"] == "</w>" and any(x["type"] == "Lowercase" for x in normal)
             and all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or any(c.isspace() for c in x["content"]))
                     for x in model["added_tokens"]))
 
 
 class WordEncoder:
-    """Ids of texts from those of their distinct words."""
+    """Ids of texts from those of their distinct words.
+
+    A word of plain letters is one token sequence that ends with the first token that closes a word, so
+    many are encoded in one text; a mark after it is a word of its own to the pattern, and case is dropped.
+    Other words are encoded one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Memory(12_000_000) if cuts_at_blanks(path) else None
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()
-                         if t.content.startswith("<") and t.content.count("<") == t.content.count(">") == 1)
-        self.mark = special[0] if special else None     # parts words that are encoded together
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat_ids([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def _learn(self, new: list[str]) -> None:
-        alone = [x for x in new if self.mark is None or self.mark[1] in x]
-        self.words.learn(alone, self.whole)
-        if self.mark is not None:
-            self.words.learn([x for x in new if self.mark[1] not in x], self._joined)
-
-    def _joined(self, some: list[str], together: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        number, mark = self.mark
-        flat, _ = self.whole([mark.join(some[a:a + together]) + mark for a in range(0, len(some), together)])
-        marks = flat == number
-        ends = np.flatnonzero(marks)
+        plain = [x for x in new if LETTERS.fullmatch(x)]
+        self.words.learn(plain, self._letters)
+        self.words.learn([x for x in new if x not in self.words.known], self.whole)
+
+    @functools.cached_property
+    def marks(self) -> list[bytes]:
+        return [self.whole([x])[0].tobytes() for x in ("", *MARKS)]
+
+    def _letters(self, some: list[str], together: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        flat, _ = self.whole([" ".join(some[a:a + together]) for a in range(0, len(some), together)])
+        ends = np.flatnonzero(self.closes[flat])
         if len(ends) != len(some):
-            raise ValueError("a mark did not part two words")
-        return flat[~marks], np.diff(ends, prepend=-1) - 1
+            raise ValueError("a word of letters is not closed by one token")
+        return flat, np.diff(ends, prepend=-1)
 
     def encode(self, texts: pa.Array, together: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids of every text."""
@@ -168,12 +178,18 @@ class WordEncoder:
             return
         self.words.trim()
         at, words, edge = words_of(pc.replace_substring(texts, "\n", " "))
-        distinct = words.to_pylist()
+        plain = pc.match_substring_regex(words, f"\\A{LETTERS.pattern}[{MARK}]?\\z")
+        stems = pc.if_else(plain, pc.utf8_rtrim(pc.utf8_lower(words), MARK), words).dictionary_encode()
+        mark = pc.if_else(plain, pc.index_in(pc.utf8_slice_codeunits(words, -1), pa.array(MARKS)), None)
+        distinct = stems.dictionary.to_numpy(zero_copy_only=False).tolist()        # many times faster than to_pylist
         self._learn([x for x in distinct if x not in self.words.known])
-        gather = Gather([self.words.known[x] for x in distinct])
+        gather = Gather([self.words.known[x] for x in distinct] + self.marks)
+        # Each word is its stem and its mark, which may be none.
+        mark = pc.add(pc.fill_null(mark, -1), len(distinct) + 1).to_numpy()
+        pairs = np.stack([stems.indices.to_numpy(), mark], axis=1).astype("i4")
         for i, j in ranges(edge, together):
-            flat, ends = gather(at[edge[i]:edge[j]])
-            ends = np.concatenate([[0], ends])[edge[i:j + 1] - edge[i]]
+            flat, ends = gather(pairs[at[edge[i]:edge[j]]].ravel())
+            ends = np.concatenate([[0], ends])[2 * (edge[i:j + 1] - edge[i])]
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 yield flat[a:b]
 

@@ -16,7 +16,8 @@ queries), so a part of any size is spread over tasks and no task grows. Equal ve
 candidate that keeps its smallest ids (the results plus one), which loses no result, because
 ties go to smaller ids. The best rows of each block meet per query.
 
-Defined cases: vectors that are null, zero, of another length than most, or that hold null or
+Defined cases: vectors of any finite size count alike (they are scaled by powers of two before any product);
+vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; a query never finds its own id; equal rows count once; rows
 that share an id but differ are separate queries; a query whose most probable parts hold too few
 candidates goes to further parts; an empty table gives an empty result; other columns are not
@@ -62,9 +63,15 @@ class Router:
         return np.maximum(unit(x) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their greatest component near one: cosines stay the same to the
+    last bit, and neither squares nor products overflow or vanish."""
     x = x.astype("f8")
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -214,7 +221,7 @@ def compare(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame
         {"query_id": "i8", "query": "i8", "vec_id": "i8", "score": "f8"})
     if not len(queries) or not len(points):
         return out
-    q, p = (np.stack(x["v"].to_numpy()).astype("f8") for x in (queries, points))
+    q, p = (scaled(np.stack(x["v"].to_numpy())) for x in (queries, points))
     qn, pn = (np.sqrt((x * x).sum(axis=1)) for x in (q, p))
     near = (q @ p.T) / qn[:, None] / pn
     width = min(k + 1, len(p))

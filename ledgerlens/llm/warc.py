@@ -6,9 +6,9 @@ file. The converter reads the version block of each ARC file to learn its header
 (five in version 1, ten in version 2), then parses header lines and declared lengths record by
 record. Each record becomes a WARC/1.1 record with a synthesised identifier, ISO timestamp,
 type, IP address and SHA-1 block and payload digests. The version block becomes a warcinfo record,
-an HTTP answer (unless its url is of a scheme without them) a response whose payload follows its head (which ends at
-the first empty line, with or without carriage returns), anything else (dns, ftp, an answer without
-HTTP head) a resource of the ARC content type whose payload is the whole block.
+a block that begins with an HTTP status line a response, whatever the scheme of its url, whose payload
+follows its head (which ends at the first empty line, with or without carriage returns), anything else
+(dns, ftp, an answer without HTTP head) a resource of the ARC content type whose payload is the whole block.
 
 Records of one type and of equal payloads of at least ``min_bytes`` bytes are stored once: the one with the
 largest page id is the response (of rows that share it, the last in archive order), the
@@ -16,7 +16,8 @@ others become revisit records without payload that refer to its record id. Diges
 (narrow rows); the choice is an aggregate and a join on the digest, and only the revisits
 found travel back to their archives, so payloads cross the network once at most.
 
-Defined cases: a null payload is empty, a null url becomes ``about:blank``, blanks and control
+Defined cases: texts of any length are one record each, and ``write_arc`` starts a new archive after
+``ARCHIVE_BYTES``; an archive is held whole by one task, so it must fit a cell (2 GB); a null payload is empty, a null url becomes ``about:blank``, blanks and control
 characters in a url are percent-encoded, a null id is kept as null and loses to every other;
 repeated rows are records of their own; a damaged archive fails with its name; an empty
 table gives no archives and an empty result; other columns are not written.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
@@ -44,7 +45,7 @@ FIELDS = {
 ARCHIVE = "archive string, payload binary"
 ARCHIVE_BYTES = 8_000_000
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")   # the RFC 4122 name space of URLs
-OTHER_SCHEMES = ("dns:", "ftp:", "ftps:", "sftp:", "gopher:", "whois:", "nntp:", "file:", "mailto:", "data:")
+STATUS_LINE = re.compile(rb"HTTP/\d(\.\d+)? \d{3}[ \r\n]")
 END_OF_HEAD = re.compile(rb"\r?\n\r?\n")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -94,13 +95,10 @@ def headers(block: bytes, encoding: str = "latin-1") -> tuple[dict[str, str], by
     return {k.strip().lower(): v.strip() for k, _, v in pairs if k.strip()}, rest
 
 
-def is_http(fields: dict[str, str], block: bytes) -> bool:
-    return block.startswith(b"HTTP/") and not fields["URL"].lower().startswith(OTHER_SCHEMES)
-
-
-def split_block(fields: dict[str, str], block: bytes) -> tuple[str, bytes, bytes]:
-    """WARC type, HTTP head and payload of an ARC record."""
-    return ("response", *split_head(block)) if is_http(fields, block) else ("resource", b"", block)
+def split_block(block: bytes) -> tuple[str, bytes, bytes]:
+    """WARC type, HTTP head and payload of an ARC record: what a record is follows from its block, as
+    its url may be of any scheme."""
+    return ("response", *split_head(block)) if STATUS_LINE.match(block) else ("resource", b"", block)
 
 
 def text_of(line: bytes) -> str:
@@ -142,7 +140,7 @@ def arc_parts(name: str, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if len(body) < size:
                 raise ValueError(f"{name}: a record ends before its declared length")
             values = line.split(" ")
-            if not names or line.startswith("filedesc://"):
+            if not names or line.startswith("filedesc://") and not STATUS_LINE.match(body):
                 version = int(body.split(b" ", 1)[0])
                 names = text_of(body.split(b"\n")[1]).rstrip("\r").split(" ")
                 if names != FIELDS.get(version, "").split(" "):
@@ -185,7 +183,7 @@ def warc_info(fields: dict[str, str], block: bytes, name: str, to: str) -> bytes
 
 def warc_record(fields: dict[str, str], block: bytes, name: str, position: int, refers: int | None, revisit: bool,
                 refers_to: str | None = None) -> bytes:
-    kind, head, payload = split_block(fields, block)
+    kind, head, payload = split_block(block)
     digest = base32_sha1(payload)
     if revisit:
         block = head
@@ -239,6 +237,11 @@ def row(name: str, out: list[bytes]) -> pa.RecordBatch:
                                       ["archive", "payload"])
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The archive files at ``path`` as a table for ``convert`` or ``read_warc``; an archive's name is its whole path."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.col("content").alias("payload"))
+
+
 def page_of(text: str) -> int | None:
     return int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) and -2 ** 63 <= int(text) < 2 ** 63 else None
 
@@ -250,7 +253,7 @@ def payloads(archives: DataFrame) -> DataFrame:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
                 for k, (fields, block) in enumerate(arc_records(name, data.as_py())):
-                    kind, head, body = split_block(fields, block)
+                    kind, head, body = split_block(block)
                     rows.append((name, k, page_of(headers(head)[0].get("x-page-id", "")), len(body), base32_sha1(body),
                                  kind, record_id(fields, name, k)))
                 yield pa.RecordBatch.from_arrays(

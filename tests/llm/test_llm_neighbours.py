@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 import __spark_entry__ as E
 from ledgerlens.llm import neighbours as N
@@ -50,6 +51,17 @@ def test_routing_recall_with_many_parts(spark):
     assert router.probes < 16
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324])
+def test_large_and_tiny_components(spark, size):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(60, 4)) * 1000)
+    df = spark.createDataFrame([(i, [float(c * size) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(N.search(df, df["vec_id"] % 20 == 0).collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == exact(np.arange(60), x, (0, 20, 40))
+
+
 def test_odd_rows_ties_and_copies(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]),

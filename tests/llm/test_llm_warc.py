@@ -19,8 +19,15 @@ def run(spark, pages, min_bytes=0):
     return W.read_warc(spark.read.parquet(path)).collect()
 
 
-def test_query_equals_brute_force(spark):
+URLS = ["http://a/", "HTTPS://b/", "ftp://c/x", "mailto:d@e", "data:text/html,x", "file:///f", "dns:g", None, "", "filedesc://h", "urn:i"]
+
+
+@pytest.mark.parametrize("made", [False, True])
+def test_query_equals_brute_force(spark, tmp_path, made):
     sf = "/root/testdata/sf0.001"
+    if made:        # pages of every scheme, each payload of its own and shared ones
+        sf, rows = str(tmp_path), [(i, u, h) for i, (u, h) in enumerate((u, h) for u in URLS for h in (f"<p>{u}", "<p>x", None, "HTTP/1.1 200 OK"))]
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     last = {}
     for i in sorted(pages):
@@ -97,9 +104,10 @@ def foreign(version, gz):
 
 
 @pytest.mark.parametrize("version,gz", [(1, True), (1, False), (2, True)])
-def test_archives_of_other_writers(spark, version, gz):
+def test_archives_of_other_writers(spark, tmp_path, version, gz):
     path = scratch_path(spark, "foreign")
-    W.convert(spark.createDataFrame([("old.arc.gz", bytearray(foreign(version, gz)))], W.ARCHIVE), path)
+    (tmp_path / "old.arc.gz").write_bytes(foreign(version, gz))
+    W.convert(W.read_files(spark, str(tmp_path)), path)
     out = spark.read.parquet(path)
     (name, data), = out.collect()
     (info, block), *records = W.warc_records(name, bytes(data))

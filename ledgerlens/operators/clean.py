@@ -5,8 +5,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(28,10)"  # exact sums; sum() widens it to decimal(38,10)
-
 
 def _to_double(col: Column, dtype: T.DataType) -> Column:
     c = col if isinstance(dtype, (T.DoubleType, T.FloatType)) else col.try_cast("double")
@@ -51,9 +49,3 @@ def clean_gl(df: DataFrame, date_format: str | None = None) -> DataFrame:
             out.append(c)
     return df.select(*out)
 
-
-def money(col: str | Column) -> Column:
-    """A money value as an exact decimal for summing: ten decimals, 18 digits before them (larger
-    values raise, none is cut)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast(MONEY)

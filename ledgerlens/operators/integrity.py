@@ -1,7 +1,7 @@
 """Advisory integrity checks (never block the review).
 
 Each check is a one-row frame computed from the single statistics pass
-(:class:`LedgerStats`): exact DECIMAL sums for the hash total and cross-footing, date
+(:class:`LedgerStats`): exact sums and differences for the hash total and cross-footing, date
 counts for the period check, the small (code, name) pair table for the mapping check.
 The report is their ordered union.
 """
@@ -21,7 +21,7 @@ from ..functions.tiers import money_text, two_decimals
 from .stats import LedgerStats
 
 def _d(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0).cast("decimal(38,10)"))
+    return F.coalesce(F.col(c), F.lit(0.0))
 
 
 def _finding(df: DataFrame, order: int, status: Column, summary: Column, detail: Column) -> DataFrame:
@@ -34,15 +34,14 @@ def _empty_detail() -> Column:
 
 
 def _as_double(c: Column) -> Column:
-    return F.round(c.cast("double"), 4)
+    return F.round(c, 4)
 
 
 def hash_total(stats: LedgerStats, tol: float = INTEGRITY_TOLERANCE) -> DataFrame:
     g = stats.global_row
     if not stats.has_debit_credit:
         return _finding(g, 1, F.lit("Pass"), F.lit(SKIP_HASH), _empty_detail())
-    sum_abs, sum_dc = _d("sum_abs"), _d("sum_debit") + _d("sum_credit")
-    diff = F.abs(sum_abs - sum_dc)
+    sum_abs, sum_dc, diff = _d("sum_abs"), _d("sum_debit_credit"), F.abs(_d("abs_less_debit_credit"))
     summary = fill(HASH_TOTAL_SUMMARY, sum_abs=money_text(sum_abs), sum_dc=money_text(sum_dc),
                    diff=money_text(diff))
     detail = F.create_map(F.lit("sum_abs"), _as_double(sum_abs).cast("string"),
@@ -55,9 +54,8 @@ def cross_footing(stats: LedgerStats, tol: float = INTEGRITY_TOLERANCE) -> DataF
     g = stats.global_row
     if not stats.has_debit_credit:
         return _finding(g, 2, F.lit("Pass"), F.lit(SKIP_CROSS), _empty_detail())
-    sd, sc = _d("sum_debit"), _d("sum_credit")
-    diff = F.abs(sd - sc)
-    pct = diff.cast("double") / F.greatest(sd.cast("double"), F.lit(1.0)) * 100.0
+    sd, sc, diff = _d("sum_debit"), _d("sum_credit"), F.abs(_d("debit_less_credit"))
+    pct = diff / F.greatest(sd, F.lit(1.0)) * 100.0
     summary = fill(CROSS_FOOTING_SUMMARY, sum_d=money_text(sd), sum_c=money_text(sc),
                    diff=money_text(diff), pct=two_decimals(pct))
     detail = F.create_map(F.lit("sum_d"), _as_double(sd).cast("string"),

@@ -16,7 +16,7 @@ from ..constants import (ACTION_BOTH, ACTION_NONE, ACTION_ONE, FLAG_TEXTS, HIGH_
                          RATING_ELEVATED_ABOVE, RATING_MODERATE_ABOVE, TOP_ACCOUNTS_N,
                          TOP_DRIVERS_N, UNUSUAL_AMOUNT_TEXT)
 from ..functions.text import fill
-from .clean import money
+from .exact import sum_by
 
 QUEUE_COLUMNS = ["row_id", "journal_ref", "date", "account_name", "vendor", "amount",
                  "anomaly_score", "raw_tier", "final_tier", "pcaob_label",
@@ -89,11 +89,9 @@ def tier_distribution(scored: DataFrame) -> DataFrame:
 
 def top_accounts(scored: DataFrame, n: int = TOP_ACCOUNTS_N) -> DataFrame:
     """Flagged abs amount per account, top n descending (NULL account dropped)."""
-    sums = (scored.filter((F.col("flagged_status") == "Flagged") & F.col("account_name").isNotNull())
-            .groupBy("account_name").agg(F.sum(money("abs_amount")).alias("_s")))
-    top = sums.orderBy(F.col("_s").desc_nulls_last(), F.col("account_name")).limit(n)
-    return top.select("account_name", F.round(F.coalesce(F.col("_s"), F.lit(0)).cast("double"), 4)
-                      .alias("flagged_amount"))
+    flagged = scored.filter((F.col("flagged_status") == "Flagged") & F.col("account_name").isNotNull())
+    top = sum_by(flagged, ["account_name"], "abs_amount", "_s").orderBy(F.desc("_s"), "account_name").limit(n)
+    return top.select("account_name", F.round("_s", 4).alias("flagged_amount"))
 
 
 def train_guards(feat: DataFrame, label_col: str = "fraud_risk_flag", min_positive: int = 5) -> DataFrame:

@@ -114,10 +114,10 @@ def test_weekend_and_missing_description(ledger):
 
 
 def test_infinite_and_tiny_amounts(spark):
-    from ledgerlens.operators.clean import clean_gl, money
+    from ledgerlens.operators.clean import clean_gl
+    from ledgerlens.operators.exact import sum_by
     df = spark.createDataFrame([("A", v) for v in (101.0, 102.0, 103.0, float("inf"), -float("inf"))],
                                "account_name string, amount double")
     assert [r.amount for r in clean_gl(df).collect()] == [101.0, 102.0, 103.0, None, None]
-    from pyspark.sql import functions as F
-    tiny = spark.createDataFrame([(0.00004,)] * 10, "amount double")
-    assert float(tiny.agg(F.sum(money("amount"))).first()[0]) == 0.0004
+    tiny = spark.createDataFrame([("A", 0.00004)] * 10, "account_name string, amount double")
+    assert sum_by(tiny, ["account_name"], "amount", "s").first().s == 0.0004

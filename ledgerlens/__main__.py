@@ -24,7 +24,8 @@ def _parser() -> argparse.ArgumentParser:
     r = sub.add_parser("review", help="review a general ledger and write the packet")
     src = r.add_mutually_exclusive_group(required=True)
     src.add_argument("--csv", help="ledger CSV file(s) or folder")
-    r.add_argument("--multi-line", action="store_true", help="CSV fields may hold quoted line breaks")
+    r.add_argument("--multi-line", action=argparse.BooleanOptionalAction, default=None,
+                   help="CSV fields may hold quoted line breaks (default: looked for)")
     src.add_argument("--parquet", help="ledger parquet file(s) or folder")
     r.add_argument("--entity-type", required=True)
     r.add_argument("--benchmark", type=float, required=True)
@@ -49,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     from .operators.memos import attach_memos, memo_table, memo_tallies
     from .plans.review import review
     from .session import ensure_checkpoint_dir, ship_package
-    from .sources.csv_gl import read_gl_csv, read_gl_parquet
+    from .sources.csv_gl import read_csv_ledger, read_gl_parquet
     from .sources.sinks import export_csv, write_packet
 
     builder = SparkSession.builder.appName("ledgerlens-review")
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    gl = read_gl_csv(spark, args.csv, args.multi_line) if args.csv else read_gl_parquet(spark, args.parquet)
+    gl = read_csv_ledger(spark, args.csv, args.multi_line) if args.csv else read_gl_parquet(spark, args.parquet)
     packet = review(gl, args.entity_type, args.benchmark, args.sensitivity, args.period_start,
                     args.period_end, date_format=args.date_format)
     tables = dict(packet.tables)

@@ -1,10 +1,12 @@
-"""clean_gl: the cleaning projection (one ``select``, no shuffle)."""
+"""clean_gl: the cleaning projection (one ``select``, no shuffle; text dates are voted on before it)."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .dates import choose_date_format, parse
+
 
 def _to_double(col: Column, dtype: T.DataType) -> Column:
     c = col if isinstance(dtype, (T.DoubleType, T.FloatType)) else col.try_cast("double")
@@ -19,19 +21,20 @@ def _to_datetime(col: Column, dtype: T.DataType, date_format: str | None) -> Col
         return col
     if isinstance(dtype, T.TimestampType):
         return col.cast("timestamp_ntz")
-    if date_format:
-        return F.try_to_timestamp(col.cast("string"), F.lit(date_format)).cast("timestamp_ntz")
-    return col.cast("string").try_cast("timestamp_ntz")
+    return parse(col.cast("string"), date_format)
 
 
 def clean_gl(df: DataFrame, date_format: str | None = None) -> DataFrame:
     """Coerce date/amount, add ``abs_amount``, zero-fill debit/credit, strings as strings.
 
-    Dates: DATE and naive timestamps pass through, text is parsed as ISO (or with
-    ``date_format``); unparseable values become NULL. Amounts: text is parsed,
+    Dates: DATE and naive timestamps pass through, text is parsed with ``date_format`` or, where none is given,
+    with the format that most of the column's rows fit (one pass over it, ``dates``); unparseable values become
+    NULL. Amounts: text is parsed,
     unparseable values, NaN and infinities become NULL. Extra columns pass through unchanged.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    if date_format is None and "date" in types and (choice := choose_date_format(df)):
+        date_format = choice.pattern
     out = []
     for name in df.columns:
         c = F.col(f"`{name}`")

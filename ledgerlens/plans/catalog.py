@@ -541,6 +541,35 @@ def q_read_csv(spark, sf_dir):
                     "dr_cr_pattern")
 
 
+def _us_csv(spark, sf_dir):
+    """The fixture ledger as CSV with dates as month/day/year, read back."""
+    from ..session import scratch_path
+    from ..sources.csv_gl import read_gl_csv
+    gl = L(spark, sf_dir).gl.drop("row_id").withColumn("date", F.date_format("date", "M/d/yyyy"))
+    path = scratch_path(spark, "gl-csv-us")
+    (gl.select(*[F.col(c).cast("string").alias(c) for c in gl.columns])
+       .write.option("header", True).option("escape", '"').csv(path))
+    return read_gl_csv(spark, path)
+
+
+@query("read_gl_csv_us_dates")
+def q_read_csv_us(spark, sf_dir):
+    """The round trip with dates as month/day/year and no format given."""
+    from ..operators.clean import clean_gl
+    c = clean_gl(_us_csv(spark, sf_dir))
+    return c.select("journal_ref", F.col("date").cast("date").alias("date"), r6("amount").alias("amount"),
+                    "account_code", "account_name", "vendor", "description",
+                    r6("debit_amount").alias("debit_amount"), r6("credit_amount").alias("credit_amount"),
+                    "dr_cr_pattern")
+
+
+@query("date_votes")
+def q_date_votes(spark, sf_dir):
+    """For each candidate format the rows that it parses."""
+    from ..operators.dates import date_votes
+    return date_votes(_us_csv(spark, sf_dir)).drop("nth")
+
+
 @query("export_csv")
 def q_export(spark, sf_dir):
     """The exported queue (16 columns + 8 memo columns) written as CSV and read back."""

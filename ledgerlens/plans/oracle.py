@@ -13,6 +13,7 @@ from ..constants import (ACTION_BOTH, ACTION_NONE, ACTION_ONE, CROSS_FOOTING_SUM
                          MAPPING_CODES, MAPPING_NAMES, MAPPING_OK, MEDIUM_ITEMS, NO_FLAGS_TEXT,
                          OVERRIDE_NOTE, POPULATION_TEXT, QUALITY_TEXT, QUEUE_TEXT, SKIP_HASH)
 from ..functions.text import fill_sql
+from ..operators.dates import CANDIDATES
 
 TIERS = ["Monitor", "Low", "Medium", "High"]
 
@@ -711,6 +712,11 @@ ORACLE["read_gl_csv"] = feat_sql(
     "CASE WHEN description = '' THEN NULL ELSE description END AS description, "
     "(round(debit_amount, 6) + 0.0) AS debit_amount, (round(credit_amount, 6) + 0.0) AS credit_amount, "
     "dr_cr_pattern FROM clean")
+ORACLE["read_gl_csv_us_dates"] = ORACLE["read_gl_csv"]
+ORACLE["date_votes"] = feat_sql(
+    "SELECT candidate, CASE candidate WHEN 'month/day/yyyy' THEN n WHEN 'day/month/yyyy' THEN low ELSE 0 END AS n_parsed, "
+    "n AS n_values FROM (SELECT count(date) AS n, count(*) FILTER (day(date) <= 12) AS low FROM clean), "
+    f"(SELECT unnest([{', '.join(repr(name) for name, _, _ in CANDIDATES)}]) AS candidate)")
 ORACLE["export_csv"] = memo_sql(
     "SELECT CAST(q.date AS VARCHAR) AS date, q.account_name, q.vendor, q.final_tier, q.active_flags, "
     "CASE WHEN m.position IS NULL THEN 'Not generated' ELSE 'Fallback' END AS narrative_status, "

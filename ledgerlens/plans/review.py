@@ -35,6 +35,7 @@ from ..functions.tiers import raw_tier
 from ..operators import integrity as I
 from ..operators import summary as S
 from ..operators.clean import clean_gl
+from ..operators.dates import choose_date_format, date_votes
 from ..operators.features import engineer_features
 from ..operators.iforest import (IsolationForestModel, decision_column, fit_isolation_forest,
                                  fit_offset, raw_score_column)
@@ -42,6 +43,7 @@ from ..operators.scoring import apply_scoring, materiality
 from ..operators.similarity import SimilarityModel, similarity_score, train_similarity
 from ..operators.stats import LedgerStats, compute_stats
 from ..session import input_bytes, materialize
+from ..sources.csv_gl import CsvLedger
 from ..sources.fixture import FIXTURE_PARAMS, gl_fixture
 
 
@@ -105,9 +107,11 @@ def finish_scoring(feat: DataFrame, forest: IsolationForestModel, sim: Similarit
     return materialize(scored.drop("_if_raw"), "scored")
 
 
-def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_sensitivity: str,
+def review(gl: DataFrame | CsvLedger, entity_type: str, benchmark_figure: float, detection_sensitivity: str,
            period_start: str, period_end: str, seed: int = 42, date_format: str | None = None,
            n_trees: int = 200, forest_trees: int = 200, forest_depth: int = 8) -> ReviewPacket:
+    """The whole review of a ledger: a frame, or a ``CsvLedger``, whose damaged rows are then reported too."""
+    source, gl = (gl, gl.rows) if isinstance(gl, CsvLedger) else (None, gl)
     if detection_sensitivity not in SENSITIVITY:
         raise ValueError(f"Unknown detection_sensitivity {detection_sensitivity!r}. "
                          f"Expected one of {list(SENSITIVITY)}.")
@@ -133,7 +137,8 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
         # the sources attach a position-based id; any other frame gets one here
         gl = gl.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in gl.columns],
                                                 F.monotonically_increasing_id()))
-    clean = clean_gl(gl, date_format=date_format)
+    dates = choose_date_format(gl) if date_format is None else None
+    clean = clean_gl(gl, date_format=dates.pattern if dates else date_format)
     # A small input is kept in memory (spilling to disk) between the statistics and the
     # features pass; a large one is simply scanned twice - never cached whole.
     small = (input_bytes(clean) or CACHE_INPUT_MAX_BYTES + 1) <= CACHE_INPUT_MAX_BYTES
@@ -183,6 +188,13 @@ def review(gl: DataFrame, entity_type: str, benchmark_figure: float, detection_s
     request = {"entity_type": entity_type, "benchmark_figure": benchmark_figure,
                "detection_sensitivity": detection_sensitivity, "period_start": str(period_start),
                "period_end": str(period_end), "row_count": n_rows}
+    if dates:
+        request |= {"date_format": dates.name, "date_failed_share": round(dates.failed_share, 6), "date_ambiguous": dates.ambiguous}
+        if dates.values:
+            tables["date_votes"] = date_votes(gl)
+    if source:
+        request |= source.observed.get
+        tables["damaged_rows"] = source.damaged
     return ReviewPacket(request, m, stats, feat, forest, sim, scored, tables, timings)
 
 

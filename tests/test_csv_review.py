@@ -11,7 +11,7 @@ from ledgerlens.operators.integrity import integrity_report
 from ledgerlens.operators.scoring import apply_scoring, given_scores
 from ledgerlens.operators.stats import compute_stats
 from ledgerlens.session import scratch_path
-from ledgerlens.sources.csv_gl import read_gl_csv
+from ledgerlens.sources.csv_gl import read_csv_ledger, read_gl_csv
 from ledgerlens.sources.fixture import FIXTURE_PARAMS, gl_fixture
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +54,7 @@ def test_csv_round_trip_same_review(spark):
     assert a_rows == b_rows
 
 
-def test_files_with_other_headers_and_broken_rows_fail(spark, tmp_path):
+def test_files_with_other_headers_fail_and_line_breaks_are_read(spark, tmp_path):
     import pytest
 
     from ledgerlens.sources.csv_gl import read_gl_csv
@@ -67,7 +67,32 @@ def test_files_with_other_headers_and_broken_rows_fail(spark, tmp_path):
     with pytest.raises(Exception):
         read_gl_csv(spark, str(one)).collect()
     (two / "a.csv").write_text(head + '2024-01-01,5,1,Cash,V,"two\nlines",j1\n2024-01-02,6,1,Cash,V,y,j2\n')
-    with pytest.raises(Exception):
-        read_gl_csv(spark, str(two)).collect()
-    rows = read_gl_csv(spark, str(two), multi_line=True).collect()
-    assert sorted((r.amount, r.description) for r in rows) == [("5", "two\nlines"), ("6", "y")]
+    for multi_line in (None, True):
+        rows = read_gl_csv(spark, str(two), multi_line).collect()
+        assert sorted((r.amount, r.description) for r in rows) == [("5", "two\nlines"), ("6", "y")]
+
+
+def test_damaged_rows_are_padded_or_named(spark, tmp_path):
+    head = "date,amount,account_code,account_name,vendor,description,journal_ref\n"
+    (tmp_path / "a.csv").write_text(head + '2024-01-01,5,1,Cash,V,"a, ""b""",j1\n2024-01-02,6\n2024-01-03,7,1,Cash,V,x,j3,extra\n')
+    (tmp_path / "b.csv").write_text(head + '2024-01-04,8,1,Cash,"V, W",x,j4,\n\n2024-01-05,9,1,Cash,V,x\n2024-01-06,10,1,Cash,V,x,j6\n')
+    ledger = read_csv_ledger(spark, str(tmp_path))
+    rows = {r.amount: r for r in ledger.rows.collect()}
+    assert set(rows) == {"5", "6", "9", "10"} and rows["5"].description == 'a, "b"'
+    assert rows["6"].account_code is None and rows["6"].journal_ref is None and rows["9"].description == "x" and rows["9"].journal_ref is None
+    assert ledger.observed.get == {"n_short": 2, "n_long": 2}
+    found = sorted((r.n_fields, r.n_expected, r.record.split(",")[1], r.file[-5:]) for r in ledger.damaged.collect())
+    assert found == [(2, 7, "6", "a.csv"), (6, 7, "9", "b.csv"), (8, 7, "7", "a.csv"), (8, 7, "8", "b.csv")]
+    assert len({r.row_id for r in rows.values()}) == 4
+
+
+def test_review_names_damaged_rows_and_the_date_format(spark, tmp_path):
+    from ledgerlens.plans.review import review
+    gl = gl_fixture(spark, SF, with_row_id=False).withColumn("date", F.date_format("date", "MM/dd/yyyy"))
+    gl.select(*[F.col(c).cast("string").alias(c) for c in gl.columns]).coalesce(1).write.option("header", True).option("escape", '"').csv(str(tmp_path / "gl"))
+    (tmp_path / "gl" / "more.csv").write_text(",".join(gl.columns) + "\nj-short,01/31/1998,12\n" + "j-long" + "," * 20 + "\n")
+    packet = review(read_csv_ledger(spark, str(tmp_path / "gl")), **FIXTURE_PARAMS, n_trees=5, forest_trees=5, forest_depth=3)
+    assert packet.request["n_short"] == packet.request["n_long"] == 1 and packet.request["row_count"] == gl.count() + 1
+    assert (packet.request["date_format"], packet.request["date_ambiguous"], packet.request["date_failed_share"]) == ("month/day/yyyy", False, 0.0)
+    assert packet.tables["damaged_rows"].count() == 2 and packet.tables["date_votes"].count() > 10
+    assert packet.scored.where("journal_ref = 'j-short' AND date = '1998-01-31'").count() == 1

@@ -77,6 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     write_packet(tables, args.out, fmt=args.format)
     summary = packet.tables["review_summary"].first().asDict()
     info = {k: v for k, v in packet.similarity.info.items() if k != "feature_importance"}
+    packet.close()
     print(json.dumps({"request": packet.request, "materiality": packet.materiality,
                       "summary": summary, "hybrid_layer": info, "out": args.out,
                       "timings": packet.timings}, default=str))

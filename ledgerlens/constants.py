@@ -121,6 +121,8 @@ STATUSES = ["Pass", "Warning", "Fail"]
 
 TOP_ACCOUNTS_N = 10
 TOP_DRIVERS_N = 3
+# Of this library: most anomalous first, ties by reference.
+QUEUE_ORDER = ["anomaly_score", "journal_ref", "row_id"]
 
 # --- FIXED VALUES: memo contract ----------------------------------------------
 MEMO_FIELDS = ["risk_summary", "assertion_consideration", "magnitude_assessment",

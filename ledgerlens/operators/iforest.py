@@ -15,8 +15,8 @@ fit
 score
   * An Arrow ``pandas_udf`` walks all trees for a batch of rows at once with NumPy
     gathers. ``s = 2 ** (-E[h] / c(psi))``; ``decision = -s - offset`` where the offset
-    is the ``contamination`` percentile of ``-s`` (exact ``percentile`` up to a row
-    limit, ``percentile_approx`` above it); label -1 when ``decision < 0``.
+    is the exact ``contamination`` percentile of ``-s`` at every size (``exact_quantile``);
+    label -1 when ``decision < 0``.
 
 Scaling the features first would not change the split distribution (thresholds are
 uniform in the node's range), so the raw features are used.
@@ -36,7 +36,8 @@ from ..session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
 RINGS = 16
-PERCENTILE_BUCKETS = 4096
+PERCENTILE_BUCKETS = 1 << 16
+FETCH_ROWS = 10_000
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, left int, right int, "
                "n_node int, value double")
 
@@ -281,44 +282,49 @@ def raw_score_column(model: IsolationForestModel, spark) -> Column:
     return score(*[F.col(c) for c in model.feature_cols])
 
 
-def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
-    """The linearly interpolated quantile, exact at every size: counts of buckets over the range
-    narrow it to the bucket that holds the two order statistics, again and again, until each is a
-    bucket's least or greatest value. Only bucket counts and bounds reach the driver."""
+def exact_quantile(df: DataFrame, col: str, p: float, bounds: tuple[float, float] | None = None) -> float | None:
+    """The linearly interpolated quantile, exact at every size. Counts of buckets over the range narrow it to
+    the buckets of the two order statistics, both in one pass, until at most ``FETCH_ROWS`` values lie there; these
+    are fetched. Two passes do for 10^8 distinct values and more. ``bounds`` hold all values; without them a pass
+    finds them. Bucket counts and the last few values reach the driver."""
     values = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
-    low, high, n = values.agg(F.min("_v"), F.max("_v"), F.count("_v")).first()
-    if not n:
-        return None
-    rank = int(p * (n - 1))
-    share, below = p * (n - 1) - rank, 0
-
-    def statistic(k: int, low: float, high: float, below: int) -> float:
-        while low < high:
-            step = (high - low) / PERCENTILE_BUCKETS
-            if not step or low + step == low:
-                step = high - low
-            place = F.least(F.floor((F.col("_v") - low) / step), F.lit(PERCENTILE_BUCKETS - 1))
-            found = (values.filter((F.col("_v") >= low) & (F.col("_v") <= high)).groupBy(place.alias("b"))
-                     .agg(F.count("*").alias("n"), F.min("_v").alias("a"), F.max("_v").alias("z")).orderBy("b").collect())
-            for r in found:
-                if below + r["n"] > k:
-                    if k == below or r["a"] == r["z"]:
-                        return r["a"]
-                    if k == below + r["n"] - 1:
-                        return r["z"]
-                    low, high = r["a"], r["z"]
-                    break
-                below += r["n"]
-        return low
-
-    first = statistic(rank, low, high, below)
-    return first if not share else first + share * (statistic(rank + 1, low, high, below) - first)
+    low, high = bounds or values.agg(F.min("_v"), F.max("_v")).first()
+    rank, below, share = None, 0, 0.0
+    while low is not None:
+        step = (high - low) / PERCENTILE_BUCKETS
+        place = F.least(F.floor((F.col("_v") - low) / step), F.lit(PERCENTILE_BUCKETS - 1)) if low + step > low else F.col("_v")
+        found = (values.filter((F.col("_v") >= low) & (F.col("_v") <= high)).groupBy(place.alias("b"))
+                 .agg(F.count("*").alias("n"), F.min("_v").alias("a"), F.max("_v").alias("z")).collect())
+        found.sort(key=lambda r: r["a"])
+        if rank is None:
+            n = sum(r["n"] for r in found)
+            if not n:
+                return None
+            rank = int(p * (n - 1))
+            share = p * (n - 1) - rank
+        wanted, own = (rank, rank + 1 if share else rank), []
+        for r in found:             # the buckets that hold the two statistics, and all between
+            if below + r["n"] > wanted[0] and below <= wanted[1]:
+                own.append((below, r))
+            below += r["n"]
+        below = own[0][0]
+        if all(r["a"] == r["z"] for _, r in own):
+            first, second = (next(r["a"] for at, r in own if at <= k < at + r["n"]) for k in wanted)
+            return first + share * (second - first)
+        low, high = own[0][1]["a"], own[-1][1]["z"]
+        if sum(r["n"] for _, r in own) <= FETCH_ROWS:
+            last = sorted(r["_v"] for r in values.filter((F.col("_v") >= low) & (F.col("_v") <= high)).collect())
+            first, second = (last[k - below] for k in wanted)
+            return first + share * (second - first)
+        if len(own) > 1:            # the statistics lie in two buckets: the end of one, the beginning of the next
+            return own[0][1]["z"] + share * (own[-1][1]["a"] - own[0][1]["z"])
+    return None
 
 
 def fit_offset(scored: DataFrame, model: IsolationForestModel, n_rows: int | None = None,
                col: str = "_if_raw") -> float:
     """Contamination percentile of the raw scores (linear interpolation)."""
-    value = exact_quantile(scored, col, float(model.contamination))
+    value = exact_quantile(scored, col, float(model.contamination), (-1.0, 0.0))     # -s is in it
     model.offset = float(value) if value is not None else 0.0     # empty ledger
     return model.offset
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (ACTION_BOTH, ACTION_NONE, ACTION_ONE, FLAG_TEXTS, HIGH_ITEMS, LABEL_ORDER,
-                         MEDIUM_ITEMS, NO_FLAGS_TEXT, POPULATION_TEXT, QUALITY_TEXT, QUEUE_TEXT,
+                         MEDIUM_ITEMS, NO_FLAGS_TEXT, POPULATION_TEXT, QUALITY_TEXT, QUEUE_ORDER, QUEUE_TEXT,
                          RATING_ELEVATED_ABOVE, RATING_MODERATE_ABOVE, TOP_ACCOUNTS_N,
                          TOP_DRIVERS_N, UNUSUAL_AMOUNT_TEXT)
 from ..functions.text import fill
@@ -39,7 +39,7 @@ def flagged_queue(scored: DataFrame, order: bool = True, positions: bool = False
     then row_id) computed by a distributed sort + per-partition offsets."""
     cols = [c for c in QUEUE_COLUMNS if c in scored.columns]
     q = scored.filter(F.col("flagged_status") == "Flagged").select(*cols)
-    keys = [c for c in ("anomaly_score", "journal_ref", "row_id") if c in cols]
+    keys = [c for c in QUEUE_ORDER if c in cols]
     if positions:
         from ..functions.position import with_position
         return with_position(q, keys, "queue_position")

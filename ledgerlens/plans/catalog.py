@@ -186,14 +186,11 @@ def _scored_cols(spark, sf_dir, *cols):
 
 @query("materiality")
 def q_materiality(spark, sf_dir):
-    # the engagement thresholds next to the population they apply to
+    # the engagement thresholds and the postings of the ledger that reach them
+    from ..operators.scoring import materiality_population
     m = materiality(FIXTURE_PARAMS["entity_type"], FIXTURE_PARAMS["benchmark_figure"])
-    c = L(spark, sf_dir).clean
-    return c.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(FIXTURE_PARAMS["entity_type"]).alias("entity_type"),
-        F.lit(m["fs_pct"]).alias("fs_pct"), r6(F.lit(m["fs"])).alias("fs"),
-        r6(F.lit(m["performance"])).alias("performance"),
-        r6(F.lit(m["transaction"])).alias("transaction"), "n_rows")
+    return materiality_population(L(spark, sf_dir).clean, m).select(
+        "threshold", r6("amount").alias("amount"), "n_over", F.round("sum_over", 4).alias("sum_over"))
 
 
 @query("raw_tier")
@@ -275,9 +272,14 @@ def _report(spark, sf_dir, **kw):
     return I.integrity_report(L(spark, sf_dir, **kw).stats)
 
 
+def _with_detail(finding, *keys):
+    """A finding with the numbers of its detail as columns."""
+    return finding.select("*", *[F.round(F.col("detail")[k].cast("double"), 4).alias(k) for k in keys]).drop("detail")
+
+
 @query("hash_total")
 def q_hash(spark, sf_dir):
-    return I.hash_total(L(spark, sf_dir).stats).drop("detail")
+    return _with_detail(I.hash_total(L(spark, sf_dir).stats), "sum_abs", "sum_dc", "diff")
 
 
 @query("hash_total_skipped")
@@ -287,12 +289,12 @@ def q_hash_skip(spark, sf_dir):
 
 @query("cross_footing")
 def q_cross(spark, sf_dir):
-    return I.cross_footing(L(spark, sf_dir).stats).drop("detail")
+    return _with_detail(I.cross_footing(L(spark, sf_dir).stats), "sum_d", "sum_c", "diff", "pct")
 
 
 @query("date_in_period")
 def q_period(spark, sf_dir):
-    return I.date_in_period(L(spark, sf_dir).stats).drop("detail")
+    return _with_detail(I.date_in_period(L(spark, sf_dir).stats), "n_total", "n_out_of_bounds", "n_null")
 
 
 @query("account_mapping_codes")
@@ -307,7 +309,7 @@ def q_map_names(spark, sf_dir):
 
 @query("account_mapping")
 def q_mapping(spark, sf_dir):
-    return I.account_mapping(L(spark, sf_dir).stats).drop("detail")
+    return _with_detail(I.account_mapping(L(spark, sf_dir).stats), "n_bad_codes", "n_bad_names")
 
 
 @query("integrity_report")
@@ -576,25 +578,31 @@ def q_export(spark, sf_dir):
     from ..operators.memos import attach_memos, memo_table
     from ..session import scratch_path
     from ..sources.sinks import export_csv
-    q = _queue(spark, sf_dir)
+    q = S.flagged_queue(L(spark, sf_dir).scored_given, positions=True)
     path = export_csv(attach_memos(q, memo_table(q)), scratch_path(spark, "export"))
+    from ..functions.position import with_position
     back = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-            .csv(path))
-    return back.select("date", "account_name", "vendor", "final_tier", "active_flags",
-                       "narrative_status", "recommended_follow_up")
+            .csv(path).select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_row")))
+    back = with_position(back, ["_file", "_row"]).drop("_file", "_row")     # a file is read whole by one task
+    kinds = q.schema
+    return back.select("position", *[
+        r6(F.col(c).cast("double")).alias(c) if c in kinds.names and kinds[c].dataType.typeName() == "double" else
+        F.col(c).cast("int").alias(c) if c in kinds.names and kinds[c].dataType.typeName() in ("integer", "long") else F.col(c)
+        for c in back.columns if c != "position"])
 
 
 @query("write_packet")
 def q_write_packet(spark, sf_dir):
-    """Three packet tables written as parquet and read back."""
+    """The packet's tables written, read back through the manifest (which checks rows and content), and counted."""
+    from functools import reduce
+
     from ..session import scratch_path
-    from ..sources.sinks import write_packet
-    led = L(spark, sf_dir)
-    parts = write_packet({"review_summary": S.review_summary(led.scored_given),
-                          "tier_distribution": S.tier_distribution(led.scored_given),
-                          "integrity_counts": I.integrity_counts(_report(spark, sf_dir))},
-                         scratch_path(spark, "packet"))
-    return spark.read.parquet(parts["tier_distribution"])
+    from ..sources.sinks import read_packet, write_packet
+    from .oracle import PACKET
+    path = scratch_path(spark, "packet")
+    write_packet({name: QUERIES[name](spark, sf_dir) for name in PACKET}, path)
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for name, df in read_packet(spark, path).items()]
+    return reduce(DataFrame.unionAll, counts)
 
 
 # ---------------------------------------------------------------- 2.4 model layer

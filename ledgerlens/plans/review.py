@@ -39,10 +39,10 @@ from ..operators.dates import choose_date_format, date_votes
 from ..operators.features import engineer_features
 from ..operators.iforest import (IsolationForestModel, decision_column, fit_isolation_forest,
                                  fit_offset, raw_score_column)
-from ..operators.scoring import apply_scoring, materiality
+from ..operators.scoring import apply_scoring, materiality, materiality_population
 from ..operators.similarity import SimilarityModel, similarity_score, train_similarity
 from ..operators.stats import LedgerStats, compute_stats
-from ..session import input_bytes, materialize
+from ..session import SCRATCH, delete_paths, input_bytes, materialize
 from ..sources.csv_gl import CsvLedger
 from ..sources.fixture import FIXTURE_PARAMS, gl_fixture
 
@@ -62,6 +62,11 @@ class ReviewPacket:
     scored: DataFrame
     tables: dict = field(default_factory=dict)
     timings: dict = field(default_factory=dict)
+    scratch: list = field(default_factory=list)     # paths of the tables written on the way
+
+    def close(self) -> None:
+        """Delete the review's scratch tables; its frames can no longer be read, a written packet can."""
+        delete_paths(self.features.sparkSession, self.scratch)
 
     @property
     def flagged(self) -> DataFrame:
@@ -126,6 +131,7 @@ def review(gl: DataFrame | CsvLedger, entity_type: str, benchmark_figure: float,
     period_start, period_end = bounds[0].isoformat(), bounds[1].isoformat()
     m = materiality(entity_type, benchmark_figure)
     timings: dict = {}
+    begun = len(SCRATCH)
 
     def timed(name, fn):
         t0 = time.time()
@@ -171,8 +177,12 @@ def review(gl: DataFrame | CsvLedger, entity_type: str, benchmark_figure: float,
     queue = S.flagged_queue(scored, positions=True)
     summary = S.review_summary(scored)
     firing = S.feature_firing(feat)
+    broken_codes, broken_names = I.mapping_breaks(stats)
     tables = {
         "integrity_report": report,
+        "mapping_broken_codes": broken_codes,
+        "mapping_broken_names": broken_names,
+        "materiality": materiality_population(scored, m),
         "integrity_counts": counts_df,
         "feature_firing": firing,
         "firing_summary": S.firing_summary(firing),
@@ -195,7 +205,11 @@ def review(gl: DataFrame | CsvLedger, entity_type: str, benchmark_figure: float,
     if source:
         request |= source.observed.get
         tables["damaged_rows"] = source.damaged
-    return ReviewPacket(request, m, stats, feat, forest, sim, scored, tables, timings)
+    status = {"forest": {"trees": forest.n_trees, "psi": forest.psi, "offset": forest.offset},
+              "similarity": {k: v for k, v in sim.info.items() if k != "feature_importance"}}
+    facts = [(part, k, None if v is None else str(v)) for part, found in ({"request": request} | status).items() for k, v in found.items()]
+    tables["request_and_models"] = gl.sparkSession.createDataFrame(facts, "part string, name string, value string")
+    return ReviewPacket(request, m, stats, feat, forest, sim, scored, tables, timings, SCRATCH[begun:])
 
 
 def review_fixture(spark: SparkSession, sf_dir: str, **kw) -> ReviewPacket:

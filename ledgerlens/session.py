@@ -61,7 +61,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder for a written intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/ledgerlens-{name}-{uuid.uuid4().hex}"
+    path = f"{base}/ledgerlens-{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
+    return path
+
+
+#: Scratch paths given out by this process, in order.
+SCRATCH: list[str] = []
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables where the session's file systems hold them."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def materialize(df, name: str):

@@ -11,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test tables abse
 def test_cli_review_writes_packet(spark, capsys):
     from ledgerlens.__main__ import main
     from ledgerlens.session import scratch_path
+    from ledgerlens.sources.sinks import read_packet
     from ledgerlens.sources.fixture import gl_fixture
     gl = gl_fixture(spark, SF, with_row_id=False)
     src, out = scratch_path(spark, "cli-gl"), scratch_path(spark, "cli-out")
@@ -22,6 +23,10 @@ def test_cli_review_writes_packet(spark, capsys):
     line = capsys.readouterr().out.strip().splitlines()[-1]
     info = json.loads(line)
     assert info["request"]["row_count"] == 6000 and info["materiality"]["transaction"] == 64000.0
-    tallies = spark.read.parquet(f"{out}/memo_tallies").first()
+    tables = read_packet(spark, out)
+    tallies = tables["memo_tallies"].first()
     assert tallies["top_n_used"] == 5 and tallies["n_fallback"] == 5
-    assert spark.read.parquet(f"{out}/flagged_queue").count() == info["summary"]["flagged"]
+    assert tables["flagged_queue"].count() == info["summary"]["flagged"]
+    status = {(r.part, r.name): r.value for r in tables["request_and_models"].collect()}
+    assert status["request", "row_count"] == "6000" and status["forest", "trees"] == "200" and status["similarity", "status"] == "trained"
+    assert tables["materiality"].count() == 3 and tables["mapping_broken_codes"].count() == 1

@@ -1,7 +1,9 @@
 """Sinks: non-finite values become NULL; the export adds memo columns only when memos exist."""
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.sources.sinks import EXPORT_BASE_COLUMNS, EXPORT_MEMO_COLUMNS, export_frame, nonfinite_to_null
+from ledgerlens.sources.sinks import (EXPORT_BASE_COLUMNS, EXPORT_MEMO_COLUMNS, export_csv, export_frame, nonfinite_to_null, read_packet,
+                                      write_packet)
 
 
 def test_nonfinite_to_null(spark):
@@ -34,3 +36,45 @@ def test_export_keeps_every_digit(spark):
     texts = [r["amount"] for r in export_frame(q).collect()]
     assert [float(t) for t in texts] == values
     assert texts[3:] == ["12345678.9", "100", "-0.05", "0", "123456789012.5", "10000000"]
+
+
+def test_parts_of_the_export_are_the_queue_in_order(spark, tmp_path):
+    q = spark.range(5000).selectExpr("pmod(id * 7919, 5000) AS queue_position", "concat('a', pmod(id * 7919, 5000)) AS account_name")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        export_csv(q.repartition(9), str(tmp_path / "e"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = sorted(p for p in (tmp_path / "e").iterdir() if p.name.startswith("part-"))
+    rows = [x for p in parts for x in p.read_text().split()[1:]]
+    assert len(parts) > 3 and rows == [f"a{k}" for k in range(5000)]
+
+
+def test_a_packet_is_whole_or_absent(spark, tmp_path):
+    one = spark.createDataFrame([(1, 0.5, {"k": "v"})], "a int, b double, m map<string,string>")
+    broken = spark.range(3).selectExpr("raise_error('lost') AS x")
+    path = str(tmp_path / "packet")
+    with pytest.raises(Exception, match="lost"):
+        write_packet({"one": one, "two": broken}, path)
+    with pytest.raises(Exception):
+        read_packet(spark, path)
+    for fmt in ("parquet", "json"):
+        write_packet({"one": one, "two": spark.range(3).toDF("x")}, path, fmt)
+        with pytest.raises(Exception, match="lost"):        # ends before its manifest: the last packet stays
+            write_packet({"one": one.union(one), "two": broken}, path, fmt)
+        got = read_packet(spark, path)
+        assert sorted(got) == ["one", "two"] and [tuple(r) for r in got["one"].collect()] == [(1, 0.5, {"k": "v"})] and got["two"].count() == 3
+    spark.range(9).toDF("x").write.mode("overwrite").json(got["two"].inputFiles()[0].rsplit("/", 1)[0])
+    with pytest.raises(ValueError, match="two"):
+        read_packet(spark, path)
+
+
+def test_closing_a_review_deletes_its_scratch(spark, tmp_path):
+    from ledgerlens.session import SCRATCH, delete_paths, materialize
+    begun = len(SCRATCH)
+    kept = materialize(spark.range(3), "close-test")
+    assert kept.count() == 3
+    delete_paths(spark, SCRATCH[begun:])
+    with pytest.raises(Exception):
+        spark.read.parquet(SCRATCH[begun]).count()

@@ -75,16 +75,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The k most similar rows of each row of unit vectors (itself left out)."""
+def nearest(x: np.ndarray, rows: np.ndarray, k: int, step: int = 128) -> np.ndarray:
+    """The k most similar of the unit vectors to each of ``rows`` (itself left out), a few rows at a time."""
     out = []
-    for a in range(0, len(x), 1024):
-        s = x[a:a + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+    for some in np.split(rows, range(step, len(rows), step)):
+        s = -(x[some] @ x.T)
+        s[np.arange(len(s)), some] = 2
+        out.append(np.argpartition(s, k - 1, axis=1)[:, :k].astype("i4"))
     return np.concatenate(out)
 
 
+def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
+    return nearest(x, np.arange(len(x)), k)
+
+
 def bisect(rows: np.ndarray, u: np.ndarray, v: np.ndarray, x: np.ndarray, steps: int = 60) -> np.ndarray:
     """Half of ``rows`` marked True, with few of the edges (u, v), given as places in rows, cut."""
     n = len(rows)
@@ -176,9 +180,7 @@ def fit(distinct: DataFrame, count: int, cfg: Settings = Settings()) -> Router |
     target /= target.sum(axis=1, keepdims=True)
     held = np.arange(len(x)) % 8 == 0
     router = train(x[~held], target[~held], cfg.hidden, cfg.epochs)
-    near = x[held] @ x.T
-    near[np.arange(held.sum()), np.flatnonzero(held)] = -2
-    found = router(x).argmax(axis=1)[np.argpartition(-near, 4, axis=1)[:, :5]]
+    found = router(x).argmax(axis=1)[nearest(x, np.flatnonzero(held), 5)]
     order = np.argsort(-router(x[held]), axis=1, kind="stable")
     reached = (order[:, None, :] == found[:, :, None]).mean(axis=(0, 1)).cumsum()
     return replace(router, probes=int((reached < cfg.target_recall).sum()) + 1)

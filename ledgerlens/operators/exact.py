@@ -24,10 +24,14 @@ def bin_of(x: Column) -> Column:
     return F.coalesce(F.when(x != 0, F.floor(F.log2(F.abs(x)) / BIN_BITS)), F.lit(0)).cast("int")
 
 
-def limb_sums(x: Column, bin_: Column, name: str) -> list[Column]:
-    """Aggregates ``name_0`` (lowest) to ``name_3`` of ``x`` within a bin."""
+def scaled(x: Column, bin_: Column) -> Column:
+    """A double over its bin's power of two: of size 1 to 2^24, about."""
     half = F.pow(F.lit(2.0), -(BIN_BITS // 2) * bin_)
-    y = x * half * half         # both steps are exact for any double; |y| is about 1 to 2^24
+    return x * half * half      # both steps are exact for any double
+
+
+def limb_sums(y: Column, name: str) -> list[Column]:
+    """Aggregates ``name_0`` (lowest) to ``name_3`` of ``scaled`` values of one bin."""
     out = []
     for k in range(LIMBS):
         limb = y * 2.0 ** (UNIT_BITS - LIMB_BITS * k)
@@ -70,6 +74,6 @@ def sums(binned: DataFrame, keys: list[str], bin_: str, value: Column, out: str,
 
 def sum_by(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
     """The exact sum of the double column ``x`` for each key."""
-    binned = df.select(*keys, F.col(x).alias("_x"), bin_of(F.col(x)).alias("_bin")).groupBy(*keys, "_bin") \
-        .agg(*limb_sums(F.col("_x"), F.col("_bin"), "_l"))
+    binned = df.select(*keys, x, bin_of(F.col(x)).alias("_bin")).select(*keys, "_bin", scaled(F.col(x), F.col("_bin")).alias("_y"))
+    binned = binned.groupBy(*keys, "_bin").agg(*limb_sums(F.col("_y"), "_l"))
     return sums(binned, keys, "_bin", bin_value("_l"), out)

@@ -13,7 +13,7 @@ from ..constants import (ANNOTATION_BELOW_PERF, ANNOTATION_BELOW_TXN, ANNOTATION
 from ..constants import (ESCALATION_NOTE, LABEL_MONITOR, OVERRIDE_NOTE, REVIEW_LABELS,
                          TIER_ORDER)
 from ..functions.text import fill
-from .exact import bin_of, bin_value, limb_sums, total
+from .exact import bin_of, bin_value, limb_sums, scaled, total
 from ..functions.tiers import downgrade_tier, raw_tier, tier_at, tier_rank, two_decimals
 
 
@@ -34,9 +34,10 @@ def materiality_population(clean: DataFrame, m: dict) -> DataFrame:
     """threshold, amount, n_over and sum_over: the postings at or over each materiality threshold (one pass)."""
     names = ("fs", "performance", "transaction")
     x = F.col("abs_amount")
-    over = {name: F.when(x >= F.lit(float(m[name])), x) for name in names}
-    binned = clean.select("abs_amount", bin_of(x).alias("bin")).groupBy("bin").agg(
-        *[F.count(c).alias(f"n_{name}") for name, c in over.items()], *[s for name, c in over.items() for s in limb_sums(c, F.col("bin"), name)])
+    rows = clean.select(x, bin_of(x).alias("bin"))
+    rows = rows.select("bin", *[F.when(x >= F.lit(float(m[name])), scaled(x, F.col("bin"))).alias(name) for name in names])
+    binned = rows.groupBy("bin").agg(*[F.count(name).alias(f"n_{name}") for name in names],
+                                     *[limb for name in names for limb in limb_sums(F.col(name), name)])
     row = binned.agg(*[F.coalesce(F.sum(f"n_{name}"), F.lit(0)).alias(f"n_{name}") for name in names],
                      *[F.collect_list(F.struct("bin", bin_value(name).alias("v"))).alias(f"v_{name}") for name in names])
     row = row.select("*", *[total(f"v_{name}").alias(f"sum_{name}") for name in names])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DISBURSEMENT_CODE_PATTERN, UNKNOWN_VENDOR
 from ..session import materialize as write_table
-from .exact import bin_of, bin_value, limb_sums, sums, total
+from .exact import bin_of, bin_value, limb_sums, scaled, sums, total
 
 # A dimension is broadcast only when its measured bytes stay under this; larger ones are
 # joined with a shuffle (and AQE's skew-join splitting) instead.
@@ -107,8 +107,8 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None) -> Ledge
         F.col("date"),
     )
     prep = prep.select("*", *[bin_of(F.col(f"x_{m}")).alias(f"b_{m}") for m in MEASURES])
-    # keys of grouping sets are NULL outside their sets: limbs need the bins as plain columns
-    prep = prep.select("*", *[F.col(f"b_{m}").alias(f"at_{m}") for m in MEASURES])
+    # before the rows are expanded, and because a bin is NULL outside its grouping sets
+    prep = prep.select("*", *[scaled(F.col(f"x_{m}"), F.col(f"b_{m}")).alias(f"y_{m}") for m in MEASURES])
     if period_start is not None and period_end is not None:
         ps, pe = period_bounds(period_start, period_end)
         oob = F.count_if((F.col("date") < ps) | (F.col("date") > pe))
@@ -121,7 +121,7 @@ def compute_stats(clean: DataFrame, period_start=None, period_end=None) -> Ledge
         F.count(F.lit(1)).alias("n_rows"),
         n.alias("n"), F.avg("x_abs").alias("mean"), (F.var_pop("x_abs") * n).alias("m2"),
         F.min("x_abs").alias("low"), F.max("x_abs").alias("high"),
-        *[x for m in MEASURES for x in limb_sums(F.col(f"x_{m}"), F.col(f"at_{m}"), m)],
+        *[limb for m in MEASURES for limb in limb_sums(F.col(f"y_{m}"), m)],
         F.count("date").alias("n_dates"),
         F.max("date").alias("max_date"),
         oob.alias("n_out_of_period"),

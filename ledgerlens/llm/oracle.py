@@ -28,7 +28,7 @@ w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 s AS (SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   {_kept_chars("[^#*$%&|<>]+")} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-  list_filter(w, lambda x: length(x) <= {r.max_common_chars}) AS sh, [{', '.join(runs)}] AS cc FROM w),
+  [{', '.join(runs)}] AS cc FROM w),
 s2 AS (SELECT *, list_concat([word_chars - list_sum(cc)], cc) AS c FROM s),
 win AS (SELECT rid, i, w[i:i + 4] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM win) WHERE n > 1),
@@ -36,8 +36,8 @@ rep AS (SELECT rid, count(DISTINCT i + o) AS n_rep FROM twice, (SELECT unnest(ra
 big AS (SELECT * FROM s2 WHERE n_words >= {r.min_words}),
 rc AS (SELECT lang, list_transform(l, lambda x: x / list_sum(l)) AS ref_c FROM (SELECT lang, [{sums}] AS l FROM s2
   WHERE word_chars >= {r.min_chars} GROUP BY lang)),
-tot AS (SELECT lang, sum(len(w)) AS ref_n, sum(len(list_filter(sh, lambda x: NOT regexp_matches(x, '\\p{{L}}')))) AS ref_marks FROM big GROUP BY lang),
-cnt AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(sh) AS word FROM big)
+tot AS (SELECT lang, sum(len(w)) AS ref_n, sum(len(list_filter(w, lambda x: NOT regexp_matches(x, '\\p{{L}}')))) AS ref_marks FROM big GROUP BY lang),
+cnt AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM big)
   WHERE regexp_matches(word, '^\\p{{L}}+$') GROUP BY lang, word),
 top AS (SELECT lang, list(word ORDER BY k) AS ref_words, list(n ORDER BY k) AS ns FROM (SELECT *,
   row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM cnt) WHERE k <= {r.n_common} GROUP BY lang),
@@ -45,8 +45,8 @@ ref AS (SELECT tot.lang, ref_n, ref_words, ref_c, list_concat(list_transform(ns,
   WHERE tot.lang IS NOT DISTINCT FROM top.lang AND tot.lang IS NOT DISTINCT FROM rc.lang AND ref_n >= {r.min_reference_words}),
 j AS (SELECT s2.*, ref_n, ref_c, ref_words, list_concat(p, [1.0 - list_sum(p)]) AS ref_p,
   CASE WHEN n_words >= {r.min_words} AND word_chars >= {r.min_chars} AND ref_n IS NOT NULL
-    THEN list_concat(list_transform(ref_words, lambda k: len(list_filter(sh, lambda x: x = k)) / len(w)),
-      [len(list_filter(sh, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) / len(w)]) END AS h
+    THEN list_concat(list_transform(ref_words, lambda k: len(list_filter(w, lambda x: x = k)) / len(w)),
+      [len(list_filter(w, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) / len(w)]) END AS h
   FROM s2 LEFT JOIN ref ON s2.lang IS NOT DISTINCT FROM ref.lang),
 v AS (SELECT *, CASE WHEN h IS NOT NULL THEN {_js(f"list_transform(c, lambda x: x / word_chars)", "ref_c")} END AS class_js,
   CASE WHEN h IS NOT NULL THEN {_js("list_concat(h, [1.0 - list_sum(h)])", "ref_p")} END AS word_js FROM j),

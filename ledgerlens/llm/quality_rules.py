@@ -1,23 +1,25 @@
 """Quality rules: distribution divergence from language references (native).
 
 Each document gets two histograms: character classes, and the common words of its language
-plus two bins: short words without a letter, and all other words. The references are the
+plus two bins: words without a letter, and all other words. The references are the
 same histograms summed over all documents of a language with at least ``min_chars``
 non-space characters or ``min_words`` words; a language's common words are its ``n_common``
-most frequent words of at most ``max_common_chars`` letters (the length of function words),
-taken as they stand in the text. A document is rejected by a Jensen-Shannon divergence
-(base 2, so 0 to 1) above ``max_class_js`` or ``max_word_js``. Guards: texts under
+most frequent words of letters, of any length, taken as they stand in the text. A document is
+rejected by a Jensen-Shannon divergence (base 2, so 0 to 1; the square of the distance, so limits on
+it are limits on the distance) above ``max_class_js`` or ``max_word_js``. Guards: texts under
 ``min_words`` words or ``min_chars`` characters, and languages whose reference holds under
 ``min_reference_words`` words, are not judged by divergence.
 
 Only DataFrame functions are used. The corpus is scanned for the references (partial
-aggregates are shuffled, never texts) and once more to score; the joined reference has one
-row per language.
+aggregates are shuffled, never texts; each partition keeps its ``n_common`` first words of a
+language before the words of all partitions are ranked) and once more to score; the joined reference
+has one row per language.
 
 Defined cases: a null text is an empty text; null is a language of its own; an empty table
 gives an empty result; repeated rows are each judged alone; equal word counts in the choice
-of common words go to the lexicographically smaller word; columns beyond those named are
-not read, whatever their names.
+of common words go to the lexicographically smaller word; very long texts and words are read whole; columns
+beyond those named are not read, whatever their names. Windows of five words are taken as equal by
+their 64-bit hashes.
 """
 from __future__ import annotations
 
@@ -45,7 +47,6 @@ class Rules:
     min_words: int = 50
     min_chars: int = 200
     n_common: int = 32
-    max_common_chars: int = 4
     min_reference_words: int = 1000
     max_class_js: float = 0.10
     max_word_js: float = 0.15
@@ -78,10 +79,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     total = sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
     classes = classes.select("lang", F.array(*[F.col(f"c{i}") / total for i in range(n)]).alias("ref_c"))
     words = text.select("lang", pinned(words_of(F.col("_t"))).alias("_w")).where(F.size("_w") >= rules.min_words)
-    # Longer words are counted together (word null), so few keys are shuffled.
-    counts = (words.select("lang", F.explode("_w").alias("w"))
-              .groupBy("lang", F.when(F.length("w") <= rules.max_common_chars, F.col("w")).alias("word"))
-              .agg(F.count("*").alias("n")))
+    counts = words.select("lang", F.explode("_w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = materialize(counts, "word-counts")
     marks = F.when(~F.col("word").rlike(LETTER), F.col("n")).otherwise(0)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("ref_n"), F.sum(marks).alias("ref_marks"))
@@ -117,16 +115,17 @@ def judge(docs: DataFrame, refs: DataFrame, rules: Rules = Rules()) -> DataFrame
     docs = docs.drop(*ADDED)
     df = docs.select(F.struct("*").alias("_row"), "text", "lang")
     df = with_base(with_words(df))
-    df = with_classes(df).withColumn("_short", F.filter(
-        "_w", lambda w: F.length(w) <= rules.max_common_chars))
+    df = with_classes(df)
     refs = refs.withColumnRenamed("lang", "_ref_lang")
     df = df.join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("_ref_lang")), "left")
     judged = ((F.col("n_words") >= rules.min_words) & (F.col("word_chars") >= rules.min_chars)
               & F.col("ref_n").isNotNull())
     df = df.withColumn("_pc", F.when(judged, F.transform("_c", lambda x: x / F.col("word_chars"))))
+    df = df.withColumn("_common", F.when(judged, F.filter("_w", lambda w: F.array_contains("ref_words", w))))
     hits = F.transform("ref_words", lambda k: (
-        F.size("_short") - F.size(F.array_remove("_short", k))) / F.col("n_words"))
-    marks = F.size(F.filter("_short", lambda w: ~w.rlike(LETTER))) / F.col("n_words")
+        F.size("_common") - F.size(F.array_remove("_common", k))) / F.col("n_words"))
+    # most words begin with a letter of ASCII, which a comparison tells without the pattern
+    marks = F.size(F.filter("_w", lambda w: ~w.between("a", "z") & ~w.between("A", "Z") & ~w.rlike(LETTER))) / F.col("n_words")
     df = df.withColumn("_hits", F.when(judged, F.concat(hits, F.array(marks))))
     df = df.withColumn("_pw", with_other("_hits"))
     df = (df.withColumn("class_js", F.round(jensen_shannon("_pc", "ref_c"), 9))

@@ -23,9 +23,8 @@ def brute(rows, rules):
         n = {}
         for w in words:
             n[w] = n.get(w, 0) + 1
-        short = {w: c for w, c in n.items() if len(w) <= rules.max_common_chars}
-        top = sorted((w for w in short if w.isalpha()), key=lambda w: (-n[w], w))[:rules.n_common]
-        marks = sum(c for w, c in short.items() if not any(ch.isalpha() for ch in w))
+        top = sorted((w for w in n if w.isalpha()), key=lambda w: (-n[w], w))[:rules.n_common]
+        marks = sum(c for w, c in n.items() if not any(ch.isalpha() for ch in w))
         p = [n[w] / len(words) for w in top] + [marks / len(words)]
         refs[lang] = ([x / sum(sums) for x in sums], top, [*p, 1 - sum(p)])
     out = {}
@@ -36,7 +35,7 @@ def brute(rows, rules):
         if len(words) >= rules.min_words and counts[1] >= rules.min_chars and r.lang in refs:
             ref_c, top, ref_p = refs[r.lang]
             h = [words.count(w) / len(words) for w in top]
-            h.append(sum(len(w) <= rules.max_common_chars and not any(c.isalpha() for c in w) for w in words) / len(words))
+            h.append(sum(not any(c.isalpha() for c in w) for w in words) / len(words))
             js = (divergence([x / counts[1] for x in classes(r.text)], ref_c), divergence([*h, 1 - sum(h)], ref_p))
         bad = js[0] is not None and (js[0] > rules.max_class_js or js[1] > rules.max_word_js)
         out.setdefault(r.doc_id, set()).add((*counts, *(None if x is None else round(x, 6) for x in js), failed, not failed and not bad))
@@ -65,3 +64,13 @@ def test_verdicts_survive_a_filter(spark):
     rules = Q.Rules(min_reference_words=20)
     kept = Q.apply_rules(docs, rules)
     assert kept.where("kept").count() == sum(r.kept for r in kept.collect())
+
+
+def test_common_words_of_any_length(spark):
+    words = ["nicht"] * 30 + ["w" * 5000] * 20 + ["zwischen"] * 10 + ["---------"] * 5 + [f"x{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(words), "de") for k in range(12)], "doc_id long, text string, lang string")
+    rules = Q.Rules(min_reference_words=20, n_common=3)
+    ref = Q.references(docs, rules).first()
+    assert ref.ref_words == ["nicht", "w" * 5000, "zwischen"]
+    assert [round(105 * x) for x in ref.ref_p] == [30, 20, 10, 5, 40]
+    assert {r.word_js for r in Q.apply_rules(docs, rules).collect()} == {0.0}

@@ -12,13 +12,18 @@ A task loads the model once and works batch by batch (Arrow batches are bounded
 bytes); nothing is shuffled. The model file is a path parameter that every machine must be
 able to open.
 
-Defined cases: null and empty texts have no pieces and decode to the empty text; repeated
+Characters outside the vocabulary of a model without byte pieces become its unknown piece, one for a
+run of them; its span is that run. Symbols that a model's user defined are left as they stand by the
+character map.
+
+Defined cases: texts of any length are encoded whole; null and empty texts have no pieces and decode to the empty text; repeated
 rows are each encoded; an empty table gives an empty result; columns whose names clash with
 the results are replaced, others pass through.
 """
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -30,6 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from ledgerlens.llm.chunks import Gather, Memory, flat_ids, known_texts, slices, words_of
 
 SPACE = "▁".encode()
+USER_DEFINED = 4        # type of a piece in the model file
 
 
 class CharMap:
@@ -87,13 +93,17 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Normaliser:
     """The normaliser settings of a model: character map, dummy prefix, white-space rules."""
 
-    def __init__(self, char_map: CharMap, prefix: bool = True, strip: bool = True, escape: bool = True):
+    def __init__(self, char_map: CharMap, prefix: bool = True, strip: bool = True, escape: bool = True,
+                 symbols: tuple[bytes, ...] = ()):
         self.char_map, self.prefix, self.strip, self.escape = char_map, prefix, strip, escape
+        self.symbols = re.compile(b"|".join(map(re.escape, sorted(symbols, key=len, reverse=True)))) if symbols else None
 
     @classmethod
     def of_model(cls, model: bytes) -> Normaliser:
         spec = dict(fields(next((v for k, v in fields(model) if k == 3), b"")))
-        return cls(CharMap(spec.get(2, b"")), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)))
+        listed = [dict(fields(v)) for k, v in fields(model) if k == 1]
+        symbols = tuple(x[1] for x in listed if x.get(3) == USER_DEFINED)
+        return cls(CharMap(spec.get(2, b"")), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)), symbols)
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end the original byte offset."""
@@ -102,8 +112,11 @@ class Normaliser:
             return b"", np.zeros(1, "i8")
         out, k = [], 0
         while k < len(text):
-            found = self.char_map.longest(text, k)
-            if found:
+            symbol = self.symbols and self.symbols.match(text, k)
+            found = None if symbol else self.char_map.longest(text, k)
+            if symbol:
+                size, new = len(symbol[0]), symbol[0]
+            elif found:
                 size, new = found
             else:
                 size = 1 + (text[k] >= 0xC0) + (text[k] >= 0xE0) + (text[k] >= 0xF0)
@@ -160,7 +173,9 @@ class Encoder:
         self.width = np.array([1 if self.model.is_byte(i) else len(x.encode()) for i, x in enumerate(names)], "i4")
         rules = self.normaliser
         self.plain = not rules.char_map.units and not rules.strip
-        self.by_word = self.plain and rules.prefix and rules.escape and not any(
+        self.unknown = self.model.unk_id()
+        # a blank that is itself unknown would join the unknown runs of two words
+        self.by_word = self.plain and self.model.piece_to_id("\u2581") != self.unknown and rules.prefix and rules.escape and not any(
             "\u2581" in x.lstrip("\u2581") or x.startswith("\u2581\u2581") and x.strip("\u2581") for x in names)
         self.words = Memory()
 
@@ -196,13 +211,19 @@ class Encoder:
             stop = [int(a[-1]) for _, a in found]
         counts = np.array([len(x) for x in ids], "i8")
         flat = np.concatenate([np.zeros(0, "<u4"), *ids])
-        end = np.cumsum(self.width[flat], dtype="i8")
+        width = self.width[flat]
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        for k in np.unique(np.searchsorted(edge, np.flatnonzero(flat == self.unknown), "right") - 1):
+            surface = self.model.encode(texts[int(k)].as_py(), out_type=str, num_threads=1)
+            unknown = np.flatnonzero(ids[k] == self.unknown)
+            width[edge[k] + unknown] = [len(surface[j].encode()) for j in unknown]
+        end = np.cumsum(width, dtype="i8")
         last = np.cumsum(counts) - 1
         covered = np.concatenate([[0], end])[last + 1]
         if (covered != np.cumsum(joined)).any():
             raise ValueError("the pieces do not cover the normalised text")
         shift = np.repeat(before, counts)
-        begins = at[end - self.width[flat]] - shift
+        begins = at[end - width] - shift
         ends = np.empty(len(flat), "i8")
         ends[:-1] = begins[1:]
         full = counts > 0

@@ -50,9 +50,13 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", size.alias("n_bytes"))
     encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
-    return digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    spanned = (F.get("begins", F.lit(0)) == 0) & (F.element_at("ends", -1) == F.col("n_bytes"))
+    return digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes",
+                                   F.xxhash64("begins", "ends").alias("spans_hash"),
+                                   F.when(F.size("ids") == 0, F.col("n_bytes") == 0).otherwise(spanned).alias("spans_whole"))
 
 
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:

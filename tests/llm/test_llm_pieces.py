@@ -102,3 +102,56 @@ def test_word_by_word_is_exact(library):
     assert own.by_word
     texts = ["", " ", "a", " a", "a ", "a  b", "▁", "x ▁y z", "new\nline two\t", "the of  and", "日本 語 the"]
     assert [x.tolist() for x in own.ids(pa.array(texts))] == library.encode(texts)
+
+
+def varint(value):
+    out = b""
+    while value > 127:
+        out, value = out + bytes([value & 127 | 128]), value >> 7
+    return out + bytes([value])
+
+
+def changed_model(path, pairs, symbols=()):
+    """The public model without byte pieces, with a character map and user-defined symbols: fields that
+    are added at the end of a message replace earlier ones."""
+    out, n = b"", 0
+    with open(MODEL, "rb") as f:
+        whole = list(P.fields(f.read()))
+    for number, value in whole:
+        if number == 1:
+            own = dict(P.fields(value))
+            if own.get(3) == 6:
+                value += varint(3 << 3) + b"\x01"
+                if n < len(symbols):
+                    value += varint(1 << 3 | 2) + varint(len(symbols[n])) + symbols[n] + varint(3 << 3) + bytes([P.USER_DEFINED])
+                    n += 1
+        elif number == 2:
+            value += varint(35 << 3) + b"\0"
+        elif number == 3:
+            blob = compiled(pairs) if pairs else b""
+            value += varint(2 << 3 | 2) + varint(len(blob)) + blob + varint(4 << 3) + bytes([bool(pairs)])
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    path.write_bytes(out)
+    return str(path)
+
+
+TEXTS = ["", " ", "plain words", "ﬁne  éclair\tａbc", "𓀀𓀁𓀂 the 𓀀𓀁", "的的x的 ", "  ab abc<sep>abc  ", "\n\u2581 é", "𝄞𝄞 end𝄞"]
+PAIRS = {"ａ".encode(): b"a", "ﬁ".encode(): b"fi", b"\t": b" ", b"\n": b" ", b"abc": b"the"}
+
+
+@pytest.mark.parametrize("pairs, symbols", [({}, ()), (PAIRS, ()), (PAIRS, (b"<sep>", b"abc<"))])
+def test_models_with_a_map_symbols_and_unknown_characters(spark, tmp_path, pairs, symbols):
+    path = changed_model(tmp_path / "changed.model", pairs, symbols)
+    library = SentencePieceProcessor(model_file=path)
+    assert library.unk_id() in library.encode("𓀀𓀁𓀂")
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in P.encode(docs, path, decoded=True).collect()}
+    for k, text in enumerate(TEXTS):
+        r, raw = rows[k], text.encode()
+        assert r.ids == library.encode(text) and r.decoded == library.decode(r.ids)
+        for piece, a, b in zip(library.encode(text, out_type=str), r.begins, r.ends, strict=True):
+            assert 0 <= a <= b <= len(raw)
+            if piece in ("<sep>", "𓀀𓀁𓀂", "𓀀𓀁"):
+                assert raw[a:b].decode() == piece
+        normal = P.Encoder(path).normaliser.normalise(raw)[0].decode()
+        assert "".join(library.encode(text, out_type=str)) == normal

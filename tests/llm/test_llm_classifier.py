@@ -1,8 +1,13 @@
-from helpers import odd_docs
+import re
+import zlib
+
+import numpy as np
+from helpers import WORDS, base_counts, odd_docs
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from ledgerlens.llm import classifier as C
+from ledgerlens.llm.quality_rules import CLASS_RUNS
 
 
 def test_held_out_accuracy(spark):
@@ -42,8 +47,43 @@ def test_odd_rows_and_labels(spark):
 
 
 def test_score_is_the_density_ratio():
-    import numpy as np
     rng = np.random.default_rng(0)
     bins = [(float(x), int(rng.random() < 1 / (1 + np.exp(-(0.5 * x - 1)))), 1) for x in rng.normal(0, 5, 4000)]
     a, b = C.calibrate(bins)
     assert abs(a - 0.5) < 0.1 and abs(b + 1) < 0.3
+
+
+def statistics(text):
+    text = text or ""
+    words, (_, chars, _, dup_lines, repeats) = WORDS.findall(text), base_counts(text)
+    n = {k: len(re.sub(runs, "", text)) for k, runs in CLASS_RUNS.items()}
+    w, c, lines = max(len(words), 1), max(chars, 1), text.count("\n") + 1
+    logs = [len(words), chars / w, 1000 * n["symbol"] / c, 100 * dup_lines / lines, 100 * repeats / w, 100 * n["upper"] / c,
+            1000 * n["digit"] / c, 100 * n["punct"] / c, 100 * n["wide"] / c]
+    return [*np.log1p(logs), len(set(words)) / w, np.log1p(len(words) / lines)]
+
+
+def test_fit_and_scores_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    x = {k: np.array(statistics(t)) for k, t in texts.items()}
+    learnt = [k for k in texts if k in truth and zlib.crc32(str(k).encode()) % 3 != 1]
+    density = {k: [] for k in texts}
+    for y in (0, 1):
+        own = np.array([x[k] for k in learnt if truth[k] == y])
+        cov = np.cov(own.T, bias=True)
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        for k in texts:
+            away = x[k] - own.mean(axis=0)
+            density[k].append(np.log(len(own) / len(learnt)) - np.linalg.slogdet(cov)[1] / 2 - away @ np.linalg.solve(cov, away) / 2)
+    apart = {k: b - a for k, (a, b) in density.items()}
+    model = C.fit(docs, labels)
+    # slope and intercept are where the penalised likelihood of the rounded differences is flat
+    d = np.array([round(min(60.0, max(-60.0, apart[k])), 1) for k in learnt])
+    miss = 1 / (1 + np.exp(-np.clip(model.slope * d + model.intercept, -30, 30))) - np.array([truth[k] for k in learnt])
+    assert abs((miss * d).sum() + 1e-3 * (model.slope - 1)) < 0.05 and abs(miss.sum() + 1e-3 * model.intercept) < 0.05
+    for r in C.score(docs, model).collect():
+        want = 1 / (1 + np.exp(-min(700, max(-700, model.slope * apart[r.doc_id] + model.intercept))))
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.5)

@@ -61,3 +61,27 @@ def test_rule_memos_always_valid(spark):
     memos = df.select(F.to_json(full_memo()).alias("memo_json"))
     bad = validate_memos(memos).filter(~F.col("is_valid")).select("reason").distinct().collect()
     assert bad == []
+
+
+def test_each_candidate_is_parsed_once(spark):
+    df = spark.createDataFrame([(0, json.dumps(_good()))], "position int, memo_json string")
+    checked = validate_memos(df)
+    assert checked.columns == ["position", "memo_json", "is_valid", "reason"]
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("parseJson(memo_json") == 1
+
+
+def test_odd_values_and_blanks(spark):
+    g = _good()
+    wide = "\u2003\u00a0\u3000\n"
+    out = _check(spark, [
+        dict(g, risk_summary=wide + g["risk_summary"] + wide, disclaimer=wide + DISCLAIMER + "\x85"),
+        dict(g, risk_summary=wide), dict(g, risk_summary=None), dict(g, recommended_follow_up={"a": 1}),
+        dict(g, recommended_follow_up=g["recommended_follow_up"][:2] + [7]),
+        dict(g, recommended_follow_up=[wide] + g["recommended_follow_up"][1:]), '{"risk_summary": [1]}', "5", ""])
+    assert out == [
+        (True, ""), (False, "risk_summary is empty"), (False, "risk_summary must be a string, got NoneType"),
+        (False, "recommended_follow_up must be a list, got dict"), (False, "recommended_follow_up[2] must be a string"),
+        (False, "recommended_follow_up[0] is empty"),
+        (False, "missing keys: ['assertion_consideration', 'control_or_coso_consideration', 'disclaimer', "
+                "'likelihood_assessment', 'magnitude_assessment', 'recommended_follow_up']"),
+        (False, "top-level value is not a JSON object (got int)"), (False, "not valid JSON")]

@@ -163,9 +163,10 @@ def _us_date(iso: str) -> str:
 
 def packet_header(summary: DataFrame, counts: DataFrame, period_start: str, period_end: str) -> DataFrame:
     """One row: period, population, queue size, data-quality counts and their texts."""
-    # two small inputs folded as (key, value) rows by one aggregate - no join needed
-    kv = (summary.select(F.lit("total").alias("k"), F.col("total").cast("long").alias("v"))
-          .unionByName(summary.select(F.lit("flagged").alias("k"), F.col("flagged").cast("long").alias("v")))
+    # two small inputs folded as (key, value) rows by one aggregate - no join needed; the summary
+    # is read once, as it may be a pass over the ledger
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("long").alias("v")) for k in ("total", "flagged")])
+    kv = (summary.select(F.explode(parts).alias("p")).select("p.k", "p.v")
           .unionByName(counts.select(F.lower(F.col("status")).alias("k"), F.col("n").cast("long").alias("v"))))
 
     def val(k):

@@ -84,13 +84,15 @@ def _escalation_note(escalated: Column, score: Column, threshold: float) -> Colu
 
 
 def apply_scoring(df: DataFrame, performance_materiality: float, transaction_materiality: float,
-                  threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+                  threshold: float = SIMILARITY_THRESHOLD, flagged_only: bool = False) -> DataFrame:
     """Adds final_tier, pcaob_label, materiality_annotation, active_flags, flagged_status,
     is_qualitative_override(+note), is_supervised_escalation(+note). Order is fixed:
     materiality filter, co-occurrence override, similarity escalation, derived columns.
 
     Tiers are carried as integer ranks (Monitor 0 .. High 3); each stage is one projection
-    over the previous stage's small named columns, so no expression tree is copied."""
+    over the previous stage's small named columns, so no expression tree is copied. Texts are
+    built last. ``flagged_only`` returns the flagged rows alone: every row is ranked (and counted by
+    an observed metric, which keeps the filter behind the ranks), texts are built for flagged ones."""
     perf, txn = float(performance_materiality), float(transaction_materiality)
     top = len(TIER_ORDER) - 1
     a = F.col("abs_amount")
@@ -99,47 +101,41 @@ def apply_scoring(df: DataFrame, performance_materiality: float, transaction_mat
 
     # 1. materiality filter; an unknown raw tier (rank NULL) keeps its text only at >= txn
     r_raw = tier_rank(F.col("raw_tier"))
-    df = df.select("*", r_raw.alias("_r_raw"),
-                   F.when(a >= txn, r_raw)
-                    .when(a >= perf, F.greatest(F.coalesce(r_raw, F.lit(1)) - 1, F.lit(0)))
-                    .otherwise(F.lit(0)).alias("_r_mat"))
+    df = df.select("*", r_raw.alias("_r_raw"))
+    df = df.select("*", F.when(a >= txn, F.col("_r_raw"))
+                   .when(a >= perf, F.greatest(F.coalesce(F.col("_r_raw"), F.lit(1)) - 1, F.lit(0)))
+                   .otherwise(F.lit(0)).alias("_r_mat"))
     # 2. co-occurrence override: one above the RAW tier, only if strictly above current
     up_raw = F.least(F.col("_r_raw") + 1, F.lit(top))
     ov = (F.coalesce(F.col("fraud_risk_flag"), F.lit(0)) == 1) & F.coalesce(up_raw > F.col("_r_mat"), F.lit(False))
-    t_mat = F.when(F.col("_r_mat").isNull(), F.col("raw_tier")).otherwise(tier_at(F.col("_r_mat")))
-    df = df.select(
-        "*",
-        F.when(ov, up_raw).otherwise(F.col("_r_mat")).alias("_r_ov"),
-        ov.cast("int").alias("is_qualitative_override"),
-        F.when(ov, _override_note(tier_at(up_raw), F.coalesce(F.col("fraud_flag_count"), F.lit(0)),
-                                  F.col("raw_tier"), t_mat)).otherwise(F.lit("")).alias(
-            "qualitative_override_note"),
-        F.when(F.col("_r_mat").isNull(), F.col("raw_tier")).alias("_t_unknown"))
+    df = df.select("*", ov.alias("_ov"))
+    df = df.select("*", F.when(F.col("_ov"), up_raw).otherwise(F.col("_r_mat")).alias("_r_ov"))
     # 3. similarity escalation: one above current, never on top of an override
     up = F.least(F.col("_r_ov") + 1, F.lit(top))
-    if has_fp:
-        fp = F.coalesce(F.col("fraud_probability"), F.lit(0.0))
-        es = (fp >= F.lit(threshold)) & (F.col("is_qualitative_override") == 0) & \
-            F.coalesce(up > F.col("_r_ov"), F.lit(False))
-        note = F.when(es, _escalation_note(tier_at(up), fp, threshold)).otherwise(F.lit(""))
-    else:
-        es, note = F.lit(False), F.lit("")
-    df = df.select("*", F.when(es, up).otherwise(F.col("_r_ov")).alias("_r_fin"),
-                   es.cast("int").alias("is_supervised_escalation"),
-                   note.alias("supervised_escalation_note"))
+    fp = F.coalesce(F.col("fraud_probability"), F.lit(0.0)) if has_fp else F.lit(0.0)
+    es = (fp >= F.lit(threshold)) & ~F.col("_ov") & F.coalesce(up > F.col("_r_ov"), F.lit(False)) if has_fp else F.lit(False)
+    df = df.select("*", es.alias("_es"))
+    df = df.select("*", F.when(F.col("_es"), up).otherwise(F.col("_r_ov")).alias("_r_fin"))
     # 4. derived columns on the final tier
     r_fin = F.col("_r_fin")
-    final = F.coalesce(tier_at(r_fin), F.col("_t_unknown"))
+    flagged = F.coalesce(r_fin >= 2, F.lit(False))
+    if flagged_only:
+        df = df.observe("scored", F.count(F.lit(1)).alias("rows")).filter(flagged)
+    unknown = F.when(F.col("_r_mat").isNull(), F.col("raw_tier"))
+    t_mat = F.when(F.col("_r_mat").isNull(), F.col("raw_tier")).otherwise(tier_at(F.col("_r_mat")))
+    final = F.coalesce(tier_at(r_fin), unknown)
     labels = F.array(*[F.lit(REVIEW_LABELS[t]) for t in TIER_ORDER])
     out = [F.col(f"`{c}`") for c in cols] + [
         final.alias("final_tier"),
-        F.col("is_qualitative_override"), F.col("qualitative_override_note"),
-        F.col("is_supervised_escalation"), F.col("supervised_escalation_note"),
+        F.col("_ov").cast("int").alias("is_qualitative_override"),
+        F.when(F.col("_ov"), _override_note(tier_at(up_raw), F.coalesce(F.col("fraud_flag_count"), F.lit(0)),
+                                            F.col("raw_tier"), t_mat)).otherwise(F.lit("")).alias("qualitative_override_note"),
+        F.col("_es").cast("int").alias("is_supervised_escalation"),
+        F.when(F.col("_es"), _escalation_note(tier_at(r_fin), fp, threshold)).otherwise(F.lit("")).alias("supervised_escalation_note"),
         F.coalesce(F.element_at(labels, r_fin + 1), F.lit(LABEL_MONITOR)).alias("pcaob_label"),
         materiality_annotation(a, perf, txn).alias("materiality_annotation"),
         active_flags(cols).alias("active_flags"),
-        F.when(F.coalesce(r_fin >= 2, F.lit(False)), F.lit("Flagged")).otherwise(F.lit("Monitor"))
-         .alias("flagged_status"),
+        F.when(flagged, F.lit("Flagged")).otherwise(F.lit("Monitor")).alias("flagged_status"),
     ]
     return df.select(*out)
 

@@ -262,7 +262,7 @@ def q_apply(spark, sf_dir):
 
 @query("flagged_queue")
 def q_queue(spark, sf_dir):
-    q = S.flagged_queue(L(spark, sf_dir).scored_given, positions=True).drop("row_id")
+    q = S.flagged_queue(L(spark, sf_dir).flagged_given, positions=True).drop("row_id")
     return q.select(*[r6(c).alias(c) if q.schema[c].dataType.simpleString() == "double" else F.col(c)
                       for c in q.columns])
 
@@ -340,7 +340,7 @@ def q_dist(spark, sf_dir):
 
 @query("top_accounts")
 def q_top_accounts(spark, sf_dir):
-    return S.top_accounts(L(spark, sf_dir).scored_given)
+    return S.top_accounts(L(spark, sf_dir).flagged_given)
 
 
 @query("escalation_counts")
@@ -355,12 +355,12 @@ def q_guards(spark, sf_dir):
 
 @query("top_drivers")
 def q_drivers(spark, sf_dir):
-    return S.top_drivers(S.flagged_queue(L(spark, sf_dir).scored_given, order=False))
+    return S.top_drivers(S.flagged_queue(L(spark, sf_dir).flagged_given, order=False))
 
 
 @query("suggested_action")
 def q_action(spark, sf_dir):
-    return S.suggested_action(S.flagged_queue(L(spark, sf_dir).scored_given, order=False))
+    return S.suggested_action(S.flagged_queue(L(spark, sf_dir).flagged_given, order=False))
 
 
 @query("packet_header")
@@ -372,7 +372,7 @@ def q_header(spark, sf_dir):
 
 # ---------------------------------------------------------------- 2.8 memo tables
 def _queue(spark, sf_dir):
-    return S.flagged_queue(L(spark, sf_dir).scored_given, order=False)
+    return S.flagged_queue(L(spark, sf_dir).flagged_given, order=False)
 
 
 def _ranked(spark, sf_dir, top_n: int | None = None):
@@ -578,7 +578,7 @@ def q_export(spark, sf_dir):
     from ..operators.memos import attach_memos, memo_table
     from ..session import scratch_path
     from ..sources.sinks import export_csv
-    q = S.flagged_queue(L(spark, sf_dir).scored_given, positions=True)
+    q = S.flagged_queue(L(spark, sf_dir).flagged_given, positions=True)
     path = export_csv(attach_memos(q, memo_table(q)), scratch_path(spark, "export"))
     from ..functions.position import with_position
     back = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
@@ -642,8 +642,9 @@ def q_if_score(spark, sf_dir):
 def q_order(spark, sf_dir):
     """Ledger ordered by anomaly score (most anomalous first) with its queue position."""
     from ..functions.position import with_position
+    from ..session import materialize
     s = L(spark, sf_dir).scored_given
-    p = with_position(s.select("journal_ref", "anomaly_score", "row_id"),
+    p = with_position(materialize(s.select("journal_ref", "anomaly_score", "row_id"), "anomaly"),
                       ["anomaly_score", "journal_ref", "row_id"], "queue_position")
     return p.select("queue_position", "journal_ref", r6("anomaly_score").alias("anomaly_score"))
 

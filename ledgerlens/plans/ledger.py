@@ -10,6 +10,7 @@ from ..operators.clean import clean_gl
 from ..operators.features import engineer_features
 from ..operators.scoring import apply_scoring, given_scores, materiality
 from ..operators.stats import LedgerStats, compute_stats
+from ..operators.summary import QUEUE_COLUMNS
 from ..session import materialize
 from ..sources.fixture import FIXTURE_PARAMS, gl_fixture
 
@@ -59,5 +60,12 @@ class FixtureLedger:
 
     @cached_property
     def scored_given(self) -> DataFrame:
-        """Rules applied on the deterministic stand-in scores (checks only)."""
-        return materialize(apply_scoring(given_scores(self.feat), self.perf, self.txn), "scored-given")
+        """Rules applied on the deterministic stand-in scores (checks only). Not written: a query
+        computes the columns that it selects."""
+        return apply_scoring(given_scores(self.feat), self.perf, self.txn)
+
+    @cached_property
+    def flagged_given(self) -> DataFrame:
+        """The flagged rows of ``scored_given`` with the columns of the queue, written once."""
+        rows = apply_scoring(given_scores(self.feat), self.perf, self.txn, flagged_only=True)
+        return materialize(rows.select(*QUEUE_COLUMNS, "abs_amount", "flagged_status"), "flagged-given")

@@ -7,7 +7,10 @@ in local mode (unit tests, a laptop) is a private folder chosen where it is abse
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -78,6 +81,30 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+_WRITES: dict = {"open": 0, "before": None}
+_WRITES_LOCK = threading.Lock()
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, no generated method of over 8000 bytes of code: the JVM only interprets
+    larger ones, which makes wide projections several times slower. The session's own limit comes back
+    with the last of the writes that overlap."""
+    with _WRITES_LOCK:
+        if not _WRITES["open"]:
+            _WRITES["before"] = spark.conf.get(METHOD_LIMIT)
+            spark.conf.set(METHOD_LIMIT, "8000")
+        _WRITES["open"] += 1
+    try:
+        yield
+    finally:
+        with _WRITES_LOCK:
+            _WRITES["open"] -= 1
+            if not _WRITES["open"]:
+                spark.conf.set(METHOD_LIMIT, _WRITES["before"])
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet under the checkpoint folder and return a reader of it.
 
@@ -87,7 +114,8 @@ def materialize(df, name: str):
     re-derived through the rule projections above it.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    with compiled_methods(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

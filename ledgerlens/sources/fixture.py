@@ -41,24 +41,28 @@ def gl_fixture(spark: SparkSession, sf_dir: str, with_debit: bool = True,
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
         F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("row_id"))
     li = ensure_parallelism(li)
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    ptype = F.col("p_type")
+    prefix = (F.when(ptype == "ECONOMY", "50").when(ptype == "LARGE", "61")
+               .when(ptype == "MEDIUM", "64").when(ptype == "PROMO", "66")
+               .when(ptype == "SMALL", "40").otherwise("20"))
+    brand_no = F.lpad(F.regexp_replace(F.col("p_brand"), "Brand#", ""), 2, "0")
+    # what follows from the part alone is made once a part, not once a posting
+    part = _read(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", F.concat(prefix, brand_no).alias("code"),
+        F.concat(ptype, F.lit(" / "), F.col("p_brand")).alias("account_name"), (ptype == "PROMO").alias("promo"),
+        ptype.isin("SMALL", "STANDARD").alias("credit"))
     sup = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     j = (li.join(part, li.l_partkey == part.p_partkey)
            .join(sup, li.l_suppkey == sup.s_suppkey))
 
-    ln, qty, ptype = F.col("l_linenumber"), F.col("l_quantity"), F.col("p_type")
+    ln, qty = F.col("l_linenumber"), F.col("l_quantity")
     price = F.col("l_extendedprice")
-    planted_code = (ln == 2) & (qty == 50) & (ptype == "PROMO")
+    planted_code = (ln == 2) & (qty == 50) & F.col("promo")
 
     sign = F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.lit(1.0))
     base = (F.when((ln == 7) & (qty >= 40), F.floor(price / 100).cast("double") * 100)
              .when((ln == 5) & (qty == 45), price * 5)
              .otherwise(price))
-    prefix = (F.when(planted_code, F.lit("6999"))
-               .when(ptype == "ECONOMY", "50").when(ptype == "LARGE", "61")
-               .when(ptype == "MEDIUM", "64").when(ptype == "PROMO", "66")
-               .when(ptype == "SMALL", "40").otherwise("20"))
-    brand_no = F.lpad(F.regexp_replace(F.col("p_brand"), "Brand#", ""), 2, "0")
     amount = (sign * base).alias("amount")
 
     out = j.select(
@@ -69,8 +73,8 @@ def gl_fixture(spark: SparkSession, sf_dir: str, with_debit: bool = True,
         F.when((qty == 1) & (ln == 7), F.lit(None).cast("date"))
          .otherwise(F.col("l_shipdate").cast("date")).alias("date"),
         amount,
-        F.concat(prefix, F.when(planted_code, F.lit("")).otherwise(brand_no)).alias("account_code"),
-        F.concat(ptype, F.lit(" / "), F.col("p_brand")).alias("account_name"),
+        F.when(planted_code, F.lit("6999")).otherwise(F.col("code")).alias("account_code"),
+        "account_name",
         F.when((F.col("l_tax") == 0.08) & (ln == 6), F.lit(None).cast("string"))
          .when((qty == 50) & (ln == 1),
                F.concat(F.col("s_name"), F.lit(" #"), F.col("l_partkey").cast("string")))
@@ -78,7 +82,7 @@ def gl_fixture(spark: SparkSession, sf_dir: str, with_debit: bool = True,
         F.when((F.col("l_discount") == 0.10) & (ln <= 2), F.lit(""))
          .when((F.col("l_discount") == 0.10) & (ln == 3), F.lit(None).cast("string"))
          .otherwise(F.col("p_name")).alias("description"),
-        F.when(ptype.isin("SMALL", "STANDARD"), F.lit("C")).otherwise(F.lit("D")).alias("side"),
+        F.when(F.col("credit"), F.lit("C")).otherwise(F.lit("D")).alias("side"),
         F.when(qty > 45, F.lit("Non_Standard")).otherwise(F.lit("standard")).alias("dr_cr_pattern"),
         "row_id",
     )

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +49,12 @@ class Memory:
     def ids(self, distinct: list[str], usable: list[bool], learn: Callable[[list[str]], None]) -> list[bytes]:
         """Ids of each chunk; ``learn`` is given the usable ones not yet known, others get none."""
         get = self.known.get
-        ids = [get(x, b"") for x in distinct]
+        ids = list(map(get, distinct, repeat(b"")))
         places = [k for k, (x, ok) in enumerate(zip(ids, usable, strict=True)) if ok and not x]
-        learn([distinct[k] for k in places])
-        for k in places:
-            ids[k] = get(distinct[k], b"")
+        new = [distinct[k] for k in places]
+        learn(new)
+        for k, x in zip(places, map(get, new, repeat(b"")), strict=True):
+            ids[k] = x
         return ids
 
 

@@ -150,13 +150,14 @@ class ChunkEncoder:
         self.heads.trim()
         self.tails.trim()
         at, words, edge = words_of(texts)
-        distinct = words.to_pylist()
-        ids = self.tails.ids(distinct, pc.match_substring_regex(words, PLAIN).to_pylist(), self._learn_tails)
+        distinct = words.to_numpy(zero_copy_only=False).tolist()        # far cheaper than to_pylist
+        usable = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False).tolist()
+        ids = self.tails.ids(distinct, usable, self._learn_tails)
         # A text whose blanks do not all stand between printable characters is cut by the pattern.
         plain = known_texts(ids, at, edge)
         heads = [[distinct[at[a]]] if ok else BREAK.split(x.as_py() or "")
                  for a, ok, x in zip(edge[:-1], plain, texts, strict=True)]
-        del distinct, words
+        del distinct, usable, words
         self.heads.learn(list({x for h in heads for x in h} - self.heads.known.keys()), self.whole)
         head, gather = self.heads.known.__getitem__, Gather(ids)
         for i, j in ranges(edge, together):

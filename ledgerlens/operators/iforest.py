@@ -237,29 +237,36 @@ def fit_isolation_forest(feat: DataFrame, feature_cols: list[str], n_rows: int |
 
 
 def _path_lengths(model_arrays: dict, roots: np.ndarray, max_depth: int, X: np.ndarray,
-                  chunk: int = 512) -> np.ndarray:
+                  chunk: int = 4096) -> np.ndarray:
     """Mean path length over the trees for each row of X (complete-tree layout).
 
-    Rows go through in cache-sized chunks (chunk x trees index matrix) with flat gathers;
-    this is memory-bound work, and small chunks keep it in cache."""
+    A chunk of rows goes down one tree at a time: the tree, the chunk's columns and the few work
+    arrays, used again and again, stay in cache."""
     feat, thr, bottom = model_arrays["feature"], model_arrays["threshold"], model_arrays["bottom"]
-    n_trees, width = feat.shape
-    inner = (1 << max_depth) - 1
-    ff, tt, bb = feat.ravel(), thr.ravel(), bottom.ravel()
-    base = (np.arange(n_trees, dtype=np.int64) * width)[None, :]
-    leaf_base = (np.arange(n_trees, dtype=np.int64) * bottom.shape[1] - inner)[None, :]
-    m, d = X.shape
+    n_trees, inner = feat.shape[0], (1 << max_depth) - 1
+    m = X.shape[0]
     out = np.empty(m)
     for s in range(0, m, chunk):
-        xc = np.ascontiguousarray(X[s:s + chunk])
-        k = xc.shape[0]
-        xf = xc.ravel()
-        row_off = (np.arange(k, dtype=np.int64) * d)[:, None]
-        idx = np.zeros((k, n_trees), np.int64)
-        for _ in range(max_depth):
-            g = base + idx
-            idx = 2 * idx + 1 + (xf[row_off + ff[g]] > tt[g])
-        out[s:s + k] = bb[idx + leaf_base].mean(axis=1)
+        columns = np.ascontiguousarray(X[s:s + chunk].T)
+        k = columns.shape[1]
+        flat, rows = columns.ravel(), np.arange(k)
+        at, node, right = np.empty(k, np.int64), np.empty(k, np.int64), np.empty(k, bool)
+        x, cut, lengths = np.empty(k), np.empty(k), np.empty((n_trees, k))
+        for t in range(n_trees):
+            column, threshold = feat[t].astype(np.int64) * k, thr[t]
+            node[:] = 0
+            for _ in range(max_depth):
+                np.take(column, node, out=at, mode="clip")      # the mode spares a copy; all are in range
+                at += rows
+                np.take(flat, at, out=x, mode="clip")
+                np.take(threshold, node, out=cut, mode="clip")
+                np.greater(x, cut, out=right)
+                node *= 2
+                node += 1
+                node += right
+            node -= inner
+            np.take(bottom[t], node, out=lengths[t], mode="clip")
+        out[s:s + k] = np.ascontiguousarray(lengths.T).mean(axis=1)
     return out
 
 

@@ -11,7 +11,7 @@ from ..operators.features import engineer_features
 from ..operators.scoring import apply_scoring, given_scores, materiality
 from ..operators.stats import LedgerStats, compute_stats
 from ..operators.summary import QUEUE_COLUMNS
-from ..session import materialize
+from ..session import apart, materialize
 from ..sources.fixture import FIXTURE_PARAMS, gl_fixture
 
 _CACHE: dict = {}
@@ -66,6 +66,7 @@ class FixtureLedger:
 
     @cached_property
     def flagged_given(self) -> DataFrame:
-        """The flagged rows of ``scored_given`` with the columns of the queue, written once."""
-        rows = apply_scoring(given_scores(self.feat), self.perf, self.txn, flagged_only=True)
+        """The flagged rows of ``scored_given`` with the columns of the queue, written once. The features of all
+        rows and their scores and ranks are two generated methods: one would be too long to be compiled."""
+        rows = apply_scoring(given_scores(apart(self.feat)), self.perf, self.txn, flagged_only=True)
         return materialize(rows.select(*QUEUE_COLUMNS, "abs_amount", "flagged_status"), "flagged-given")

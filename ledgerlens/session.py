@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -105,6 +106,12 @@ def compiled_methods(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(METHOD_LIMIT, _WRITES["before"])
 
 
+def apart(df):
+    """``df`` with its row count observed, which ends the generated method of the steps below: a write whose steps
+    together pass the limit of ``compiled_methods`` runs one operator at a time, row by row."""
+    return df.observe(f"apart-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet under the checkpoint folder and return a reader of it.
 

@@ -15,7 +15,8 @@ of the ranges come from the stored counts (one row per range).
 
 Encoding asks the tokenizers library for distinct chunks only and reuses the answers. Chunks
 end where a blank stands between two printable characters: the tokenizer's own pattern
-always starts a new token there, so chunks encode as they do inside the text.
+always starts a new token there, so chunks encode as they do inside the text (``starts_at_blanks``
+reads that off its file; any other tokenizer gets whole texts).
 
 Defined cases: null and empty texts hold the end id only; rows that share an id are ordered by
 their text's hash and keep a range each; a null id sorts first; an empty table gives no
@@ -24,9 +25,11 @@ segments and an empty result; other columns are not written.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.chunks import Gather, Memory, flat_ids, known_texts, ranges, words_of
+from ledgerlens.llm.chunks import Gather, Memory, flat_ids, ranges, words_of
 
 MAGIC = 0x31424650
 BLOCK = 1024
@@ -43,6 +46,7 @@ PERCENTILE = 0.9
 SEGMENT = 1 << 18
 PRINTED = "!-~¡-ɏ"
 BREAK = re.compile(f"(?<=[{PRINTED}])(?= [{PRINTED}])")
+BLANK = "Ġ"        # the blank in a byte-level vocabulary
 PLAIN = f"(?s)\\A[{PRINTED}](.*[{PRINTED}])?\\z"       # in the syntax of Arrow
 
 
@@ -114,55 +118,96 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return (out + low[:, None]).reshape(-1)[:n - first * block]
 
 
+def starts_at_blanks(path: str) -> bool:
+    """Whether the tokenizer starts a token at every blank between two printable characters, and
+    writes that blank as ``BLANK``."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    cut = model["pre_tokenizer"] or {}
+    return (model["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+            and not cut.get("add_prefix_space")
+            and all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] or BLANK in x["content"])
+                    for x in model["added_tokens"]))
+
+
+class Tails(Gather):
+    """Ids of words that follow a blank, learnt once and kept up to ``most`` characters in all.
+    Words have numbers; 0 is any word without ids."""
+
+    def __init__(self, most: int = 12_000_000):
+        self.most, self.held = most, 0
+        self.known: dict[str, int] = {}
+        self.size = self.begin = np.zeros(1, "i8")
+        self.flat = np.zeros(0, "<u4")
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.__init__(self.most)
+
+    def numbers(self, words: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Number of each of the distinct ``words``; ``encode`` is given those not yet known."""
+        distinct = words.to_numpy(zero_copy_only=False)        # far cheaper than to_pylist
+        out = np.fromiter(map(self.known.get, distinct.tolist(), repeat(0)), "i8", len(distinct))
+        new = np.flatnonzero(out == 0)
+        new = new[pc.match_substring_regex(words.take(pa.array(new)), PLAIN).to_numpy(zero_copy_only=False)]
+        if len(new):
+            chunks = distinct[new].tolist()
+            flat, size = encode(chunks)
+            out[new] = len(self.size) + np.arange(len(new))
+            self.known.update(zip(chunks, out[new].tolist(), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat])
+            self.held += len("".join(chunks))
+        return out
+
+
 class ChunkEncoder:
     """Ids of texts from those of their distinct chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        line = self.whole(["\n"])[0]
-        self.line = int(line[0]) if len(line) == 1 else None
-        self.heads = Memory()               # chunks as they stand
-        self.tails = Memory(12_000_000)     # chunks without their leading blank
+        vocab = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocab.values()) + 1, bool)
+        self.blank[[i for x, i in vocab.items() if x.startswith(BLANK)]] = True
+        self.cuts = starts_at_blanks(path)
+        self.heads = Memory()      # chunks as they stand
+        self.tails = Tails()       # chunks without their leading blank
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat_ids([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def joined(self, chunks: list[str], together: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks of printable edges, each with a blank before it, many in one text. A line
-        feed between two of them is a token of its own and occurs in none, so it parts them."""
-        flat, _ = self.whole([" " + "\n ".join(chunks[a:a + together]) + "\n" for a in range(0, len(chunks), together)])
-        parts = flat == self.line
-        ends = np.flatnonzero(parts)
-        if len(ends) != len(chunks):
-            raise ValueError("a line feed did not part two chunks")
-        return flat[~parts], np.diff(ends, prepend=-1) - 1
-
-    def _learn_tails(self, new: list[str]) -> None:
-        lines = [x for x in new if self.line is None or "\n" in x]
-        self.tails.learn(lines, lambda chunks: self.whole([" " + x for x in chunks]))
-        if self.line is not None:
-            self.tails.learn([x for x in new if "\n" not in x], self.joined)
+    def joined(self, chunks: list[str], together: int = 64, texts: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of printable edges and without blanks, each with a blank before it, many in
+        one text: a token that begins with the blank begins a chunk."""
+        joined = [" " + " ".join(chunks[a:a + together]) for a in range(0, len(chunks), together)]
+        flat = np.concatenate([self.whole(joined[a:a + texts])[0] for a in range(0, len(joined), texts)])
+        begins = np.flatnonzero(self.blank[flat])
+        if len(begins) != len(chunks):
+            raise ValueError("a token does not start at a blank")
+        return flat, np.diff(begins, append=len(flat))
 
     def encode(self, texts: pa.Array, together: int = 1 << 20) -> Iterator[bytes]:
         """Ids of every text as little-endian 32-bit bytes; up to ``together`` words are put together
         at a time."""
+        if not self.cuts:
+            for x in texts:
+                yield self.whole([x.as_py() or ""])[0].tobytes()
+            return
         self.heads.trim()
         self.tails.trim()
         at, words, edge = words_of(texts)
-        distinct = words.to_numpy(zero_copy_only=False).tolist()        # far cheaper than to_pylist
-        usable = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False).tolist()
-        ids = self.tails.ids(distinct, usable, self._learn_tails)
+        firsts = words.take(pa.array(at[edge[:-1]])).to_pylist()
+        at = self.tails.numbers(words, self.joined)[at]
         # A text whose blanks do not all stand between printable characters is cut by the pattern.
-        plain = known_texts(ids, at, edge)
-        heads = [[distinct[at[a]]] if ok else BREAK.split(x.as_py() or "")
-                 for a, ok, x in zip(edge[:-1], plain, texts, strict=True)]
-        del distinct, usable, words
+        plain = np.logical_and.reduceat(at > 0, edge[:-1]) if len(at) else np.zeros(0, bool)
+        heads = [[first] if ok else BREAK.split(x.as_py() or "") for first, ok, x in zip(firsts, plain, texts, strict=True)]
         self.heads.learn(list({x for h in heads for x in h} - self.heads.known.keys()), self.whole)
-        head, gather = self.heads.known.__getitem__, Gather(ids)
+        head = self.heads.known.__getitem__
         for i, j in ranges(edge, together):
             own = edge[i:j + 1] - edge[i]
-            rest, ends = gather(at[edge[i]:edge[j]], own[:-1])      # first words stand in heads
+            rest, ends = self.tails(at[edge[i]:edge[j]], own[:-1])      # first words stand in heads
             rest, ends = rest.tobytes(), (4 * np.concatenate([[0], ends]))[own]
             for h, a, b, ok in zip(heads[i:j], ends[:-1], ends[1:], plain[i:j], strict=True):
                 yield b"".join(map(head, h)) + (rest[a:b] if ok else b"")

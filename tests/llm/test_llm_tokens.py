@@ -5,7 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from helpers import SF, odd_docs
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer, normalizers, pre_tokenizers
 
 import __spark_entry__ as E
 from ledgerlens.llm import separators as S
@@ -57,6 +57,45 @@ def test_chunks_encode_as_the_whole_text(library):
         assert list(own.encode(pa.array(texts, pa.string()), together=7)) == want
 
 
+def test_new_words_reach_the_library_together(library):
+    words = [f"{x}{k}" for k in range(200) for x in ("word", "of.\nLine", "Tab\tß", "'s,", "a\n\nb<|endoftext|>")]
+    own, given = T.ChunkEncoder(PATH), []
+    whole = own.whole
+    own.whole = lambda texts: given.extend(texts) or whole(texts)
+    texts = ["x " + " ".join(words[a:a + 100]) for a in range(0, 1000, 100)]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert list(own.encode(pa.array(texts))) == want
+    assert len(given) < 30 and len("".join(given)) <= sum(len(x) + 1 for x in words) + 4
+    given.clear()
+    assert list(own.encode(pa.array(texts))) == want and not given     # known words are not asked for again
+    own.tails.most = 20
+    for _ in range(3):
+        assert list(own.encode(pa.array(texts))) == want
+    with pytest.raises(ValueError):
+        own.joined(["a", "b c"])
+
+
+def test_tokenizers_that_do_not_cut_at_blanks_get_whole_texts(tmp_path):
+    texts = ["one two three four", " the  end.\n the end", "", "ﬁn e\u0301t\u00e9 of it"]
+
+    def added(x):
+        x.add_tokens([AddedToken("two three", normalized=False), AddedToken(".", lstrip=True, rstrip=True)])
+
+    def normal(x):
+        x.normalizer = normalizers.Replace(" t", "x")
+
+    def prefix(x):
+        x.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+
+    for k, change in enumerate((added, normal, prefix)):
+        other = Tokenizer.from_file(PATH)
+        change(other)
+        other.save(str(tmp_path / f"{k}.json"))
+        want = [np.array(other.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert list(T.ChunkEncoder(str(tmp_path / f"{k}.json")).encode(pa.array(texts))) == want
+    assert T.starts_at_blanks(PATH)
+
+
 def test_query_equals_library(spark, library):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = sorted(tuple(r) for r in E.queries()["op7_tokenfile"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())

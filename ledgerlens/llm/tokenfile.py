@@ -50,6 +50,34 @@ BLANK = "Ġ"        # the blank in a byte-level vocabulary
 PLAIN = f"(?s)\\A[{PRINTED}](.*[{PRINTED}])?\\z"       # in the syntax of Arrow
 
 
+def places(w: int) -> Iterator[tuple[int, int, int]]:
+    """Eight numbers of ``w`` bits fill ``w`` bytes: each number, each byte it touches, and the shift to
+    the left that brings the one to the other."""
+    return ((k, b, 8 * (b + 1) - w * (k + 1)) for k in range(8) for b in range(w * k // 8, (w * (k + 1) + 7) // 8))
+
+
+def shifted(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint32(by) if by >= 0 else x >> np.uint32(-by)
+
+
+def narrow(rows: np.ndarray, w: int) -> np.ndarray:
+    """The lowest ``w`` bits of every number, highest first, without gaps: a row of bytes per row."""
+    numbers = (rows & np.uint32((1 << w) - 1)).reshape(-1, 8).T.copy()
+    out = np.zeros((w, numbers.shape[1]), "u1")
+    for k, b, by in places(w):
+        out[b] |= shifted(numbers[k], by).astype("u1")
+    return out.T.copy().reshape(len(rows), -1)
+
+
+def widen(rows: np.ndarray, w: int) -> np.ndarray:
+    """The numbers of ``w`` bits in rows of bytes."""
+    data = rows.reshape(-1, w).T.astype("u4", order="C")
+    out = np.zeros((8, data.shape[1]), "u4")
+    for k, b, by in places(w):
+        out[k] |= shifted(data[b], -by)
+    return (out & np.uint32((1 << w) - 1)).T.copy().reshape(len(rows), -1)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """One segment."""
     n = len(ids)
@@ -64,15 +92,9 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     chosen = np.partition(diff, at, axis=1)[:, at] if blocks else low
     width = np.ceil(np.log2(chosen.astype("f8") + 1)).astype("u1")
     packed: list = [b""] * blocks
-    for w in np.unique(width):
+    for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
-        if w == 16:
-            rows = diff[own].astype(">u2").view("u1")
-        else:
-            full = 16 if w < 16 else 32
-            bits = np.unpackbits(diff[own].astype(f">u{full // 8}").view("u1").reshape(len(own), block, -1), axis=2)
-            rows = np.packbits(bits[:, :, full - w:].reshape(len(own), -1), axis=1)
-        for k, data in zip(own, rows, strict=True):
+        for k, data in zip(own, narrow(diff[own], int(w)), strict=True):
             packed[k] = data.tobytes()
     over = diff > ((np.uint64(1) << width.astype("u8")) - np.uint64(1)).astype("u4")[:, None]
     out, starts, size = [], [], 16 + 4 * blocks
@@ -104,13 +126,7 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     out = np.zeros((len(starts), block), "u4")
     for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
-        data = raw[starts[own][:, None] + 7 + np.arange(block * w // 8)]
-        if w == 16:
-            out[own] = data.view(">u2")
-            continue
-        bits = np.zeros((len(own), block, 32), "u1")
-        bits[:, :, 32 - w:] = np.unpackbits(data, axis=1).reshape(len(own), block, w)
-        out[own] = np.packbits(bits.reshape(len(own), -1), axis=1).view(">u4")
+        out[own] = widen(np.stack([raw[a:a + block * w // 8] for a in (starts[own] + 7).tolist()]), int(w))
     for k in np.flatnonzero(patched):
         a = int(starts[k] + 7 + block * width[k] // 8)
         m = int(patched[k])

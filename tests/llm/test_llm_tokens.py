@@ -47,6 +47,17 @@ def test_blocks_round_trip():
         T.unpack(b"x" * 40)
 
 
+def test_numbers_of_every_width():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 2**32, (3, 16), dtype="u4")
+    for w in range(1, 33):
+        low = rows & np.uint32(2**w - 1)
+        bits = ["".join(format(x, f"0{w}b") for x in row) for row in low.tolist()]
+        data = T.narrow(rows, w)
+        assert [x.tobytes() for x in data] == [int(x, 2).to_bytes(2 * w, "big") for x in bits]
+        assert (T.widen(data, w) == low).all()
+
+
 def test_chunks_encode_as_the_whole_text(library):
     rng = np.random.default_rng(1)
     bits = [" ", "  ", "\n", "\t", "a", "bc", "the", "'s", "é", "日", "😀", "1", ",", "<|endoftext|>", " ", "　", "​", "\x85"]

@@ -24,6 +24,7 @@ uniform in the node's range), so the raw features are used.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -270,20 +271,110 @@ def _path_lengths(model_arrays: dict, roots: np.ndarray, max_depth: int, X: np.n
     return out
 
 
+#: Cells whose path lengths a Python worker keeps (16 bytes each).
+KEPT_CELLS = 1 << 21
+_CELLS: dict = {}
+
+
+class _Seen:
+    """Sorted codes, each with a number."""
+    def __init__(self, dtype):
+        self.codes, self.values = np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted distinct ``codes``, and which of them are there."""
+        at = np.searchsorted(self.codes, codes)
+        there = at < len(self.codes)
+        there[there] = self.codes[at[there]] == codes[there]
+        return at, there
+
+    def add(self, at: np.ndarray, codes: np.ndarray, values: np.ndarray) -> None:
+        self.codes, self.values = np.insert(self.codes, at, codes), np.insert(self.values, at, values)
+
+
+class ForestCells:
+    """Mean path lengths (or leaf values) of a forest, walked once for each cell: rows between the same
+    thresholds of every feature reach the same leaves of all trees. A worker keeps the cells that it met, up to
+    ``KEPT_CELLS``; rows of cells beyond are walked batch by batch. The result is that of ``_path_lengths``, bit by bit."""
+    def __init__(self, nodes: dict, depth: int):
+        self.nodes, self.depth = nodes, depth
+        feat, thr = nodes["feature"], nodes["threshold"]
+        cut = np.isfinite(thr)                              # the others send every row left
+        limits = {f: np.unique(thr[cut & (feat == f)]) for f in np.unique(feat[cut])}
+        self.limits = sorted(limits.items(), key=lambda kv: len(kv[1]))
+        self.stages = [_Seen(np.int64) for _ in self.limits]
+        self.cells = _Seen(np.float64)
+
+    def codes(self, X: np.ndarray) -> np.ndarray | None:
+        """A number for each row, the same for rows of one cell; None when there are too many to be numbered."""
+        code, radix = np.zeros(len(X), np.int64), 1
+        for seen, (f, limits) in zip(self.stages, self.limits):
+            size = len(limits) + 1
+            if radix > (1 << 62) // size:       # the combinations met so far are numbered anew
+                keys, each = np.unique(code, return_inverse=True)
+                at, there = seen.find(keys)
+                if not there.all():
+                    n = len(seen.codes)
+                    seen.add(at[~there], keys[~there], np.arange(n, n + (~there).sum()))
+                    at = np.searchsorted(seen.codes, keys)
+                if len(seen.codes) > KEPT_CELLS:
+                    return None
+                code, radix = seen.values[at][each], KEPT_CELLS + 1
+            code, radix = code * size + np.searchsorted(limits, X[:, f], side="left"), radix * size
+        return code
+
+    def means(self, X: np.ndarray) -> np.ndarray:
+        code = self.codes(X)
+        if code is None:
+            self.stages = [_Seen(np.int64) for _ in self.limits]       # numbers change: the kept cells go
+            self.cells = _Seen(np.float64)
+            return _path_lengths(self.nodes, None, self.depth, X)
+        keys, first, each = np.unique(code, return_index=True, return_inverse=True)
+        at, there = self.cells.find(keys)
+        out = np.empty(len(keys))
+        out[there] = self.cells.values[at[there]]
+        if not there.all():
+            out[~there] = _path_lengths(self.nodes, None, self.depth, X[first[~there]])
+            if len(self.cells.codes) + (~there).sum() <= KEPT_CELLS:
+                self.cells.add(at[~there], keys[~there], out[~there])
+        return out[each]
+
+
+def forest_cells(key: str, nodes: dict, depth: int) -> ForestCells:
+    """This worker's cells of a forest; those of the last few forests are kept."""
+    if key not in _CELLS:
+        while len(_CELLS) >= 4:
+            _CELLS.pop(next(iter(_CELLS)))
+        _CELLS[key] = ForestCells(nodes, depth)
+    return _CELLS[key]
+
+
+def forest_mean_column(nodes: dict, columns: list[Column], spark) -> Column:
+    """The mean over a forest's trees (complete layout) of the leaf values that a row reaches."""
+    ship_package(spark)
+    bc, key = spark.sparkContext.broadcast(nodes), uuid.uuid4().hex
+
+    @pandas_udf("double")
+    def mean(*cols: pd.Series) -> pd.Series:
+        X = np.column_stack([c.to_numpy(dtype=float, na_value=0.0) for c in cols])
+        return pd.Series(forest_cells(key, bc.value, bc.value["depth"]).means(np.where(np.isfinite(X), X, 0.0)))
+
+    return mean(*columns)
+
+
 def raw_score_column(model: IsolationForestModel, spark) -> Column:
     """-s per row (sklearn's ``score_samples``; lower = more anomalous)."""
     if model.n_trees == 0:                  # empty ledger: nothing was grown
         return F.lit(None).cast("double")
     ship_package(spark)
-    bc = spark.sparkContext.broadcast({"nodes": model.nodes, "roots": model.roots,
-                                       "depth": model.max_depth, "c": model.c_psi})
+    bc, key = spark.sparkContext.broadcast({"nodes": model.nodes, "depth": model.max_depth, "c": model.c_psi}), uuid.uuid4().hex
 
     @pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
         m = bc.value
         X = np.column_stack([c.to_numpy(dtype=float, na_value=0.0) for c in cols])
         X = np.where(np.isfinite(X), X, 0.0)
-        eh = _path_lengths(m["nodes"], m["roots"], m["depth"], X)
+        eh = forest_cells(key, m["nodes"], m["depth"]).means(X)
         return pd.Series(-np.power(2.0, -eh / m["c"]))
 
     return score(*[F.col(c) for c in model.feature_cols])

@@ -1,8 +1,9 @@
 """Weak-label similarity layer: a random forest trained on the rule label
 (``fraud_risk_flag``) over continuous/structural features that exclude the five flags.
 
-Spark ML's ``RandomForestClassifier`` trains all trees level by level on executors;
-class balance comes from a weight column ``w_c = n / (2 n_c)``. The score is
+The forest trains on every row, level by level on executors: Spark ML's ``RandomForestClassifier`` up to
+``ROWWISE_MAX`` rows, above that the same forest on the counts of all rows (``count_forest``), whose passes cost
+by distinct rows of bins. Class balance comes from a weight ``w_c = n / (2 n_c)``. The score is
 ``P(class 1)``; it is 0 for every row when training is skipped. Guards:
 ``skipped_no_label_column``, ``skipped_no_features``, ``skipped_insufficient_positives``
 and (ours) ``skipped_single_class``.
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from ..constants import (FOREST_MAX_DEPTH, FOREST_MIN_LEAF, FOREST_TREES, MIN_POSITIVE_EXAMPLES,
                          SUPERVISED_FEATURES)
 from ..session import materialize
-from .iforest import content_key, numbered_copies
+from .count_forest import MAX_CODE, CountForest, fit_count_forest
+from .iforest import content_key, forest_mean_column, numbered_copies
 
 
 @dataclass
 class SimilarityModel:
-    model: RandomForestClassificationModel | None
+    model: RandomForestClassificationModel | CountForest | None
     feature_cols: list[str]
     info: dict = field(default_factory=dict)
 
@@ -35,9 +37,9 @@ def _finite(c: str) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
 
-# Above this many rows the forest trains on a class-stratified hash sample (every row is
-# still scored). Below it the forest sees every row, as the source tool's forest does.
-TRAIN_ROW_LIMIT = 1_000_000
+# Spark ML passes over every row for every tree and level; above this many rows the passes run
+# over the counts of equal rows of bins. Every row counts either way.
+ROWWISE_MAX = 1_000_000
 TRAIN_PARTITIONS = 32
 
 
@@ -69,7 +71,9 @@ def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
                      num_trees: int = FOREST_TREES, max_depth: int = FOREST_MAX_DEPTH,
                      min_leaf: int = FOREST_MIN_LEAF, max_bins: int = 32,
                      counts: tuple[int, int] | None = None,
-                     train_row_limit: int | None = TRAIN_ROW_LIMIT) -> SimilarityModel:
+                     train_row_limit: int | None = None) -> SimilarityModel:
+    """Train on all rows. Only a caller that asks for it (``train_row_limit``) gets a forest trained on a
+    class-stratified sample; the review does not."""
     feature_cols = list(feature_cols or SUPERVISED_FEATURES)
     info: dict = {"status": "trained", "feature_cols": feature_cols, "label_col": label_col}
     if label_col not in feat.columns:
@@ -96,6 +100,12 @@ def train_similarity(feat: DataFrame, label_col: str = "fraud_risk_flag",
         return SimilarityModel(None, available, info)
 
     n = n_pos + n_neg
+    if train_row_limit is None and n > ROWWISE_MAX and max_bins ** len(available) <= MAX_CODE // 2:
+        rows = feat.select(*[_finite(c).alias(c) for c in available], y.alias("_label"))
+        model = fit_count_forest(rows, available, counts, seed=seed, num_trees=num_trees, max_depth=max_depth,
+                                 min_leaf=min_leaf, max_bins=max_bins)
+        info["feature_importance"] = {f: float(v) for f, v in zip(available, model.importances)}
+        return SimilarityModel(model, available, info)
     shares, drawn = None, counts
     if train_row_limit is not None and n > train_row_limit:
         # Bernoulli per class; the weights follow from the rows drawn, so each class keeps its
@@ -127,6 +137,8 @@ def similarity_score(df: DataFrame, sim: SimilarityModel, out: str = "fraud_prob
     """Adds ``fraud_probability`` = P(class 1), or 0.0 for all rows when untrained."""
     if sim.model is None:
         return df.withColumn(out, F.lit(0.0))
+    if isinstance(sim.model, CountForest):
+        return df.withColumn(out, forest_mean_column(sim.model.nodes, [_finite(c) for c in sim.feature_cols], df.sparkSession))
     cols = df.columns
     tmp = [f"_sim_{c}" for c in sim.feature_cols]
     x = df.select("*", *[_finite(c).alias(t) for c, t in zip(sim.feature_cols, tmp)])

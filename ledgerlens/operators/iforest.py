@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -168,12 +169,17 @@ def training_sample(feat: DataFrame, feature_cols: list[str], n_rows: int, n_tre
     rows = numbered_copies(feat.select(content_key(feat).alias("_content"), *x))
     rings = min(RINGS, n_trees)
 
-    def trees_near(r: int) -> Column:
+    def bounds(r: int) -> tuple[int, Column, Column, Column]:
         m = len(range(r, n_trees, rings))       # trees on this ring
         u = F.xxhash64(F.col("_content"), F.col("_copy"), F.lit(r), F.lit(seed)).cast("double") / 2.0 ** 64 + 0.5
-        low, high = F.floor((u - width) * m) + 1, F.floor(u * m)
+        return m, u, F.floor((u - width) * m) + 1, F.floor(u * m)
+
+    def trees_near(r: int) -> Column:
+        m, u, low, high = bounds(r)
         return F.when(low <= high, F.transform(F.sequence(low, high), lambda k: F.struct(
             (r + rings * F.pmod(k, F.lit(m))).cast("int").alias("tree_id"), (u - k / m).alias("_key"))))
+    # most rows of a large ledger are near no tree: they go before any list of trees is made
+    rows = rows.where(reduce(Column.__or__, [low <= high for _, _, low, high in map(bounds, range(rings))]))
     found = [trees_near(r) for r in range(rings)]
     near = F.flatten(F.array_compact(F.array(*found)))
     rows = rows.select("_content", "_copy", *feature_cols, F.explode(near).alias("_t")).select(

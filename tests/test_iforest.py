@@ -109,3 +109,15 @@ def test_exact_copies_are_drawn_like_other_rows(spark):
         assert abs(sum(r.copies for r in rows) / (50 * psi) - 1 / 3) < 0.03
         found.append({r.tree_id: (r.copies, round(r["keys"], 9)) for r in rows})
     assert found[0] == found[1]
+
+
+def test_rows_near_no_tree_go_before_lists_of_trees_are_made(spark):
+    """At size nearly every row is near no tree: lists of trees were made for each of them."""
+    from ledgerlens.operators.iforest import training_sample
+    df = spark.range(50_000).selectExpr("id AS row_id", "CAST(id AS double) AS x0")
+    found = training_sample(df, ["x0"], 50_000, 4, 16, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    lists = next(i for i, line in enumerate(plan) if "Generate explode(flatten" in line)
+    below = [line for line in plan[lists + 1:] if "Filter" in line and "xxhash64" in line and "<=" in line]
+    assert below and all("transform" not in line for line in below)
+    assert {r["tree_id"]: r["count"] for r in found.groupBy("tree_id").count().collect()} == {t: 16 for t in range(4)}

@@ -6,7 +6,7 @@
   pass 2  clean ledger -> broadcast joins of the statistics -> features, written once
           (lineage cut; later passes prune columns)
   pass 3  hash-chosen bounded sample -> isolation trees per tree_id (applyInPandas)
-  pass 4  features -> Arrow UDF raw scores, written once -> contamination percentile
+  pass 4  features -> Arrow UDF raw scores, that column written -> contamination percentile
   pass 5  weak-label forest (Spark ML, level-wise on executors), trained from a second
           thread while passes 3-4 run
   pass 6  scores + audit rules -> scored table written once; the flagged queue gets its
@@ -81,25 +81,21 @@ def hybrid_scores(feat: DataFrame, n_rows: int, contamination: float, seed: int
     spark = feat.sparkSession
     forest = fit_isolation_forest(feat, TIER1_FEATURES, n_rows=n_rows, n_trees=n_trees,
                                   max_samples=max_samples, contamination=contamination, seed=seed)
-    feat = with_raw_scores(feat, forest)
-    fit_offset(feat, forest, n_rows)
+    fit_offset(raw_scores(feat, forest), forest, n_rows)
     sim = train_similarity(feat, seed=seed, num_trees=forest_trees, max_depth=forest_depth,
                            counts=counts)
     return model_scores(feat, forest, sim), forest, sim
 
 
-def with_raw_scores(feat: DataFrame, forest: IsolationForestModel) -> DataFrame:
-    """Features plus the forest's raw score ``_if_raw``, written once: the offset pass and
-    the final scoring pass read it instead of walking the trees twice."""
-    return materialize(feat.withColumn("_if_raw", raw_score_column(forest, feat.sparkSession)),
-                       "iforest-raw")
+def raw_scores(feat: DataFrame, forest: IsolationForestModel) -> DataFrame:
+    """The forest's raw score ``_if_raw`` alone, written once for the passes of the offset. The scoring pass finds
+    the scores again: looking up a row's cell costs less than writing and reading all features once more."""
+    return materialize(feat.select(raw_score_column(forest, feat.sparkSession).alias("_if_raw")), "iforest-raw")
 
 
 def model_scores(feat: DataFrame, forest: IsolationForestModel, sim: SimilarityModel) -> DataFrame:
-    """anomaly_score (decision function), anomaly_label, raw_tier, fraud_probability.
-    Uses the written raw score when present, else walks the trees."""
-    raw = F.col("_if_raw") if "_if_raw" in feat.columns else raw_score_column(forest, feat.sparkSession)
-    scored = feat.withColumn("anomaly_score", decision_column(raw, forest))
+    """anomaly_score (decision function), anomaly_label, raw_tier, fraud_probability."""
+    scored = feat.withColumn("anomaly_score", decision_column(raw_score_column(forest, feat.sparkSession), forest))
     scored = scored.select("*", F.when(F.col("anomaly_score") < 0, F.lit(-1)).otherwise(F.lit(1))
                            .alias("anomaly_label"), raw_tier(F.col("anomaly_score")).alias("raw_tier"))
     return similarity_score(scored, sim)
@@ -109,7 +105,7 @@ def finish_scoring(feat: DataFrame, forest: IsolationForestModel, sim: Similarit
                    mat: dict) -> DataFrame:
     """Model scores + audit rules over every row, written once (the scored table)."""
     scored = apply_scoring(model_scores(feat, forest, sim), mat["performance"], mat["transaction"])
-    return materialize(scored.drop("_if_raw"), "scored")
+    return materialize(scored, "scored")
 
 
 def review(gl: DataFrame | CsvLedger, entity_type: str, benchmark_figure: float, detection_sensitivity: str,
@@ -166,8 +162,8 @@ def review(gl: DataFrame | CsvLedger, entity_type: str, benchmark_figure: float,
         forest = timed("iforest_fit", lambda: fit_isolation_forest(
             feat, TIER1_FEATURES, n_rows=n_rows, n_trees=n_trees, contamination=contamination,
             seed=seed))                                                                     # 3
-        feat = timed("iforest_score_pass", lambda: with_raw_scores(feat, forest))          # 4
-        timed("iforest_offset", lambda: fit_offset(feat, forest, n_rows))
+        raw = timed("iforest_score_pass", lambda: raw_scores(feat, forest))                # 4
+        timed("iforest_offset", lambda: fit_offset(raw, forest, n_rows))
         sim = sim_future.result()
         timings["similarity_fit_concurrent"] = round(time.time() - t_sim, 3)
     scored = timed("scoring_pass", lambda: finish_scoring(feat, forest, sim, m))           # 6

@@ -206,7 +206,9 @@ def _py_list(arr: Column) -> Column:
 
 
 def _first_match(text: Column, phrases: list[str]) -> Column:
-    return F.get(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.instr(text, p) > 0), 0)
+    """The first of the phrases that the text contains, or NULL: compiled tests, each of which passes over the text's
+    bytes once."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases])
 
 
 def validate_memos(candidates: DataFrame, json_col: str = "memo_json") -> DataFrame:

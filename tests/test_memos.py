@@ -86,3 +86,16 @@ def test_odd_values_and_blanks(spark):
         (False, "missing keys: ['assertion_consideration', 'control_or_coso_consideration', 'disclaimer', "
                 "'likelihood_assessment', 'magnitude_assessment', 'recommended_follow_up']"),
         (False, "top-level value is not a JSON object (got int)"), (False, "not valid JSON")]
+
+
+def test_phrases_are_tested_by_compiled_steps(spark):
+    """The first phrase of the list wins, not the first in the text; no phrase is looked for by an interpreted function."""
+    from ledgerlens.operators.memos import phrase_scan
+    texts = ["The Manager stole; this PROVES fraud.", "Mr. X, definitively", "ms x", "", None, "this is frau", "MS. Y and the ceo"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    banned, leak = phrase_scan(F.col("t"))
+    found = df.select("i", banned.alias("banned"), leak.alias("leak"))
+    assert [(r.banned, r.leak) for r in found.orderBy("i").collect()] == [
+        ("this proves fraud", "the manager"), ("definitively", "mr."), (None, None), (None, None), (None, None), (None, None),
+        (None, "the ceo")]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()

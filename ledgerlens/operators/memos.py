@@ -277,11 +277,9 @@ def validate_memos(candidates: DataFrame, json_col: str = "memo_json") -> DataFr
                                                                    F.lit(f" out of bounds [{lo}, {hi}]"))))
     checks.append(F.when(stripped(F.col("_x_disclaimer")) != F.lit(DISCLAIMER),
                          F.lit("disclaimer does not match the required verbatim string")))
-    df = df.select("*", _first_match(F.col("_all"), BANNED_PHRASES).alias("_banned"),
-                   _first_match(F.col("_all"), NAME_LEAK_PATTERNS).alias("_leak"))
-    banned, leak = F.col("_banned"), F.col("_leak")
-    checks.append(F.when(banned.isNotNull(), F.concat(F.lit("banned phrase detected: '"), banned, F.lit("'"))))
-    checks.append(F.when(leak.isNotNull(), F.concat(F.lit("name-leakage pattern detected: '"), leak, F.lit("'"))))
+    # the dearest checks come last: a text that failed another one is not searched
+    checks.append(F.concat(F.lit("banned phrase detected: '"), _first_match(F.col("_all"), BANNED_PHRASES), F.lit("'")))
+    checks.append(F.concat(F.lit("name-leakage pattern detected: '"), _first_match(F.col("_all"), NAME_LEAK_PATTERNS), F.lit("'")))
     # the observed count keeps a filter on the outcome from being copied into every step above
     df = df.select(*cols, F.coalesce(*checks).alias("_reason")).observe(f"checked-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
     return df.select(*cols, F.col("_reason").isNull().alias("is_valid"), F.coalesce(F.col("_reason"), F.lit("")).alias("reason"))
@@ -321,9 +319,10 @@ def accept_or_fallback(ranked: DataFrame, candidates: DataFrame | None = None) -
 
 
 def memo_table(queue: DataFrame, top_n: int | None = None,
-               candidates: DataFrame | None = None) -> DataFrame:
-    """position, keys, narrative_status and the seven memo fields for the first ``top_n`` rows, or all."""
-    m = accept_or_fallback(memo_rank(queue, top_n), candidates)
+               candidates: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """position, keys, narrative_status and the seven memo fields for the first ``top_n`` rows, or all.
+    ``ranked`` is the outcome of ``memo_rank(queue, top_n)`` where it was made before (for the candidates)."""
+    m = accept_or_fallback(memo_rank(queue, top_n) if ranked is None else ranked, candidates)
     return m.select("position", *[c for c in ("row_id", "journal_ref") if c in queue.columns],
                     "date", "account_name", "vendor", "amount", "narrative_status",
                     *[F.col(f"memo.{f}").alias(f) for f in MEMO_FIELDS])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import integrity as I
 from ..operators import summary as S
 from ..operators.scoring import materiality
+from ..session import apart
 from ..sources.fixture import FIXTURE_PARAMS
 from ..sources.sinks import nonfinite_to_null
 from .ledger import FixtureLedger, r6
@@ -409,7 +410,7 @@ def memo_candidates(ranked: DataFrame) -> DataFrame:
            .otherwise(with_(risk_summary=F.concat(F.lit("Second reading: "), F.col("m.risk_summary")))))
     twins = m.where(F.col("position") % len(MUTATIONS) == 0).select(
         "position", F.lit("twin").alias("mutation"), with_().alias("memo_json"))
-    return m.select("position", kind.alias("mutation"), js.alias("memo_json")).unionAll(twins)
+    return apart(m.select("position", kind.alias("mutation"), js.alias("memo_json")).unionAll(twins))
 
 
 @query("memo_rank")
@@ -498,14 +499,16 @@ def q_validate(spark, sf_dir):
 @query("accept_or_fallback")
 def q_accept(spark, sf_dir):
     from ..operators.memos import memo_table
-    t = memo_table(_queue(spark, sf_dir), None, memo_candidates(_ranked(spark, sf_dir)))
+    ranked = _ranked(spark, sf_dir)
+    t = memo_table(_queue(spark, sf_dir), None, memo_candidates(ranked), ranked)
     return t.select("position", "journal_ref", "narrative_status", "risk_summary", "disclaimer")
 
 
 @query("memo_tallies")
 def q_tallies(spark, sf_dir):
     from ..operators.memos import memo_table, memo_tallies
-    return memo_tallies(memo_table(_queue(spark, sf_dir), None, memo_candidates(_ranked(spark, sf_dir))))
+    ranked = _ranked(spark, sf_dir)
+    return memo_tallies(memo_table(_queue(spark, sf_dir), None, memo_candidates(ranked), ranked))
 
 
 @query("attach_memos")

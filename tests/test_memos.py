@@ -99,3 +99,23 @@ def test_phrases_are_tested_by_compiled_steps(spark):
         ("this proves fraud", "the manager"), ("definitively", "mr."), (None, None), (None, None), (None, None), (None, None),
         (None, "the ceo")]
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_queue_is_ranked_once_for_candidates_and_memos(spark, monkeypatch, tmp_path):
+    """The tallies sorted and wrote the whole queue twice."""
+    from ledgerlens.operators import memos as M
+    from ledgerlens.plans import catalog as K
+    queue = spark.createDataFrame([(i, f"j{i}", None, "acc", "v", 10.0 * i, -0.1 * (i % 3), "Low", "High", "label", "note",
+                                    "Round number", 0, 0, 0.0, 0.0, 0, 0, 0.1, 0, "", 0, "") for i in range(22)],
+                                  "row_id long, journal_ref string, date date, account_name string, vendor string, amount double, "
+                                  "anomaly_score double, raw_tier string, final_tier string, pcaob_label string, "
+                                  "materiality_annotation string, active_flags string, control_gap_score int, fraud_risk_flag int, "
+                                  "period_over_period_pct double, vendor_concentration_pct double, is_year_end_concentration int, "
+                                  "is_non_standard_pattern int, fraud_probability double, is_qualitative_override int, "
+                                  "qualitative_override_note string, is_supervised_escalation int, supervised_escalation_note string")
+    monkeypatch.setattr(K, "_queue", lambda spark, sf_dir: queue)
+    ranked, rank = [], M.memo_rank
+    monkeypatch.setattr(M, "memo_rank", lambda *a: ranked.append(a) or rank(*a))
+    tallies = K.QUERIES["memo_tallies"](spark, "unused").first()
+    assert len(ranked) == 1
+    assert (tallies.top_n_used, tallies.n_gpt, tallies.n_fallback) == (22, 2, 20)
